@@ -56,7 +56,7 @@ class RunParams:
     product_id: int = 7
     search_term: str = "sMa"
     stock_search_term: str = "low"
-    receipt_search_term: str = "2001-"
+    receipt_search_term: str = "bolt"
     supplier_search_term: str = "ring"
     category: str = "small"
     reserve_quantity: int = 5
