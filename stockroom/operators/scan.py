@@ -52,3 +52,15 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[
     out = local.join(offsets, cond)
     return out.select(*[local[c] for c in df.columns],
                       *[(F.col(f"_o_{k}") + F.col(f"_l_{k}")).alias(k) for k in values])
+
+
+def number_rows(df: DataFrame, order: list[str], out: str, base: Column | int = 0,
+                n: int | None = None) -> DataFrame:
+    """Number rows 1..N in ``order`` (plus ``base``) without a single-task global window.
+
+    This is ``running_sums`` with no key: each range chunk is numbered locally
+    and shifted by the row count of the chunks before it.
+    """
+    numbered = running_sums(df, [], order, {out: F.lit(1).cast("long")}, inclusive=True, n=n)
+    base_col = base if isinstance(base, Column) else F.lit(base)
+    return numbered.withColumn(out, F.col(out) + base_col)

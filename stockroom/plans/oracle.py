@@ -78,7 +78,16 @@ receipt_requests AS (
          CASE WHEN event_id % 25 = 0 THEN '0' WHEN event_id % 40 = 0 THEN 'many'
               ELSE CAST(event_id % 30 + 1 AS VARCHAR) END AS quantity,
          ts AS date_added
-  FROM events)
+  FROM events),
+product_edits AS (
+  SELECT (request_id // 2) * 3 AS ProductID, * FROM product_requests),
+supplier_requests AS (
+  SELECT c_custkey AS request_id,
+         CASE WHEN c_custkey % 9 = 0 THEN '  ' ELSE ' ' || c_name END AS name,
+         c_mktsegment AS contact_info, lower(c_mktsegment) || '@mail.test' AS email,
+         CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '+1-' || CAST(c_custkey AS VARCHAR) END AS phone,
+         CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 200 ELSE NULL END AS link_product
+  FROM customer)
 """
 
 

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from ..params import DEFAULT, RunParams
 
 TABLES = ("products", "suppliers", "supplier_products", "stock", "sales", "users", "roles")
+REQUEST_TABLES = ("cart_events", "sale_requests", "product_requests", "receipt_requests",
+                  "product_edits", "supplier_requests")
 
 # Every lineitem column except the status, in a fixed order: a total order for
 # numbering rows that share (l_orderkey, l_linenumber).
@@ -69,7 +71,7 @@ class RetailTables:
     @classmethod
     def from_parquet(cls, spark: SparkSession, path: str, params: RunParams = DEFAULT) -> "RetailTables":
         frames = {t: (lambda t=t: spark.read.parquet(f"{path}/{t}")) for t in TABLES}
-        for extra in ("cart_events", "sale_requests", "product_requests", "receipt_requests"):
+        for extra in REQUEST_TABLES:
             frames[extra] = lambda t=extra: spark.read.parquet(f"{path}/{t}")
         return cls(spark, frames, params)
 
@@ -193,10 +195,29 @@ class RetailTables:
                 qty.alias("quantity"),
                 F.col("ts").alias("date_added"))
 
+        def product_edits():
+            # Two edits per target id (the later one wins); ids past the
+            # table's end are edits of products that do not exist.
+            return product_requests().select(
+                (F.expr("request_id div 2") * 3).alias("ProductID"), "*")
+
+        def supplier_requests():
+            c = raw("customer")
+            k = F.col("c_custkey")
+            name = F.when(k % 9 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("c_name")))
+            link = F.when(k % 2 == 0, k % 200).otherwise(F.lit(None).cast("bigint"))
+            return c.select(k.alias("request_id"), name.alias("name"),
+                            F.col("c_mktsegment").alias("contact_info"),
+                            F.concat(F.lower(F.col("c_mktsegment")), F.lit("@mail.test")).alias("email"),
+                            F.when(k % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("+1-"), k.cast("string")))
+                             .alias("phone"),
+                            link.alias("link_product"))
+
         frames = dict(products=products, suppliers=suppliers, stock=stock,
                       supplier_products=supplier_products, sales=sales, users=users,
                       roles=roles, cart_events=cart_events, sale_requests=sale_requests,
-                      product_requests=product_requests, receipt_requests=receipt_requests)
+                      product_requests=product_requests, receipt_requests=receipt_requests,
+                      product_edits=product_edits, supplier_requests=supplier_requests)
         return cls(spark, frames, params)
 
 
@@ -206,7 +227,7 @@ def write_tables(tables: RetailTables, path: str, sales_by_month: bool = True) -
     Sales are partitioned by sale month so date-range reports prune whole
     directories; every other table is written as is.
     """
-    for name in TABLES + ("cart_events", "sale_requests", "product_requests", "receipt_requests"):
+    for name in TABLES + REQUEST_TABLES:
         df = getattr(tables, name)
         writer = df.write.mode("overwrite")
         if name == "sales" and sales_by_month:
