@@ -18,6 +18,10 @@ from ..session import cut_lineage
 
 CHUNK = "_chunk"
 
+# Below this many rows a plain window per key is used: one task per key is
+# harmless at that size and saves the sampling job and the checkpoint.
+SPLIT_ROWS = 1_000_000
+
 
 def _chunks(df: DataFrame) -> int:
     spark = df.sparkSession
@@ -32,13 +36,30 @@ def range_chunked(df: DataFrame, keys: list[str], order: list[str], n: int | Non
     return cut_lineage(parted)
 
 
+def plain_running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column],
+                       inclusive: bool = True) -> DataFrame:
+    """Running sums with one window per key (for inputs known to be small)."""
+    frame = (Window.partitionBy(*keys).orderBy(*order)
+             .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    return df.select("*", *[F.coalesce(F.sum(v).over(frame), F.lit(0)).cast("long").alias(k)
+                            for k, v in values.items()])
+
+
 def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column],
-                 inclusive: bool = True, n: int | None = None) -> DataFrame:
+                 inclusive: bool = True, n: int | None = None, split_rows: int | None = None,
+                 rows: int | None = None) -> DataFrame:
     """Add running sums per key in ``order`` for each ``name -> value`` in ``values``.
 
     ``inclusive=False`` gives the sum of the strictly earlier rows.  ``order``
     must be a total order within a key.  NULL keys form their own group.
+    Inputs of at most ``split_rows`` rows (counted unless ``rows`` is given)
+    use a plain window; larger ones are split into range chunks.
     """
+    split_rows = SPLIT_ROWS if split_rows is None else split_rows
+    if split_rows > 0:
+        rows = df.count() if rows is None else rows
+        if rows <= split_rows:
+            return plain_running_sums(df, keys, order, values, inclusive)
     base = range_chunked(df.select("*", *[v.alias(f"_v_{k}") for k, v in values.items()]), keys, order, n)
     per_chunk = base.groupBy(*keys, CHUNK).agg(*[F.sum(f"_v_{k}").alias(f"_c_{k}") for k in values])
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
@@ -51,16 +72,17 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[
     cond = [local[k].eqNullSafe(offsets[f"_k_{k}"]) for k in keys] + [local[CHUNK] == offsets["_k_chunk"]]
     out = local.join(offsets, cond)
     return out.select(*[local[c] for c in df.columns],
-                      *[(F.col(f"_o_{k}") + F.col(f"_l_{k}")).alias(k) for k in values])
+                      *[(F.col(f"_o_{k}") + F.col(f"_l_{k}")).cast("long").alias(k) for k in values])
 
 
 def number_rows(df: DataFrame, order: list[str], out: str, base: Column | int = 0,
-                n: int | None = None) -> DataFrame:
+                n: int | None = None, split_rows: int | None = None) -> DataFrame:
     """Number rows 1..N in ``order`` (plus ``base``) without a single-task global window.
 
     This is ``running_sums`` with no key: each range chunk is numbered locally
     and shifted by the row count of the chunks before it.
     """
-    numbered = running_sums(df, [], order, {out: F.lit(1).cast("long")}, inclusive=True, n=n)
+    numbered = running_sums(df, [], order, {out: F.lit(1).cast("long")}, inclusive=True, n=n,
+                            split_rows=split_rows)
     base_col = base if isinstance(base, Column) else F.lit(base)
     return numbered.withColumn(out, F.col(out) + base_col)
