@@ -155,7 +155,7 @@ def chart_series_json(points: DataFrame, order_col: str, label_col: str, value_c
     Only for already-reduced series (at most a few dozen points).
     """
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col(label_col).alias("l"),
-                                                   F.col(value_col).cast("double").alias("v"))))
+                                                   F.col(value_col).alias("v"))))
     return (points.agg(ordered.alias("pts"))
             .select(F.to_json(F.transform("pts", lambda x: x["l"])).alias("Labels"),
                     F.to_json(F.transform("pts", lambda x: x["v"])).alias("Values")))

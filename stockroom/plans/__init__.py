@@ -8,7 +8,7 @@ from .registry import REGISTRY, Query, query  # noqa: F401
 
 def _load_all() -> None:
     import importlib
-    for mod in ("q_sales", "q_parties", "q_cart", "q_changes", "q_sequential", "q_sinks"):
+    for mod in ("q_sales", "q_parties", "q_cart", "q_changes", "q_sequential", "q_sinks", "q_stream"):
         try:
             importlib.import_module(f"{__name__}.{mod}")
         except ModuleNotFoundError as exc:  # module not written yet

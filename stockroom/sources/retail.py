@@ -43,11 +43,25 @@ def _line_id(li: DataFrame) -> DataFrame:
         F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10 + F.row_number().over(w) - 1)
 
 
+def cart_events_of(e: DataFrame) -> DataFrame:
+    """Cart events from the ``events`` table (works on a stream too)."""
+    action = (F.when(F.col("event_type") == "purchase", F.lit("buy"))
+              .when(F.col("event_type") == "error", F.lit("remove"))
+              .otherwise(F.lit("add")))
+    return e.select(
+        "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id",
+        (F.col("user_id") % 3).alias("product_id"),
+        action.alias("action"),
+        (F.col("event_id") % 3 + 1).alias("quantity"))
+
+
 class RetailTables:
     """Lazy application tables over one storage location."""
 
-    def __init__(self, spark: SparkSession, frames: dict[str, callable], params: RunParams = DEFAULT):
+    def __init__(self, spark: SparkSession, frames: dict[str, callable], params: RunParams = DEFAULT,
+                 paths: dict[str, str] | None = None):
         self.spark = spark
+        self.paths = paths or {}
         self._frames = frames
         self.params = params
         self._cache: dict[str, DataFrame] = {}
@@ -144,15 +158,7 @@ class RetailTables:
             return raw("nation").where(k < 24).select(k.cast("bigint").alias("RoleID"), name.alias("RoleName"))
 
         def cart_events():
-            e = raw("events")
-            action = (F.when(F.col("event_type") == "purchase", F.lit("buy"))
-                      .when(F.col("event_type") == "error", F.lit("remove"))
-                      .otherwise(F.lit("add")))
-            return e.select(
-                "event_id", "ts", "user_id",
-                (F.col("user_id") % 3).alias("product_id"),
-                action.alias("action"),
-                (F.col("event_id") % 3 + 1).alias("quantity"))
+            return cart_events_of(raw("events"))
 
         def sale_requests():
             e = raw("events")
@@ -218,7 +224,7 @@ class RetailTables:
                       roles=roles, cart_events=cart_events, sale_requests=sale_requests,
                       product_requests=product_requests, receipt_requests=receipt_requests,
                       product_edits=product_edits, supplier_requests=supplier_requests)
-        return cls(spark, frames, params)
+        return cls(spark, frames, params, paths={"events": f"{sf_dir}/events.parquet"})
 
 
 def write_tables(tables: RetailTables, path: str, sales_by_month: bool = True) -> None:
