@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions import (before_day_after, closed_range, discount_pct, in_month_of, on_day,
                          php_empty, php_trim, since_days_before, ts_lit)
-from .stock import stock_availability
+from .stock import levels
 
 
 def _kpi_windows(as_of: _dt.date):
@@ -142,7 +142,9 @@ def price_quote(requests: DataFrame, products: DataFrame, stock: DataFrame, sale
     r = (requests.select("request_id", "ProductID", "Quantity", "Discount")
          .withColumn("Qty", whole_quantity("Quantity"))
          .where(F.col("Qty") > 0))
-    avail = stock_availability(r.select("ProductID"), stock, sales).select("ProductID", "Available")
+    lv = levels(stock, sales)
+    avail = lv.select("ProductID", (F.coalesce("TotalAdded", F.lit(0)) - F.coalesce("TotalSold", F.lit(0)))
+                      .alias("Available"))
     q = (r.join(products.select("ProductID", F.col("Price").alias("UnitPrice")), "ProductID")
          .join(avail, "ProductID", "left")
          .withColumn("Subtotal", (F.col("UnitPrice") * F.col("Qty")).cast("decimal(18,2)"))

@@ -190,9 +190,16 @@ def reserve_stock(stock: DataFrame, requests: DataFrame, wave_size: int = 100_00
     bad = req.where(F.col("q").isNull() | (F.col("q") <= 0)).select(
         "request_id", F.lit(INVALID_QUANTITY).alias("reason"))
     good = req.where(F.col("q") > 0)
-    good = running_sums(good, ["ProductID"], ORDER, {"rank": F.lit(1).cast("long")})
-    good = cut_lineage(good.withColumn("wave", F.floor((F.col("rank") - 1) / F.lit(wave_size)).cast("long")))
-    waves = good.agg(F.max("wave")).collect()[0][0]
+    busiest = good.groupBy("ProductID").count().agg(F.max("count")).collect()[0][0]
+    if busiest is not None and busiest > wave_size:
+        # A product has more requests than one call should hold: number each
+        # product's requests (skew-safe running count) and cut them into waves.
+        good = running_sums(good, ["ProductID"], ORDER, {"rank": F.lit(1).cast("long")})
+        good = cut_lineage(good.withColumn("wave", F.floor((F.col("rank") - 1) / F.lit(wave_size)).cast("long")))
+        waves = good.agg(F.max("wave")).collect()[0][0]
+    else:
+        good = good.withColumn("wave", F.lit(0).cast("long"))
+        waves = None if busiest is None else 0
     lots = cut_lineage(stock.select("ProductID", "StockID", "QuantityAdded"))
     taken, rejected = [], []
     for w in range(0 if waves is None else int(waves) + 1):

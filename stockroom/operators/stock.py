@@ -10,10 +10,9 @@ so net stock is charged twice for a shop purchase; both figures are reported
 as the application computes them.
 
 Every per-product figure is computed by aggregating the big tables on
-``ProductID`` first (partial aggregation runs map-side), and only the
-one-row-per-product results are joined to ``products``.  The aggregated
-sides arrive hash-partitioned on ``ProductID`` already, so the joins add no
-extra shuffle for them.
+``ProductID`` first (receipts and sales stacked into one partial, map-side
+aggregation and one shuffle), and only the one-row-per-product result is
+joined to ``products``.
 """
 
 from __future__ import annotations
@@ -33,12 +32,27 @@ def sold_by_product(sales: DataFrame) -> DataFrame:
     return sales.groupBy("ProductID").agg(F.sum("QuantitySold").alias("TotalSold"))
 
 
+def levels(stock: DataFrame, sales: DataFrame | None) -> DataFrame:
+    """Per product: units received and (if ``sales`` given) units sold, in one aggregation.
+
+    Receipts and sales are stacked and summed together, so both inputs are
+    reduced map-side and share a single shuffle on ProductID.
+    """
+    added = stock.select("ProductID", F.col("QuantityAdded").cast("long").alias("a"),
+                         F.lit(None).cast("long").alias("s"))
+    if sales is None:
+        return added.groupBy("ProductID").agg(F.sum("a").alias("TotalAdded"))
+    sold = sales.select("ProductID", F.lit(None).cast("long").alias("a"),
+                        F.col("QuantitySold").cast("long").alias("s"))
+    return added.unionByName(sold).groupBy("ProductID").agg(F.sum("a").alias("TotalAdded"),
+                                                            F.sum("s").alias("TotalSold"))
+
+
 def _with_levels(keys: DataFrame, stock: DataFrame, sales: DataFrame | None) -> DataFrame:
-    out = keys.join(received_by_product(stock), "ProductID", "left") \
+    out = keys.join(levels(stock, sales), "ProductID", "left") \
         .withColumn("TotalAdded", F.coalesce("TotalAdded", F.lit(0).cast("bigint")))
     if sales is not None:
-        out = out.join(sold_by_product(sales), "ProductID", "left") \
-            .withColumn("TotalSold", F.coalesce("TotalSold", F.lit(0).cast("bigint")))
+        out = out.withColumn("TotalSold", F.coalesce("TotalSold", F.lit(0).cast("bigint")))
     return out
 
 
@@ -130,7 +144,7 @@ def recent_receipts(stock: DataFrame, products: DataFrame, suppliers: DataFrame,
 def largest_lot(stock: DataFrame, quantity: int) -> DataFrame:
     """Per product, the single largest lot that can cover ``quantity`` units.
 
-    Ties on size go to the lowest StockID.  A ``max_by`` aggregate keeps this a
+    Ties on size go to the lowest StockID.  A ``max`` over (size, -id) structs keeps this a
     partial (map-side) aggregation, so a product with very many lots is not
     gathered into one task.
     """
