@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import before_day_after, closed_range, date_lit, day_label, since_days_before
+from .topk import top_k_through
 
 
 def range_sales(sales: DataFrame, start: _dt.date, end: _dt.date) -> DataFrame:
@@ -39,9 +40,10 @@ def top_products_by_quantity(sales: DataFrame, products: DataFrame, k: int = P.T
     """Top ``k`` products by units sold over all sales (ties: lower ProductID)."""
     per = sales.groupBy("ProductID").agg(F.sum("QuantitySold").alias("TotalQuantity"),
                                          F.sum("TotalAmount").alias("TotalRevenue"))
-    return (per.join(products.select("ProductID", "Name"), "ProductID")
-            .select("ProductID", "Name", "TotalQuantity", "TotalRevenue")
-            .orderBy(F.desc("TotalQuantity"), "ProductID").limit(k))
+    order = [F.desc("TotalQuantity"), F.asc("ProductID")]
+    names = products.select("ProductID", "Name")
+    out = top_k_through(per, order, k, lambda c: c.join(names, "ProductID"))
+    return out.select("ProductID", "Name", "TotalQuantity", "TotalRevenue").orderBy(*order).limit(k)
 
 
 def top_products_by_revenue(sales: DataFrame, products: DataFrame, start: _dt.date, end: _dt.date,
@@ -55,10 +57,12 @@ def top_products_by_revenue(sales: DataFrame, products: DataFrame, start: _dt.da
     total = s.agg(F.sum("TotalAmount").cast("double")).scalar()
     per = s.groupBy("ProductID").agg(F.sum("QuantitySold").alias("TotalSold"),
                                      F.sum("TotalAmount").alias("Revenue"))
-    return (per.join(products.select("ProductID", "Name"), "ProductID")
-            .withColumn("Percentage", F.round(F.try_divide(F.col("Revenue").cast("double"), total) * 100, 4))
+    order = [F.desc("Revenue"), F.asc("ProductID")]
+    names = products.select("ProductID", "Name")
+    out = top_k_through(per, order, k, lambda c: c.join(names, "ProductID"))
+    return (out.withColumn("Percentage", F.round(F.try_divide(F.col("Revenue").cast("double"), total) * 100, 4))
             .select("ProductID", "Name", "TotalSold", "Revenue", "Percentage")
-            .orderBy(F.desc("Revenue"), "ProductID").limit(k))
+            .orderBy(*order).limit(k))
 
 
 def _supplier_product_receipts(stock: DataFrame) -> DataFrame:
@@ -81,9 +85,11 @@ def top_suppliers(suppliers: DataFrame, stock: DataFrame, sales: DataFrame, star
     weight = F.col("Received") * F.col("SaleRows") if fanned else F.col("Received")
     per = pairs.groupBy("SupplierID").agg(F.count(F.lit(1)).alias("ProductCount"),
                                           F.sum(weight).alias("TotalSupplied"))
-    return (per.join(suppliers.select("SupplierID", F.col("Name").alias("SupplierName")), "SupplierID")
-            .select("SupplierID", "SupplierName", "ProductCount", "TotalSupplied")
-            .orderBy(F.desc("TotalSupplied"), "SupplierID").limit(k))
+    order = [F.desc("TotalSupplied"), F.asc("SupplierID")]
+    names = suppliers.select("SupplierID", F.col("Name").alias("SupplierName"))
+    out = top_k_through(per, order, k, lambda c: c.join(names, "SupplierID"))
+    return (out.select("SupplierID", "SupplierName", "ProductCount", "TotalSupplied")
+            .orderBy(*order).limit(k))
 
 
 def category_breakdown(sales: DataFrame, products: DataFrame, start: _dt.date, end: _dt.date) -> DataFrame:

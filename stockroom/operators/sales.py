@@ -12,6 +12,7 @@ from .. import params as P
 from ..functions import (before_day_after, closed_range, discount_pct, in_month_of, on_day,
                          php_empty, php_trim, since_days_before, ts_lit)
 from .stock import levels
+from .topk import top_k_through
 
 
 def _kpi_windows(as_of: _dt.date):
@@ -91,6 +92,10 @@ def sales_history_rows(sales: DataFrame, products: DataFrame, users: DataFrame,
     s = sales
     for c in _history_filter(date_from, date_to, product):
         s = s.where(c)
+    return _attach_names(s, products, users)
+
+
+def _attach_names(s: DataFrame, products: DataFrame, users: DataFrame) -> DataFrame:
     p = products.select("ProductID", F.col("Name").alias("ProductName"), F.col("Price").alias("UnitPrice"))
     u = users.select("UserID", "Username")
     return (s.join(p, "ProductID").join(u, "UserID")
@@ -102,13 +107,18 @@ def sales_history(sales: DataFrame, products: DataFrame, users: DataFrame, page:
                   date_from=None, date_to=None, product=None, page_size: int = P.PAGE_SIZE) -> DataFrame:
     """One page of the sales history, newest first (ties: higher SaleID first).
 
-    Pages below 1 are clamped to 1.  ``offset + limit`` after ``orderBy``
-    becomes a single top-(offset+size) selection, not a full sort.
+    Pages below 1 are clamped to 1.  The newest ``page * page_size`` sales are
+    picked before the name joins (``top_k_through``), so the sales table is
+    scanned once and not shuffled; the page is cut from that small set.
     """
     page = max(int(page), 1)
-    rows = sales_history_rows(sales, products, users, date_from, date_to, product)
-    return (rows.orderBy(F.desc("SaleDate"), F.desc("SaleID"))
-            .offset((page - 1) * page_size).limit(page_size)
+    order = [F.desc("SaleDate"), F.desc("SaleID")]
+    s = sales
+    for c in _history_filter(date_from, date_to, product):
+        s = s.where(c)
+    need = page * page_size
+    rows = top_k_through(s, order, need, lambda c: _attach_names(c, products, users))
+    return (rows.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
             .withColumn("SaleDateText", F.date_format("SaleDate", P.LABEL_DATETIME)))
 
 

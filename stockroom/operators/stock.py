@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import sale_form_status, stock_status
+from .topk import top_k_through
 
 
 def received_by_product(stock: DataFrame) -> DataFrame:
@@ -131,14 +132,19 @@ def recent_receipts(stock: DataFrame, products: DataFrame, suppliers: DataFrame,
                     k: int = P.RECENT_RECEIPTS) -> DataFrame:
     """The ``k`` newest receipt lots with product and supplier names.
 
-    Ties on the date are broken by StockID (newest id first).
+    Ties on the date are broken by StockID (newest id first).  The newest
+    lots are picked before the name joins (``top_k_through``), so the stock
+    table is scanned once and never shuffled.
     """
-    return (stock.select("StockID", "ProductID", "SupplierID", "QuantityAdded", "DateAdded")
-            .join(products.select("ProductID", F.col("Name").alias("ProductName")), "ProductID")
-            .join(suppliers.select("SupplierID", F.col("Name").alias("SupplierName")), "SupplierID")
-            .select("StockID", "ProductName", "SupplierName", "QuantityAdded", "DateAdded")
-            .orderBy(F.desc("DateAdded"), F.desc("StockID"))
-            .limit(k))
+    order = [F.desc("DateAdded"), F.desc("StockID")]
+
+    def attach(lots: DataFrame) -> DataFrame:
+        return (lots.join(products.select("ProductID", F.col("Name").alias("ProductName")), "ProductID")
+                .join(suppliers.select("SupplierID", F.col("Name").alias("SupplierName")), "SupplierID")
+                .select("StockID", "ProductName", "SupplierName", "QuantityAdded", "DateAdded"))
+
+    base = stock.select("StockID", "ProductID", "SupplierID", "QuantityAdded", "DateAdded")
+    return top_k_through(base, order, k, attach).orderBy(*order).limit(k)
 
 
 def largest_lot(stock: DataFrame, quantity: int) -> DataFrame:
