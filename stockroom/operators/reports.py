@@ -69,6 +69,16 @@ def _supplier_product_receipts(stock: DataFrame) -> DataFrame:
     return stock.groupBy("SupplierID", "ProductID").agg(F.sum("QuantityAdded").alias("Received"))
 
 
+def supplier_volume(stock: DataFrame, sales: DataFrame, start: _dt.date, end: _dt.date,
+                    fanned: bool = True) -> DataFrame:
+    """Per supplier: products sold in the range and units supplied (see ``top_suppliers``)."""
+    sold = range_sales(sales, start, end).groupBy("ProductID").agg(F.count(F.lit(1)).alias("SaleRows"))
+    pairs = _supplier_product_receipts(stock).join(sold, "ProductID")
+    weight = F.col("Received") * F.col("SaleRows") if fanned else F.col("Received")
+    return pairs.groupBy("SupplierID").agg(F.count(F.lit(1)).alias("ProductCount"),
+                                           F.sum(weight).alias("TotalSupplied"))
+
+
 def top_suppliers(suppliers: DataFrame, stock: DataFrame, sales: DataFrame, start: _dt.date,
                   end: _dt.date, k: int = P.TOP_SUPPLIERS, fanned: bool = True) -> DataFrame:
     """Top ``k`` suppliers by units supplied, for products sold in the range.
@@ -80,11 +90,7 @@ def top_suppliers(suppliers: DataFrame, stock: DataFrame, sales: DataFrame, star
     results are joined and multiplied.  ``fanned=False`` counts each receipt
     once (products with at least one sale in the range).
     """
-    sold = range_sales(sales, start, end).groupBy("ProductID").agg(F.count(F.lit(1)).alias("SaleRows"))
-    pairs = _supplier_product_receipts(stock).join(sold, "ProductID")
-    weight = F.col("Received") * F.col("SaleRows") if fanned else F.col("Received")
-    per = pairs.groupBy("SupplierID").agg(F.count(F.lit(1)).alias("ProductCount"),
-                                          F.sum(weight).alias("TotalSupplied"))
+    per = supplier_volume(stock, sales, start, end, fanned)
     order = [F.desc("TotalSupplied"), F.asc("SupplierID")]
     names = suppliers.select("SupplierID", F.col("Name").alias("SupplierName"))
     out = top_k_through(per, order, k, lambda c: c.join(names, "SupplierID"))

@@ -78,15 +78,17 @@ def accept_in_order(pending: DataFrame, available: DataFrame,
                              F.lit(None).cast("long").alias("pos_id"))
     accepted = []
     rounds = 0
+    rows = None
     while True:
         rounds += 1
         live = pending.join(state, "ProductID").where(_after("pos_ts", "pos_id"))
         fit = live.where(F.col("q") <= F.col("s")).select("ProductID", "ts", "request_id", "q", "s")
-        rows = fit.count()
-        if rows == 0:
-            break
+        if rows is None:  # pending only shrinks, so round 1's size bounds every round
+            rows = fit.count()
         run = cut_lineage(running_sums(fit, ["ProductID"], ORDER, {"c": F.col("q")},
                                        split_rows=split_rows, rows=rows))
+        if run.isEmpty():
+            break
         accepted.append(run.where(F.col("c") <= F.col("s")).select("request_id"))
         over = run.where(F.col("c") > F.col("s"))
         first = over.groupBy("ProductID").agg(F.min(F.struct("ts", "request_id", "c", "q", "s")).alias("k"))
