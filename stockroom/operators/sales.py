@@ -169,3 +169,33 @@ def price_quote(requests: DataFrame, products: DataFrame, stock: DataFrame, sale
 __all__ = ["sales_kpis", "sales_window_kpi", "row_count", "recent_activity", "sales_history",
            "sales_history_rows", "sales_page_count", "price_quote", "whole_quantity",
            "closed_range", "php_empty"]
+
+
+def js_parse_int(c) -> F.Column:
+    """JavaScript ``parseInt(x) || 0``: leading whole number after whitespace, else 0."""
+    lead = F.regexp_extract(F.regexp_replace(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")),
+                                             "^\\s+", ""), "^[+-]?[0-9]+", 0)
+    return F.coalesce(F.nullif(lead, F.lit("")).try_cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def price_preview(requests: DataFrame, products: DataFrame, stock: DataFrame, sales: DataFrame) -> DataFrame:
+    """The sale form's live preview: whole-number quantity and discount (fractions cut off).
+
+    Differs from ``price_quote`` (the recorded amount) only when the discount
+    text has a fraction.  Every request for an existing product gets a
+    preview; ``Blocked`` is the form's stock warning (quantity over net stock).
+    """
+    lv = levels(stock, sales)
+    avail = lv.select("ProductID", (F.coalesce("TotalAdded", F.lit(0)) - F.coalesce("TotalSold", F.lit(0)))
+                      .alias("Available"))
+    q = (requests.select("request_id", "ProductID", js_parse_int("Quantity").alias("Qty"),
+                         js_parse_int("Discount").alias("Disc"))
+         .join(products.select("ProductID", F.col("Price").alias("UnitPrice")), "ProductID")
+         .join(avail, "ProductID", "left")
+         .withColumn("Subtotal", (F.col("UnitPrice") * F.col("Qty")).cast("decimal(18,2)")))
+    disc_amt = F.col("Subtotal") * F.col("Disc") * F.lit(Decimal("0.01"))
+    return q.select("request_id", "ProductID", F.col("Qty").alias("Quantity"), "Subtotal",
+                    F.col("Disc").alias("DiscountPct"),
+                    F.round(disc_amt, 2).cast("decimal(18,2)").alias("DiscountAmount"),
+                    F.round(F.col("Subtotal") - disc_amt, 2).cast("decimal(18,2)").alias("FinalAmount"),
+                    (F.col("Qty") > F.coalesce(F.col("Available"), F.lit(0))).alias("Blocked"))

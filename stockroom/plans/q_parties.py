@@ -196,3 +196,9 @@ def q_supplier_stock_search(t):
     """Per-supplier stock rows whose displayed text contains "ring"."""
     return PT.search_rows(S.stock_by_supplier(t.stock, t.products, t.suppliers),
                           t.params.supplier_search_term, _SUPPLIER_STOCK_CELLS)
+
+
+@query("product_list_desc", "SELECT * FROM products ORDER BY ProductID DESC")
+def q_product_list_desc(t):
+    """All products, newest id first (the listing shown after a write)."""
+    return PT.product_list(t.products, descending=True)

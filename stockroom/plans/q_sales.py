@@ -261,3 +261,25 @@ FROM points
 def q_sales_trend_binned(t):
     """Daily revenue over 1995-2001 reduced to at most 10 chart points."""
     return R.sales_trend_binned(t.sales, t.params.long_start, t.params.long_end)
+
+
+@query("price_preview", """
+SELECT r.request_id, r.ProductID, r.Qty AS Quantity, CAST(p.Price * r.Qty AS DECIMAL(18,2)) AS Subtotal,
+       r.Disc AS DiscountPct,
+       CAST(ROUND(CAST(p.Price * r.Qty AS DECIMAL(18,2)) * r.Disc * 0.01, 2) AS DECIMAL(18,2)) AS DiscountAmount,
+       CAST(ROUND(CAST(p.Price * r.Qty AS DECIMAL(18,2))
+                  - CAST(p.Price * r.Qty AS DECIMAL(18,2)) * r.Disc * 0.01, 2) AS DECIMAL(18,2)) AS FinalAmount,
+       r.Qty > COALESCE(a.TotalAdded, 0) - COALESCE(s.TotalSold, 0) AS Blocked
+FROM (SELECT request_id, ProductID,
+             COALESCE(TRY_CAST(NULLIF(regexp_extract(ltrim(COALESCE(Quantity, '')), '^[+-]?[0-9]+', 0), '')
+                               AS BIGINT), 0) AS Qty,
+             COALESCE(TRY_CAST(NULLIF(regexp_extract(ltrim(COALESCE(Discount, '')), '^[+-]?[0-9]+', 0), '')
+                               AS BIGINT), 0) AS Disc
+      FROM sale_requests) r
+JOIN products p ON r.ProductID = p.ProductID
+LEFT JOIN (SELECT ProductID, SUM(QuantityAdded) AS TotalAdded FROM stock GROUP BY ProductID) a ON r.ProductID = a.ProductID
+LEFT JOIN (SELECT ProductID, SUM(QuantitySold) AS TotalSold FROM sales GROUP BY ProductID) s ON r.ProductID = s.ProductID
+""")
+def q_price_preview(t):
+    """The sale form's live total preview for every sale request (whole-number inputs)."""
+    return S.price_preview(t.sale_requests, t.products, t.stock, t.sales)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from ..operators import reports as R
 from ..operators import stock as S
 from ..sources.sinks import csv_lines
@@ -59,3 +62,57 @@ def q_trend_chart_json(t):
     """The binned trend as the chart's JSON label and value arrays."""
     pts = R.sales_trend_binned(t.sales, t.params.long_start, t.params.long_end)
     return R.chart_series_json(pts, "Point", "Label", "Value")
+
+
+_RR = ["StockID", "ProductName", "SupplierName", "QuantityAdded", "DateAdded"]
+
+
+@query("recent_receipts_csv", f"""
+SELECT {_q(_RR)} AS line FROM (
+  SELECT s.StockID, p.Name AS ProductName, sup.Name AS SupplierName, s.QuantityAdded, s.DateAdded
+  FROM stock s JOIN products p ON s.ProductID = p.ProductID JOIN suppliers sup ON s.SupplierID = sup.SupplierID
+  ORDER BY s.DateAdded DESC, s.StockID DESC LIMIT 10) r
+""")
+def q_recent_receipts_csv(t):
+    """The latest-receipts table as quoted CSV lines."""
+    return csv_lines(S.recent_receipts(t.stock, t.products, t.suppliers))
+
+
+@query("daily_sales_csv", f"""
+SELECT {_q(["SaleDay", "DailyTotal"])} AS line FROM (
+  SELECT CAST(SaleDate AS DATE) AS SaleDay, SUM(TotalAmount) AS DailyTotal FROM sales
+  WHERE SaleDate BETWEEN TIMESTAMP '2000-06-01 00:00:00' AND TIMESTAMP '2000-06-15 23:59:59' GROUP BY 1) d
+""")
+def q_daily_sales_csv(t):
+    """The report range's daily revenue as quoted CSV lines (report export)."""
+    return csv_lines(R.daily_sales(t.sales, t.params.report_start, t.params.report_end))
+
+
+@query("dense_7d_chart_json", """
+SELECT to_json(list(Label ORDER BY Position)) AS Labels, to_json(list(Total ORDER BY Position)) AS Values
+FROM (SELECT g.Position, strftime(g.SaleDay, '%b %d') AS Label,
+             CAST(COALESCE(d.Total, 0) AS DECIMAL(24,2)) AS Total
+      FROM (SELECT CAST(i AS INTEGER) AS Position, CAST(DATE '2000-06-15' - CAST(6 - i AS INTEGER) AS DATE) AS SaleDay
+            FROM range(7) r(i)) g
+      LEFT JOIN (SELECT CAST(SaleDate AS DATE) AS SaleDay, SUM(TotalAmount) AS Total FROM sales
+                 WHERE SaleDate >= TIMESTAMP '2000-06-09 00:00:00' AND SaleDate < TIMESTAMP '2000-06-16 00:00:00'
+                 GROUP BY 1) d ON g.SaleDay = d.SaleDay) x
+""")
+def q_dense_7d_chart_json(t):
+    """The dashboard's 7-day revenue chart as JSON label and value arrays."""
+    pts = R.daily_sales_dense(t.sales, t.params.as_of)
+    return R.chart_series_json(pts, "Position", "Label", "Total")
+
+
+@query("category_chart_json", """
+SELECT to_json(list(Category ORDER BY Revenue DESC, Category)) AS Labels,
+       to_json(list(Revenue ORDER BY Revenue DESC, Category)) AS Values
+FROM (SELECT p.Category, SUM(s.TotalAmount) AS Revenue FROM sales s JOIN products p ON s.ProductID = p.ProductID
+      WHERE s.SaleDate BETWEEN TIMESTAMP '2000-06-01 00:00:00' AND TIMESTAMP '2000-06-15 23:59:59'
+      GROUP BY p.Category) c
+""")
+def q_category_chart_json(t):
+    """The report's category chart as JSON label and value arrays (highest revenue first)."""
+    cats = R.category_breakdown(t.sales, t.products, t.params.report_start, t.params.report_end)
+    ranked = cats.withColumn("Rank", F.row_number().over(Window.orderBy(F.desc("Revenue"), "Category")))
+    return R.chart_series_json(ranked, "Rank", "Category", "Revenue")
