@@ -75,14 +75,21 @@ def product_suppliers(products: DataFrame, suppliers: DataFrame, links: DataFram
 
 
 def available_suppliers(suppliers: DataFrame, links: DataFrame, product_id: int) -> DataFrame:
-    """Suppliers not linked to ``product_id`` (``SupplierID NOT IN (...)``).
-
-    SQL ``NOT IN`` semantics are kept: a NULL SupplierID among the product's
-    links empties the result.  ``isin`` on a DataFrame plans a null-aware
-    anti join whose build side is the links of one product.
+    """Suppliers not linked to ``product_id`` (``SupplierID NOT IN (...)``), SQL semantics kept.
+
+    ``x NOT IN S`` keeps every row when S is empty; otherwise it drops rows
+    whose x is NULL, and drops *all* rows when S contains a NULL.  Here the two
+    facts about S (empty? has a NULL?) are scalar subqueries evaluated once,
+    and the membership test is a plain ``left_anti`` join, which AQE runs as a
+    broadcast or a shuffle join depending on the measured size of S (a
+    null-aware anti join would have to broadcast S whatever its size).
     """
     mine = links.where(F.col("ProductID") == F.lit(product_id)).select("SupplierID")
-    out = suppliers.where(~F.col("SupplierID").isin(mine))
+    facts = mine.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("SupplierID").isNull()).alias("nulls"))
+    empty = facts.select(F.col("n") == 0).scalar()
+    has_null = facts.select(F.col("nulls") > 0).scalar()
+    out = (suppliers.join(mine.where(F.col("SupplierID").isNotNull()).distinct(), "SupplierID", "left_anti")
+           .where(empty | (F.col("SupplierID").isNotNull() & ~has_null)))
     return out.withColumn("OptionText", F.concat(
         F.col("Name"), F.lit(" ("), display_default("Email", P.NO_EMAIL), F.lit(")")))
 

@@ -85,6 +85,10 @@ def test_not_in_with_null_link_is_empty(spark):
                            "supplier_products": [(1, 7)]})
     assert rows(PT.available_suppliers(t2.suppliers, t2.supplier_products, 7), "SupplierID", "OptionText") == \
         [(2, "b (No email)")]
+    t3 = from_rows(spark, {"suppliers": [(1, "a", "", "a@x", ""), (None, "b", "", None, "")],
+                           "supplier_products": [(1, 8)]})
+    # no links for product 7: NOT IN over an empty set keeps every row, NULL ids included
+    assert sorted(rows(PT.available_suppliers(t3.suppliers, t3.supplier_products, 7), "Name")) == [("a",), ("b",)]
 
 
 def test_range_edges(spark):
