@@ -17,6 +17,9 @@ set of parallel Spark jobs over all products at once:
 Each round accepts at least one request per active product and leaves an
 availability below the rejected request's quantity, so the number of rounds is
 at most the largest requested quantity + 2, independent of the data volume.
+Once at most ``FINISH_ROWS`` requests (all products together) are still
+undecided, one in-order pass per product (``applyInPandas``) finishes them:
+that input is bounded, so no product's unbounded share is ever gathered.
 
 ``reserve_stock`` picks, per request, the single largest lot that covers it.
 That choice depends on every earlier pick, so a product's requests are
@@ -63,13 +66,33 @@ def _after(pos_ts: str, pos_id: str):
             | ((F.col("ts") == F.col(pos_ts)) & (F.col("request_id") > F.col(pos_id))))
 
 
-def accept_in_order(pending: DataFrame, available: DataFrame,
-                    split_rows: int | None = None) -> tuple[DataFrame, int]:
+# Once this few requests are still undecided (all products together), one
+# in-order pass per product finishes the job instead of further rounds.
+FINISH_ROWS = 1_000_000
+
+
+def _finish_in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+    """In-order availability fold for one product's remaining requests."""
+    pdf = pdf.sort_values(["ts", "request_id"], kind="stable")
+    left = int(pdf["s"].iloc[0])
+    ok = []
+    for rid, q in zip(pdf["request_id"].tolist(), pdf["q"].tolist()):
+        if q <= left:
+            left -= q
+            ok.append(rid)
+    return pd.DataFrame({"request_id": pd.Series(ok, dtype="int64")})
+
+
+def accept_in_order(pending: DataFrame, available: DataFrame, split_rows: int | None = None,
+                    finish_rows: int | None = None) -> tuple[DataFrame, int]:
     """Request ids accepted by the in-order availability fold.
 
     ``pending``: (ProductID, ts, request_id, q) with q >= 1.
     ``available``: (ProductID, s) starting availability (may be <= 0).
+    Rounds run while more than ``finish_rows`` requests are undecided; the
+    rest is finished by one in-order pass per product (bounded input).
     """
+    finish_rows = FINISH_ROWS if finish_rows is None else finish_rows
     # Each round's result is checkpointed once, so round r does not recompute
     # rounds 1..r-1 and a lost executor recomputes from the last checkpoint.
     pending = pending.select("ProductID", "ts", "request_id", "q")
@@ -78,17 +101,19 @@ def accept_in_order(pending: DataFrame, available: DataFrame,
                              F.lit(None).cast("long").alias("pos_id"))
     accepted = []
     rounds = 0
-    rows = None
     while True:
         rounds += 1
         live = pending.join(state, "ProductID").where(_after("pos_ts", "pos_id"))
         fit = live.where(F.col("q") <= F.col("s")).select("ProductID", "ts", "request_id", "q", "s")
-        if rows is None:  # pending only shrinks, so round 1's size bounds every round
-            rows = fit.count()
+        rows = fit.count()
+        if rows == 0:
+            break
+        if rows <= finish_rows:
+            accepted.append(cut_lineage(fit.groupBy("ProductID").applyInPandas(_finish_in_order,
+                                                                                "request_id long")))
+            break
         run = cut_lineage(running_sums(fit, ["ProductID"], ORDER, {"c": F.col("q")},
                                        split_rows=split_rows, rows=rows))
-        if run.isEmpty():
-            break
         accepted.append(run.where(F.col("c") <= F.col("s")).select("request_id"))
         over = run.where(F.col("c") > F.col("s"))
         first = over.groupBy("ProductID").agg(F.min(F.struct("ts", "request_id", "c", "q", "s")).alias("k"))
@@ -105,7 +130,8 @@ def accept_in_order(pending: DataFrame, available: DataFrame,
     return out, rounds
 
 
-def record_sales(products: DataFrame, stock: DataFrame, sales: DataFrame, requests: DataFrame) -> Recorded:
+def record_sales(products: DataFrame, stock: DataFrame, sales: DataFrame, requests: DataFrame,
+                 finish_rows: int | None = None) -> Recorded:
     """Validate and record a batch of sale requests in (ts, request_id) order.
 
     Checks, in the application's order: whole quantity > 0, product exists,
@@ -124,7 +150,8 @@ def record_sales(products: DataFrame, stock: DataFrame, sales: DataFrame, reques
     valid = r.where(F.col("reason").isNull())
     avail = stock_availability(valid.select("ProductID"), stock, sales).select(
         "ProductID", F.col("Available").alias("s"))
-    ok_ids, rounds = accept_in_order(valid.select("ProductID", "ts", "request_id", "q"), avail)
+    ok_ids, rounds = accept_in_order(valid.select("ProductID", "ts", "request_id", "q"), avail,
+                                     finish_rows=finish_rows)
     ok = valid.join(ok_ids, "request_id", "left_semi")
     rejects = (r.where(F.col("reason").isNotNull()).select("request_id", "reason")
                .unionByName(valid.join(ok_ids, "request_id", "left_anti")

@@ -28,12 +28,14 @@ def brute_record(reqs, prods, avail):
     return ok
 
 
-@pytest.mark.parametrize("split_rows", [None, 0])
-def test_record_sales_matches_loop(spark, monkeypatch, split_rows):
+@pytest.mark.parametrize("split_rows,finish_rows", [(None, None), (None, 0), (0, 0)])
+def test_record_sales_matches_loop(spark, monkeypatch, split_rows, finish_rows):
     if split_rows is not None:  # force the range-chunked path
         monkeypatch.setattr(scan, "SPLIT_ROWS", split_rows)
     t = RetailTables.from_testdata(spark, SMALL)
-    rec = Q.record_sales(t.products, t.stock, t.sales, t.sale_requests)
+    rec = Q.record_sales(t.products, t.stock, t.sales, t.sale_requests, finish_rows=finish_rows)
+    if finish_rows == 0:
+        assert rec.rounds > 1  # the distributed rounds really ran
     got = {r.request_id for r in rec.sales.select("request_id").collect()}
     prods = {r.ProductID for r in t.products.select("ProductID").collect()}
     avail = {r.ProductID: r.Available for r in S.stock_availability(t.sale_requests, t.stock, t.sales).collect()}
