@@ -150,3 +150,23 @@ def before_day_after(c: Column | str, d: _dt.date) -> Column:
 
 def day_label(c: Column | str) -> Column:
     return F.date_format(col_(c), P.LABEL_DAY)
+
+
+def default_report_range(as_of: _dt.date) -> tuple[_dt.date, _dt.date]:
+    """Report range when none is given: first day of the as-of month through as_of."""
+    return as_of.replace(day=1), as_of
+
+
+def money_text(c: Column | str) -> Column:
+    """"$1,234.50": currency sign, thousands separators, two decimals."""
+    return F.concat(F.lit("$"), F.format_number(col_(c), 2))
+
+
+def count_text(c: Column | str) -> Column:
+    """"12,345": thousands separators, no decimals."""
+    return F.format_number(col_(c), 0)
+
+
+def percent_text(c: Column | str) -> Column:
+    """"12.3%": one decimal and a percent sign (NULL stays NULL)."""
+    return F.concat(F.format_number(col_(c), 1), F.lit("%"))

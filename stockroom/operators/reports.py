@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..functions import before_day_after, closed_range, date_lit, day_label, since_days_before
+from ..functions import (before_day_after, closed_range, count_text, date_lit, day_label, money_text,
+                         percent_text, since_days_before)
 from .topk import top_k_through
 
 
@@ -171,3 +172,20 @@ def chart_series_json(points: DataFrame, order_col: str, label_col: str, value_c
     return (points.agg(ordered.alias("pts"))
             .select(F.to_json(F.transform("pts", lambda x: x["l"])).alias("Labels"),
                     F.to_json(F.transform("pts", lambda x: x["v"])).alias("Values")))
+
+
+def report_totals_text(sales: DataFrame, start: _dt.date, end: _dt.date) -> DataFrame:
+    """``report_totals`` with the display texts of the summary boxes."""
+    return (report_totals(sales, start, end)
+            .withColumn("RevenueText", money_text("TotalRevenue"))
+            .withColumn("ItemsText", count_text("TotalItems"))
+            .withColumn("RangeText", F.concat(day_label(date_lit(start)), F.lit(" - "), day_label(date_lit(end)))))
+
+
+def top_products_text(sales: DataFrame, products: DataFrame, start: _dt.date, end: _dt.date,
+                      k: int = P.TOP_PRODUCTS) -> DataFrame:
+    """``top_products_by_revenue`` with the table's display texts."""
+    return (top_products_by_revenue(sales, products, start, end, k)
+            .withColumn("SoldText", count_text("TotalSold"))
+            .withColumn("RevenueText", money_text("Revenue"))
+            .withColumn("PercentageText", percent_text(F.round("Percentage", 1))))

@@ -47,6 +47,7 @@ class RunParams:
     """Parameters that replace the request and the clock."""
 
     as_of: _dt.date = _dt.date(2000, 6, 15)
+    # the default report range for as_of: first of its month .. as_of
     report_start: _dt.date = _dt.date(2000, 6, 1)
     report_end: _dt.date = _dt.date(2000, 6, 15)
     long_start: _dt.date = _dt.date(1995, 1, 1)

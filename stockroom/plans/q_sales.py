@@ -283,3 +283,32 @@ LEFT JOIN (SELECT ProductID, SUM(QuantitySold) AS TotalSold FROM sales GROUP BY
 def q_price_preview(t):
     """The sale form's live total preview for every sale request (whole-number inputs)."""
     return S.price_preview(t.sale_requests, t.products, t.stock, t.sales)
+
+
+@query("report_totals_text", f"""
+SELECT TotalRevenue, TotalItems, Days, DailyAverage,
+       '$' || format('{{:,.2f}}', TotalRevenue) AS RevenueText, format('{{:,}}', TotalItems) AS ItemsText,
+       'Jun 01 - Jun 15' AS RangeText
+FROM (SELECT COALESCE(SUM(TotalAmount), 0) AS TotalRevenue,
+             CAST(COALESCE(SUM(QuantitySold), 0) AS BIGINT) AS TotalItems, 15 AS Days,
+             ROUND(CAST(COALESCE(SUM(TotalAmount), 0) AS DOUBLE) / 15.0, 4) AS DailyAverage
+      FROM sales WHERE {_RANGE}) t
+""")
+def q_report_totals_text(t):
+    """Report summary with display texts ("$1,234.50", "12,345", "Jun 01 - Jun 15")."""
+    return R.report_totals_text(t.sales, t.params.report_start, t.params.report_end)
+
+
+@query("top_products_text", f"""
+SELECT *, format('{{:,}}', TotalSold) AS SoldText, '$' || format('{{:,.2f}}', Revenue) AS RevenueText,
+       format('{{:.1f}}', ROUND(Percentage, 1)) || '%' AS PercentageText
+FROM (SELECT p.ProductID, p.Name, CAST(SUM(s.QuantitySold) AS BIGINT) AS TotalSold, SUM(s.TotalAmount) AS Revenue,
+             ROUND(CAST(SUM(s.TotalAmount) AS DOUBLE)
+                   / NULLIF((SELECT CAST(SUM(TotalAmount) AS DOUBLE) FROM sales WHERE {_RANGE}), 0) * 100, 4)
+               AS Percentage
+      FROM sales s JOIN products p ON s.ProductID = p.ProductID
+      WHERE s.{_RANGE} GROUP BY p.ProductID, p.Name ORDER BY Revenue DESC, p.ProductID LIMIT 5) x
+""")
+def q_top_products_text(t):
+    """Top products by revenue with display texts (units, money, share with one decimal)."""
+    return R.top_products_text(t.sales, t.products, t.params.report_start, t.params.report_end)

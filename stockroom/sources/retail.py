@@ -55,6 +55,20 @@ def cart_events_of(e: DataFrame) -> DataFrame:
         (F.col("event_id") % 3 + 1).alias("quantity"))
 
 
+_READS: dict = {}
+
+
+def _read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """``spark.read.parquet`` with the file listing and schema read once per session and path.
+
+    DataFrames are immutable, so queries can share the relation.
+    """
+    key = (id(spark), spark.sparkContext.applicationId, path)
+    if key not in _READS:
+        _READS[key] = spark.read.parquet(path)
+    return _READS[key]
+
+
 class RetailTables:
     """Lazy application tables over one storage location."""
 
@@ -120,7 +134,7 @@ class RetailTables:
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str, params: RunParams = DEFAULT) -> "RetailTables":
         def raw(name: str) -> DataFrame:
-            return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            return _read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
         def products():
             return raw("part").select(

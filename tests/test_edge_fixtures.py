@@ -290,3 +290,14 @@ def test_receive_stock_creates_missing_link(spark):
     assert dict(rows(r.rejects, "request_id", "reason")) == {3: "invalid receipt fields", 4: "invalid receipt fields",
                                                             5: "unknown product"}
     assert F is not None
+
+
+def test_default_report_range_and_texts(spark):
+    from stockroom.functions import count_text, default_report_range, money_text, percent_text
+    from stockroom.params import DEFAULT
+
+    assert default_report_range(DEFAULT.as_of) == (DEFAULT.report_start, DEFAULT.report_end)
+    assert default_report_range(dt.date(2001, 1, 1)) == (dt.date(2001, 1, 1), dt.date(2001, 1, 1))
+    df = spark.createDataFrame([(D("1234567.5"), 12345, 12.34)], "m decimal(14,2), n long, p double")
+    r = df.select(money_text("m").alias("a"), count_text("n").alias("b"), percent_text("p").alias("c")).collect()[0]
+    assert (r.a, r.b, r.c) == ("$1,234,567.50", "12,345", "12.3%")
