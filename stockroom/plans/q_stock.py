@@ -91,12 +91,25 @@ def q_stock_availability(t):
 @query("gross_stock", """
 SELECT k.ProductID, COALESCE(a.TotalAdded, 0) AS GrossStock
 FROM (SELECT DISTINCT ProductID FROM sale_requests WHERE ProductID IS NOT NULL) k
-LEFT JOIN (SELECT ProductID, CAST(SUM(QuantityAdded) AS BIGINT) AS TotalAdded FROM stock_recent GROUP BY ProductID) a
+LEFT JOIN (SELECT ProductID, CAST(SUM(QuantityAdded) AS BIGINT) AS TotalAdded FROM stock GROUP BY ProductID) a
   ON k.ProductID = a.ProductID
 """)
 def q_gross_stock(t):
-    """Gross stock (2001-on receipts) for every product id named in the sale requests."""
-    return S.gross_stock(t.sale_requests, t.stock_recent)
+    """Gross stock (sum of all receipt lots) for every product id named in the sale requests."""
+    return S.gross_stock(t.sale_requests, t.stock)
+
+
+@query("low_stock_products_all", """
+SELECT ProductID, Name, TotalStock FROM (
+  SELECT p.ProductID, p.Name, COALESCE(CAST(SUM(s.QuantityAdded) AS BIGINT), 0) AS TotalStock
+  FROM products p LEFT JOIN stock s ON p.ProductID = s.ProductID
+  GROUP BY p.ProductID, p.Name) x
+WHERE TotalStock < 10
+ORDER BY TotalStock, ProductID LIMIT 5
+""")
+def q_low_stock_products_all(t):
+    """Five products with gross stock under 10 over the whole stock table."""
+    return S.low_stock_products(t.products, t.stock)
 
 
 @query("stock_by_supplier", """

@@ -3,8 +3,10 @@
 Events arrive from a file source; each (user_id, product_id) key keeps its
 cart entry in Spark's state store (``applyInPandasWithState``), so the state
 is checkpointed with the query and survives restarts and lost executors.
-Inside a micro-batch a key's events are applied in (ts, event_id) order;
-across micro-batches the source's arrival order is the event order.
+Inside a micro-batch a key's events are applied in (ts, event_id) order
+(so one key's events of one micro-batch are held together: bound the batch
+with ``files_per_trigger`` / ``maxBytesPerTrigger``); across micro-batches the
+source's arrival order is the event order.
 
 Outputs one row per remove/buy with its outcome (``purchase``, ``removal``,
 ``error``) -- the same rows the batch fold produces.
