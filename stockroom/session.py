@@ -27,13 +27,33 @@ BASE_CONF = {
 }
 
 
+# Sizing for large inputs (tens of TB on hundreds of executors): input splits
+# and post-shuffle partitions of ~256 MB, a high initial shuffle partition
+# count that AQE coalesces down, and skew splitting above 1 GB per partition.
+SCALE_CONF = {
+    "spark.sql.files.maxPartitionBytes": "256MB",
+    "spark.sql.shuffle.partitions": "16384",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64MB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1GB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    "spark.sql.parquet.aggregatePushdown": "true",
+}
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "stockroom", extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session with the settings the library expects."""
+              app_name: str = "stockroom", extra: dict | None = None, scale: bool = False) -> SparkSession:
+    """Build (or reuse) a session with the settings the library expects.
+
+    ``scale=True`` adds ``SCALE_CONF`` (cluster sizing for large inputs).
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if scale:
+        conf.update(SCALE_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
