@@ -91,8 +91,9 @@ supplier_requests AS (
 """
 
 
-def with_adapter(body: str, extra_ctes: str = "") -> str:
+def with_adapter(body: str, extra_ctes: str = "", recursive: bool = False) -> str:
     ctes = ADAPTER.strip()
     if extra_ctes.strip():
         ctes = ctes + ",\n" + extra_ctes.strip()
-    return f"WITH {ctes}\n{body.strip()}"
+    head = "WITH RECURSIVE" if recursive else "WITH"
+    return f"{head} {ctes}\n{body.strip()}"

@@ -21,13 +21,13 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def query(name: str, oracle_body: str | None = None, extra_ctes: str = ""):
+def query(name: str, oracle_body: str | None = None, extra_ctes: str = "", recursive: bool = False):
     """Register ``fn(tables) -> DataFrame`` under ``name`` with its oracle body."""
 
     def deco(fn: Callable[..., DataFrame]):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        sql = with_adapter(oracle_body, extra_ctes) if oracle_body else None
+        sql = with_adapter(oracle_body, extra_ctes, recursive) if oracle_body else None
         REGISTRY[name] = Query(name, fn, sql, (fn.__doc__ or "").strip())
         return fn
 
