@@ -122,6 +122,24 @@ def sales_history(sales: DataFrame, products: DataFrame, users: DataFrame, page:
             .withColumn("SaleDateText", F.date_format("SaleDate", P.LABEL_DATETIME)))
 
 
+def sales_history_after(sales: DataFrame, products: DataFrame, users: DataFrame, last_seen_date,
+                        last_seen_id: int, date_from=None, date_to=None, product=None,
+                        page_size: int = P.PAGE_SIZE) -> DataFrame:
+    """The next history page after the last row shown (keyset paging, newest first).
+
+    Rows strictly older than (``last_seen_date``, ``last_seen_id``) in the
+    (SaleDate desc, SaleID desc) order; unlike an offset, the cost does not
+    grow with the page number.
+    """
+    order = [F.desc("SaleDate"), F.desc("SaleID")]
+    seen = ts_lit(last_seen_date)
+    s = sales.where((F.col("SaleDate") < seen) | ((F.col("SaleDate") == seen) & (F.col("SaleID") < last_seen_id)))
+    for c in _history_filter(date_from, date_to, product):
+        s = s.where(c)
+    rows = top_k_through(s, order, page_size, lambda c: _attach_names(c, products, users))
+    return rows.orderBy(*order).limit(page_size)
+
+
 def sales_page_count(sales: DataFrame, products: DataFrame | None = None, users: DataFrame | None = None,
                      filtered: bool = False, date_from=None, date_to=None, product=None,
                      page_size: int = P.PAGE_SIZE) -> DataFrame:

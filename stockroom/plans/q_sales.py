@@ -312,3 +312,18 @@ FROM (SELECT p.ProductID, p.Name, CAST(SUM(s.QuantitySold) AS BIGINT) AS TotalSo
 def q_top_products_text(t):
     """Top products by revenue with display texts (units, money, share with one decimal)."""
     return R.top_products_text(t.sales, t.products, t.params.report_start, t.params.report_end)
+
+
+@query("sales_history_after", f"""
+SELECT * FROM ({_HISTORY}) h
+WHERE SaleDate < TIMESTAMP '2000-06-10 00:00:00'
+   OR (SaleDate = TIMESTAMP '2000-06-10 00:00:00' AND SaleID < 5000000)
+ORDER BY SaleDate DESC, SaleID DESC LIMIT 10
+""")
+def q_sales_history_after(t):
+    """The history page after the row (2000-06-10, SaleID 5000000), keyset paging in the report range."""
+    import datetime as _dt
+
+    p = t.params
+    return S.sales_history_after(t.sales, t.products, t.users, _dt.datetime(2000, 6, 10), 5_000_000,
+                                 date_from=p.report_start, date_to=p.report_end)
