@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..functions import (before_day_after, closed_range, discount_pct, in_month_of, on_day,
-                         php_empty, php_trim, since_days_before, ts_lit)
+from ..functions import before_day_after, discount_pct, in_month_of, on_day, php_trim, since_days_before, ts_lit
 from .stock import levels
 from .topk import top_k_through
 
@@ -184,10 +183,6 @@ def price_quote(requests: DataFrame, products: DataFrame, stock: DataFrame, sale
         (F.col("Qty") > F.coalesce(F.col("Available"), F.lit(0))).alias("ExceedsStock"))
 
 
-__all__ = ["sales_kpis", "sales_window_kpi", "row_count", "recent_activity", "sales_history",
-           "sales_history_rows", "sales_page_count", "price_quote", "whole_quantity",
-           "closed_range", "php_empty"]
-
 
 def js_parse_int(c) -> F.Column:
     """JavaScript ``parseInt(x) || 0``: leading whole number after whitespace, else 0."""

@@ -172,7 +172,6 @@ class Reserved(NamedTuple):
     rejects: DataFrame    # request_id, reason
 
 
-_LOT_SCHEMA = "ProductID long, StockID long, QuantityAdded long"
 _OUT_SCHEMA = "kind string, ProductID long, StockID long, QuantityAdded long, request_id long"
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import parties as PT
 from ..operators import stock as S
 from .registry import query
