@@ -71,7 +71,7 @@ def product_suppliers(products: DataFrame, suppliers: DataFrame, links: DataFram
               .join(suppliers, "SupplierID"))
     return _supplier_display(linked).select(
         "ProductID", "SupplierID", "Name", "ContactInfo", "Email", "Phone",
-        "ContactText", "EmailText", "PhoneText")
+        "ContactText", "EmailText", "PhoneText").orderBy("ProductID", "Name", "SupplierID")
 
 
 def available_suppliers(suppliers: DataFrame, links: DataFrame, product_id: int) -> DataFrame:
@@ -91,7 +91,7 @@ def available_suppliers(suppliers: DataFrame, links: DataFrame, product_id: int)
     out = (suppliers.join(mine.where(F.col("SupplierID").isNotNull()).distinct(), "SupplierID", "left_anti")
            .where(empty | (F.col("SupplierID").isNotNull() & ~has_null)))
     return out.withColumn("OptionText", F.concat(
-        F.col("Name"), F.lit(" ("), display_default("Email", P.NO_EMAIL), F.lit(")")))
+        F.col("Name"), F.lit(" ("), display_default("Email", P.NO_EMAIL), F.lit(")"))).orderBy("Name", "SupplierID")
 
 
 # ---- searches ---------------------------------------------------------------

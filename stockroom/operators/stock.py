@@ -58,13 +58,14 @@ def _with_levels(keys: DataFrame, stock: DataFrame, sales: DataFrame | None) ->
 
 
 def current_stock(products: DataFrame, stock: DataFrame, sales: DataFrame) -> DataFrame:
-    """Per product: received, sold, net stock and its status label (all products)."""
+    """Per product: received, sold, net stock and its status label (all products, by name)."""
     keys = products.select("ProductID", F.col("Name").alias("ProductName"), "Category")
     return (_with_levels(keys, stock, sales)
             .withColumn("CurrentStock", F.col("TotalAdded") - F.col("TotalSold"))
             .withColumn("Status", stock_status("CurrentStock"))
             .select("ProductID", "ProductName", "Category", "TotalAdded", "TotalSold",
-                    "CurrentStock", "Status"))
+                    "CurrentStock", "Status")
+            .orderBy("ProductName", "ProductID"))
 
 
 def sellable_products(products: DataFrame, stock: DataFrame, sales: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def sellable_products(products: DataFrame, stock: DataFrame, sales: DataFrame) -
            .withColumn("StockAvailable", F.col("TotalAdded") - F.col("TotalSold"))
            .where(F.col("StockAvailable") > 0)
            .withColumn("StockStatus", sale_form_status("StockAvailable")))
-    return out.select(*products.columns, "StockAvailable", "StockStatus")
+    return out.select(*products.columns, "StockAvailable", "StockStatus").orderBy("Category", "Name", "ProductID")
 
 
 def shop_catalog(products: DataFrame, stock: DataFrame) -> DataFrame:
@@ -81,7 +82,8 @@ def shop_catalog(products: DataFrame, stock: DataFrame) -> DataFrame:
     return (_with_levels(products, stock, None)
             .withColumnRenamed("TotalAdded", "Stock")
             .where(F.col("Stock") > 0)
-            .select("ProductID", "Name", "Category", "Price", "Description", "Stock"))
+            .select("ProductID", "Name", "Category", "Price", "Description", "Stock")
+            .orderBy("Name", "ProductID"))
 
 
 def low_stock_products(products: DataFrame, stock: DataFrame, k: int = P.TOP_PRODUCTS,
