@@ -24,9 +24,10 @@ that input is bounded, so no product's unbounded share is ever gathered.
 ``reserve_stock`` picks, per request, the single largest lot that covers it.
 That choice depends on every earlier pick, so a product's requests are
 applied in order by one function call per product and wave (``cogroup`` +
-``applyInPandas`` with a heap); waves of at most ``wave_size`` requests per
-product bound what one call holds, and the lot state is carried between
-waves through checkpoints.
+``applyInPandas`` with a heap).  A wave holds at most ``wave_size`` requests
+per product, and only the product's ``wave_size`` largest lots can be touched
+by them, so one call never holds more than 2 x ``wave_size`` rows; the lot
+state is carried between waves through checkpoints.
 """
 
 from __future__ import annotations
@@ -233,8 +234,13 @@ def reserve_stock(stock: DataFrame, requests: DataFrame, wave_size: int = 100_00
     for w in range(0 if waves is None else int(waves) + 1):
         wr = good.where(F.col("wave") == w).select("ProductID", "request_id", "ts", "q")
         touched = wr.select("ProductID").distinct()
-        mine = lots.join(touched, "ProductID", "left_semi")
-        rest = lots.join(touched, "ProductID", "left_anti")
+        # W requests touch at most the W largest lots of a product (a lot is
+        # only chosen once every lot ranked above it was cut below it), so
+        # each call gets <= wave_size requests and <= wave_size lots.
+        ranked = running_sums(lots.join(touched, "ProductID", "left_semi"), ["ProductID"],
+                              [F.desc("QuantityAdded"), F.asc("StockID")], {"_lot_rank": F.lit(1).cast("long")})
+        mine = cut_lineage(ranked.where(F.col("_lot_rank") <= wave_size).drop("_lot_rank"))
+        rest = lots.join(mine.select("StockID"), "StockID", "left_anti")
         res = cut_lineage(mine.groupBy("ProductID").cogroup(wr.groupBy("ProductID"))
                           .applyInPandas(_serve_group, _OUT_SCHEMA))
         taken.append(res.where(F.col("kind") == "take").select("request_id", "StockID"))

@@ -90,3 +90,28 @@ def test_cart_chunked_equals_plain(spark, monkeypatch):
     b = C.cart_purchases(C.cart_episodes(t.cart_events, t.products)).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
     assert dt is not None
+
+
+def test_reserve_small_waves_only_top_lots(spark):
+    """Waves of 2 requests see only each product's 2 largest lots, and the result is still exact."""
+    import datetime as dt
+    import random
+
+    from stockroom.schema import from_rows
+
+    rnd = random.Random(7)
+    lots = [(i, i % 2, 1, rnd.randint(1, 9), dt.datetime(2000, 1, 1)) for i in range(12)]
+    reqs = [(i, dt.datetime(2000, 1, 2) + dt.timedelta(minutes=i), i % 2, rnd.randint(1, 6)) for i in range(9)]
+    t = from_rows(spark, {"stock": lots})
+    req_df = spark.createDataFrame(reqs, "request_id long, ts timestamp_ntz, ProductID long, q long")
+    res = Q.reserve_stock(t.stock, req_df, wave_size=2)
+    state = {sid: [q, pid] for sid, pid, _, q, _ in lots}
+    exp = set()
+    for rid, _, pid, q in reqs:
+        cands = [(v, -sid, sid) for sid, (v, p) in state.items() if p == pid and v >= q]
+        if cands:
+            sid = max(cands)[2]
+            state[sid][0] -= q
+            exp.add((rid, sid))
+    assert {(r.request_id, r.StockID) for r in res.taken.collect()} == exp
+    assert {r.StockID: r.QuantityAdded for r in res.stock.collect()} == {k: v[0] for k, v in state.items()}
