@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import (before_day_after, closed_range, count_text, date_lit, day_label, money_text,
                          percent_text, since_days_before)
+from ..session import cut_lineage
+from .scan import number_rows
 from .topk import top_k_through
 
 
@@ -141,20 +143,16 @@ def sales_trend_binned(sales: DataFrame, start: _dt.date, end: _dt.date,
     grouped in chunks of ``ceil(n / max_points)`` and summed; for n <= max_points
     each day is its own point.  Labels are "Mon dd" or "Mon dd - Mon dd".
 
-    The numbering window runs over the day-grain frame (one row per calendar
-    day in the range, so its size is bounded by the range length, not the
-    number of sales).
+    Days are numbered over the day-grain frame (one row per selling day, so
+    bounded by the range length) with ``scan.number_rows``; n is a scalar
+    subquery.
     """
-    daily = (range_sales(sales, start, end)
-             .groupBy(F.to_date("SaleDate").alias("SaleDay"))
-             .agg(F.sum("TotalAmount").alias("DailyTotal")))
-    ordered = Window.orderBy("SaleDay")
-    whole = Window.partitionBy()
-    chunked = (daily
-               .withColumn("rn", F.row_number().over(ordered))
-               .withColumn("n", F.count(F.lit(1)).over(whole))
-               .withColumn("Point", F.floor((F.col("rn") - 1) / F.ceil(F.col("n") / F.lit(max_points)))
-                           .cast("int")))
+    daily = cut_lineage(range_sales(sales, start, end)
+                        .groupBy(F.to_date("SaleDate").alias("SaleDay"))
+                        .agg(F.sum("TotalAmount").alias("DailyTotal")))
+    n = daily.agg(F.count(F.lit(1))).scalar()
+    chunked = (number_rows(daily, ["SaleDay"], "rn")
+               .withColumn("Point", F.floor((F.col("rn") - 1) / F.ceil(n / F.lit(max_points))).cast("int")))
     pts = chunked.groupBy("Point").agg(F.min("SaleDay").alias("FirstDay"), F.max("SaleDay").alias("LastDay"),
                                        F.sum("DailyTotal").alias("Value"))
     label = F.when(F.col("FirstDay") == F.col("LastDay"), day_label("FirstDay")) \

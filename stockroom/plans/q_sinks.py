@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import reports as R
 from ..operators import stock as S
+from ..operators.scan import number_rows
 from ..sources.sinks import csv_lines
 from .q_parties import _CURRENT
 from .registry import query
@@ -114,5 +114,5 @@ FROM (SELECT p.Category, SUM(s.TotalAmount) AS Revenue FROM sales s JOIN product
 def q_category_chart_json(t):
     """The report's category chart as JSON label and value arrays (highest revenue first)."""
     cats = R.category_breakdown(t.sales, t.products, t.params.report_start, t.params.report_end)
-    ranked = cats.withColumn("Rank", F.row_number().over(Window.orderBy(F.desc("Revenue"), "Category")))
+    ranked = number_rows(cats, [F.desc("Revenue"), F.asc("Category")], "Rank")
     return R.chart_series_json(ranked, "Rank", "Category", "Revenue")
