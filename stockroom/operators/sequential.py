@@ -94,8 +94,9 @@ def accept_in_order(pending: DataFrame, available: DataFrame, split_rows: int |
     rest is finished by one in-order pass per product (bounded input).
     """
     finish_rows = FINISH_ROWS if finish_rows is None else finish_rows
-    # Each round's result is checkpointed once, so round r does not recompute
-    # rounds 1..r-1 and a lost executor recomputes from the last checkpoint.
+    # Each round's input is checkpointed once (so round r does not recompute
+    # rounds 1..r-1, and a lost executor restarts from the last checkpoint);
+    # the accepted ids are checkpointed once at the end.
     pending = pending.select("ProductID", "ts", "request_id", "q")
     state = available.select("ProductID", F.col("s").cast("long").alias("s"),
                              F.lit(None).cast(pending.schema["ts"].dataType).alias("pos_ts"),
@@ -105,16 +106,14 @@ def accept_in_order(pending: DataFrame, available: DataFrame, split_rows: int |
     while True:
         rounds += 1
         live = pending.join(state, "ProductID").where(_after("pos_ts", "pos_id"))
-        fit = live.where(F.col("q") <= F.col("s")).select("ProductID", "ts", "request_id", "q", "s")
+        fit = cut_lineage(live.where(F.col("q") <= F.col("s")).select("ProductID", "ts", "request_id", "q", "s"))
         rows = fit.count()
         if rows == 0:
             break
         if rows <= finish_rows:
-            accepted.append(cut_lineage(fit.groupBy("ProductID").applyInPandas(_finish_in_order,
-                                                                                "request_id long")))
+            accepted.append(fit.groupBy("ProductID").applyInPandas(_finish_in_order, "request_id long"))
             break
-        run = cut_lineage(running_sums(fit, ["ProductID"], ORDER, {"c": F.col("q")},
-                                       split_rows=split_rows, rows=rows))
+        run = running_sums(fit, ["ProductID"], ORDER, {"c": F.col("q")}, split_rows=split_rows, rows=rows)
         accepted.append(run.where(F.col("c") <= F.col("s")).select("request_id"))
         over = run.where(F.col("c") > F.col("s"))
         first = over.groupBy("ProductID").agg(F.min(F.struct("ts", "request_id", "c", "q", "s")).alias("k"))
@@ -128,7 +127,7 @@ def accept_in_order(pending: DataFrame, available: DataFrame, split_rows: int |
     out = accepted[0]
     for a in accepted[1:]:
         out = out.unionByName(a)
-    return out, rounds
+    return cut_lineage(out), rounds
 
 
 def record_sales(products: DataFrame, stock: DataFrame, sales: DataFrame, requests: DataFrame,
