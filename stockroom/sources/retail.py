@@ -56,6 +56,7 @@ def cart_events_of(e: DataFrame) -> DataFrame:
 
 
 _READS: dict = {}
+_ADAPTED: dict = {}
 
 
 def _read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -266,6 +267,19 @@ class RetailTables:
                       roles=roles, cart_events=cart_events, sale_requests=sale_requests,
                       product_requests=product_requests, receipt_requests=receipt_requests,
                       product_edits=product_edits, supplier_requests=supplier_requests)
+        app = spark.sparkContext.applicationId
+
+        def shared(name, make):
+            # the mapped frames are immutable, so every query of this session
+            # over the same directory can reuse them (saves plan construction)
+            def get():
+                key = (id(spark), app, sf_dir, name)
+                if key not in _ADAPTED:
+                    _ADAPTED[key] = make()
+                return _ADAPTED[key]
+            return get
+
+        frames = {name: shared(name, make) for name, make in frames.items()}
         return cls(spark, frames, params, paths={"events": f"{sf_dir}/events.parquet"})
 
 
