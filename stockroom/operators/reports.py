@@ -120,8 +120,9 @@ def daily_sales(sales: DataFrame, start: _dt.date, end: _dt.date) -> DataFrame:
 def daily_sales_dense(sales: DataFrame, as_of: _dt.date, days: int = P.DENSE_SERIES_DAYS) -> DataFrame:
     """Revenue for each of the last ``days`` calendar days up to ``as_of``, 0 where none.
 
-    The day spine has exactly ``days`` rows (built with ``range``), so joining
-    it is a join against a known-tiny side.
+    The day spine has exactly ``days`` rows (built with ``range``) and the
+    daily totals at most ``days`` rows, so the join is a broadcast of a
+    known-tiny side.
     """
     spark = sales.sparkSession
     spine = spark.range(days).select(
@@ -129,7 +130,8 @@ def daily_sales_dense(sales: DataFrame, as_of: _dt.date, days: int = P.DENSE_SER
         F.date_sub(date_lit(as_of), (F.lit(days - 1) - F.col("id")).cast("int")).alias("SaleDay"))
     s = sales.where(since_days_before("SaleDate", as_of, days - 1) & before_day_after("SaleDate", as_of))
     daily = s.groupBy(F.to_date("SaleDate").alias("SaleDay")).agg(F.sum("TotalAmount").alias("Total"))
-    return (F.broadcast(spine).join(daily, "SaleDay", "left")
+    # the per-day totals cover at most `days` calendar days: a proven-small build side
+    return (spine.join(F.broadcast(daily), "SaleDay", "left")
             .select("Position", "SaleDay", day_label("SaleDay").alias("Label"),
                     F.coalesce("Total", F.lit(0)).cast("decimal(24,2)").alias("Total"))
             .orderBy("Position"))
