@@ -39,10 +39,13 @@ class CartState(NamedTuple):
 
 
 def cart_episodes(events: DataFrame, products: DataFrame) -> CartState:
+    # Only a buy depends on the product existing, so only buys meet the products table.
     known = products.select(F.col("ProductID").alias("product_id")).distinct().withColumn("_known", F.lit(True))
-    e = (events.select("event_id", "ts", "user_id", "product_id", "action", "quantity")
-         .join(known, "product_id", "left")
-         .withColumn("product_exists", F.coalesce("_known", F.lit(False))).drop("_known")
+    ev = events.select("event_id", "ts", "user_id", "product_id", "action", "quantity")
+    is_buy = F.coalesce(F.col("action") == "buy", F.lit(False))
+    buys = (ev.where(is_buy).join(known, "product_id", "left")
+            .withColumn("product_exists", F.coalesce("_known", F.lit(False))).drop("_known"))
+    e = (ev.where(~is_buy).withColumn("product_exists", F.lit(True)).unionByName(buys)
          .withColumn("is_add", F.col("action") == "add")
          .withColumn("is_reset", (F.col("action") == "remove")
                      | ((F.col("action") == "buy") & F.col("product_exists"))))
