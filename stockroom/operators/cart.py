@@ -2,8 +2,8 @@
 
 The application keeps, per login session, a map product -> quantity:
 
-* ``add``: adds the quantity (creates the entry if absent).  The cart changes
-  before any stock check, so an add always counts.
+* ``add``: adds the quantity, 1 when none is given (creates the entry if
+  absent).  The cart changes before any stock check, so an add always counts.
 * ``remove``: drops the entry (and returns its quantity to stock); with no
   entry it is an error.
 * ``buy``: with an entry and an existing product, records a sale of the
@@ -24,6 +24,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import params as P
 from .scan import running_sums
 
 KEYS = ["user_id", "product_id"]
@@ -41,7 +42,8 @@ class CartState(NamedTuple):
 def cart_episodes(events: DataFrame, products: DataFrame) -> CartState:
     # Only a buy depends on the product existing, so only buys meet the products table.
     known = products.select(F.col("ProductID").alias("product_id")).distinct().withColumn("_known", F.lit(True))
-    ev = events.select("event_id", "ts", "user_id", "product_id", "action", "quantity")
+    ev = events.select("event_id", "ts", "user_id", "product_id", "action",
+                       F.coalesce("quantity", F.lit(P.DEFAULT_ADD_QUANTITY).cast("long")).alias("quantity"))
     is_buy = F.coalesce(F.col("action") == "buy", F.lit(False))
     buys = (ev.where(is_buy).join(known, "product_id", "left")
             .withColumn("product_exists", F.coalesce("_known", F.lit(False))).drop("_known"))

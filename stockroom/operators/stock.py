@@ -162,3 +162,19 @@ def largest_lot(stock: DataFrame, quantity: int) -> DataFrame:
             .agg(F.max(key).alias("best"))
             .select("ProductID", (-F.col("best.neg_id")).alias("StockID"),
                     F.col("best.QuantityAdded").alias("QuantityAdded")))
+
+
+def report_recent_stock(stock: DataFrame, products: DataFrame, suppliers: DataFrame,
+                        k: int = P.RECENT_RECEIPTS) -> DataFrame:
+    """The report page's "recent stock additions": the lot's columns, both names, display texts."""
+    order = [F.desc("DateAdded"), F.desc("StockID")]
+
+    def attach(lots: DataFrame) -> DataFrame:
+        return (lots.join(products.select("ProductID", F.col("Name").alias("ProductName")), "ProductID")
+                .join(suppliers.select("SupplierID", F.col("Name").alias("SupplierName")), "SupplierID"))
+
+    base = stock.select("StockID", "ProductID", "SupplierID", "QuantityAdded", "DateAdded")
+    return (top_k_through(base, order, k, attach).orderBy(*order).limit(k)
+            .select("StockID", "ProductID", "SupplierID", "QuantityAdded", "DateAdded", "ProductName",
+                    "SupplierName", F.date_format("DateAdded", P.LABEL_DATE).alias("DateText"),
+                    F.format_number("QuantityAdded", 0).alias("QuantityText")))

@@ -143,3 +143,15 @@ WHERE rn = 1
 def q_largest_lot(t):
     """Per product, the largest receipt lot that can cover a 5-unit reservation."""
     return S.largest_lot(t.stock, t.params.reserve_quantity)
+
+
+@query("report_recent_stock", """
+SELECT s.StockID, s.ProductID, s.SupplierID, s.QuantityAdded, s.DateAdded, p.Name AS ProductName,
+       sup.Name AS SupplierName, strftime(s.DateAdded, '%b %d, %Y') AS DateText,
+       format('{:,}', s.QuantityAdded) AS QuantityText
+FROM stock s JOIN products p ON s.ProductID = p.ProductID JOIN suppliers sup ON s.SupplierID = sup.SupplierID
+ORDER BY s.DateAdded DESC, s.StockID DESC LIMIT 10
+""")
+def q_report_recent_stock(t):
+    """The report page's ten newest stock additions with names and display texts."""
+    return S.report_recent_stock(t.stock, t.products, t.suppliers)

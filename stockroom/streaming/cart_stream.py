@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.cart import NO_SUCH_PRODUCT, NOT_IN_CART
+from ..params import DEFAULT_ADD_QUANTITY
 from ..session import ensure_checkpoint_dir
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, product_id long, action string, quantity long"
@@ -39,7 +40,7 @@ def _fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
     for ev in events.itertuples(index=False):
         if ev.action == "add":
             adds += 1
-            qty += int(ev.quantity)
+            qty += DEFAULT_ADD_QUANTITY if pd.isna(ev.quantity) else int(ev.quantity)
             continue
         base = dict(user_id=user_id, product_id=product_id, episode=episode, event_id=int(ev.event_id),
                     ts=ev.ts, action=ev.action)

@@ -301,3 +301,11 @@ def test_default_report_range_and_texts(spark):
     df = spark.createDataFrame([(D("1234567.5"), 12345, 12.34)], "m decimal(14,2), n long, p double")
     r = df.select(money_text("m").alias("a"), count_text("n").alias("b"), percent_text("p").alias("c")).collect()[0]
     assert (r.a, r.b, r.c) == ("$1,234,567.50", "12,345", "12.3%")
+
+
+def test_cart_add_without_quantity_counts_one(spark):
+    ev = [(1, T0, 5, 1, "add", None), (2, T0 + dt.timedelta(minutes=1), 5, 1, "add", 2),
+          (3, T0 + dt.timedelta(minutes=2), 5, 1, "buy", None)]
+    t = from_rows(spark, {"products": [prod(1)], "cart_events": ev})
+    st = C.cart_episodes(t.cart_events, t.products)
+    assert rows(C.cart_purchases(st), "quantity") == [(3,)]
