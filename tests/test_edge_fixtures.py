@@ -309,3 +309,11 @@ def test_cart_add_without_quantity_counts_one(spark):
     t = from_rows(spark, {"products": [prod(1)], "cart_events": ev})
     st = C.cart_episodes(t.cart_events, t.products)
     assert rows(C.cart_purchases(st), "quantity") == [(3,)]
+
+
+def test_topk_grows_when_candidates_drop_out(spark):
+    # the 12 newest sales name a product that does not exist, so the first
+    # 10 candidates all drop out of the inner join and the set must grow
+    sales = [sale(i, 1 if i < 3 else 99, 1, T0 + dt.timedelta(hours=i)) for i in range(15)]
+    t = from_rows(spark, {"products": [prod(1)], "users": [(1, "u", 1)], "sales": sales})
+    assert rows(SA.sales_history(t.sales, t.products, t.users, page=1), "SaleID") == [(2,), (1,), (0,)]
