@@ -1,12 +1,13 @@
 """Ordered scans that stay parallel when one key holds a large share of the rows.
 
 A plain ``sum(...).over(Window.partitionBy(key).orderBy(...))`` sends every row
-of a key to one task.  ``running_sum`` instead splits the ordered rows into
+of a key to one task.  ``running_sums`` instead splits the ordered rows into
 range chunks (``repartitionByRange`` samples the key+order columns, so a hot
 key spans several chunks), sums each (key, chunk), turns the chunk sums into
 offsets with a small window, and adds each row's in-chunk running sum to its
 chunk offset.  The chunk assignment is checkpointed so that a recomputation
-after a lost executor sees the same chunks.
+after a lost executor sees the same chunks.  Inputs of at most ``SPLIT_ROWS``
+rows take the plain window, where one task per key is harmless.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def plain_running_sums(df: DataFrame, keys: list[str], order: list[str], values:
     """Running sums with one window per key (for inputs known to be small)."""
     frame = (Window.partitionBy(*keys).orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    return df.select("*", *[F.coalesce(F.sum(v).over(frame), F.lit(0)).cast("long").alias(k)
+    return df.select("*", *[F.coalesce(F.sum(v).over(frame), F.lit(0)).alias(k)
                             for k, v in values.items()])
 
 
@@ -72,7 +73,7 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[
     cond = [local[k].eqNullSafe(offsets[f"_k_{k}"]) for k in keys] + [local[CHUNK] == offsets["_k_chunk"]]
     out = local.join(offsets, cond)
     return out.select(*[local[c] for c in df.columns],
-                      *[(F.col(f"_o_{k}") + F.col(f"_l_{k}")).cast("long").alias(k) for k in values])
+                      *[(F.col(f"_o_{k}") + F.col(f"_l_{k}")).alias(k) for k in values])
 
 
 def number_rows(df: DataFrame, order: list[str], out: str, base: Column | int = 0,
