@@ -30,6 +30,7 @@ HEADLINE = [
     "sales_trend_binned", "product_suppliers", "available_suppliers", "user_roles", "stock_search",
     "cart_purchases", "cart_errors", "order_lines", "product_intake", "product_upsert", "receive_stock",
     "release_stock", "delete_products_sales", "record_sales", "reserve_stock", "current_stock_csv",
+    "sales_history_after", "cart_stream_purchases",
 ]
 
 
