@@ -170,3 +170,22 @@ def count_text(c: Column | str) -> Column:
 def percent_text(c: Column | str) -> Column:
     """"12.3%": one decimal and a percent sign (NULL stays NULL)."""
     return F.concat(F.format_number(col_(c), 1), F.lit("%"))
+
+
+# ---- partition pruning on the stored layout ---------------------------------
+MONTH_PARTITION = "SaleMonth"  # written by sources.write_tables as 'yyyy-MM'
+
+
+def with_month_pruning(df, start: _dt.date | None, end: _dt.date | None):
+    """Add a ``SaleMonth`` range matching a SaleDate range, when the frame has that partition column.
+
+    Spark cannot derive a partition filter from a predicate on ``SaleDate``;
+    this extra, implied predicate lets it skip whole month directories.
+    """
+    if MONTH_PARTITION not in df.columns:
+        return df
+    if start is not None:
+        df = df.where(F.col(MONTH_PARTITION) >= F.lit(start.strftime("%Y-%m")))
+    if end is not None:
+        df = df.where(F.col(MONTH_PARTITION) <= F.lit(end.strftime("%Y-%m")))
+    return df

@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import (before_day_after, closed_range, count_text, date_lit, day_label, money_text,
-                         percent_text, since_days_before)
+                         percent_text, since_days_before, with_month_pruning)
 from ..session import cut_lineage
 from .scan import number_rows
 from .topk import top_k_through
 
 
 def range_sales(sales: DataFrame, start: _dt.date, end: _dt.date) -> DataFrame:
-    return sales.where(closed_range("SaleDate", start, end))
+    """Sales in ``start 00:00:00 .. end 23:59:59`` (pruned by month on the stored layout)."""
+    return with_month_pruning(sales, start, end).where(closed_range("SaleDate", start, end))
 
 
 def report_totals(sales: DataFrame, start: _dt.date, end: _dt.date) -> DataFrame:
@@ -128,7 +129,8 @@ def daily_sales_dense(sales: DataFrame, as_of: _dt.date, days: int = P.DENSE_SER
     spine = spark.range(days).select(
         F.col("id").cast("int").alias("Position"),
         F.date_sub(date_lit(as_of), (F.lit(days - 1) - F.col("id")).cast("int")).alias("SaleDay"))
-    s = sales.where(since_days_before("SaleDate", as_of, days - 1) & before_day_after("SaleDate", as_of))
+    s = with_month_pruning(sales, as_of - _dt.timedelta(days=days - 1), as_of) \
+        .where(since_days_before("SaleDate", as_of, days - 1) & before_day_after("SaleDate", as_of))
     daily = s.groupBy(F.to_date("SaleDate").alias("SaleDay")).agg(F.sum("TotalAmount").alias("Total"))
     # the per-day totals cover at most `days` calendar days: a proven-small build side
     return (spine.join(F.broadcast(daily), "SaleDay", "left")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..functions import before_day_after, discount_pct, in_month_of, on_day, php_trim, since_days_before, ts_lit
+from ..functions import (before_day_after, discount_pct, in_month_of, on_day, php_trim, since_days_before, ts_lit,
+                         with_month_pruning)
 from .stock import levels
 from .topk import top_k_through
 
@@ -30,7 +31,8 @@ def sales_kpis(sales: DataFrame, as_of: _dt.date) -> DataFrame:
     reads only the needed range.  A NULL total (no sales) is reported as 0.
     """
     earliest = min(as_of.replace(day=1), as_of - _dt.timedelta(days=P.TRAILING_DAYS))
-    sliced = sales.where(before_day_after("SaleDate", as_of) & (F.col("SaleDate") >= ts_lit(earliest)))
+    sliced = with_month_pruning(sales, earliest, as_of) \
+        .where(before_day_after("SaleDate", as_of) & (F.col("SaleDate") >= ts_lit(earliest)))
     aggs = []
     for name, cond in _kpi_windows(as_of).items():
         aggs.append(F.count_if(cond).alias(f"{name}Count"))
@@ -69,6 +71,13 @@ def recent_activity(sales: DataFrame, stock: DataFrame, per_kind: int = P.FEED_B
             .withColumn("DateText", F.date_format("ActivityDate", P.LABEL_FEED)))
 
 
+def _history_sales(sales: DataFrame, date_from=None, date_to=None, product=None) -> DataFrame:
+    s = with_month_pruning(sales, date_from or None, date_to or None)
+    for c in _history_filter(date_from, date_to, product):
+        s = s.where(c)
+    return s
+
+
 def _history_filter(date_from=None, date_to=None, product=None):
     conds = []
     if date_from not in (None, ""):
@@ -88,10 +97,7 @@ def sales_history_rows(sales: DataFrame, products: DataFrame, users: DataFrame,
     (PHP truthiness).  They are applied to ``sales`` before the joins, so they
     reach the parquet scan.
     """
-    s = sales
-    for c in _history_filter(date_from, date_to, product):
-        s = s.where(c)
-    return _attach_names(s, products, users)
+    return _attach_names(_history_sales(sales, date_from, date_to, product), products, users)
 
 
 def _attach_names(s: DataFrame, products: DataFrame, users: DataFrame) -> DataFrame:
@@ -112,9 +118,7 @@ def sales_history(sales: DataFrame, products: DataFrame, users: DataFrame, page:
     """
     page = max(int(page), 1)
     order = [F.desc("SaleDate"), F.desc("SaleID")]
-    s = sales
-    for c in _history_filter(date_from, date_to, product):
-        s = s.where(c)
+    s = _history_sales(sales, date_from, date_to, product)
     need = page * page_size
     rows = top_k_through(s, order, need, lambda c: _attach_names(c, products, users))
     return (rows.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
@@ -132,9 +136,8 @@ def sales_history_after(sales: DataFrame, products: DataFrame, users: DataFrame,
     """
     order = [F.desc("SaleDate"), F.desc("SaleID")]
     seen = ts_lit(last_seen_date)
-    s = sales.where((F.col("SaleDate") < seen) | ((F.col("SaleDate") == seen) & (F.col("SaleID") < last_seen_id)))
-    for c in _history_filter(date_from, date_to, product):
-        s = s.where(c)
+    s = _history_sales(sales, date_from, date_to, product).where(
+        (F.col("SaleDate") < seen) | ((F.col("SaleDate") == seen) & (F.col("SaleID") < last_seen_id)))
     rows = top_k_through(s, order, page_size, lambda c: _attach_names(c, products, users))
     return rows.orderBy(*order).limit(page_size)
 

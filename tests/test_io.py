@@ -41,3 +41,25 @@ def test_csv_file_export(spark):
     text = open(os.path.join(out, "cs", part)).read()
     assert text.splitlines()[0] == '"ProductID","ProductName","Category","TotalAdded","TotalSold","CurrentStock","Status"'
     assert text.splitlines()[1] == '"1","x ""y"", z","c","3","0","3","Low Stock"'
+
+
+def test_stored_layout_prunes_months(spark):
+    import contextlib
+    import io
+
+    from stockroom.plans import REGISTRY
+
+    src = RetailTables.from_testdata(spark, SMALL)
+    out = tempfile.mkdtemp(prefix="stockroom-prune-")
+    write_tables(src, out)
+    stored = RetailTables.from_parquet(spark, out)
+    for name in ["category_breakdown", "sales_kpis", "daily_sales_dense_7d", "sales_history", "report_totals"]:
+        a = REGISTRY[name].build(src)
+        b = REGISTRY[name].build(stored)
+        cols = [c for c in a.columns]
+        assert sorted(map(tuple, a.select(*cols).collect())) == sorted(map(tuple, b.select(*cols).collect())), name
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        REGISTRY["category_breakdown"].build(stored).explain("formatted")
+    text = buf.getvalue()
+    assert "PartitionFilters" in text and "SaleMonth" in text.split("PartitionFilters")[1][:300]
