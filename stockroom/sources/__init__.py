@@ -1,3 +1,3 @@
 """Sources (table loaders) and sinks (CSV / JSON writers)."""
 
-from .retail import TABLES, RetailTables, write_tables  # noqa: F401
+from .retail import TABLES, RetailTables, write_bucketed, write_tables  # noqa: F401

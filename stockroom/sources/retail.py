@@ -104,6 +104,12 @@ class RetailTables:
             frames[extra] = lambda t=extra: spark.read.parquet(f"{path}/{t}")
         return cls(spark, frames, params)
 
+    @classmethod
+    def from_catalog(cls, spark: SparkSession, database: str, params: RunParams = DEFAULT) -> "RetailTables":
+        """Tables registered in the session catalog (e.g. written by ``write_bucketed``)."""
+        frames = {t: (lambda t=t: spark.table(f"{database}.{t}")) for t in TABLES + REQUEST_TABLES}
+        return cls(spark, frames, params)
+
     @classmethod
     def from_jdbc(cls, spark: SparkSession, url: str, properties: dict[str, str],
                   partitions: dict[str, tuple[str, int, int, int]] | None = None,
@@ -296,3 +302,21 @@ def write_tables(tables: RetailTables, path: str, sales_by_month: bool = True) -
             df = df.withColumn("SaleMonth", F.date_format("SaleDate", "yyyy-MM"))
             writer = df.write.mode("overwrite").partitionBy("SaleMonth")
         writer.parquet(f"{path}/{name}")
+
+
+def write_bucketed(tables: RetailTables, database: str, buckets: int, location: str | None = None) -> None:
+    """Save the tables in the catalog, the product-keyed ones bucketed and sorted by ProductID.
+
+    Products, stock, sales and supplier links share the bucket count, so
+    per-product aggregations and product joins between them need no shuffle.
+    Needs a persistent catalog (metastore) to be reused across sessions.
+    """
+    spark = tables.spark
+    loc = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{loc}")
+    keyed = {"products", "stock", "sales", "supplier_products"}
+    for name in TABLES + REQUEST_TABLES:
+        w = getattr(tables, name).write.mode("overwrite").format("parquet")
+        if name in keyed:
+            w = w.bucketBy(buckets, "ProductID").sortBy("ProductID")
+        w.saveAsTable(f"{database}.{name}")

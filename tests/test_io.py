@@ -63,3 +63,22 @@ def test_stored_layout_prunes_months(spark):
         REGISTRY["category_breakdown"].build(stored).explain("formatted")
     text = buf.getvalue()
     assert "PartitionFilters" in text and "SaleMonth" in text.split("PartitionFilters")[1][:300]
+
+
+def test_bucketed_tables_skip_shuffles(spark):
+    import contextlib
+    import io
+
+    from stockroom.plans import REGISTRY
+    from stockroom.sources import write_bucketed
+
+    src = RetailTables.from_testdata(spark, SMALL)
+    write_bucketed(src, "stockroom_test_b", 4, tempfile.mkdtemp(prefix="stockroom-bucket-"))
+    b = RetailTables.from_catalog(spark, "stockroom_test_b")
+    for name in ["shop_catalog", "stock_by_supplier", "current_stock"]:
+        assert sorted(map(tuple, REGISTRY[name].build(src).collect())) == \
+            sorted(map(tuple, REGISTRY[name].build(b).collect())), name
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        REGISTRY["shop_catalog"].build(b).explain()
+    assert "Exchange hashpartitioning" not in buf.getvalue()
