@@ -124,3 +124,65 @@ def test_record_sales_never_oversells(spark, reqs, lots):
     for p in range(3):
         assert sold.get(p, 0) <= sum(q for pp, q in lots if pp == p)
     assert rec.sales.count() + rec.rejects.count() == len(reqs)
+
+
+def _loop_record(reqs, lots):
+    avail = {p: sum(q for pp, q in lots if pp == p) for p in range(3)}
+    ok = set()
+    for i, (p, q) in enumerate(reqs):
+        if q <= avail[p]:
+            avail[p] -= q
+            ok.add(i)
+    return ok
+
+
+@SETTINGS
+@given(reqs=st.lists(st.tuples(st.integers(0, 2), st.integers(1, 12)), max_size=25),
+       lots=st.lists(st.tuples(st.integers(0, 2), st.integers(1, 15)), max_size=8),
+       finish=st.sampled_from([0, None]))
+def test_record_sales_equals_loop(spark, reqs, lots, finish):
+    t = from_rows(spark, {
+        "products": [(i, "p", "c", D("1.00"), "d") for i in range(3)],
+        "stock": [(i, p, 1, q, T0) for i, (p, q) in enumerate(lots)],
+        "sale_requests": [(i, T0 + dt.timedelta(seconds=i), p, str(q), None, 1) for i, (p, q) in enumerate(reqs)]})
+    rec = Q.record_sales(t.products, t.stock, t.sales, t.sale_requests, finish_rows=finish)
+    assert {r.request_id for r in rec.sales.collect()} == _loop_record(reqs, lots)
+
+
+@SETTINGS
+@given(reqs=st.lists(st.tuples(st.integers(0, 1), st.integers(1, 6)), max_size=20),
+       lots=st.lists(st.tuples(st.integers(0, 1), st.integers(1, 9)), max_size=8),
+       wave=st.sampled_from([2, 100]))
+def test_reserve_equals_loop(spark, reqs, lots, wave):
+    t = from_rows(spark, {"stock": [(i, p, 1, q, T0) for i, (p, q) in enumerate(lots)]})
+    req_df = spark.createDataFrame([(i, T0 + dt.timedelta(seconds=i), p, q) for i, (p, q) in enumerate(reqs)],
+                                   "request_id long, ts timestamp_ntz, ProductID long, q long")
+    res = Q.reserve_stock(t.stock, req_df, wave_size=wave)
+    state = {i: [q, p] for i, (p, q) in enumerate(lots)}
+    exp = set()
+    for i, (p, q) in enumerate(reqs):
+        cands = [(v, -sid, sid) for sid, (v, pp) in state.items() if pp == p and v >= q]
+        if cands:
+            sid = max(cands)[2]
+            state[sid][0] -= q
+            exp.add((i, sid))
+    assert {(r.request_id, r.StockID) for r in res.taken.collect()} == exp
+
+
+@SETTINGS
+@given(sales=st.lists(st.tuples(st.integers(0, 7), st.integers(0, 300)), max_size=30),
+       k=st.integers(1, 12))
+def test_topk_through_equals_join_then_sort(spark, sales, k):
+    from pyspark.sql import functions as F
+
+    from stockroom.operators.topk import top_k_through
+
+    # products 0..4 exist, 5..7 do not: candidates drop out of the join
+    t = from_rows(spark, {"products": [(i, f"p{i}", "c", D("1.00"), "d") for i in range(5)],
+                          "sales": [(i, p, 1, T0 + dt.timedelta(hours=h), D("1.00"), 1)
+                                    for i, (p, h) in enumerate(sales)]})
+    order = [F.desc("SaleDate"), F.desc("SaleID")]
+    names = t.products.select("ProductID", "Name")
+    got = top_k_through(t.sales, order, k, lambda c: c.join(names, "ProductID")).orderBy(*order).limit(k)
+    want = t.sales.join(names, "ProductID").orderBy(*order).limit(k)
+    assert [r.SaleID for r in got.collect()] == [r.SaleID for r in want.collect()]
