@@ -10,9 +10,8 @@ so net stock is charged twice for a shop purchase; both figures are reported
 as the application computes them.
 
 Every per-product figure is computed by aggregating the big tables on
-``ProductID`` first (receipts and sales stacked into one partial, map-side
-aggregation and one shuffle), and only the one-row-per-product result is
-joined to ``products``.
+``ProductID`` first (partial, map-side aggregation), and only the
+one-row-per-product results are joined to ``products``.
 """
 
 from __future__ import annotations
@@ -34,19 +33,18 @@ def sold_by_product(sales: DataFrame) -> DataFrame:
 
 
 def levels(stock: DataFrame, sales: DataFrame | None) -> DataFrame:
-    """Per product: units received and (if ``sales`` given) units sold, in one aggregation.
+    """Per product: units received and (if ``sales`` given) units sold.
 
-    Receipts and sales are stacked and summed together, so both inputs are
-    reduced map-side and share a single shuffle on ProductID.
+    Each side is aggregated on ProductID (partial aggregation map-side), and
+    the two per-product results are joined on ProductID.  Both arrive hash
+    partitioned on that key, so the join adds no shuffle; on tables bucketed
+    by ProductID neither the aggregations nor the join shuffle at all.
     """
-    added = stock.select("ProductID", F.col("QuantityAdded").cast("long").alias("a"),
-                         F.lit(None).cast("long").alias("s"))
+    added = stock.groupBy("ProductID").agg(F.sum(F.col("QuantityAdded").cast("long")).alias("TotalAdded"))
     if sales is None:
-        return added.groupBy("ProductID").agg(F.sum("a").alias("TotalAdded"))
-    sold = sales.select("ProductID", F.lit(None).cast("long").alias("a"),
-                        F.col("QuantitySold").cast("long").alias("s"))
-    return added.unionByName(sold).groupBy("ProductID").agg(F.sum("a").alias("TotalAdded"),
-                                                            F.sum("s").alias("TotalSold"))
+        return added
+    sold = sales.groupBy("ProductID").agg(F.sum(F.col("QuantitySold").cast("long")).alias("TotalSold"))
+    return added.join(sold, "ProductID", "full")
 
 
 def _with_levels(keys: DataFrame, stock: DataFrame, sales: DataFrame | None) -> DataFrame:
