@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -94,6 +95,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or scratch
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package, so that Python functions run wherever the driver was started.
+
+    Spark copies the file to every executor and puts it on the workers' path;
+    a session gets it once.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_stockroom_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    handle, path = tempfile.mkstemp(prefix="stockroom-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(os.path.join(top, "stockroom")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, top))
+        if os.path.exists(os.path.join(top, "corpus_pipeline.py")):
+            out.write(os.path.join(top, "corpus_pipeline.py"), "corpus_pipeline.py")
+    sc.addPyFile(path)
+    sc._stockroom_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably (checkpoint to shared storage).
 
