@@ -7,22 +7,71 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import set_join, substring_dedup
+from . import language_id, one_bit_codes, packing, scaled_sketch, secret_scan, set_join, substring_dedup
 from .common import table
 
 
+def op2_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors, by cosine, of every vector whose id is divisible by 50."""
+    return one_bit_codes.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they and the next document's are."""
+    s = scaled_sketch
+    out = s.edited_and_next(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        F.array_join("sketch", ",").alias("fingerprint"), F.array_join("edited_sketch", ",").alias("edited_fingerprint"),
+        s.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        s.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        s.containment(F.col("sketch"), F.col("edited_sketch")).alias("held_by_edited"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts of the base kinds, a digest of their spans, and all spans."""
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(
+            ":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(joined(F.filter("spans", lambda x: x["kind"].isin(*secret_scan.BASE_KINDS))), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    out = language_id.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return out.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document left after removing 13-word windows that start in an earlier document."""
     out = substring_dedup.drop_repeated_passages(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut into pieces and packed into sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a Jaccard similarity of at least 0.75."""
     return set_join.link_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_substring_dedup, op9_ngram_jaccard_join)}
+    f.__name__: f for f in (
+    op2_one_bit_neighbours, op3_scaled_sketch, op4_secret_scan, op5_language_id, op6_substring_dedup, op8_packing,
+    op9_ngram_jaccard_join)}
 
 ORACLES: dict[str, str] = {}
