@@ -14,20 +14,18 @@ set of parallel Spark jobs over all products at once:
 3. the first request past that prefix is rejected and the availability left
    before it becomes the product's state for the next round.
 
-Each round accepts at least one request per active product and leaves an
-availability below the rejected request's quantity, so the number of rounds is
-at most the largest requested quantity + 2, independent of the data volume.
-Once at most ``FINISH_ROWS`` requests (all products together) are still
-undecided, one in-order pass per product (``applyInPandas``) finishes them:
-that input is bounded, so no product's unbounded share is ever gathered.
+Each round leaves an availability below the rejected request's quantity, so a
+product's next round has fewer distinct quantities that still fit: the number
+of rounds is at most the number of distinct quantities of one product's requests
++ 1, independent of the number of requests.  ``Recorded.rounds`` reports it.
 
 ``reserve_stock`` picks, per request, the single largest lot that covers it.
 That choice depends on every earlier pick, so a product's requests are
 applied in order by one function call per product and wave (``cogroup`` +
-``applyInPandas`` with a heap).  A wave holds at most ``wave_size`` requests
-per product, and only the product's ``wave_size`` largest lots can be touched
-by them, so one call never holds more than 2 x ``wave_size`` rows; the lot
-state is carried between waves through checkpoints.
+``applyInPandas`` with a heap).  A wave holds ``wave_size`` requests of a
+product, and only its ``wave_size`` largest lots can be touched by them, so a
+call never holds more than 2 x ``wave_size`` rows.  Lots of products without
+requests are never moved; only lots that changed are joined to the stock table.
 """
 
 from __future__ import annotations
@@ -67,71 +65,42 @@ def _after(pos_ts: str, pos_id: str):
             | ((F.col("ts") == F.col(pos_ts)) & (F.col("request_id") > F.col(pos_id))))
 
 
-# Once this few requests are still undecided (all products together), one
-# in-order pass per product finishes the job instead of further rounds.
-FINISH_ROWS = 1_000_000
-
-
-def _finish_in_order(pdf: pd.DataFrame) -> pd.DataFrame:
-    """In-order availability fold for one product's remaining requests."""
-    pdf = pdf.sort_values(["ts", "request_id"], kind="stable")
-    left = int(pdf["s"].iloc[0])
-    ok = []
-    for rid, q in zip(pdf["request_id"].tolist(), pdf["q"].tolist()):
-        if q <= left:
-            left -= q
-            ok.append(rid)
-    return pd.DataFrame({"request_id": pd.Series(ok, dtype="int64")})
-
-
-def accept_in_order(pending: DataFrame, available: DataFrame, split_rows: int | None = None,
-                    finish_rows: int | None = None) -> tuple[DataFrame, int]:
-    """Request ids accepted by the in-order availability fold.
+def accept_in_order(pending: DataFrame, available: DataFrame) -> tuple[DataFrame, int]:
+    """Request ids accepted by the in-order availability fold, and the number of rounds it took.
 
     ``pending``: (ProductID, ts, request_id, q) with q >= 1.
     ``available``: (ProductID, s) starting availability (may be <= 0).
-    Rounds run while more than ``finish_rows`` requests are undecided; the
-    rest is finished by one in-order pass per product (bounded input).
     """
-    finish_rows = FINISH_ROWS if finish_rows is None else finish_rows
-    # Each round's input is checkpointed once (so round r does not recompute
-    # rounds 1..r-1, and a lost executor restarts from the last checkpoint);
-    # the accepted ids are checkpointed once at the end.
+    # A round's rows are checkpointed once, inside running_sums: round r doesn't
+    # recompute the rounds before it, and a lost executor restarts from there.
     pending = pending.select("ProductID", "ts", "request_id", "q")
     state = available.select("ProductID", F.col("s").cast("long").alias("s"),
                              F.lit(None).cast(pending.schema["ts"].dataType).alias("pos_ts"),
                              F.lit(None).cast("long").alias("pos_id"))
     accepted = []
-    rounds = 0
     while True:
-        rounds += 1
-        live = pending.join(state, "ProductID").where(_after("pos_ts", "pos_id"))
-        fit = cut_lineage(live.where(F.col("q") <= F.col("s")).select("ProductID", "ts", "request_id", "q", "s"))
-        rows = fit.count()
-        if rows == 0:
+        fit = (pending.join(state, "ProductID").where(_after("pos_ts", "pos_id") & (F.col("q") <= F.col("s")))
+               .select("ProductID", "ts", "request_id", "q", "s"))
+        # quantities are whole numbers of up to 64 bits; their sum needs more
+        run = running_sums(fit, ["ProductID"], ORDER, {"c": F.col("q").cast("decimal(28,0)")})
+        if run.isEmpty():
             break
-        if rows <= finish_rows:
-            accepted.append(fit.groupBy("ProductID").applyInPandas(_finish_in_order, "request_id long"))
-            break
-        run = running_sums(fit, ["ProductID"], ORDER, {"c": F.col("q")}, split_rows=split_rows, rows=rows)
         accepted.append(run.where(F.col("c") <= F.col("s")).select("request_id"))
         over = run.where(F.col("c") > F.col("s"))
         first = over.groupBy("ProductID").agg(F.min(F.struct("ts", "request_id", "c", "q", "s")).alias("k"))
         state = first.select(
-            "ProductID", (F.col("k.s") - (F.col("k.c") - F.col("k.q"))).alias("s"),
+            "ProductID", (F.col("k.s") - (F.col("k.c") - F.col("k.q"))).cast("long").alias("s"),
             F.col("k.ts").alias("pos_ts"), F.col("k.request_id").alias("pos_id"))
         pending = over.select("ProductID", "ts", "request_id", "q")
-    spark = pending.sparkSession
     if not accepted:
-        return spark.createDataFrame([], "request_id long"), rounds
+        return pending.sparkSession.createDataFrame([], "request_id long"), 1
     out = accepted[0]
     for a in accepted[1:]:
         out = out.unionByName(a)
-    return cut_lineage(out), rounds
+    return cut_lineage(out), len(accepted) + 1
 
 
-def record_sales(products: DataFrame, stock: DataFrame, sales: DataFrame, requests: DataFrame,
-                 finish_rows: int | None = None) -> Recorded:
+def record_sales(products: DataFrame, stock: DataFrame, sales: DataFrame, requests: DataFrame) -> Recorded:
     """Validate and record a batch of sale requests in (ts, request_id) order.
 
     Checks, in the application's order: whole quantity > 0, product exists,
@@ -150,8 +119,7 @@ def record_sales(products: DataFrame, stock: DataFrame, sales: DataFrame, reques
     valid = r.where(F.col("reason").isNull())
     avail = stock_availability(valid.select("ProductID"), stock, sales).select(
         "ProductID", F.col("Available").alias("s"))
-    ok_ids, rounds = accept_in_order(valid.select("ProductID", "ts", "request_id", "q"), avail,
-                                     finish_rows=finish_rows)
+    ok_ids, rounds = accept_in_order(valid.select("ProductID", "ts", "request_id", "q"), avail)
     ok = valid.join(ok_ids, "request_id", "left_semi")
     rejects = (r.where(F.col("reason").isNotNull()).select("request_id", "reason")
                .unionByName(valid.join(ok_ids, "request_id", "left_anti")
@@ -218,42 +186,42 @@ def reserve_stock(stock: DataFrame, requests: DataFrame, wave_size: int = 100_00
     bad = req.where(F.col("q").isNull() | (F.col("q") <= 0)).select(
         "request_id", F.lit(INVALID_QUANTITY).alias("reason"))
     good = req.where(F.col("q") > 0)
-    busiest = good.groupBy("ProductID").count().agg(F.max("count")).collect()[0][0]
-    if busiest is not None and busiest > wave_size:
-        # A product has more requests than one call should hold: number each
-        # product's requests (skew-safe running count) and cut them into waves.
-        good = running_sums(good, ["ProductID"], ORDER, {"rank": F.lit(1).cast("long")})
-        good = cut_lineage(good.withColumn("wave", F.floor((F.col("rank") - 1) / F.lit(wave_size)).cast("long")))
-        waves = good.agg(F.max("wave")).collect()[0][0]
-    else:
-        good = good.withColumn("wave", F.lit(0).cast("long"))
-        waves = None if busiest is None else 0
-    lots = cut_lineage(stock.select("ProductID", "StockID", "QuantityAdded"))
-    taken, rejected = [], []
-    for w in range(0 if waves is None else int(waves) + 1):
+    # Number each product's requests (skew-safe running count) and cut them into waves.
+    good = running_sums(good, ["ProductID"], ORDER, {"rank": F.lit(1).cast("long")})
+    good = cut_lineage(good.withColumn("wave", F.floor((F.col("rank") - 1) / F.lit(wave_size)).cast("long")))
+    last = good.agg(F.max("wave")).first()[0]
+    # Only lots of requested products take part.
+    lots = stock.select("ProductID", "StockID", "QuantityAdded").join(
+        good.select("ProductID").distinct(), "ProductID", "left_semi")
+    served = []
+    for w in range(0 if last is None else int(last) + 1):
         wr = good.where(F.col("wave") == w).select("ProductID", "request_id", "ts", "q")
-        touched = wr.select("ProductID").distinct()
         # W requests touch at most the W largest lots of a product (a lot is
         # only chosen once every lot ranked above it was cut below it), so
         # each call gets <= wave_size requests and <= wave_size lots.
-        ranked = running_sums(lots.join(touched, "ProductID", "left_semi"), ["ProductID"],
-                              [F.desc("QuantityAdded"), F.asc("StockID")], {"_lot_rank": F.lit(1).cast("long")})
-        mine = cut_lineage(ranked.where(F.col("_lot_rank") <= wave_size).drop("_lot_rank"))
-        rest = lots.join(mine.select("StockID"), "StockID", "left_anti")
+        touched = lots.join(wr.select("ProductID").distinct(), "ProductID", "left_semi") if w else lots
+        ranked = running_sums(touched, ["ProductID"], [F.desc("QuantityAdded"), F.asc("StockID")],
+                              {"_lot_rank": F.lit(1).cast("long")})
+        mine = ranked.where(F.col("_lot_rank") <= wave_size).drop("_lot_rank")
         res = cut_lineage(mine.groupBy("ProductID").cogroup(wr.groupBy("ProductID"))
                           .applyInPandas(_serve_group, _OUT_SCHEMA))
-        taken.append(res.where(F.col("kind") == "take").select("request_id", "StockID"))
-        rejected.append(res.where(F.col("kind") == "reject").select("request_id"))
-        lots = cut_lineage(rest.unionByName(
-            res.where(F.col("kind") == "lot").select("ProductID", "StockID", "QuantityAdded")))
-    new_stock = (stock.drop("QuantityAdded")
-                 .join(lots.select("StockID", "QuantityAdded"), "StockID")
-                 .select(*stock.columns))
+        served.append(res)
+        if w < last:
+            now = res.where(F.col("kind") == "lot").select("StockID", F.col("QuantityAdded").alias("_now"))
+            lots = cut_lineage(lots.join(now, "StockID", "left").select(
+                "ProductID", "StockID", F.coalesce("_now", "QuantityAdded").alias("QuantityAdded")))
     spark = stock.sparkSession
-    t = taken[0] if taken else spark.createDataFrame([], "request_id long, StockID long")
-    for x in taken[1:]:
-        t = t.unionByName(x)
+    t = spark.createDataFrame([], "request_id long, StockID long")
+    used = spark.createDataFrame([], "StockID long, QuantityAdded long")
     rj = bad
-    for x in rejected:
-        rj = rj.unionByName(x.select("request_id", F.lit(NO_LOT).alias("reason")))
+    for res in served:
+        t = t.unionByName(res.where(F.col("kind") == "take").select("request_id", "StockID"))
+        rj = rj.unionByName(res.where(F.col("kind") == "reject").select(
+            "request_id", F.lit(NO_LOT).alias("reason")))
+        used = used.unionByName(res.where(F.col("kind") == "take").select("StockID", "QuantityAdded"))
+    # What was taken from each changed lot; all other lots pass by a left join.
+    used = used.groupBy("StockID").agg(F.sum("QuantityAdded").alias("_used"))
+    new_stock = (stock.join(used, "StockID", "left")
+                 .withColumn("QuantityAdded", F.col("QuantityAdded") - F.coalesce("_used", F.lit(0)))
+                 .select(*stock.columns))
     return Reserved(new_stock, t, rj)

@@ -15,7 +15,7 @@ MEDIUM = "/root/testdata/sf0.01"
 def spark():
     from stockroom.session import ensure_checkpoint_dir, get_spark
 
-    s = get_spark("local[*]", 8)
+    s = get_spark(os.environ.get("TEST_MASTER", "local[*]"), 8)
     ensure_checkpoint_dir(s)
     yield s
 

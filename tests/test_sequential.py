@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -28,14 +27,10 @@ def brute_record(reqs, prods, avail):
     return ok
 
 
-@pytest.mark.parametrize("split_rows,finish_rows", [(None, None), (None, 0), (0, 0)])
-def test_record_sales_matches_loop(spark, monkeypatch, split_rows, finish_rows):
-    if split_rows is not None:  # force the range-chunked path
-        monkeypatch.setattr(scan, "SPLIT_ROWS", split_rows)
+def test_record_sales_matches_loop(spark):
     t = RetailTables.from_testdata(spark, SMALL)
-    rec = Q.record_sales(t.products, t.stock, t.sales, t.sale_requests, finish_rows=finish_rows)
-    if finish_rows == 0:
-        assert rec.rounds > 1  # the distributed rounds really ran
+    rec = Q.record_sales(t.products, t.stock, t.sales, t.sale_requests)
+    assert rec.rounds > 1
     got = {r.request_id for r in rec.sales.select("request_id").collect()}
     prods = {r.ProductID for r in t.products.select("ProductID").collect()}
     avail = {r.ProductID: r.Available for r in S.stock_availability(t.sale_requests, t.stock, t.sales).collect()}
@@ -72,24 +67,26 @@ def test_reserve_matches_loop(spark):
 def test_running_sums_hot_key_chunked_equals_window(spark):
     t = RetailTables.from_testdata(spark, SMALL)
     ev = t.cart_events.select("event_id", "ts", "product_id", "quantity")  # 3 keys, ~1/3 of rows each
-    chunked = scan.running_sums(ev, ["product_id"], ["ts", "event_id"], {"c": F.col("quantity")},
-                                split_rows=0, n=7)
+    chunked = scan.running_sums(ev, ["product_id"], ["ts", "event_id"], {"c": F.col("quantity")}, n=7)
     w = Window.partitionBy("product_id").orderBy("ts", "event_id")
     plain = ev.withColumn("c", F.sum("quantity").over(w))
     assert sorted(map(tuple, chunked.collect())) == sorted(map(tuple, plain.collect()))
-    nums = scan.number_rows(ev, ["ts", "event_id"], "n", base=100, split_rows=0, n=5)
+    nums = scan.number_rows(ev, ["ts", "event_id"], "n", base=100, n=5)
     assert sorted(r.n for r in nums.collect()) == list(range(101, 101 + ev.count()))
 
 
-def test_cart_chunked_equals_plain(spark, monkeypatch):
-    from stockroom.operators import cart as C
-
-    t = RetailTables.from_testdata(spark, SMALL)
-    a = C.cart_purchases(C.cart_episodes(t.cart_events, t.products)).collect()
-    monkeypatch.setattr(scan, "SPLIT_ROWS", 0)
-    b = C.cart_purchases(C.cart_episodes(t.cart_events, t.products)).collect()
-    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
-    assert dt is not None
+def test_rounds_are_bounded_by_distinct_quantities(spark):
+    """Many rejected requests of few quantities still need few rounds."""
+    rows = [(1, dt.datetime(2000, 1, 1) + dt.timedelta(minutes=i), i, 3 if i % 2 else 5) for i in range(200)]
+    pending = spark.createDataFrame(rows, "ProductID long, ts timestamp_ntz, request_id long, q long")
+    ok, rounds = Q.accept_in_order(pending, spark.createDataFrame([(1, 22)], "ProductID long, s long"))
+    left, want = 22, set()
+    for _, _, i, q in rows:
+        if q <= left:
+            left -= q
+            want.add(i)
+    assert {r.request_id for r in ok.collect()} == want
+    assert rounds <= 3
 
 
 def test_reserve_small_waves_only_top_lots(spark):
