@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, one_bit_codes, packing, scaled_sketch, secret_scan, set_join, substring_dedup
+from . import (chat_collapse, edit_counts, language_id, one_bit_codes, packing, piece_match, scaled_sketch, secret_scan,
+               set_join, substring_dedup)
 from .common import table
 
 
+def op1_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal conversations (none is the beginning of another) in the chat template, in segments."""
+    return chat_collapse.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op2_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors, by cosine, of every vector whose id is divisible by 50."""
     return one_bit_codes.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
@@ -59,6 +65,21 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def edit_requests(docs: DataFrame) -> DataFrame:
+    """Stand-in edits: three for each document, made from its own columns."""
+    sized = docs.select("doc_id", "lang", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
+    return sized.selectExpr("doc_id", """stack(3,
+        0, n div 3, n div 3 + 7, source,
+        1, 2 * (n div 3), 2 * (n div 3), concat(' ', lang, "'s "),
+        2, 0L, 1L, '') as (seq, start, stop, replacement)""")
+
+
+def op7_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after its edits."""
+    docs = table(spark, sf_dir, "documents")
+    return edit_counts.follow_edits(docs, edit_requests(docs))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents cut into pieces and packed into sequences of at most 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
@@ -69,9 +90,18 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.link_components(table(spark, sf_dir, "documents"))
 
 
+def op10_piece_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in SentencePiece ids and back: their number, digests of both, and whether the text came back."""
+    docs = table(spark, sf_dir, "documents")
+    back = piece_match.decode_ids(piece_match.encode_texts(docs))
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"),
+                       F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+                       F.sha2("text", 256).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-    op2_one_bit_neighbours, op3_scaled_sketch, op4_secret_scan, op5_language_id, op6_substring_dedup, op8_packing,
-    op9_ngram_jaccard_join)}
+        op1_chat_collapse, op2_one_bit_neighbours, op3_scaled_sketch, op4_secret_scan, op5_language_id,
+        op6_substring_dedup, op7_edit_counts, op8_packing, op9_ngram_jaccard_join, op10_piece_match)}
 
 ORACLES: dict[str, str] = {}
