@@ -155,9 +155,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, bound: float = ERROR_BOUND
     v = found.select("dim", F.col("block").alias("vb"))
     q = asked.select(F.col("dim"), F.col("block").alias("qb"))
     pairs = v.join(q, "dim")
-    pairs = (pairs.join(found.drop("dim").withColumnRenamed("block", "vb"), "vb")
-             .join(asked.select(F.col("block").alias("qb"), F.col("ids").alias("q_ids"),
-                                F.col("vectors").alias("q_vectors")), "qb"))
+    # The last join deals by blocks of vectors, of which there are many more than blocks of queries.
+    pairs = (pairs.join(asked.select(F.col("block").alias("qb"), F.col("ids").alias("q_ids"),
+                                     F.col("vectors").alias("q_vectors")), "qb")
+             .join(found.drop("dim").withColumnRenamed("block", "vb"), "vb"))
     best = pairs.mapInArrow(lambda b: _search(b, k, bound), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
