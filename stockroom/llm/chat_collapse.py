@@ -18,10 +18,10 @@ are broken up by a space.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.scan import running_sums
+from ..session import cut_lineage
 
 SEGMENT_TURNS = 256
 # Fixed values of the template.
@@ -29,24 +29,62 @@ START, END, MARKER = "<|im_start|>", "<|im_end|>\n", "<|"
 _LANES = ["lane0", "lane1", "lane2", "lane3"]
 
 
-def _hashes() -> dict:
+def _lane_hashes() -> dict:
     """Four 32-bit hashes of a turn at its position; their sums stay far inside a long."""
     out = {}
     for i in range(2):
-        h = F.xxhash64(F.lit(1000 + i), "pos", "role", "text")
+        h = F.xxhash64(F.lit(1000 + i), "pos", "h0", "h1")
         out[f"lane{2 * i}"] = h.bitwiseAND(0xFFFFFFFF)
         out[f"lane{2 * i + 1}"] = F.shiftrightunsigned(h, 32)
     return out
 
 
-def prefixes(turns: DataFrame) -> DataFrame:
-    """Every distinct turn with its position and the hash of the beginning that ends with it (four lanes)."""
+def ordered_turns(turns: DataFrame) -> DataFrame:
+    """Every distinct turn once, dealt by ranges of (conv_id, turn, role, text): ``at`` follows that order, and
+    ``chunk`` is the range.  Checkpointed, as all that follows must see one dealing."""
+    n = max(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 1)
     rows = (turns.where("conv_id is not null and turn is not null")
             .select(F.col("conv_id").cast("long"), F.col("turn").cast("long"),
-                    F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct())
-    order = ["turn", "role", "text"]
-    numbered = running_sums(rows, ["conv_id"], order, {"pos": F.lit(1).cast("long")})
-    return running_sums(numbered, ["conv_id"], ["pos"], _hashes())
+                    F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
+    order = ["conv_id", "turn", "role", "text"]
+    dealt = rows.repartitionByRange(n, *order).distinct().sortWithinPartitions(*order)
+    return cut_lineage(dealt.withColumn("at", F.monotonically_increasing_id())
+                       .withColumn("chunk", F.spark_partition_id()))
+
+
+def _offsets(per_chunk: DataFrame, sums: list[str]) -> DataFrame:
+    """For each (conv_id, chunk), the sums over the conversation's earlier chunks."""
+    before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return per_chunk.select("conv_id", "chunk", *[
+        F.coalesce(F.sum(c).over(before), F.lit(0).cast("long")).alias(f"before_{c}") for c in sums])
+
+
+def _local():
+    return Window.partitionBy("conv_id", "chunk").orderBy("at")
+
+
+def with_positions(rows: DataFrame) -> DataFrame:
+    """``rows`` (conv_id, chunk, at, ...) with ``pos``, their place in the conversation from 1."""
+    counts = _offsets(rows.groupBy("conv_id", "chunk").agg(F.count("*").alias("n")), ["n"])
+    return (rows.withColumn("local", F.row_number().over(_local()).cast("long")).join(counts, ["conv_id", "chunk"])
+            .withColumn("pos", F.col("before_n") + F.col("local")).drop("local", "before_n"))
+
+
+def prefixes(ordered: DataFrame) -> DataFrame:
+    """(conv_id, pos, lanes, own_lanes): each turn with the hash of the beginning that ends with it, and its own.
+
+    Only hashes of the texts move here.
+    """
+    rows = with_positions(ordered.select(
+        "conv_id", "chunk", "at", F.xxhash64(F.lit(1), "role", "text").alias("h0"),
+        F.xxhash64(F.lit(2), "text", "role").alias("h1")))
+    rows = rows.withColumns({f"own_{c}": h for c, h in _lane_hashes().items()})
+    sums = _offsets(rows.groupBy("conv_id", "chunk").agg(*[F.sum(f"own_{c}").alias(c) for c in _LANES]), _LANES)
+    running = _local().rowsBetween(Window.unboundedPreceding, 0)
+    return (rows.withColumns({f"sum_{c}": F.sum(f"own_{c}").over(running) for c in _LANES})
+            .join(sums, ["conv_id", "chunk"])
+            .select("conv_id", "pos", *[(F.col(f"before_{c}") + F.col(f"sum_{c}")).alias(c) for c in _LANES],
+                    *[f"own_{c}" for c in _LANES]))
 
 
 def maximal(rolled: DataFrame) -> DataFrame:
@@ -55,26 +93,25 @@ def maximal(rolled: DataFrame) -> DataFrame:
     kept = (whole.groupBy("whole").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
             .select("conv_id", "n_copies", "whole.*"))
     # A turn shows that what stands before it is a proper beginning.
-    before = [(F.col(c) - h).alias(c) for c, h in _hashes().items()]
+    before = [(F.col(c) - F.col(f"own_{c}")).alias(c) for c in _LANES]
     proper = rolled.where("pos > 1").select((F.col("pos") - 1).alias("pos"), *before).distinct()
     return (kept.join(proper, ["pos", *_LANES], "left_anti")
             .select("conv_id", F.col("pos").alias("n_turns"), "n_copies"))
 
 
-def render(rolled: DataFrame, kept: DataFrame, segment_turns: int = SEGMENT_TURNS) -> DataFrame:
+def render(ordered: DataFrame, kept: DataFrame, segment_turns: int = SEGMENT_TURNS) -> DataFrame:
     """(conv_id, segment, n_turns, n_copies, text): the conversations of ``kept`` in the template."""
     clean = {c: F.replace(F.col(c), F.lit(MARKER), F.lit("< |")) for c in ("role", "text")}
     line = F.concat(F.lit(START), clean["role"], F.lit("\n"), clean["text"], F.lit(END))
-    return (rolled.select("conv_id", "pos", line.alias("line"),
-                          F.floor((F.col("pos") - 1) / segment_turns).cast("int").alias("segment"))
+    rows = with_positions(ordered.join(kept.select("conv_id"), "conv_id", "left_semi"))
+    return (rows.select("conv_id", "pos", line.alias("line"),
+                        F.floor((F.col("pos") - 1) / segment_turns).cast("int").alias("segment"))
+            .groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
             .join(kept, "conv_id")
-            .groupBy("conv_id", "segment").agg(
-                F.first("n_turns").alias("n_turns"), F.first("n_copies").alias("n_copies"),
-                F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"))
             .select("conv_id", "segment", "n_turns", "n_copies", F.array_join(F.col("lines.line"), "").alias("text")))
 
 
 def format_chats(turns: DataFrame, segment_turns: int = SEGMENT_TURNS) -> DataFrame:
     """The maximal conversations of ``turns`` (conv_id, turn, role, text; other columns are not read), rendered."""
-    rolled = prefixes(turns)
-    return render(rolled, maximal(rolled), segment_turns)
+    ordered = ordered_turns(turns)
+    return render(ordered, cut_lineage(maximal(prefixes(ordered))), segment_turns)
