@@ -8,6 +8,7 @@ money parsing, date ranges and labels.
 from __future__ import annotations
 
 import datetime as _dt
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -92,19 +93,40 @@ def is_numeric_text(c: Column | str) -> Column:
     return c.rlike("^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$")
 
 
-def money(c: Column | str, precision: int = 18) -> Column:
-    """Round half-up to cents."""
-    return F.round(col_(c), 2).cast(f"decimal({precision},2)")
-
-
 def discount_pct(c: Column | str) -> Column:
-    """Discount percent: numeric text, else 0 (no range check, as on the server)."""
+    """Discount percent: numeric text, else 0 (no 0..100 check, as on the server); NULL if it is 1e8 or more."""
     c = col_(c)
-    return F.when(is_numeric_text(c), php_trim(c).try_cast("decimal(18,4)")) \
-        .otherwise(F.lit(0).cast("decimal(18,4)"))
+    return F.when(is_numeric_text(c), php_trim(c).try_cast("decimal(16,8)")) \
+        .otherwise(F.lit(0).cast("decimal(16,8)"))
+
+
+def whole_number(c: Column | str) -> Column:
+    """A whole number given as text in any numeric form ("5", "5.0", "1e1"); NULL if it is none or needs over 64 bits."""
+    value = php_trim(col_(c)).try_cast("decimal(38,10)")
+    return F.when(is_numeric_text(c) & (value == F.floor(value)), value.try_cast("bigint"))
+
+
+def subtotal(price: Column | str, quantity: Column | str) -> Column:
+    """Price x quantity in cents; NULL if it doesn't fit decimal(18,2)."""
+    return (col_(price) * col_(quantity)).try_cast("decimal(18,2)")
+
+
+def discounted(amount: Column, percent: Column, kind: str) -> Column:
+    """``amount`` less ``percent`` percent, rounded to cents; NULL if it doesn't fit ``kind``."""
+    return F.round(amount - amount * percent * F.lit(Decimal("0.01")), 2).try_cast(kind)
+
+
+def option_name(c: Column | str) -> Column:
+    """The name in an option label "name - price": what stands before the first dash, trimmed."""
+    return F.trim(F.element_at(F.split(col_(c), "-"), 1))
 
 
 # ---- dates ------------------------------------------------------------------
+def as_date(d: _dt.date | str | None) -> _dt.date | None:
+    """A date given as such or as form text ("2000-06-01"); empty text is none."""
+    return _dt.date.fromisoformat(d.strip()) if isinstance(d, str) and d.strip() else (d or None)
+
+
 def ts_lit(d: _dt.date | _dt.datetime, time: str = "00:00:00") -> Column:
     """A TIMESTAMP_NTZ literal (the tables store wall-clock timestamps)."""
     if isinstance(d, _dt.datetime):
@@ -152,9 +174,10 @@ def day_label(c: Column | str) -> Column:
     return F.date_format(col_(c), P.LABEL_DAY)
 
 
-def default_report_range(as_of: _dt.date) -> tuple[_dt.date, _dt.date]:
-    """Report range when none is given: first day of the as-of month through as_of."""
-    return as_of.replace(day=1), as_of
+def report_range(as_of: _dt.date, start: _dt.date | str | None = None,
+                 end: _dt.date | str | None = None) -> tuple[_dt.date, _dt.date]:
+    """The asked range; by default from the first day of the as-of month, and up to as_of."""
+    return as_date(start) or as_of.replace(day=1), as_date(end) or as_of
 
 
 def money_text(c: Column | str) -> Column:

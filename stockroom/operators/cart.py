@@ -51,12 +51,13 @@ def cart_episodes(events: DataFrame, products: DataFrame) -> CartState:
          .withColumn("is_add", F.col("action") == "add")
          .withColumn("is_reset", (F.col("action") == "remove")
                      | ((F.col("action") == "buy") & F.col("product_exists"))))
-    e = running_sums(e, KEYS, ORDER, {"episode": F.col("is_reset").cast("long")}, inclusive=False)
+    e = running_sums(e, KEYS, ORDER, {"episode": F.col("is_reset").cast("long"),
+                                      "adds_before": F.col("is_add").cast("long")}, inclusive=False)
     closer = F.struct(F.col("ts"), F.col("event_id"), F.col("action"))
     episodes = e.groupBy(*KEYS, "episode").agg(
         F.count_if("is_add").alias("adds"),
         F.sum(F.when(F.col("is_add"), F.col("quantity"))).alias("quantity"),
-        F.min(F.when(F.col("is_add"), F.struct("ts", "event_id"))).alias("first_add"),
+        F.min("adds_before").alias("adds_before"),
         F.max(F.when(F.col("is_reset"), closer)).alias("closer"))
     return CartState(e, episodes)
 
@@ -85,16 +86,23 @@ def cart_open(state: CartState) -> DataFrame:
 
 
 def cart_errors(state: CartState) -> DataFrame:
-    """Removes and buys that failed, with the reason."""
-    e = state.events.where(F.col("action").isin("remove", "buy"))
-    ep = state.episodes.select(*KEYS, "episode", "adds", "first_add")
-    j = e.join(ep, [*KEYS, "episode"])
-    has_entry = F.col("first_add").isNotNull() & (F.struct("ts", "event_id") > F.col("first_add"))
-    reason = (F.when(F.col("is_reset") & (F.col("adds") == 0), F.lit(NOT_IN_CART))
-              .when(~F.col("is_reset") & ~has_entry, F.lit(NOT_IN_CART))
-              .when(~F.col("is_reset"), F.lit(NO_SUCH_PRODUCT)))
-    return (j.withColumn("reason", reason).where(F.col("reason").isNotNull())
-            .select("event_id", "ts", *KEYS, "action", "reason"))
+    """Removes and buys that failed, with the reason.
+
+    An entry is in the cart at an event if its episode had an add before it:
+    the running count of adds there is above the count at the episode's start.
+    A reset closes its episode, so its figures are the episode's own.
+    """
+    closed = state.episodes.where(F.col("closer").isNotNull() & (F.col("adds") == 0)).select(
+        F.col("closer.event_id").alias("event_id"), F.col("closer.ts").alias("ts"), *KEYS,
+        F.col("closer.action").alias("action"), F.lit(NOT_IN_CART).alias("reason"))
+    # What is left are buys of products that don't exist: the only failed events that reset nothing.
+    failed = state.events.where((F.col("action") == "buy") & ~F.col("is_reset"))
+    start = state.episodes.select(*KEYS, "episode", F.col("adds_before").alias("_start"))
+    entry = F.col("adds_before") > F.col("_start")
+    kept = failed.join(start, [*KEYS, "episode"]).select(
+        "event_id", "ts", *KEYS, "action",
+        F.when(entry, F.lit(NO_SUCH_PRODUCT)).otherwise(F.lit(NOT_IN_CART)).alias("reason"))
+    return closed.unionByName(kept)
 
 
 def order_lines(open_entries: DataFrame, products: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Each job takes the current tables and a request DataFrame and returns the new
 rows / new table(s) together with a rejects frame (``request_id``,
-``reason``).  Nothing is updated in place: callers write the returned frames
-(append for new rows, overwrite for replaced tables).
+``reason``).  Nothing is updated in place: callers hand the returned frames to
+``sources.TableStore`` (``append`` for new rows, ``replace`` for whole tables).
 
 New ids are ``max(existing id) + n`` where n numbers the accepted requests in
 request order (``scan.number_rows``, no single-task global window).
@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import php_empty, php_floatval, php_trim, ts_lit
+from ..functions import php_empty, php_floatval, php_trim, ts_lit, whole_number
 from .scan import number_rows
 
 # ---- fixed values: reject reasons -------------------------------------------
@@ -47,8 +47,8 @@ def _next_ids(existing: DataFrame, id_col: str, accepted: DataFrame, out: str) -
 
 
 def _price(c) -> Column:
-    """PHP floatval of the text, stored with cents."""
-    return F.round(php_floatval(c).cast("decimal(38,10)"), 2).cast("decimal(12,2)")
+    """PHP floatval of the text, stored with cents; NULL if it doesn't fit the column."""
+    return F.round(php_floatval(c).try_cast("decimal(38,10)"), 2).try_cast("decimal(12,2)")
 
 
 def _product_fields(requests: DataFrame) -> DataFrame:
@@ -59,7 +59,8 @@ def _product_fields(requests: DataFrame) -> DataFrame:
 
 
 def _product_reason() -> Column:
-    return F.when(php_empty("_name") | php_empty("_cat") | (F.col("_price") <= 0), F.lit(INVALID_PRODUCT))
+    return F.when(php_empty("_name") | php_empty("_cat") | F.col("_price").isNull() | (F.col("_price") <= 0),
+                  F.lit(INVALID_PRODUCT))
 
 
 # ---- CHG-1 --------------------------------------------------------------------
@@ -188,7 +189,7 @@ def receive_stock(stock: DataFrame, links: DataFrame, products: DataFrame, suppl
     too (the source schema is unknown, so references are enforced here).  A
     missing date means ``as_of``.
     """
-    qty = php_trim("quantity").try_cast("bigint")
+    qty = whole_number("quantity")
     r = requests.select("request_id", F.col("product_id").alias("ProductID"),
                         F.col("supplier_id").alias("SupplierID"), qty.alias("QuantityAdded"),
                         F.coalesce(F.col("date_added"), ts_lit(as_of)).alias("DateAdded"))

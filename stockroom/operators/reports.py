@@ -18,7 +18,7 @@ from ..functions import (before_day_after, closed_range, count_text, date_lit, d
                          percent_text, since_days_before, with_month_pruning)
 from ..session import cut_lineage
 from .scan import number_rows
-from .topk import top_k_through
+from .topk import top_k_named
 
 
 def range_sales(sales: DataFrame, start: _dt.date, end: _dt.date) -> DataFrame:
@@ -46,8 +46,8 @@ def top_products_by_quantity(sales: DataFrame, products: DataFrame, k: int = P.T
                                          F.sum("TotalAmount").alias("TotalRevenue"))
     order = [F.desc("TotalQuantity"), F.asc("ProductID")]
     names = products.select("ProductID", "Name")
-    out = top_k_through(per, order, k, lambda c: c.join(names, "ProductID"))
-    return out.select("ProductID", "Name", "TotalQuantity", "TotalRevenue").orderBy(*order).limit(k)
+    out = top_k_named(per, order, k, {"ProductID": names})
+    return out.select("ProductID", "Name", "TotalQuantity", "TotalRevenue").orderBy(*order)
 
 
 def top_products_by_revenue(sales: DataFrame, products: DataFrame, start: _dt.date, end: _dt.date,
@@ -63,10 +63,10 @@ def top_products_by_revenue(sales: DataFrame, products: DataFrame, start: _dt.da
                                      F.sum("TotalAmount").alias("Revenue"))
     order = [F.desc("Revenue"), F.asc("ProductID")]
     names = products.select("ProductID", "Name")
-    out = top_k_through(per, order, k, lambda c: c.join(names, "ProductID"))
+    out = top_k_named(per, order, k, {"ProductID": names})
     return (out.withColumn("Percentage", F.round(F.try_divide(F.col("Revenue").cast("double"), total) * 100, 4))
             .select("ProductID", "Name", "TotalSold", "Revenue", "Percentage")
-            .orderBy(*order).limit(k))
+            .orderBy(*order))
 
 
 def _supplier_product_receipts(stock: DataFrame) -> DataFrame:
@@ -97,9 +97,8 @@ def top_suppliers(suppliers: DataFrame, stock: DataFrame, sales: DataFrame, star
     per = supplier_volume(stock, sales, start, end, fanned)
     order = [F.desc("TotalSupplied"), F.asc("SupplierID")]
     names = suppliers.select("SupplierID", F.col("Name").alias("SupplierName"))
-    out = top_k_through(per, order, k, lambda c: c.join(names, "SupplierID"))
-    return (out.select("SupplierID", "SupplierName", "ProductCount", "TotalSupplied")
-            .orderBy(*order).limit(k))
+    out = top_k_named(per, order, k, {"SupplierID": names})
+    return out.select("SupplierID", "SupplierName", "ProductCount", "TotalSupplied").orderBy(*order)
 
 
 def category_breakdown(sales: DataFrame, products: DataFrame, start: _dt.date, end: _dt.date) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..functions import (before_day_after, discount_pct, in_month_of, on_day, php_trim, since_days_before, ts_lit,
-                         with_month_pruning)
+from ..functions import (as_date, before_day_after, discount_pct, discounted, in_month_of, on_day, since_days_before,
+                         subtotal, ts_lit, whole_number, with_month_pruning)
 from .stock import levels
-from .topk import top_k_through
+from .topk import top_k_named
 
 
 def _kpi_windows(as_of: _dt.date):
@@ -72,7 +72,8 @@ def recent_activity(sales: DataFrame, stock: DataFrame, per_kind: int = P.FEED_B
 
 
 def _history_sales(sales: DataFrame, date_from=None, date_to=None, product=None) -> DataFrame:
-    s = with_month_pruning(sales, date_from or None, date_to or None)
+    date_from, date_to = as_date(date_from), as_date(date_to)
+    s = with_month_pruning(sales, date_from, date_to)
     for c in _history_filter(date_from, date_to, product):
         s = s.where(c)
     return s
@@ -80,9 +81,9 @@ def _history_sales(sales: DataFrame, date_from=None, date_to=None, product=None)
 
 def _history_filter(date_from=None, date_to=None, product=None):
     conds = []
-    if date_from not in (None, ""):
+    if date_from is not None:
         conds.append(F.col("SaleDate") >= ts_lit(date_from))
-    if date_to not in (None, ""):
+    if date_to is not None:
         conds.append(F.col("SaleDate") <= ts_lit(date_to, "23:59:59"))
     if product not in (None, "", "0", 0):
         conds.append(F.col("ProductID") == F.lit(int(product)))
@@ -93,34 +94,41 @@ def sales_history_rows(sales: DataFrame, products: DataFrame, users: DataFrame,
                        date_from=None, date_to=None, product=None) -> DataFrame:
     """Sales with product name, user name and today's unit price, optional filters applied.
 
-    Filters are the optional form fields; an empty value or "0" means absent
-    (PHP truthiness).  They are applied to ``sales`` before the joins, so they
+    Filters are the optional form fields, dates as such or as form text; an empty value or "0" means
+    absent (PHP truthiness).  They are applied to ``sales`` before the joins, so they
     reach the parquet scan.
     """
     return _attach_names(_history_sales(sales, date_from, date_to, product), products, users)
 
 
+_HISTORY_COLUMNS = ["SaleID", "ProductID", "QuantitySold", "SaleDate", "TotalAmount", "UserID",
+                    "ProductName", "Username", "UnitPrice"]
+
+
+def _names(products: DataFrame, users: DataFrame) -> dict[str, DataFrame]:
+    return {"ProductID": products.select("ProductID", F.col("Name").alias("ProductName"),
+                                         F.col("Price").alias("UnitPrice")),
+            "UserID": users.select("UserID", "Username")}
+
+
 def _attach_names(s: DataFrame, products: DataFrame, users: DataFrame) -> DataFrame:
-    p = products.select("ProductID", F.col("Name").alias("ProductName"), F.col("Price").alias("UnitPrice"))
-    u = users.select("UserID", "Username")
-    return (s.join(p, "ProductID").join(u, "UserID")
-            .select("SaleID", "ProductID", "QuantitySold", "SaleDate", "TotalAmount", "UserID",
-                    "ProductName", "Username", "UnitPrice"))
+    for key, table in _names(products, users).items():
+        s = s.join(table, key)
+    return s.select(_HISTORY_COLUMNS)
 
 
 def sales_history(sales: DataFrame, products: DataFrame, users: DataFrame, page: int = 1,
                   date_from=None, date_to=None, product=None, page_size: int = P.PAGE_SIZE) -> DataFrame:
     """One page of the sales history, newest first (ties: higher SaleID first).
 
-    Pages below 1 are clamped to 1.  The newest ``page * page_size`` sales are
-    picked before the name joins (``top_k_through``), so the sales table is
-    scanned once and not shuffled; the page is cut from that small set.
+    Pages below 1 are clamped to 1.  The page is cut from the newest ``page * page_size`` sales of
+    known products and users before their names are joined; it costs more the
+    deeper it lies, so a long walk should use ``sales_history_after``.
     """
     page = max(int(page), 1)
     order = [F.desc("SaleDate"), F.desc("SaleID")]
     s = _history_sales(sales, date_from, date_to, product)
-    need = page * page_size
-    rows = top_k_through(s, order, need, lambda c: _attach_names(c, products, users))
+    rows = top_k_named(s, order, page * page_size, _names(products, users)).select(_HISTORY_COLUMNS)
     return (rows.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
             .withColumn("SaleDateText", F.date_format("SaleDate", P.LABEL_DATETIME)))
 
@@ -138,8 +146,8 @@ def sales_history_after(sales: DataFrame, products: DataFrame, users: DataFrame,
     seen = ts_lit(last_seen_date)
     s = _history_sales(sales, date_from, date_to, product).where(
         (F.col("SaleDate") < seen) | ((F.col("SaleDate") == seen) & (F.col("SaleID") < last_seen_id)))
-    rows = top_k_through(s, order, page_size, lambda c: _attach_names(c, products, users))
-    return rows.orderBy(*order).limit(page_size)
+    return (top_k_named(s, order, page_size, _names(products, users)).select(_HISTORY_COLUMNS)
+            .orderBy(*order))
 
 
 def sales_page_count(sales: DataFrame, products: DataFrame | None = None, users: DataFrame | None = None,
@@ -156,33 +164,28 @@ def sales_page_count(sales: DataFrame, products: DataFrame | None = None, users:
     return rows.agg(F.ceil(F.count(F.lit(1)) / F.lit(page_size)).cast("bigint").alias("PageCount"))
 
 
-def whole_quantity(c) -> F.Column:
-    """Request quantity as a whole number of units, NULL when not a whole number."""
-    return php_trim(c).try_cast("bigint")
-
-
 def price_quote(requests: DataFrame, products: DataFrame, stock: DataFrame, sales: DataFrame) -> DataFrame:
     """Subtotal, discount and final amount for sale requests, with a stock-exceeded flag.
 
     ``final = price*qty - price*qty*discount/100``; a missing or non-numeric
     discount counts as 0 and no 0..100 range check is applied.  Amounts are
     exact decimals rounded half-up to cents at the end.  Only requests with a
-    whole positive quantity for an existing product get a quote.
+    whole positive quantity for an existing product get a quote; an amount
+    that is too large for its column is NULL, and so is what follows from it.
     """
     r = (requests.select("request_id", "ProductID", "Quantity", "Discount")
-         .withColumn("Qty", whole_quantity("Quantity"))
+         .withColumn("Qty", whole_number("Quantity"))
          .where(F.col("Qty") > 0))
-    lv = levels(stock, sales)
+    lv = levels(stock, sales, r.select("ProductID").distinct())
     avail = lv.select("ProductID", (F.coalesce("TotalAdded", F.lit(0)) - F.coalesce("TotalSold", F.lit(0)))
                       .alias("Available"))
     q = (r.join(products.select("ProductID", F.col("Price").alias("UnitPrice")), "ProductID")
          .join(avail, "ProductID", "left")
-         .withColumn("Subtotal", (F.col("UnitPrice") * F.col("Qty")).cast("decimal(18,2)"))
+         .withColumn("Subtotal", subtotal("UnitPrice", "Qty"))
          .withColumn("DiscountPct", discount_pct("Discount")))
-    disc_amt = F.col("Subtotal") * F.col("DiscountPct") * F.lit(Decimal("0.01"))
     return q.select(
         "request_id", "ProductID", F.col("Qty").alias("Quantity"), "UnitPrice", "Subtotal", "DiscountPct",
-        F.round(F.col("Subtotal") - disc_amt, 2).cast("decimal(18,2)").alias("FinalAmount"),
+        discounted(F.col("Subtotal"), F.col("DiscountPct"), "decimal(18,2)").alias("FinalAmount"),
         (F.col("Qty") > F.coalesce(F.col("Available"), F.lit(0))).alias("ExceedsStock"))
 
 
@@ -201,17 +204,17 @@ def price_preview(requests: DataFrame, products: DataFrame, stock: DataFrame, sa
     text has a fraction.  Every request for an existing product gets a
     preview; ``Blocked`` is the form's stock warning (quantity over net stock).
     """
-    lv = levels(stock, sales)
+    lv = levels(stock, sales, requests.select("ProductID").distinct())
     avail = lv.select("ProductID", (F.coalesce("TotalAdded", F.lit(0)) - F.coalesce("TotalSold", F.lit(0)))
                       .alias("Available"))
     q = (requests.select("request_id", "ProductID", js_parse_int("Quantity").alias("Qty"),
                          js_parse_int("Discount").alias("Disc"))
          .join(products.select("ProductID", F.col("Price").alias("UnitPrice")), "ProductID")
          .join(avail, "ProductID", "left")
-         .withColumn("Subtotal", (F.col("UnitPrice") * F.col("Qty")).cast("decimal(18,2)")))
+         .withColumn("Subtotal", subtotal("UnitPrice", "Qty")))
     disc_amt = F.col("Subtotal") * F.col("Disc") * F.lit(Decimal("0.01"))
     return q.select("request_id", "ProductID", F.col("Qty").alias("Quantity"), "Subtotal",
                     F.col("Disc").alias("DiscountPct"),
-                    F.round(disc_amt, 2).cast("decimal(18,2)").alias("DiscountAmount"),
-                    F.round(F.col("Subtotal") - disc_amt, 2).cast("decimal(18,2)").alias("FinalAmount"),
+                    F.round(disc_amt, 2).try_cast("decimal(18,2)").alias("DiscountAmount"),
+                    F.round(F.col("Subtotal") - disc_amt, 2).try_cast("decimal(18,2)").alias("FinalAmount"),
                     (F.col("Qty") > F.coalesce(F.col("Available"), F.lit(0))).alias("Blocked"))

@@ -31,16 +31,14 @@ requests are never moved; only lots that changed are joined to the stock table.
 from __future__ import annotations
 
 import heapq
-from decimal import Decimal
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import discount_pct
+from ..functions import discount_pct, discounted, subtotal, whole_number
 from ..session import cut_lineage
-from .sales import whole_quantity
 from .scan import number_rows, running_sums
 from .stock import stock_availability
 
@@ -48,6 +46,7 @@ from .stock import stock_availability
 INVALID_QUANTITY = "Invalid quantity specified"
 PRODUCT_NOT_FOUND = "Product not found"
 INSUFFICIENT_STOCK = "Insufficient stock"
+AMOUNT_OUT_OF_RANGE = "Amount out of range"
 NO_LOT = "Not enough stock available for this product."
 ORDER = ["ts", "request_id"]
 
@@ -103,19 +102,22 @@ def accept_in_order(pending: DataFrame, available: DataFrame) -> tuple[DataFrame
 def record_sales(products: DataFrame, stock: DataFrame, sales: DataFrame, requests: DataFrame) -> Recorded:
     """Validate and record a batch of sale requests in (ts, request_id) order.
 
-    Checks, in the application's order: whole quantity > 0, product exists,
+    Checks, in this order: whole quantity > 0, product exists, the amount fits
+    its column (one that doesn't could not be stored, and uses no stock), and
     net availability (received - sold - accepted earlier in this batch) covers
     the quantity.  Amount = price x quantity less the discount percent, rounded
     to cents.  Sale date = the request time; new SaleIDs follow the current
     maximum in request order.
     """
     r = requests.select("request_id", "ts", "ProductID", "Quantity", "Discount", "UserID") \
-        .withColumn("q", whole_quantity("Quantity"))
+        .withColumn("q", whole_number("Quantity"))
     p = products.select("ProductID", "Price", F.lit(True).alias("_known"))
     r = r.join(p, "ProductID", "left")
     reason0 = (F.when(F.col("q").isNull() | (F.col("q") <= 0), F.lit(INVALID_QUANTITY))
-               .when(F.col("_known").isNull(), F.lit(PRODUCT_NOT_FOUND)))
-    r = cut_lineage(r.withColumn("reason", reason0))
+               .when(F.col("_known").isNull(), F.lit(PRODUCT_NOT_FOUND))
+               .when(F.col("amount").isNull(), F.lit(AMOUNT_OUT_OF_RANGE)))
+    amount = discounted(subtotal("Price", "q"), discount_pct("Discount"), "decimal(14,2)")
+    r = cut_lineage(r.withColumn("amount", amount).withColumn("reason", reason0))
     valid = r.where(F.col("reason").isNull())
     avail = stock_availability(valid.select("ProductID"), stock, sales).select(
         "ProductID", F.col("Available").alias("s"))
@@ -124,12 +126,10 @@ def record_sales(products: DataFrame, stock: DataFrame, sales: DataFrame, reques
     rejects = (r.where(F.col("reason").isNotNull()).select("request_id", "reason")
                .unionByName(valid.join(ok_ids, "request_id", "left_anti")
                             .select("request_id", F.lit(INSUFFICIENT_STOCK).alias("reason"))))
-    subtotal = (F.col("Price") * F.col("q")).cast("decimal(18,2)")
-    amount = F.round(subtotal - subtotal * discount_pct("Discount") * F.lit(Decimal("0.01")), 2)
     top = sales.agg(F.coalesce(F.max("SaleID"), F.lit(0)).cast("long")).scalar()
     rows = number_rows(ok, ORDER, "SaleID", base=top)
     new_sales = rows.select("SaleID", "ProductID", F.col("q").alias("QuantitySold"), F.col("ts").alias("SaleDate"),
-                            amount.cast("decimal(14,2)").alias("TotalAmount"), "UserID", "request_id")
+                            F.col("amount").alias("TotalAmount"), "UserID", "request_id")
     return Recorded(new_sales, rejects, rounds)
 
 

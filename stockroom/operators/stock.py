@@ -21,25 +21,22 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import sale_form_status, stock_status
-from .topk import top_k_through
+from .topk import top_k_named
 
 
-def received_by_product(stock: DataFrame) -> DataFrame:
-    return stock.groupBy("ProductID").agg(F.sum("QuantityAdded").alias("TotalAdded"))
-
-
-def sold_by_product(sales: DataFrame) -> DataFrame:
-    return sales.groupBy("ProductID").agg(F.sum("QuantitySold").alias("TotalSold"))
-
-
-def levels(stock: DataFrame, sales: DataFrame | None) -> DataFrame:
+def levels(stock: DataFrame, sales: DataFrame | None, keys: DataFrame | None = None) -> DataFrame:
     """Per product: units received and (if ``sales`` given) units sold.
 
+    ``keys`` limits both big tables to its products before they are aggregated.
+
     Each side is aggregated on ProductID (partial aggregation map-side), and
     the two per-product results are joined on ProductID.  Both arrive hash
     partitioned on that key, so the join adds no shuffle; on tables bucketed
     by ProductID neither the aggregations nor the join shuffle at all.
     """
+    if keys is not None:
+        stock = stock.join(keys.select("ProductID"), "ProductID", "left_semi")
+        sales = None if sales is None else sales.join(keys.select("ProductID"), "ProductID", "left_semi")
     added = stock.groupBy("ProductID").agg(F.sum(F.col("QuantityAdded").cast("long")).alias("TotalAdded"))
     if sales is None:
         return added
@@ -47,8 +44,8 @@ def levels(stock: DataFrame, sales: DataFrame | None) -> DataFrame:
     return added.join(sold, "ProductID", "full")
 
 
-def _with_levels(keys: DataFrame, stock: DataFrame, sales: DataFrame | None) -> DataFrame:
-    out = keys.join(levels(stock, sales), "ProductID", "left") \
+def _with_levels(keys: DataFrame, stock: DataFrame, sales: DataFrame | None, only: bool = False) -> DataFrame:
+    out = keys.join(levels(stock, sales, keys if only else None), "ProductID", "left") \
         .withColumn("TotalAdded", F.coalesce("TotalAdded", F.lit(0).cast("bigint")))
     if sales is not None:
         out = out.withColumn("TotalSold", F.coalesce("TotalSold", F.lit(0).cast("bigint")))
@@ -107,7 +104,7 @@ def low_lot_count(stock: DataFrame, threshold: int = P.LOW_LOT_THRESHOLD) -> Dat
 def stock_availability(keys: DataFrame, stock: DataFrame, sales: DataFrame) -> DataFrame:
     """For each requested ProductID: units added, sold and available (zeros when none)."""
     keys = keys.select("ProductID").where(F.col("ProductID").isNotNull()).distinct()
-    return (_with_levels(keys, stock, sales)
+    return (_with_levels(keys, stock, sales, only=True)
             .withColumn("Available", F.col("TotalAdded") - F.col("TotalSold"))
             .select("ProductID", "TotalAdded", "TotalSold", "Available"))
 
@@ -115,7 +112,7 @@ def stock_availability(keys: DataFrame, stock: DataFrame, sales: DataFrame) -> D
 def gross_stock(keys: DataFrame, stock: DataFrame) -> DataFrame:
     """For each requested ProductID: sum of its receipt lots, 0 when none."""
     keys = keys.select("ProductID").where(F.col("ProductID").isNotNull()).distinct()
-    return _with_levels(keys, stock, None).withColumnRenamed("TotalAdded", "GrossStock")
+    return _with_levels(keys, stock, None, only=True).withColumnRenamed("TotalAdded", "GrossStock")
 
 
 def stock_by_supplier(stock: DataFrame, products: DataFrame, suppliers: DataFrame) -> DataFrame:
@@ -132,19 +129,19 @@ def recent_receipts(stock: DataFrame, products: DataFrame, suppliers: DataFrame,
                     k: int = P.RECENT_RECEIPTS) -> DataFrame:
     """The ``k`` newest receipt lots with product and supplier names.
 
-    Ties on the date are broken by StockID (newest id first).  The newest
-    lots are picked before the name joins (``top_k_through``), so the stock
-    table is scanned once and never shuffled.
+    Ties on the date are broken by StockID (newest id first).
     """
-    order = [F.desc("DateAdded"), F.desc("StockID")]
+    return (_newest_lots(stock, products, suppliers, k)
+            .select("StockID", "ProductName", "SupplierName", "QuantityAdded", "DateAdded"))
 
-    def attach(lots: DataFrame) -> DataFrame:
-        return (lots.join(products.select("ProductID", F.col("Name").alias("ProductName")), "ProductID")
-                .join(suppliers.select("SupplierID", F.col("Name").alias("SupplierName")), "SupplierID")
-                .select("StockID", "ProductName", "SupplierName", "QuantityAdded", "DateAdded"))
 
+def _newest_lots(stock: DataFrame, products: DataFrame, suppliers: DataFrame, k: int) -> DataFrame:
+    """The ``k`` newest lots of known products and suppliers, with both names, newest first."""
+    order = [F.desc("DateAdded"), F.desc("StockID")]
     base = stock.select("StockID", "ProductID", "SupplierID", "QuantityAdded", "DateAdded")
-    return top_k_through(base, order, k, attach).orderBy(*order).limit(k)
+    return top_k_named(base, order, k, {
+        "ProductID": products.select("ProductID", F.col("Name").alias("ProductName")),
+        "SupplierID": suppliers.select("SupplierID", F.col("Name").alias("SupplierName"))}).orderBy(*order)
 
 
 def largest_lot(stock: DataFrame, quantity: int) -> DataFrame:
@@ -165,14 +162,7 @@ def largest_lot(stock: DataFrame, quantity: int) -> DataFrame:
 def report_recent_stock(stock: DataFrame, products: DataFrame, suppliers: DataFrame,
                         k: int = P.RECENT_RECEIPTS) -> DataFrame:
     """The report page's "recent stock additions": the lot's columns, both names, display texts."""
-    order = [F.desc("DateAdded"), F.desc("StockID")]
-
-    def attach(lots: DataFrame) -> DataFrame:
-        return (lots.join(products.select("ProductID", F.col("Name").alias("ProductName")), "ProductID")
-                .join(suppliers.select("SupplierID", F.col("Name").alias("SupplierName")), "SupplierID"))
-
-    base = stock.select("StockID", "ProductID", "SupplierID", "QuantityAdded", "DateAdded")
-    return (top_k_through(base, order, k, attach).orderBy(*order).limit(k)
+    return (_newest_lots(stock, products, suppliers, k)
             .select("StockID", "ProductID", "SupplierID", "QuantityAdded", "DateAdded", "ProductName",
                     "SupplierName", F.date_format("DateAdded", P.LABEL_DATE).alias("DateText"),
                     F.format_number("QuantityAdded", 0).alias("QuantityText")))

@@ -1,44 +1,25 @@
-"""Exact top-k over inner joins without joining the whole table.
+"""Top-k rows that have their references, with the names of those references.
 
-``top_k_through(base, order, need, attach)`` returns ``attach(candidates)``
-where the candidates are the first m rows of ``base`` in ``order``, and m is
-grown until at least ``need`` rows survive ``attach``.  ``attach`` may only
-drop or widen rows (inner joins to other tables, filters); ``order`` must be
-a total order on ``base`` (end it with a unique id).  Then every row of
-``attach(base)`` that belongs in the first ``need`` comes from a candidate,
-so the result is exact.  With complete references the first try succeeds,
-and the big table is never shuffled: only m rows meet the joined tables.
+``top_k_named`` first keeps the rows whose keys exist in every referenced table
+(left-semi joins on the keys alone), then takes the first ``k`` in ``order``
+(``TakeOrderedAndProject``), and only then joins the k rows to the names.  It is
+one lazy plan: nothing is counted, checkpointed or tried again, and rows without
+a reference never stand in the way of later ones.
 """
 
 from __future__ import annotations
 
-from typing import Callable
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..session import cut_lineage
 
-# Candidate sets up to this many rows are broadcast to the joins (size bound
-# is the row count we chose, not the data).
-BROADCAST_ROWS = 100_000
 
+def top_k_named(base: DataFrame, order: list, k: int, names: dict[str, DataFrame]) -> DataFrame:
+    """The first ``k`` rows of ``base`` joined to every table of ``names`` (key column -> table), unordered.
 
-def top_k_through(base: DataFrame, order: list, need: int, attach: Callable[[DataFrame], DataFrame],
-                  growth: int = 4) -> DataFrame:
-    if need <= 0:
-        return attach(base.limit(0))
-    m = need
-    total = None
-    while True:
-        cand = base.orderBy(*order).limit(m)
-        side = F.broadcast(cand) if m <= BROADCAST_ROWS else cand
-        # One job picks the candidates and joins them; the (small) result is
-        # checkpointed so counting and the caller's final sort read it back.
-        out = cut_lineage(attach(side))
-        if out.count() >= need:
-            return out
-        total = base.count() if total is None else total
-        if m >= total:
-            return out
-        m *= growth
+    ``order`` must be a total order on ``base`` (end it with a unique id), and keys unique in their tables.
+    """
+    for key, table in names.items():
+        base = base.join(table.select(key), key, "left_semi")
+    top = base.orderBy(*order).limit(k)
+    for key, table in names.items():
+        top = top.join(table, key)
+    return top

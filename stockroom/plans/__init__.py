@@ -2,18 +2,6 @@
 
 from __future__ import annotations
 
-from . import q_stock  # noqa: F401  (registers queries)
+# Importing a module registers its queries, in this order.
+from . import q_stock, q_sales, q_parties, q_cart, q_changes, q_sequential, q_sinks, q_stream, q_store  # noqa: F401, I001
 from .registry import REGISTRY, Query, query  # noqa: F401
-
-
-def _load_all() -> None:
-    import importlib
-    for mod in ("q_sales", "q_parties", "q_cart", "q_changes", "q_sequential", "q_sinks", "q_stream"):
-        try:
-            importlib.import_module(f"{__name__}.{mod}")
-        except ModuleNotFoundError as exc:  # module not written yet
-            if exc.name != f"{__name__}.{mod}":
-                raise
-
-
-_load_all()

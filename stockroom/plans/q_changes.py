@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from ..operators import cart as C
 from ..operators import changes as X
 from ..operators import stock as S
+from .oracle import whole
 from .q_cart import _CART
 from .registry import query
 
-_PRICE = ("CAST(ROUND(CAST(COALESCE(TRY_CAST(NULLIF(regexp_extract(ltrim(price), "
+_PRICE = ("TRY_CAST(ROUND(TRY_CAST(COALESCE(TRY_CAST(NULLIF(regexp_extract(ltrim(price), "
           "'^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?', 0), '') AS DOUBLE), 0) "
           "AS DECIMAL(38,10)), 2) AS DECIMAL(12,2))")
 _EMPTY = "({c} IS NULL OR {c} IN ('', '0'))"
-_BAD_PRODUCT = (f"({_EMPTY.format(c='_name')} OR {_EMPTY.format(c='_cat')} OR _price <= 0)")
+_BAD_PRODUCT = (f"({_EMPTY.format(c='_name')} OR {_EMPTY.format(c='_cat')} OR _price IS NULL OR _price <= 0)")
 
 _INTAKE = f"""
 req AS (
@@ -42,7 +43,7 @@ def q_product_intake_rejects(t):
     return X.product_intake(t.products, t.product_requests).rejects
 
 
-_EDITS = f"""
+EDITS = f"""
 ed AS (
   SELECT ProductID, request_id, trim(product_name) AS _name, trim(category) AS _cat, {_PRICE} AS _price,
          trim(description) AS _desc,
@@ -56,14 +57,17 @@ last AS (
 """
 
 
-@query("product_upsert", """
+UPSERTED = """
 SELECT p.ProductID,
        CASE WHEN l.ProductID IS NULL THEN p.Name ELSE l._name END AS Name,
        CASE WHEN l.ProductID IS NULL THEN p.Category ELSE l._cat END AS Category,
        CASE WHEN l.ProductID IS NULL THEN p.Price ELSE l._price END AS Price,
        CASE WHEN l.ProductID IS NULL THEN p.Description ELSE l._desc END AS Description
 FROM products p LEFT JOIN last l ON p.ProductID = l.ProductID
-""", extra_ctes=_EDITS)
+"""
+
+
+@query("product_upsert", UPSERTED, extra_ctes=EDITS)
 def q_product_upsert(t):
     """Products table after applying the edits (last valid edit per id wins)."""
     return X.product_upsert(t.products, t.product_edits).accepted
@@ -72,7 +76,7 @@ def q_product_upsert(t):
 @query("product_upsert_rejects", f"""
 SELECT request_id, CASE WHEN NOT known THEN 'product not found' ELSE 'invalid product fields' END AS reason
 FROM ed WHERE NOT known OR {_BAD_PRODUCT}
-""", extra_ctes=_EDITS)
+""", extra_ctes=EDITS)
 def q_product_upsert_rejects(t):
     """Edits rejected: unknown product id or invalid fields."""
     return X.product_upsert(t.products, t.product_edits).rejects
@@ -241,10 +245,10 @@ def q_unlink_suppliers(t):
 
 
 # ---- stock receipts -----------------------------------------------------------
-_RCV = """
+RECEIVED = f"""
 rq AS (
   SELECT r.request_id, r.product_id AS ProductID, r.supplier_id AS SupplierID,
-         TRY_CAST(trim(r.quantity) AS BIGINT) AS QuantityAdded,
+         {whole('r.quantity')} AS QuantityAdded,
          COALESCE(r.date_added, TIMESTAMP '2000-06-15 00:00:00') AS DateAdded,
          p.ProductID IS NOT NULL AS pk, s.SupplierID IS NOT NULL AS sk
   FROM receipt_requests r
@@ -262,7 +266,7 @@ rq2 AS (
 SELECT (SELECT COALESCE(MAX(StockID), 0) FROM stock) + row_number() OVER (ORDER BY request_id) AS StockID,
        ProductID, SupplierID, QuantityAdded, DateAdded, request_id
 FROM rq2 WHERE reason IS NULL
-""", extra_ctes=_RCV)
+""", extra_ctes=RECEIVED)
 def q_receive_stock(t):
     """New stock lots from valid receipt requests."""
     return X.receive_stock(t.stock, t.supplier_products, t.products, t.suppliers, t.receipt_requests,
@@ -272,14 +276,14 @@ def q_receive_stock(t):
 @query("receive_stock_links", """
 SELECT DISTINCT SupplierID, ProductID FROM rq2 r WHERE reason IS NULL
 AND NOT EXISTS (SELECT 1 FROM supplier_products sp WHERE sp.SupplierID = r.SupplierID AND sp.ProductID = r.ProductID)
-""", extra_ctes=_RCV)
+""", extra_ctes=RECEIVED)
 def q_receive_stock_links(t):
     """Supplier-product links created by the receipts."""
     return X.receive_stock(t.stock, t.supplier_products, t.products, t.suppliers, t.receipt_requests,
                            t.params.as_of).links
 
 
-@query("receive_stock_rejects", "SELECT request_id, reason FROM rq2 WHERE reason IS NOT NULL", extra_ctes=_RCV)
+@query("receive_stock_rejects", "SELECT request_id, reason FROM rq2 WHERE reason IS NOT NULL", extra_ctes=RECEIVED)
 def q_receive_stock_rejects(t):
     """Receipt requests rejected, with the reason."""
     return X.receive_stock(t.stock, t.supplier_products, t.products, t.suppliers, t.receipt_requests,

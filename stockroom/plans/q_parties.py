@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from ..operators import parties as PT
+from pyspark.sql import functions as F
+
+from .. import params as P
+from ..functions import option_name
 from ..operators import stock as S
+from .q_stock import RECEIPTS
 from .registry import query
 
-_SUPPLIER_TEXT = """
-CASE WHEN ContactInfo IS NULL OR ContactInfo IN ('', '0') THEN '-' ELSE ContactInfo END AS ContactText,
-CASE WHEN Email IS NULL OR Email IN ('', '0') THEN '-' ELSE Email END AS EmailText,
-CASE WHEN Phone IS NULL OR Phone IN ('', '0') THEN '-' ELSE Phone END AS PhoneText
-"""
+def _shown(c, default):
+    """Oracle of a display default: empty text (also "0") shows as the default."""
+    return f"COALESCE(NULLIF(NULLIF({c}, ''), '0'), '{default}')"
+
+
+_SUPPLIER_TEXT = ", ".join(f"{_shown(c, P.DASH)} AS {a}" for c, a in (
+    ("ContactInfo", "ContactText"), ("Email", "EmailText"), ("Phone", "PhoneText")))
 
 
 @query("product_list", "SELECT * FROM products ORDER BY ProductID")
@@ -81,19 +88,20 @@ def q_user_roles(t):
 
 
 @query("product_suppliers", f"""
-SELECT sp.ProductID, s.SupplierID, s.Name, s.ContactInfo, s.Email, s.Phone, {_SUPPLIER_TEXT}
-FROM suppliers s JOIN supplier_products sp ON s.SupplierID = sp.SupplierID
-WHERE sp.ProductID IN (SELECT ProductID FROM products)
+SELECT ProductID, SupplierID, Name, ContactInfo, Email, Phone, {_SUPPLIER_TEXT}
+FROM (FROM supplier_products SEMI JOIN products USING (ProductID)) pairs NATURAL JOIN suppliers
 """)
 def q_product_suppliers(t):
     """Every product's linked suppliers (bridge join over the whole link table)."""
     return PT.product_suppliers(t.products, t.suppliers, t.supplier_products)
 
 
-@query("available_suppliers", """
-SELECT *, Name || ' (' || CASE WHEN Email IS NULL OR Email IN ('', '0') THEN 'No email' ELSE Email END || ')'
-          AS OptionText
-FROM suppliers WHERE SupplierID NOT IN (SELECT SupplierID FROM supplier_products WHERE ProductID = 7)
+@query("available_suppliers", f"""
+SELECT suppliers.*, Name || ' (' || {_shown('Email', P.NO_EMAIL)} || ')' AS OptionText
+FROM suppliers, linked WHERE unknown = 0 AND NOT list_contains(COALESCE(ids, []), SupplierID)
+""", extra_ctes="""
+linked AS (SELECT COUNT(*) FILTER (WHERE SupplierID IS NULL) AS unknown, list(SupplierID) AS ids
+           FROM supplier_products WHERE ProductID = 7)
 """)
 def q_available_suppliers(t):
     """Suppliers not yet linked to product 7 (null-aware NOT IN)."""
@@ -167,12 +175,9 @@ _RECEIPT_CELLS = ["StockID", "ProductName", "SupplierName", "QuantityAdded", "Da
 
 
 @query("receipt_search", f"""
-SELECT * FROM (
-  SELECT s.StockID, p.Name AS ProductName, sup.Name AS SupplierName, s.QuantityAdded, s.DateAdded
-  FROM stock s JOIN products p ON s.ProductID = p.ProductID JOIN suppliers sup ON s.SupplierID = sup.SupplierID
-  ORDER BY s.DateAdded DESC, s.StockID DESC LIMIT 10) r
+SELECT * FROM (SELECT * EXCLUDE (ProductID, SupplierID) FROM newest) r
 WHERE {_sql_any_contains(_RECEIPT_CELLS, 'bolt')}
-""")
+""", extra_ctes=RECEIPTS)
 def q_receipt_search(t):
     """Latest-receipt rows whose displayed text contains "bolt"."""
     return PT.search_rows(S.recent_receipts(t.stock, t.products, t.suppliers), t.params.receipt_search_term,
@@ -200,3 +205,12 @@ def q_supplier_stock_search(t):
 def q_product_list_desc(t):
     """All products, newest id first (the listing shown after a write)."""
     return PT.product_list(t.products, descending=True)
+
+
+@query("sale_option_names", """
+SELECT ProductID, trim(string_split(Name || ' - $' || CAST(Price AS VARCHAR), '-')[1]) AS OptionName FROM products
+""")
+def q_sale_option_names(t):
+    """The product name read back from each sale-form option label ("name - $price")."""
+    label = F.concat("Name", F.lit(" - $"), F.col("Price").cast("string"))
+    return t.products.select("ProductID", option_name(label).alias("OptionName"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from ..functions import report_range
 from ..operators import reports as R
 from ..operators import sales as S
+from .oracle import amount, percent, whole
 from .registry import query
 
 # Oracle fragments with the fixed run parameters (as_of 2000-06-15, report
@@ -66,15 +68,15 @@ def q_sales_count(t):
 
 
 @query("recent_activity", """
-SELECT ActivityType, ActivityDate, Details, strftime(ActivityDate, '%m/%d/%Y %H:%M') AS DateText FROM (
-  (SELECT 'Sale' AS ActivityType, SaleDate AS ActivityDate,
-          'Sold ' || CAST(QuantitySold AS VARCHAR) || ' of product #' || CAST(ProductID AS VARCHAR) AS Details
-   FROM sales ORDER BY ActivityDate DESC, Details LIMIT 3)
-  UNION
-  (SELECT 'Stock' AS ActivityType, DateAdded AS ActivityDate,
-          'Added ' || CAST(QuantityAdded AS VARCHAR) || ' to product #' || CAST(ProductID AS VARCHAR) AS Details
-   FROM stock ORDER BY ActivityDate DESC, Details LIMIT 3)) u
-ORDER BY ActivityDate DESC, ActivityType, Details LIMIT 5
+SELECT ActivityType, ActivityDate, Details, strftime(ActivityDate, '%m/%d/%Y %H:%M') AS DateText
+FROM (SELECT DISTINCT ActivityType, ActivityDate, Details FROM (
+        SELECT *, row_number() OVER (PARTITION BY ActivityType ORDER BY ActivityDate DESC, Details) AS place FROM (
+          SELECT 'Sale' AS ActivityType, SaleDate AS ActivityDate,
+                 format('Sold {} of product #{}', QuantitySold, ProductID) AS Details FROM sales
+          UNION ALL
+          SELECT 'Stock', DateAdded, format('Added {} to product #{}', QuantityAdded, ProductID) FROM stock) e) p
+      WHERE place <= 3) f
+QUALIFY row_number() OVER (ORDER BY ActivityDate DESC, ActivityType, Details) <= 5
 """)
 def q_recent_activity(t):
     """Newest 3 sales and newest 3 receipts merged into a 5-line feed."""
@@ -100,6 +102,17 @@ def q_sales_history(t):
                            date_from=p.report_start, date_to=p.report_end)
 
 
+@query("sales_history_form", f"""
+SELECT *, strftime(SaleDate, '%b %d, %Y %H:%M') AS SaleDateText FROM ({_HISTORY}) h
+WHERE ProductID = 7
+ORDER BY SaleDate DESC, SaleID DESC LIMIT 10
+""")
+def q_sales_history_form(t):
+    """Page 1 of the history with every filter given as form text."""
+    return S.sales_history(t.sales, t.products, t.users, page=0, date_from="2000-06-01", date_to="2000-06-15",
+                           product="7")
+
+
 @query("sales_page_count", "SELECT CAST(CEIL(COUNT(*) / 10) AS BIGINT) AS PageCount FROM sales")
 def q_sales_page_count(t):
     """History page count as the application computes it (ignores the filters)."""
@@ -114,15 +127,12 @@ def q_sales_page_count_filtered(t):
                               date_from=p.report_start, date_to=p.report_end)
 
 
-@query("price_quote", """
+@query("price_quote", f"""
 SELECT r.request_id, r.ProductID, r.Qty AS Quantity, p.Price AS UnitPrice,
-       CAST(p.Price * r.Qty AS DECIMAL(18,2)) AS Subtotal, r.DiscountPct,
-       CAST(ROUND(CAST(p.Price * r.Qty AS DECIMAL(18,2))
-                  - CAST(p.Price * r.Qty AS DECIMAL(18,2)) * r.DiscountPct * 0.01, 2) AS DECIMAL(18,2)) AS FinalAmount,
+       TRY_CAST(p.Price * r.Qty AS DECIMAL(18,2)) AS Subtotal, r.DiscountPct,
+       {amount('p.Price', 'r.Qty', 'r.DiscountPct', 18)} AS FinalAmount,
        r.Qty > COALESCE(a.TotalAdded, 0) - COALESCE(s.TotalSold, 0) AS ExceedsStock
-FROM (SELECT request_id, ProductID, TRY_CAST(trim(Quantity) AS BIGINT) AS Qty,
-             CASE WHEN regexp_full_match(trim(Discount), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?')
-                  THEN TRY_CAST(trim(Discount) AS DECIMAL(18,4)) ELSE CAST(0 AS DECIMAL(18,4)) END AS DiscountPct
+FROM (SELECT request_id, ProductID, {whole('Quantity')} AS Qty, {percent('Discount')} AS DiscountPct
       FROM sale_requests) r
 JOIN products p ON r.ProductID = p.ProductID
 LEFT JOIN (SELECT ProductID, SUM(QuantityAdded) AS TotalAdded FROM stock GROUP BY ProductID) a ON r.ProductID = a.ProductID
@@ -145,6 +155,16 @@ def q_report_totals(t):
     return R.report_totals(t.sales, t.params.report_start, t.params.report_end)
 
 
+@query("report_totals_default", f"""
+SELECT COALESCE(SUM(TotalAmount), 0) AS TotalRevenue, CAST(COALESCE(SUM(QuantitySold), 0) AS BIGINT) AS TotalItems,
+       15 AS Days, ROUND(CAST(COALESCE(SUM(TotalAmount), 0) AS DOUBLE) / 15.0, 4) AS DailyAverage
+FROM sales WHERE {_RANGE}
+""")
+def q_report_totals_default(t):
+    """Totals over the range that a report has when none is asked for: the as-of month up to as_of."""
+    return R.report_totals(t.sales, *report_range(t.params.as_of))
+
+
 @query("top_products_by_quantity", """
 SELECT x.ProductID, p.Name, x.TotalQuantity, x.TotalRevenue
 FROM (SELECT ProductID, CAST(SUM(QuantitySold) AS BIGINT) AS TotalQuantity, SUM(TotalAmount) AS TotalRevenue
@@ -170,24 +190,26 @@ def q_top_products_by_revenue(t):
     return R.top_products_by_revenue(t.sales, t.products, t.params.report_start, t.params.report_end)
 
 
-_TOP_SUPPLIERS_LITERAL = f"""
-SELECT sup.SupplierID, sup.Name AS SupplierName, COUNT(DISTINCT s.ProductID) AS ProductCount,
-       CAST(SUM(st.QuantityAdded) AS BIGINT) AS TotalSupplied
-FROM suppliers sup JOIN stock st ON sup.SupplierID = st.SupplierID
-JOIN sales s ON s.ProductID = st.ProductID
-WHERE s.{{rng}}
-GROUP BY sup.SupplierID, sup.Name
-ORDER BY TotalSupplied DESC, sup.SupplierID LIMIT 5
+# A receipt counts once for each sale of its product in the range.
+_MOVED = """
+hits AS (SELECT ProductID, COUNT(*) AS n FROM sales WHERE {rng} GROUP BY ProductID),
+moved AS (SELECT SupplierID, COUNT(DISTINCT ProductID) AS ProductCount,
+                 CAST(SUM(QuantityAdded * n) AS BIGINT) AS TotalSupplied
+          FROM stock NATURAL JOIN hits GROUP BY SupplierID)
+"""
+_TOP_SUPPLIERS = """
+SELECT SupplierID, Name AS SupplierName, ProductCount, TotalSupplied FROM moved NATURAL JOIN suppliers
+QUALIFY row_number() OVER (ORDER BY TotalSupplied DESC, SupplierID) <= 5
 """
 
 
-@query("top_suppliers", _TOP_SUPPLIERS_LITERAL.format(rng=_RANGE))
+@query("top_suppliers", _TOP_SUPPLIERS, extra_ctes=_MOVED.format(rng=_RANGE))
 def q_top_suppliers(t):
     """Five suppliers with the most units supplied for products sold in the range (fan-out figure)."""
     return R.top_suppliers(t.suppliers, t.stock, t.sales, t.params.report_start, t.params.report_end)
 
 
-@query("top_suppliers_long_range", _TOP_SUPPLIERS_LITERAL.format(rng=_LONG))
+@query("top_suppliers_long_range", _TOP_SUPPLIERS, extra_ctes=_MOVED.format(rng=_LONG))
 def q_top_suppliers_long_range(t):
     """The fan-out supplier ranking over the whole 1995-2001 range."""
     return R.top_suppliers(t.suppliers, t.stock, t.sales, t.params.long_start, t.params.long_end)
@@ -264,11 +286,11 @@ def q_sales_trend_binned(t):
 
 
 @query("price_preview", """
-SELECT r.request_id, r.ProductID, r.Qty AS Quantity, CAST(p.Price * r.Qty AS DECIMAL(18,2)) AS Subtotal,
+SELECT r.request_id, r.ProductID, r.Qty AS Quantity, TRY_CAST(p.Price * r.Qty AS DECIMAL(18,2)) AS Subtotal,
        r.Disc AS DiscountPct,
-       CAST(ROUND(CAST(p.Price * r.Qty AS DECIMAL(18,2)) * r.Disc * 0.01, 2) AS DECIMAL(18,2)) AS DiscountAmount,
-       CAST(ROUND(CAST(p.Price * r.Qty AS DECIMAL(18,2))
-                  - CAST(p.Price * r.Qty AS DECIMAL(18,2)) * r.Disc * 0.01, 2) AS DECIMAL(18,2)) AS FinalAmount,
+       TRY_CAST(ROUND(TRY_CAST(p.Price * r.Qty AS DECIMAL(18,2)) * r.Disc * 0.01, 2) AS DECIMAL(18,2)) AS DiscountAmount,
+       TRY_CAST(ROUND(TRY_CAST(p.Price * r.Qty AS DECIMAL(18,2))
+                  - TRY_CAST(p.Price * r.Qty AS DECIMAL(18,2)) * r.Disc * 0.01, 2) AS DECIMAL(18,2)) AS FinalAmount,
        r.Qty > COALESCE(a.TotalAdded, 0) - COALESCE(s.TotalSold, 0) AS Blocked
 FROM (SELECT request_id, ProductID,
              COALESCE(TRY_CAST(NULLIF(regexp_extract(ltrim(COALESCE(Quantity, '')), '^[+-]?[0-9]+', 0), '')
@@ -317,13 +339,13 @@ def q_top_products_text(t):
 @query("sales_history_after", f"""
 SELECT * FROM ({_HISTORY}) h
 WHERE SaleDate < TIMESTAMP '2000-06-10 00:00:00'
-   OR (SaleDate = TIMESTAMP '2000-06-10 00:00:00' AND SaleID < 5000000)
+   OR (SaleDate = TIMESTAMP '2000-06-10 00:00:00' AND SaleID < 5000000000000)
 ORDER BY SaleDate DESC, SaleID DESC LIMIT 10
 """)
 def q_sales_history_after(t):
-    """The history page after the row (2000-06-10, SaleID 5000000), keyset paging in the report range."""
+    """The history page after the row (2000-06-10, SaleID 5000000000000), keyset paging in the report range."""
     import datetime as _dt
 
     p = t.params
-    return S.sales_history_after(t.sales, t.products, t.users, _dt.datetime(2000, 6, 10), 5_000_000,
+    return S.sales_history_after(t.sales, t.products, t.users, _dt.datetime(2000, 6, 10), 5_000_000_000_000,
                                  date_from=p.report_start, date_to=p.report_end)

@@ -1,10 +1,11 @@
-"""Registered order-dependent jobs (no SQL oracle: checked against a Python loop in tests)."""
+"""Registered order-dependent jobs (also checked against a Python loop in tests)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import sequential as Q
+from .oracle import amount, percent, whole
 from .registry import query
 
 
@@ -14,12 +15,13 @@ def _recorded(t):
 
 # The oracle folds each product's valid requests in order with a recursive
 # CTE (one step per request), independent of the Spark rounds algorithm.
-_FOLD = """
-r0 AS (SELECT request_id, ts, ProductID, TRY_CAST(trim(Quantity) AS BIGINT) AS q, Discount, UserID
+FOLD = f"""
+r0 AS (SELECT request_id, ts, ProductID, {whole('Quantity')} AS q, {percent('Discount')} AS pct, UserID
        FROM sale_requests),
 r1 AS (SELECT r0.*, p.Price,
               CASE WHEN r0.q IS NULL OR r0.q <= 0 THEN 'Invalid quantity specified'
-                   WHEN p.ProductID IS NULL THEN 'Product not found' END AS reason0
+                   WHEN p.ProductID IS NULL THEN 'Product not found'
+                   WHEN {amount('p.Price', 'r0.q', 'r0.pct', 14)} IS NULL THEN 'Amount out of range' END AS reason0
        FROM r0 LEFT JOIN products p ON r0.ProductID = p.ProductID),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY ProductID ORDER BY ts, request_id) AS rn
              FROM r1 WHERE reason0 IS NULL),
@@ -39,18 +41,16 @@ fold AS (
   FROM fold f JOIN numbered n ON n.ProductID = f.ProductID AND n.rn = f.rn + 1)
 """
 
-_DISC = ("CASE WHEN regexp_full_match(trim(n.Discount), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') "
-         "THEN TRY_CAST(trim(n.Discount) AS DECIMAL(18,4)) ELSE CAST(0 AS DECIMAL(18,4)) END")
-
-
-@query("record_sales", f"""
+RECORDED = f"""
 SELECT (SELECT COALESCE(MAX(SaleID), 0) FROM sales) + row_number() OVER (ORDER BY n.ts, n.request_id) AS SaleID,
        n.ProductID, n.q AS QuantitySold, n.ts AS SaleDate,
-       CAST(ROUND(CAST(n.Price * n.q AS DECIMAL(18,2))
-                  - CAST(n.Price * n.q AS DECIMAL(18,2)) * {_DISC} * 0.01, 2) AS DECIMAL(14,2)) AS TotalAmount,
+       {amount('n.Price', 'n.q', 'n.pct', 14)} AS TotalAmount,
        n.UserID, n.request_id
 FROM numbered n JOIN fold f ON n.request_id = f.request_id WHERE f.ok
-""", extra_ctes=_FOLD, recursive=True)
+"""
+
+
+@query("record_sales", RECORDED, extra_ctes=FOLD, recursive=True)
 def q_record_sales(t):
     """New Sales rows from the sale requests, applied in order against net availability."""
     return _recorded(t).sales
@@ -60,7 +60,7 @@ def q_record_sales(t):
 SELECT request_id, reason0 AS reason FROM r1 WHERE reason0 IS NOT NULL
 UNION ALL
 SELECT request_id, 'Insufficient stock' AS reason FROM fold WHERE NOT ok
-""", extra_ctes=_FOLD, recursive=True)
+""", extra_ctes=FOLD, recursive=True)
 def q_record_sales_rejects(t):
     """Sale requests rejected: invalid quantity, unknown product or insufficient stock."""
     return _recorded(t).rejects

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import reports as R
 from ..operators import stock as S
 from ..operators.scan import number_rows
-from ..sources.sinks import csv_lines
+from ..sources.sinks import csv_lines, export_lines
 from .q_parties import _CURRENT
+from .q_stock import RECEIPTS
 from .registry import query
 
 
@@ -16,28 +17,44 @@ def _q(cols):
     return " || ',' || ".join(f"'\"' || replace(CAST({c} AS VARCHAR), '\"', '\"\"') || '\"'" for c in cols)
 
 
-_CS = ["ProductID", "ProductName", "Category", "TotalAdded", "TotalSold", "CurrentStock", "Status"]
+# ---- fixed values: header rows of the exported tables -------------------------
+CURRENT_HEADER = ["Product Name", "Category", "Total Added", "Total Sold", "Current Stock", "Status"]
+HISTORY_HEADER = ["Stock ID", "Product", "Supplier", "Quantity Added", "Date Added"]
+SUPPLIER_HEADER = ["Supplier", "Product", "Total Supplied"]
+TOP_PRODUCTS_HEADER = ["Product", "Units Sold", "Revenue", "% of Total"]
+TOP_SUPPLIERS_HEADER = ["Supplier", "Products", "Units Supplied"]
+RECENT_HEADER = ["Date", "Product", "Supplier", "Quantity"]
 
 
-@query("current_stock_csv", f"SELECT {_q(_CS)} AS line FROM current", extra_ctes=_CURRENT)
+def _file(header, cols, rows):
+    """Oracle of an export file: the header line and a line for each row."""
+    head = ",".join('"' + h + '"' for h in header)
+    return (f"SELECT '{head}' AS line, true AS is_header UNION ALL "
+            f"SELECT {_q(cols)} AS line, false AS is_header FROM ({rows}) r")
+
+
+_CS = ["ProductName", "Category", "TotalAdded", "TotalSold", "CurrentStock", "Status"]
+
+
+@query("current_stock_csv", _file(CURRENT_HEADER, _CS, "SELECT * FROM current"), extra_ctes=_CURRENT)
 def q_current_stock_csv(t):
-    """The current-stock table as quoted CSV lines (every field quoted, quotes doubled)."""
-    return csv_lines(S.current_stock(t.products, t.stock, t.sales))
+    """The current-stock export file: header row and every product, all fields quoted, quotes doubled."""
+    return export_lines(S.current_stock(t.products, t.stock, t.sales).select(_CS), CURRENT_HEADER)
 
 
-_SBS = ["SupplierID", "ProductID", "SupplierName", "ProductName", "TotalSupplied"]
+_SBS = ["SupplierName", "ProductName", "TotalSupplied"]
 
 
-@query("stock_by_supplier_csv", f"""
-SELECT {_q(_SBS)} AS line FROM (
-  SELECT x.SupplierID, x.ProductID, sup.Name AS SupplierName, p.Name AS ProductName, x.TotalSupplied
-  FROM (SELECT SupplierID, ProductID, CAST(SUM(QuantityAdded) AS BIGINT) AS TotalSupplied
-        FROM stock GROUP BY SupplierID, ProductID) x
-  JOIN products p ON x.ProductID = p.ProductID JOIN suppliers sup ON x.SupplierID = sup.SupplierID) r
-""")
+@query("stock_by_supplier_csv", _file(SUPPLIER_HEADER, _SBS, """
+  SELECT (SELECT Name FROM suppliers s WHERE s.SupplierID = x.SupplierID) AS SupplierName,
+         (SELECT Name FROM products p WHERE p.ProductID = x.ProductID) AS ProductName, x.TotalSupplied
+  FROM (SELECT SupplierID, ProductID, CAST(SUM(QuantityAdded) AS BIGINT) AS TotalSupplied FROM stock
+        WHERE SupplierID IN (SELECT SupplierID FROM suppliers) AND ProductID IN (SELECT ProductID FROM products)
+        GROUP BY ALL) x
+"""))
 def q_stock_by_supplier_csv(t):
-    """Units per (supplier, product) as quoted CSV lines."""
-    return csv_lines(S.stock_by_supplier(t.stock, t.products, t.suppliers))
+    """The supplier-stock export file: header row and units per (supplier, product)."""
+    return export_lines(S.stock_by_supplier(t.stock, t.products, t.suppliers).select(_SBS), SUPPLIER_HEADER)
 
 
 @query("trend_chart_json", """
@@ -67,15 +84,71 @@ def q_trend_chart_json(t):
 _RR = ["StockID", "ProductName", "SupplierName", "QuantityAdded", "DateAdded"]
 
 
-@query("recent_receipts_csv", f"""
-SELECT {_q(_RR)} AS line FROM (
-  SELECT s.StockID, p.Name AS ProductName, sup.Name AS SupplierName, s.QuantityAdded, s.DateAdded
-  FROM stock s JOIN products p ON s.ProductID = p.ProductID JOIN suppliers sup ON s.SupplierID = sup.SupplierID
-  ORDER BY s.DateAdded DESC, s.StockID DESC LIMIT 10) r
-""")
+@query("recent_receipts_csv", _file(HISTORY_HEADER, _RR, "SELECT * FROM newest"), extra_ctes=RECEIPTS)
 def q_recent_receipts_csv(t):
-    """The latest-receipts table as quoted CSV lines."""
-    return csv_lines(S.recent_receipts(t.stock, t.products, t.suppliers))
+    """The stock-history export file: header row and the latest receipts."""
+    return export_lines(S.recent_receipts(t.stock, t.products, t.suppliers), HISTORY_HEADER)
+
+
+_IN_RANGE = "SaleDate >= TIMESTAMP '2000-06-01 00:00:00' AND SaleDate <= TIMESTAMP '2000-06-15 23:59:59'"
+
+
+@query("report_totals_csv", _file(["Total Revenue", "Total Items", "Daily Average"], ["a", "b", "c"], f"""
+  SELECT COALESCE(SUM(TotalAmount), 0) AS a, CAST(COALESCE(SUM(QuantitySold), 0) AS BIGINT) AS b,
+         CAST(COALESCE(SUM(TotalAmount), 0) / 15 AS DECIMAL(18,2)) AS c
+  FROM sales WHERE {_IN_RANGE}"""))
+def q_report_totals_csv(t):
+    """Report export: the range's totals."""
+    totals = R.report_totals(t.sales, t.params.report_start, t.params.report_end)
+    average = (F.col("TotalRevenue") / F.col("Days")).cast("decimal(18,2)")
+    return export_lines(totals.select("TotalRevenue", "TotalItems", average.alias("Average")),
+                        ["Total Revenue", "Total Items", "Daily Average"])
+
+
+@query("top_products_csv", _file(TOP_PRODUCTS_HEADER, ["Name", "TotalSold", "Revenue", "Share"], f"""
+  SELECT Name, TotalSold, Revenue, CAST(ROUND(100 * Revenue / whole, 1) AS DECIMAL(5,1)) AS Share FROM (
+    SELECT ProductID, CAST(SUM(QuantitySold) AS BIGINT) AS TotalSold, SUM(TotalAmount) AS Revenue,
+           SUM(SUM(TotalAmount)) OVER () AS whole
+    FROM sales WHERE {_IN_RANGE} GROUP BY ProductID) x
+  SEMI JOIN products USING (ProductID) JOIN products USING (ProductID)
+  QUALIFY row_number() OVER (ORDER BY Revenue DESC, ProductID) <= 5"""))
+def q_top_products_csv(t):
+    """Report export: the top products with their share of the range's revenue."""
+    top = R.top_products_by_revenue(t.sales, t.products, t.params.report_start, t.params.report_end)
+    share = F.round("Percentage", 1).cast("decimal(5,1)")
+    return export_lines(top.select("Name", "TotalSold", "Revenue", share.alias("Share")), TOP_PRODUCTS_HEADER)
+
+
+@query("top_suppliers_csv", _file(TOP_SUPPLIERS_HEADER, ["SupplierName", "ProductCount", "TotalSupplied"], f"""
+  WITH hits AS (SELECT ProductID, COUNT(*) AS n FROM sales WHERE {_IN_RANGE} GROUP BY ProductID)
+  SELECT Name AS SupplierName, ProductCount, TotalSupplied FROM (
+    SELECT SupplierID, COUNT(DISTINCT ProductID) AS ProductCount, CAST(SUM(QuantityAdded * n) AS BIGINT) AS TotalSupplied
+    FROM stock JOIN hits USING (ProductID) GROUP BY SupplierID) x JOIN suppliers USING (SupplierID)
+  QUALIFY row_number() OVER (ORDER BY TotalSupplied DESC, SupplierID) <= 5"""))
+def q_top_suppliers_csv(t):
+    """Report export: the top suppliers."""
+    top = R.top_suppliers(t.suppliers, t.stock, t.sales, t.params.report_start, t.params.report_end)
+    return export_lines(top.select("SupplierName", "ProductCount", "TotalSupplied"), TOP_SUPPLIERS_HEADER)
+
+
+@query("category_csv", _file(["Category", "Revenue"], ["Category", "Revenue"], f"""
+  SELECT Category, SUM(Part) AS Revenue FROM (
+    SELECT (SELECT Category FROM products p WHERE p.ProductID = s.ProductID) AS Category, SUM(TotalAmount) AS Part
+    FROM sales s WHERE {_IN_RANGE} AND ProductID IN (SELECT ProductID FROM products) GROUP BY ProductID) x
+  GROUP BY Category"""))
+def q_category_csv(t):
+    """Report export: revenue by category."""
+    return export_lines(R.category_breakdown(t.sales, t.products, t.params.report_start, t.params.report_end),
+                        ["Category", "Revenue"])
+
+
+@query("report_recent_stock_csv", _file(RECENT_HEADER, ["d", "ProductName", "SupplierName", "QuantityAdded"], """
+  SELECT strftime(DateAdded, '%b %d, %Y') AS d, ProductName, SupplierName, QuantityAdded FROM newest"""),
+       extra_ctes=RECEIPTS)
+def q_report_recent_stock_csv(t):
+    """Report export: the recent stock additions."""
+    recent = S.report_recent_stock(t.stock, t.products, t.suppliers)
+    return export_lines(recent.select("DateText", "ProductName", "SupplierName", "QuantityAdded"), RECENT_HEADER)
 
 
 @query("daily_sales_csv", f"""

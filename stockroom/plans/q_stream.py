@@ -17,18 +17,18 @@ from .registry import query
 def _outcomes(t):
     spark = t.spark
     root = os.path.join(ensure_checkpoint_dir(spark), f"cart-stream-{uuid.uuid4().hex}")
-    return run_cart_stream(spark, t.paths["events"], t.products, os.path.join(root, "out"),
-                           checkpoint=os.path.join(root, "state"), event_transform=cart_events_of)
+    return run_cart_stream(spark, t.paths["events"], t.products, root, event_transform=cart_events_of,
+                           finish=True).results()
 
 
 @query("cart_stream_purchases", """
-SELECT user_id, product_id, CAST(episode AS BIGINT) AS episode, quantity, closer_ts AS ts, closer_id AS event_id
+SELECT user_id, product_id, quantity, closer_ts AS ts, closer_id AS event_id
 FROM eps WHERE closer_action = 'buy' AND adds > 0
 """, extra_ctes=_CART)
 def q_cart_stream_purchases(t):
-    """Cart purchases from the streaming fold (state store per user and product)."""
+    """Cart purchases from the streaming fold (open carts kept between micro-batches)."""
     return (_outcomes(t).where(F.col("outcome") == "purchase")
-            .select("user_id", "product_id", "episode", "quantity", "ts", "event_id"))
+            .select("user_id", "product_id", "quantity", "ts", "event_id"))
 
 
 @query("cart_stream_errors", """

@@ -13,8 +13,6 @@ Both read parquet, so filters and column selections reach the scan.
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +22,9 @@ TABLES = ("products", "suppliers", "supplier_products", "stock", "sales", "users
 REQUEST_TABLES = ("cart_events", "sale_requests", "product_requests", "receipt_requests",
                   "product_edits", "supplier_requests")
 
+LINE_REPEAT_BITS = 16
+CART_PRODUCTS = 199  # a user's cart holds product user_id % 199; product 0 doesn't exist
+
 # Every lineitem column except the status, in a fixed order: a total order for
 # numbering rows that share (l_orderkey, l_linenumber).
 _LINE_ORDER = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
@@ -33,14 +34,17 @@ _LINE_ORDER = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
 def _line_id(li: DataFrame) -> DataFrame:
     """Attach a unique ``line_id`` to lineitem rows.
 
-    ``(l_orderkey, l_linenumber)`` repeats in the test data, so a small
-    per-pair sequence number is appended.  The window is partitioned by the
+    ``(l_orderkey, l_linenumber)`` repeats in the test data, so a per-pair
+    sequence number of ``LINE_REPEAT_BITS`` bits is appended; a pair with more
+    repeats is an error, never a collision.  The window is partitioned by the
     pair (a handful of rows each), never a global numbering.
     """
     w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*_LINE_ORDER)
-    return li.withColumn(
-        "line_id",
-        F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10 + F.row_number().over(w) - 1)
+    n = F.row_number().over(w).cast("long") - 1
+    fits = (n < (1 << LINE_REPEAT_BITS)) & F.col("l_linenumber").between(0, 7)
+    return li.withColumn("line_id", F.when(
+        fits, (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * (1 << LINE_REPEAT_BITS) + n)
+        .otherwise(F.raise_error(F.lit("a line repeats too often for its id")).cast("long")))
 
 
 def cart_events_of(e: DataFrame) -> DataFrame:
@@ -50,26 +54,11 @@ def cart_events_of(e: DataFrame) -> DataFrame:
               .otherwise(F.lit("add")))
     return e.select(
         "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id",
-        (F.col("user_id") % 3).alias("product_id"),
+        (F.col("user_id") % CART_PRODUCTS).alias("product_id"),
         action.alias("action"),
         (F.col("event_id") % 3 + 1).alias("quantity"))
 
 
-_READS: dict = {}
-_ADAPTED: dict = {}
-
-
-def _read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """``spark.read.parquet`` with the file listing and schema read once per session and path.
-
-    DataFrames are immutable, so queries can share the relation.
-    """
-    key = (id(spark), spark.sparkContext.applicationId, path)
-    if key not in _READS:
-        _READS[key] = spark.read.parquet(path)
-    return _READS[key]
-
-
 class RetailTables:
     """Lazy application tables over one storage location."""
 
@@ -90,12 +79,6 @@ class RetailTables:
             return cache[name]
         raise AttributeError(name)
 
-    @cached_property
-    def stock_recent(self) -> DataFrame:
-        """Receipts from ``params.recent_stock_from`` on (a smaller stock table)."""
-        from ..functions import ts_lit
-        return self.stock.where(F.col("DateAdded") >= ts_lit(self.params.recent_stock_from))
-
     # ------------------------------------------------------------------ loaders
     @classmethod
     def from_parquet(cls, spark: SparkSession, path: str, params: RunParams = DEFAULT) -> "RetailTables":
@@ -140,8 +123,12 @@ class RetailTables:
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str, params: RunParams = DEFAULT) -> "RetailTables":
+        read: dict[str, DataFrame] = {}
+
         def raw(name: str) -> DataFrame:
-            return _read_parquet(spark, f"{sf_dir}/{name}.parquet")
+            if name not in read:
+                read[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            return read[name]
 
         def products():
             return raw("part").select(
@@ -171,7 +158,9 @@ class RetailTables:
                 F.col("line_id").alias("StockID"),
                 F.col("l_partkey").alias("ProductID"),
                 F.col("l_suppkey").alias("SupplierID"),
-                F.col("l_quantity").cast("bigint").alias("QuantityAdded"),
+                # lots of every 40th product are all but empty, so that some products are low on stock
+                F.when(F.col("l_partkey") % 40 == 0, F.col("l_quantity").cast("bigint") % 2)
+                .otherwise(F.col("l_quantity").cast("bigint")).alias("QuantityAdded"),
                 F.col("l_shipdate").alias("DateAdded"))
 
         def supplier_products():
@@ -215,8 +204,16 @@ class RetailTables:
             eid = F.col("event_id")
             qty = (F.when(eid % 50 == 0, F.lit("abc"))
                    .when(eid % 51 == 0, F.lit("0"))
+                   .when(eid % 53 == 0, F.lit("9000000000000000000"))
+                   .when(eid % 54 == 0, F.lit("1e30"))
+                   .when(eid % 55 == 0, F.lit("5.0"))
+                   .when(eid % 57 == 0, F.lit(" 1e1"))
+                   .when(eid % 59 == 0, F.lit("5.5"))
                    .otherwise((eid % 60 + 1).cast("string")))
-            disc = (F.when(eid % 4 == 0, F.lit("10"))
+            disc = (F.when(eid % 61 == 0, F.lit("1e20"))
+                    .when(eid % 62 == 0, F.lit("0.00001"))
+                    .when(eid % 63 == 0, F.lit("99999999"))
+                    .when(eid % 4 == 0, F.lit("10"))
                     .when(eid % 4 == 1, F.lit(""))
                     .when(eid % 4 == 2, F.lit(None).cast("string"))
                     .otherwise(F.lit("x")))
@@ -233,6 +230,8 @@ class RetailTables:
             cat = F.when(k % 11 == 0, F.lit("0")).otherwise(F.lower("p_type"))
             price = (F.when(k % 13 == 0, F.lit("-5"))
                      .when(k % 17 == 0, F.lit("abc"))
+                     .when(k % 19 == 0, F.lit("99999999999"))
+                     .when(k % 23 == 0, F.lit("1e30"))
                      .otherwise(F.concat(F.col("p_retailprice").cast("decimal(12,2)").cast("string"), F.lit("x"))))
             return p.select(k.alias("request_id"), name.alias("product_name"), cat.alias("category"),
                             price.alias("price"), F.col("p_brand").alias("description"))
@@ -242,6 +241,9 @@ class RetailTables:
             eid = F.col("event_id")
             qty = (F.when(eid % 25 == 0, F.lit("0"))
                    .when(eid % 40 == 0, F.lit("many"))
+                   .when(eid % 41 == 0, F.lit("5.0"))
+                   .when(eid % 42 == 0, F.lit("5.5"))
+                   .when(eid % 43 == 0, F.lit("1e30"))
                    .otherwise((eid % 30 + 1).cast("string")))
             return e.select(
                 eid.alias("request_id"),
@@ -273,19 +275,6 @@ class RetailTables:
                       roles=roles, cart_events=cart_events, sale_requests=sale_requests,
                       product_requests=product_requests, receipt_requests=receipt_requests,
                       product_edits=product_edits, supplier_requests=supplier_requests)
-        app = spark.sparkContext.applicationId
-
-        def shared(name, make):
-            # the mapped frames are immutable, so every query of this session
-            # over the same directory can reuse them (saves plan construction)
-            def get():
-                key = (id(spark), app, sf_dir, name)
-                if key not in _ADAPTED:
-                    _ADAPTED[key] = make()
-                return _ADAPTED[key]
-            return get
-
-        frames = {name: shared(name, make) for name, make in frames.items()}
         return cls(spark, frames, params, paths={"events": f"{sf_dir}/events.parquet"})
 
 

@@ -1,4 +1,4 @@
-"""Sinks: CSV export, chart JSON, appends.
+"""Sinks: CSV exports (tables are written by ``store``).
 
 The CSV export quotes every field, doubles embedded quotes, writes a header
 row and ends rows with ``\\n`` -- the browser export's format.  Rows hidden by
@@ -26,13 +26,8 @@ def csv_lines(df: DataFrame) -> DataFrame:
                      .alias("line"))
 
 
-def append_rows(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Append validated rows to a parquet table."""
-    w = df.write.mode("append")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-
-
-def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).json(path)
+def export_lines(df: DataFrame, header: list[str]) -> DataFrame:
+    """A whole export file as rows (line, is_header): the header row and every row of ``df``."""
+    head = ",".join('"' + h.replace('"', '""') + '"' for h in header)
+    body = csv_lines(df).withColumn("is_header", F.lit(False))
+    return df.sparkSession.createDataFrame([(head, True)], "line string, is_header boolean").unionByName(body)

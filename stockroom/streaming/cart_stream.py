@@ -1,97 +1,147 @@
 """The cart fold as a Structured Streaming job.
 
-Events arrive from a file source; each (user_id, product_id) key keeps its
-cart entry in Spark's state store (``applyInPandasWithState``), so the state
-is checkpointed with the query and survives restarts and lost executors.
-Inside a micro-batch a key's events are applied in (ts, event_id) order
-(so one key's events of one micro-batch are held together: bound the batch
-with ``files_per_trigger`` / ``maxBytesPerTrigger``); across micro-batches the
-source's arrival order is the event order.
+Events arrive from a file source in any order.  Every micro-batch runs the batch fold
+(``operators.cart``, so hot keys are split as there) over the events that are
+complete by then:
+
+* Event time decides the order.  An event waits until an event ``delay`` later
+  was seen; then it is applied in (ts, event_id) order, whichever file it came in.
+* What came too late for that is not applied out of order but reported with outcome ``late``.
+* Between micro-batches only open cart entries, one row each, and waiting events are
+  kept; a cart that closes leaves nothing behind.
+
+State and results are written to shared storage under the batch's number, the
+state of a batch next to that of the one before, so a batch that Spark runs again after a failure
+reads the same state and replaces its own results.
 
 Outputs one row per remove/buy with its outcome (``purchase``, ``removal``,
-``error``) -- the same rows the batch fold produces.
+``error``) -- the same rows the batch fold produces -- and the ``late`` rows.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
 import os
-from typing import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.cart import NO_SUCH_PRODUCT, NOT_IN_CART
-from ..params import DEFAULT_ADD_QUANTITY
-from ..session import ensure_checkpoint_dir
+from ..operators.cart import cart_episodes, cart_errors, cart_open, cart_purchases, cart_removals
+from ..session import cut_lineage, ensure_checkpoint_dir
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, product_id long, action string, quantity long"
-OUT_SCHEMA = ("user_id long, product_id long, episode long, event_id long, ts timestamp_ntz, "
+OUT_SCHEMA = ("user_id long, product_id long, event_id long, ts timestamp_ntz, "
               "action string, outcome string, quantity long, reason string")
-STATE_SCHEMA = "adds long, quantity long, episode long"
-
-
-def _fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    user_id, product_id = int(key[0]), int(key[1])
-    adds, qty, episode = state.get if state.exists else (0, 0, 0)
-    events = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-    rows = []
-    for ev in events.itertuples(index=False):
-        if ev.action == "add":
-            adds += 1
-            qty += DEFAULT_ADD_QUANTITY if pd.isna(ev.quantity) else int(ev.quantity)
-            continue
-        base = dict(user_id=user_id, product_id=product_id, episode=episode, event_id=int(ev.event_id),
-                    ts=ev.ts, action=ev.action)
-        if adds == 0:
-            rows.append({**base, "outcome": "error", "quantity": None, "reason": NOT_IN_CART})
-            if ev.action == "remove" or ev.product_exists:
-                episode += 1
-        elif ev.action == "buy" and not ev.product_exists:
-            rows.append({**base, "outcome": "error", "quantity": None, "reason": NO_SUCH_PRODUCT})
-        else:
-            outcome = "purchase" if ev.action == "buy" else "removal"
-            rows.append({**base, "outcome": outcome, "quantity": qty, "reason": None})
-            adds, qty, episode = 0, 0, episode + 1
-    state.update((adds, qty, episode))
-    out = pd.DataFrame(rows, columns=["user_id", "product_id", "episode", "event_id", "ts", "action",
-                                      "outcome", "quantity", "reason"])
-    yield out.astype({"quantity": "Int64"})
-
-
-def cart_outcomes(events: DataFrame, products: DataFrame) -> DataFrame:
-    """Streaming (or batch) events -> outcome rows, keyed state per (user, product)."""
-    known = products.select(F.col("ProductID").alias("product_id")).distinct() \
-        .withColumn("product_exists", F.lit(True))
-    e = (events.join(known, "product_id", "left")
-         .withColumn("product_exists", F.coalesce("product_exists", F.lit(False))))
-    return e.groupBy("user_id", "product_id").applyInPandasWithState(
-        _fold, outputStructType=OUT_SCHEMA, stateStructType=STATE_SCHEMA,
-        outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
-
-
-def run_cart_stream(spark: SparkSession, events_path: str, products: DataFrame, out_path: str,
-                    checkpoint: str | None = None, files_per_trigger: int | None = None,
-                    event_transform=None) -> DataFrame:
-    """Run the streaming fold over the parquet files at ``events_path`` until caught up.
+OPEN_SCHEMA = "user_id long, product_id long, quantity long"
+CLOCK_SCHEMA = "high timestamp_ntz, cutoff timestamp_ntz"
+LATE = "late"
+# Files of one micro-batch; bounds what a batch holds, however long the backlog is.
+FILES_PER_TRIGGER = 64
+DELAY = _dt.timedelta(hours=1)
+
+
+def _events(df: DataFrame) -> DataFrame:
+    return df.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "product_id", "action",
+                     F.col("quantity").cast("long").alias("quantity"))
+
+
+def _outcomes(carts, late: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("string").alias("reason")
+    columns = ["user_id", "product_id", "event_id", "ts", "action", "outcome", "quantity", "reason"]
+
+    def closed(df: DataFrame, action: str, outcome: str) -> DataFrame:
+        return df.select("user_id", "product_id", "event_id", "ts", F.lit(action).alias("action"),
+                         F.lit(outcome).alias("outcome"), "quantity", none)
+
+    failed = cart_errors(carts).select("user_id", "product_id", "event_id", "ts", "action",
+                                       F.lit("error").alias("outcome"),
+                                       F.lit(None).cast("long").alias("quantity"), "reason")
+    return (closed(cart_purchases(carts), "buy", "purchase")
+            .unionByName(closed(cart_removals(carts), "remove", "removal")).unionByName(failed)
+            .unionByName(late.withColumn("outcome", F.lit(LATE)).withColumn("reason", none).select(columns)))
+
+
+class CartFold:
+    """The fold's state below ``root``, stepped once for each micro-batch."""
+
+    def __init__(self, spark: SparkSession, root: str, products: DataFrame, delay: _dt.timedelta = DELAY):
+        self.spark, self.root, self.products, self.delay = spark, root.rstrip("/"), products, delay
+
+    def _path(self, batch: int, part: str) -> str:
+        return f"{self.root}/state/{batch:010d}/{part}"
+
+    def state(self, batch: int, part: str, schema: str) -> DataFrame:
+        """A part of the state that a batch left; empty before the first."""
+        if batch < 0:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self._path(batch, part))
+
+    def open_carts(self, batch: int) -> DataFrame:
+        return self.state(batch, "open", OPEN_SCHEMA)
+
+    def _drop(self, batch: int) -> None:
+        """Delete a state that no batch can ask for any more."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.dirname(self._path(batch, "open")))
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def step(self, new: DataFrame, batch: int, everything: bool = False) -> None:
+        """Apply a micro-batch; ``everything`` also applies the events that still wait."""
+        clock = self.state(batch - 1, "clock", CLOCK_SCHEMA).first()
+        new = cut_lineage(_events(new))
+        waiting = self.state(batch - 1, "waiting", EVENT_SCHEMA)
+        highs = [t for t in (new.agg(F.max("ts")).first()[0], clock and clock["high"]) if t is not None]
+        high = max(highs, default=None)
+        before = clock and clock["cutoff"]
+        cutoff = high if everything or high is None else high - self.delay
+        late = new.where(F.col("ts") <= F.lit(before).cast("timestamp_ntz")) if before else new.limit(0)
+        timely = new.where(F.col("ts") > F.lit(before).cast("timestamp_ntz")) if before else new
+        events = timely.unionByName(waiting)
+        due = F.col("ts") <= F.lit(cutoff).cast("timestamp_ntz")
+        # An open entry goes on as one add before all events.
+        carried = self.open_carts(batch - 1).select(
+            F.lit(-1).cast("long").alias("event_id"), F.lit(_dt.datetime(1, 1, 1)).cast("timestamp_ntz").alias("ts"),
+            "user_id", "product_id", F.lit("add").alias("action"), "quantity")
+        carts = cart_episodes(events.where(due).unionByName(carried), self.products)
+        _outcomes(carts, late).write.mode("overwrite").parquet(f"{self.root}/out/batch={batch}")
+        cart_open(carts).write.mode("overwrite").parquet(self._path(batch, "open"))
+        events.where(~due).write.mode("overwrite").parquet(self._path(batch, "waiting"))
+        self.spark.createDataFrame([(high, cutoff)], CLOCK_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
+            self._path(batch, "clock"))
+        if batch >= 2:
+            self._drop(batch - 2)
+
+    def results(self) -> DataFrame:
+        return self.spark.read.schema(OUT_SCHEMA + ", batch long").parquet(f"{self.root}/out").drop("batch")
+
+
+def run_cart_stream(spark: SparkSession, events_path: str, products: DataFrame, root: str | None = None,
+                    files_per_trigger: int = FILES_PER_TRIGGER, delay: _dt.timedelta = DELAY,
+                    event_transform=None, finish: bool = False) -> CartFold:
+    """Run the fold over the parquet files at ``events_path`` until caught up.
 
     ``event_transform`` maps the raw file rows to the cart-event schema.
-    Results go to parquet at ``out_path`` (shared storage) and are returned as
-    a batch DataFrame read back from there.
+    ``root`` (on shared storage) keeps the stream's position, state and results; running again with the
+    same root goes on with files that came since.  ``finish`` also applies
+    the events that still wait for later ones: for a source that has ended.
     """
-    checkpoint = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "cart-stream")
+    root = root or os.path.join(ensure_checkpoint_dir(spark), "cart-stream")
     if os.path.isfile(events_path):
         # The file source watches directories or globs; a single local file is
         # given as a one-file glob.
         events_path = f"{events_path[:-1]}[{events_path[-1]}]"
-    reader = spark.readStream.schema(spark.read.parquet(events_path).schema)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    raw = reader.parquet(events_path)
+    raw = (spark.readStream.schema(spark.read.parquet(events_path).schema)
+           .option("maxFilesPerTrigger", files_per_trigger).parquet(events_path))
     events = event_transform(raw) if event_transform else raw
-    q = (cart_outcomes(events, products).writeStream.format("parquet")
-         .option("checkpointLocation", checkpoint).outputMode("append")
-         .trigger(availableNow=True).start(out_path))
+    fold = CartFold(spark, root, products, delay)
+    last = [-1]
+
+    def step(df: DataFrame, batch: int) -> None:
+        fold.step(df, batch)
+        last[0] = batch
+
+    q = (events.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/position")
+         .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(OUT_SCHEMA).parquet(out_path)
+    if finish:
+        fold.step(spark.createDataFrame([], EVENT_SCHEMA), last[0] + 1, everything=True)
+    return fold

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import math
+import os
 import sys
 import time
 
@@ -122,7 +123,7 @@ def main(argv):
     from stockroom.plans import REGISTRY
     from stockroom.session import get_spark
 
-    spark = get_spark("local[8]", 8)
+    spark = get_spark(os.environ.get("TEST_MASTER", "local[8]"), 8)
     con = duck(sf_dir)
     bad = 0
     for name in names or list(REGISTRY):

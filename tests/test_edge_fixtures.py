@@ -293,11 +293,11 @@ def test_receive_stock_creates_missing_link(spark):
 
 
 def test_default_report_range_and_texts(spark):
-    from stockroom.functions import count_text, default_report_range, money_text, percent_text
+    from stockroom.functions import count_text, money_text, percent_text, report_range
     from stockroom.params import DEFAULT
 
-    assert default_report_range(DEFAULT.as_of) == (DEFAULT.report_start, DEFAULT.report_end)
-    assert default_report_range(dt.date(2001, 1, 1)) == (dt.date(2001, 1, 1), dt.date(2001, 1, 1))
+    assert report_range(DEFAULT.as_of) == (DEFAULT.report_start, DEFAULT.report_end)
+    assert report_range(dt.date(2001, 1, 1)) == (dt.date(2001, 1, 1), dt.date(2001, 1, 1))
     df = spark.createDataFrame([(D("1234567.5"), 12345, 12.34)], "m decimal(14,2), n long, p double")
     r = df.select(money_text("m").alias("a"), count_text("n").alias("b"), percent_text("p").alias("c")).collect()[0]
     assert (r.a, r.b, r.c) == ("$1,234,567.50", "12,345", "12.3%")
@@ -317,3 +317,52 @@ def test_topk_grows_when_candidates_drop_out(spark):
     sales = [sale(i, 1 if i < 3 else 99, 1, T0 + dt.timedelta(hours=i)) for i in range(15)]
     t = from_rows(spark, {"products": [prod(1)], "users": [(1, "u", 1)], "sales": sales})
     assert rows(SA.sales_history(t.sales, t.products, t.users, page=1), "SaleID") == [(2,), (1,), (0,)]
+
+
+def test_top_k_skips_rows_without_references(spark):
+    """Rows of unknown products never stand in the way of later ones."""
+    lots = [(i, i % 4, 1, 5, dt.datetime(2000, 1, 1) + dt.timedelta(days=i)) for i in range(40)]
+    t = from_rows(spark, {"stock": lots, "products": [(1, "a", "c", D("1.00"), ""), (3, "b", "c", D("1.00"), "")],
+                          "suppliers": [(1, "s", "", "", "")]})
+    got = [r.StockID for r in S.recent_receipts(t.stock, t.products, t.suppliers).collect()]
+    assert got == [i for i in range(39, -1, -1) if i % 4 in (1, 3)][:10]
+    none = from_rows(spark, {"stock": lots})
+    assert S.recent_receipts(none.stock, none.products, none.suppliers).count() == 0
+
+
+def test_numbers_too_large_are_rejected(spark):
+    """Overlong prices, quantities and discounts reject their own request and nothing else."""
+    from stockroom.operators import changes as X
+    from stockroom.operators import sales as SL
+    from stockroom.operators import sequential as Q
+
+    t0 = dt.datetime(2000, 1, 1)
+    asks = ["5", "5.0", "1e1", "5.5", "9000000000000000000", "1e30", "2", "2", "2"]
+    off = ["", "10", "0.00001", "", "", "", "1e20", "99999999", "x"]
+    t = from_rows(spark, {
+        "products": [(1, "a", "c", D("9999999999.99"), ""), (2, "b", "c", D("2.00"), "")],
+        "stock": [(1, 2, 1, 100, t0)],
+        "product_requests": [(i, "n", "c", p, "") for i, p in enumerate(["99999999999", "1e30", "1.005", "-1", "3x"])],
+        "sale_requests": [(i, t0, 2, a, o, 1) for i, (a, o) in enumerate(zip(asks, off))]})
+    got = X.product_intake(t.products, t.product_requests)
+    assert {r.request_id: r.Price for r in got.accepted.collect()} == {2: D("1.01"), 4: D("3.00")}
+    rec = Q.record_sales(t.products, t.stock, t.sales, t.sale_requests)
+    sold = {r.request_id: (r.QuantitySold, r.TotalAmount) for r in rec.sales.collect()}
+    assert sold == {0: (5, D("10.00")), 1: (5, D("9.00")), 2: (10, D("20.00")), 7: (2, D("-3999995.96")),
+                    8: (2, D("4.00"))}
+    why = {r.request_id: r.reason for r in rec.rejects.collect()}
+    assert why == {3: Q.INVALID_QUANTITY, 4: Q.AMOUNT_OUT_OF_RANGE, 5: Q.INVALID_QUANTITY, 6: Q.AMOUNT_OUT_OF_RANGE}
+    quote = {r.request_id: r for r in SL.price_quote(t.sale_requests, t.products, t.stock, t.sales).collect()}
+    assert quote[4].Subtotal is None and quote[4].FinalAmount is None and quote[4].ExceedsStock
+    assert quote[6].FinalAmount is None and quote[1].FinalAmount == D("9.00")
+
+
+def test_history_filters_take_form_text(spark):
+    from stockroom.operators import sales as SL
+
+    sold = [(i, 1 + i % 2, 1, dt.datetime(2000, 6, i), D("1.00"), 1) for i in range(1, 20)]
+    t = from_rows(spark, {"sales": sold, "products": [(1, "a", "c", D("1.00"), ""), (2, "b", "c", D("1.00"), "")],
+                          "users": [(1, "u", 1)]})
+    got = SL.sales_history(t.sales, t.products, t.users, 1, "2000-06-05", " 2000-06-12 ", "2")
+    assert [r.SaleID for r in got.collect()] == [11, 9, 7, 5]
+    assert SL.sales_history(t.sales, t.products, t.users, 1, "", None, "0").count() == 10

@@ -5,11 +5,15 @@ import os
 import tempfile
 from decimal import Decimal as D
 
+import pytest
+from pyspark.sql import functions as F
+
 from conftest import SMALL
 from stockroom.operators import stock as S
 from stockroom.schema import from_rows
 from stockroom.sources import RetailTables, write_tables
-from stockroom.sources.sinks import append_rows, write_csv
+from stockroom.sources import TableStore
+from stockroom.sources.sinks import write_csv
 
 
 def test_parquet_layout_round_trip(spark):
@@ -24,12 +28,51 @@ def test_parquet_layout_round_trip(spark):
     assert any(d.startswith("SaleMonth=") for d in os.listdir(os.path.join(out, "sales")))
 
 
-def test_append_rows(spark):
+def test_store_append_and_replace(spark):
+    """Appends read back, also on the partitioned sales; a table can be replaced by its own rows."""
+    sold = [(1, 1, 2, dt.datetime(2000, 1, 31), D("5.00"), 3), (2, 1, 1, dt.datetime(2000, 2, 1), D("2.50"), None)]
+    t = from_rows(spark, {"products": [(1, "a", "c", D("1.00"), "d")], "sales": sold})
+    store = TableStore(spark, tempfile.mkdtemp(prefix="stockroom-store-"))
+    store.replace("sales", t.sales)
+    new = t.sales.withColumn("SaleID", F.col("SaleID") + 10).withColumn("request_id", F.lit(7))
+    store.append("sales", new)  # the request column is dropped, the month derived
+    store.append("sales", new.withColumn("SaleID", F.col("SaleID") + 10))
+    back = store.read("sales")
+    assert sorted(r.SaleID for r in back.collect()) == [1, 2, 11, 12, 21, 22]
+    assert {r.SaleMonth for r in back.collect()} == {"2000-01", "2000-02"}
+    store.replace("sales", back.where("SaleID > 10"))
+    assert store.read("sales").count() == 4 and store.version("sales") == 2
+    store.compact("sales")
+    store.drop_old("sales")
+    assert store.read("sales").count() == 4 and store.version("sales") == 3
+    assert store.tables().sales.count() == 4
+    with pytest.raises(FileNotFoundError):
+        store.read("products")
+
+
+def test_store_refuses_what_does_not_fit(spark):
+    store = TableStore(spark, tempfile.mkdtemp(prefix="stockroom-store-"))
+    t = from_rows(spark, {"products": [(1, "a", "c", D("1.00"), "d")]})
+    store.replace("products", t.products)
+    for wrong in (t.products.drop("Price"), t.products.withColumn("Price", F.col("Price").cast("double"))):
+        with pytest.raises(ValueError, match="Price"):
+            store.append("products", wrong)
+
+
+def test_store_ignores_a_failed_write(spark):
+    """A version or append that was never committed doesn't count, and its number isn't used again."""
+    root = tempfile.mkdtemp(prefix="stockroom-store-")
     t = from_rows(spark, {"products": [(1, "a", "c", D("1.00"), "d")]})
-    out = tempfile.mkdtemp(prefix="stockroom-append-")
-    append_rows(t.products, out + "/products")
-    append_rows(t.products, out + "/products")
-    assert spark.read.parquet(out + "/products").count() == 2
+    store = TableStore(spark, root)
+    store.replace("products", t.products)
+    broken = t.products.withColumn("Name", F.raise_error(F.lit("stop")).cast("string"))
+    for write in (store.replace, store.append):
+        with pytest.raises(Exception, match="stop"):
+            write("products", broken)
+    assert store.read("products").count() == 1 and store.version("products") == 1
+    store.append("products", t.products)
+    store.replace("products", store.read("products"))
+    assert store.read("products").count() == 2 and store.version("products") == 3
 
 
 def test_csv_file_export(spark):

@@ -10,7 +10,7 @@ from stockroom.plans import REGISTRY
 from stockroom.sources import RetailTables
 
 SEQUENTIAL = {"record_sales", "record_sales_rejects", "reserve_stock", "reserve_stock_taken",
-              "reserve_stock_rejects", "cart_stream_purchases", "cart_stream_errors"}
+              "reserve_stock_rejects", "cart_stream_purchases", "cart_stream_errors", "record_sales_applied"}
 
 
 def plan(spark, name):
@@ -37,6 +37,28 @@ def test_topk_is_take_ordered(spark, name):
     assert "TakeOrderedAndProject" in plan(spark, name)
 
 
+@pytest.mark.parametrize("name", ["top_products_by_quantity", "recent_receipts", "sales_history"])
+def test_topk_meets_its_references_first(spark, name):
+    """One lazy plan: semi-joins, then the top k, then the names; nothing was computed beforehand."""
+    p = plan(spark, name)
+    assert "LeftSemi" in p and "Scan ExistingRDD" not in p
+
+
+def test_availability_semi_joins_before_it_aggregates(spark):
+    for name in ("price_quote", "price_preview", "stock_availability", "gross_stock"):
+        df = REGISTRY[name].build(RetailTables.from_testdata(spark, SMALL))
+        tree = df._jdf.queryExecution().optimizedPlan().toString()
+        after = tree[tree.index("Aggregate [ProductID"):]
+        assert "LeftSemi" in after, name
+
+
+@pytest.mark.parametrize("name", ["product_intake", "supplier_intake", "receive_stock", "category_chart_json",
+                                  "sales_trend_binned", "cart_open"])
+def test_no_window_over_one_partition(spark, name):
+    p = plan(spark, name)
+    assert not [at for at in range(len(p)) if p.startswith("Window", at) and "Exchange SinglePartition" in p[at:at + 400]]
+
+
 @pytest.mark.parametrize("name", sorted(set(REGISTRY) - SEQUENTIAL))
 def test_no_cartesian(spark, name):
     p = plan(spark, name)

@@ -117,7 +117,7 @@ def test_record_sales_never_oversells(spark, reqs, lots):
         "products": [(i, "p", "c", D("1.00"), "d") for i in range(3)],
         "stock": [(i, p, 1, q, T0) for i, (p, q) in enumerate(lots)],
         "sale_requests": [(i, T0 + dt.timedelta(seconds=i), p, str(q), None, 1) for i, (p, q) in enumerate(reqs)]})
-    rec = Q.record_sales(t.products, t.stock, t.sales, t.sale_requests, finish_rows=0)
+    rec = Q.record_sales(t.products, t.stock, t.sales, t.sale_requests)
     sold = {}
     for r in rec.sales.collect():
         sold[r.ProductID] = sold.get(r.ProductID, 0) + r.QuantitySold
@@ -138,14 +138,13 @@ def _loop_record(reqs, lots):
 
 @SETTINGS
 @given(reqs=st.lists(st.tuples(st.integers(0, 2), st.integers(1, 12)), max_size=25),
-       lots=st.lists(st.tuples(st.integers(0, 2), st.integers(1, 15)), max_size=8),
-       finish=st.sampled_from([0, None]))
-def test_record_sales_equals_loop(spark, reqs, lots, finish):
+       lots=st.lists(st.tuples(st.integers(0, 2), st.integers(1, 15)), max_size=8))
+def test_record_sales_equals_loop(spark, reqs, lots):
     t = from_rows(spark, {
         "products": [(i, "p", "c", D("1.00"), "d") for i in range(3)],
         "stock": [(i, p, 1, q, T0) for i, (p, q) in enumerate(lots)],
         "sale_requests": [(i, T0 + dt.timedelta(seconds=i), p, str(q), None, 1) for i, (p, q) in enumerate(reqs)]})
-    rec = Q.record_sales(t.products, t.stock, t.sales, t.sale_requests, finish_rows=finish)
+    rec = Q.record_sales(t.products, t.stock, t.sales, t.sale_requests)
     assert {r.request_id for r in rec.sales.collect()} == _loop_record(reqs, lots)
 
 
@@ -172,10 +171,10 @@ def test_reserve_equals_loop(spark, reqs, lots, wave):
 @SETTINGS
 @given(sales=st.lists(st.tuples(st.integers(0, 7), st.integers(0, 300)), max_size=30),
        k=st.integers(1, 12))
-def test_topk_through_equals_join_then_sort(spark, sales, k):
+def test_top_k_named_equals_join_then_sort(spark, sales, k):
     from pyspark.sql import functions as F
 
-    from stockroom.operators.topk import top_k_through
+    from stockroom.operators.topk import top_k_named
 
     # products 0..4 exist, 5..7 do not: candidates drop out of the join
     t = from_rows(spark, {"products": [(i, f"p{i}", "c", D("1.00"), "d") for i in range(5)],
@@ -183,6 +182,6 @@ def test_topk_through_equals_join_then_sort(spark, sales, k):
                                     for i, (p, h) in enumerate(sales)]})
     order = [F.desc("SaleDate"), F.desc("SaleID")]
     names = t.products.select("ProductID", "Name")
-    got = top_k_through(t.sales, order, k, lambda c: c.join(names, "ProductID")).orderBy(*order).limit(k)
+    got = top_k_named(t.sales, order, k, {"ProductID": names}).orderBy(*order)
     want = t.sales.join(names, "ProductID").orderBy(*order).limit(k)
     assert [r.SaleID for r in got.collect()] == [r.SaleID for r in want.collect()]
