@@ -7,6 +7,8 @@ words with a single space after each, so that a run of words is a slice of it.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -164,6 +166,20 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text",
             yield batch.slice(a, b - a)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Spark uses a Python worker again, which would keep its peak."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library frees by itself
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def slices(column: pa.Array) -> Iterator[tuple[int, int] | None]:
+    """Where each list of a list column begins and ends in its flat values; None for a null."""
+    ends = column.offsets.to_pylist()
+    for a, b, valid in zip(ends[:-1], ends[1:], column.is_valid().to_pylist()):
+        yield (a, b) if valid else None
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """A string column's values as UTF-8 bytes."""
     return column.cast(pa.binary()).to_pylist()

@@ -30,22 +30,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from .common import Words, chunks, mix64, run_hashes, shuffle_partitions, sliding_min, utf8, word_hashes, words_of
+from ..session import cut_lineage
+from . import sieve
+from .common import (Words, chunks, mix64, release_memory, run_hashes, shuffle_partitions, sliding_min, slices, utf8,
+                     word_hashes, words_of)
 
 K_WORDS = 13
-MINIMISER_WORDS = 5
+MINIMISER_WORDS = 4
+# Of the compression of packed strings.
+LEVEL = 6
 # Bytes of packed strings that a bucket holds on average; more text makes more buckets.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 6 << 20
 
-_RANGES = "doc_id long, text_key long, start int, n int"
+_RANGES = "doc_id long, text_key int, start int, n int"
 
 
-def repeated_windows(w: Words, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(w: Words, hashes: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(valid, later): whether a window of ``k`` words starts at each word, and whether its
-    word sequence also starts in a text with a smaller id.  Equality is exact."""
+    word sequence also starts in a text with a smaller id.  ``hashes`` are the words'; equality is exact."""
     n = len(w.start)
     valid, later = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
     if n < k:
@@ -54,7 +61,7 @@ def repeated_windows(w: Words, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
     at = np.flatnonzero(valid)
     if not len(at):
         return valid, later
-    h = run_hashes(word_hashes(w), k, 11)[at]
+    h = run_hashes(hashes, k, 11)[at]
     order = np.argsort(h, kind="stable")
     h, at = h[order], at[order]
     same = h[1:] == h[:-1]
@@ -68,12 +75,14 @@ def repeated_windows(w: Words, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
     heads = np.flatnonzero(head)
     which = np.cumsum(head) - 1
     # Equal hashes are compared word by word with the group's first window.
-    raw, s = w.buf.data, w.start[at]
+    buf, s = w.buf.tobytes(), w.start[at]
     e = w.start[at + k - 1] + w.size[at + k - 1]
-    s_list, e_list, first_list = s.tolist(), e.tolist(), heads[which].tolist()
-    buf = bytes(raw)
-    equal = np.fromiter((buf[a:b] == buf[s_list[f]:e_list[f]] for a, b, f in zip(s_list, e_list, first_list)),
-                        dtype=bool, count=len(s_list))
+    first = heads[which]
+    equal = np.empty(len(at), dtype=bool)
+    for lo in range(0, len(at), 1 << 15):
+        part = slice(lo, lo + (1 << 15))
+        equal[part] = [buf[a:b] == buf[c:d] for a, b, c, d in zip(
+            s[part].tolist(), e[part].tolist(), s[first[part]].tolist(), e[first[part]].tolist())]
     least = np.minimum.reduceat(doc, heads)
     if equal.all():
         later[at] = doc > least[which]
@@ -85,10 +94,10 @@ def repeated_windows(w: Words, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
             best: dict[bytes, int] = {}
             rows = np.flatnonzero(which == g).tolist()
             for r in rows:
-                key = buf[s_list[r]:e_list[r]]
+                key = buf[s[r]:e[r]]
                 best[key] = min(best.get(key, int(doc[r])), int(doc[r]))
             for r in rows:
-                later[at[r]] = int(doc[r]) > best[buf[s_list[r]:e_list[r]]]
+                later[at[r]] = int(doc[r]) > best[buf[s[r]:e[r]]]
     return valid, later
 
 
@@ -104,20 +113,24 @@ def _runs(flag: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _pack(doc: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarray, body: bytes) -> bytes:
-    head = struct.pack("<I", len(doc))
-    return zstandard.ZstdCompressor(level=3).compress(
-        head + doc.astype("<i8").tobytes() + key.astype("<i8").tobytes() + start.astype("<i4").tobytes()
-        + size.astype("<i4").tobytes() + body)
+    """Ranges or strings of a chunk: its documents once, then the document, place and size of each, then the text."""
+    pairs, of = np.unique(np.stack([doc, key], axis=1), axis=0, return_inverse=True) if len(doc) else (
+        np.zeros((0, 2), dtype=np.int64), doc)
+    head = struct.pack("<II", len(pairs), len(doc))
+    # byte planes: upper bytes are mostly zero and vanish in compression
+    planes = np.stack([of.ravel(), start, size]).astype("<u4").view(np.uint8).reshape(3, -1, 4).transpose(0, 2, 1)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(
+        head + pairs[:, 0].astype("<i8").tobytes() + pairs[:, 1].astype("<i4").tobytes() + planes.tobytes() + body)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, at = struct.unpack_from("<I", raw)[0], 4
-    out = []
-    for kind, width in (("<i8", 8), ("<i8", 8), ("<i4", 4), ("<i4", 4)):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += width * n
-    return *out, raw[at:]
+    docs, n = struct.unpack_from("<II", raw)
+    doc, key = np.frombuffer(raw, "<i8", docs, 8), np.frombuffer(raw, "<i4", docs, 8 + 8 * docs)
+    at = 8 + 12 * docs
+    of, start, size = np.frombuffer(raw, np.uint8, 12 * n, at).reshape(3, 4, n).transpose(0, 2, 1).copy().view(
+        "<u4").reshape(3, n).astype(np.int64)
+    return doc[of], key[of], start, size, raw[at + 12 * n:]
 
 
 def super_kmers(batches: Iterator[pa.RecordBatch], buckets: int, k: int, m: int) -> Iterator[pa.RecordBatch]:
@@ -127,7 +140,8 @@ def super_kmers(batches: Iterator[pa.RecordBatch], buckets: int, k: int, m: int)
         ids = part.column("doc_id").to_numpy(zero_copy_only=False)
         keys = part.column("text_key").to_numpy(zero_copy_only=False)
         w = words_of(utf8(part.column("text")))
-        valid, later = repeated_windows(w, ids, k)
+        hashes = word_hashes(w)
+        valid, later = repeated_windows(w, hashes, ids, k)
         rows: list[tuple[int, bool, bytes]] = []
         near = np.concatenate([[False], w.owner[1:] == w.owner[:-1]]) if len(w.owner) else np.zeros(0, dtype=bool)
         s, n = _runs(later, near)
@@ -135,7 +149,7 @@ def super_kmers(batches: Iterator[pa.RecordBatch], buckets: int, k: int, m: int)
             o = w.owner[s]
             rows.append((int(ids[o[0]] % buckets), True, _pack(ids[o], keys[o], s - w.first[o], n, b"")))
         least = np.zeros(len(valid), dtype=np.uint64)
-        inner = sliding_min(run_hashes(word_hashes(w), m, 23), k - m + 1)
+        inner = sliding_min(run_hashes(hashes, m, 23), k - m + 1)
         least[: len(inner)] = inner
         near[1:] &= least[1:] == least[:-1]
         s, n = _runs(valid & ~later, near)
@@ -145,7 +159,7 @@ def super_kmers(batches: Iterator[pa.RecordBatch], buckets: int, k: int, m: int)
             s, n, bucket = s[order], n[order], bucket[order]
             a, b = w.start[s], w.start[s + n + k - 2] + w.size[s + n + k - 2]
             o = w.owner[s]
-            buf = bytes(w.buf.data)
+            buf = w.buf.tobytes()
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(s)]
             for x, y in zip(cuts[:-1], cuts[1:]):
                 body = b" ".join([buf[i:j] for i, j in zip(a[x:y].tolist(), b[x:y].tolist())])
@@ -153,6 +167,7 @@ def super_kmers(batches: Iterator[pa.RecordBatch], buckets: int, k: int, m: int)
                     ids[o[x:y]], keys[o[x:y]], s[x:y] - w.first[o[x:y]], b[x:y] - a[x:y], body)))
         if rows:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    release_memory()
 
 
 def judge_bucket(rows: pa.Table, k: int) -> pa.Table:
@@ -174,47 +189,87 @@ def judge_bucket(rows: pa.Table, k: int) -> pa.Table:
         begins = np.searchsorted(w.start, np.cumsum(size.astype(np.int64) + 1) - size - 1, "left")
         w.first = np.append(begins, len(w.start))
         w.owner = np.repeat(np.arange(len(doc)), np.diff(w.first))
-        _, later = repeated_windows(w, doc, k)
+        _, later = repeated_windows(w, word_hashes(w), doc, k)
         s, n = _runs(later, np.concatenate([[False], w.owner[1:] == w.owner[:-1]]))
         o = w.owner[s]
         out.append((doc[o], key[o], start[o] + (s - w.first[o]), n))
+    w = body = None
+    release_memory()
     cols = [np.concatenate([x[i] for x in out]) if out else np.zeros(0, dtype=np.int64) for i in range(4)]
     return pa.table({name: pa.array(c.astype(kind)) for name, c, kind in zip(
-        ("doc_id", "text_key", "start", "n"), cols, ("i8", "i8", "i4", "i4"))})
+        ("doc_id", "text_key", "start", "n"), cols, ("i8", "i4", "i4", "i4"))})
 
 
 def covered_ranges(docs: DataFrame, k: int = K_WORDS, m: int = MINIMISER_WORDS) -> DataFrame:
     """Windows to remove, as ranges: (doc_id, text_key, start, n) are ``n`` windows from word ``start`` on.
 
-    ``text_key`` is xxhash64 of the text and tells rows apart that repeat a doc_id.
+    ``text_key`` is a hash of the text and tells rows apart that repeat a doc_id.
     """
     spark = docs.sparkSession
     known = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     per_window = (k + (k - m + 2) / 2) / ((k - m + 2) / 2)  # packed words for each word of input, about
     buckets = max(shuffle_partitions(spark), int(total * per_window / BUCKET_BYTES) + 1)
-    packed = known.withColumn("text_key", F.xxhash64("text")).mapInArrow(
+    packed = known.withColumn("text_key", F.hash("text")).mapInArrow(
         lambda batches: super_kmers(batches, buckets, k, m), "bucket int, decided boolean, blob binary")
     return packed.groupBy("bucket").applyInArrow(lambda rows: judge_bucket(rows, k), _RANGES)
 
 
+def _finish(text: bytes | None, start: np.ndarray, n: np.ndarray, k: int) -> tuple[int, int, str]:
+    """(words, removed words, the words left joined by one space) of a text and its covered ranges."""
+    words = (text or b"").split()
+    if not len(start):
+        return len(words), 0, b" ".join(words).decode()
+    edge = np.zeros(len(words) + 1, dtype=np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + n + k - 1, -1)
+    hit = (np.cumsum(edge[:-1]) > 0).tolist()
+    return len(words), sum(hit), b" ".join([x for x, y in zip(words, hit) if not y]).decode()
+
+
+_OUT = "doc_id long, text string, n_words long, n_removed long, kept_text string"
+
+
+def _finished(texts: pa.Array, ranges: pa.Array | None, k: int) -> list[tuple[int, int, str]]:
+    none = np.zeros(0, dtype=np.int64)
+    if ranges is None:
+        return [_finish(t, none, none, k) for t in utf8(texts)]
+    start, n = (ranges.values.field(c).to_numpy().astype(np.int64) for c in ("start", "n"))
+    return [_finish(t, start[at[0]:at[1]], n[at[0]:at[1]], k) if at else _finish(t, none, none, k)
+            for t, at in zip(utf8(texts), slices(ranges))]
+
+
+def _result(part: pa.RecordBatch, ranges: pa.Array | None, k: int) -> pa.RecordBatch:
+    total, gone, kept = zip(*_finished(part.column("text"), ranges, k))
+    return pa.record_batch([part.column("doc_id"), part.column("text"), pa.array(total, pa.int64()),
+                            pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
+                           names=["doc_id", "text", "n_words", "n_removed", "kept_text"])
+
+
 def _apply(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        total, gone, kept = [], [], []
-        for text, ranges in zip(utf8(batch.column("text")), batch.column("ranges").to_pylist()):
-            words = (text or b"").split()
-            out = np.zeros(len(words) + 1, dtype=np.int64)
-            for r in ranges or ():
-                out[r["start"]] += 1
-                out[r["start"] + r["n"] + k - 1] -= 1
-            hit = np.cumsum(out[:-1]) > 0
-            total.append(len(words))
-            gone.append(int(hit.sum()))
-            kept.append(b" ".join([x for x, y in zip(words, hit.tolist()) if not y] if gone[-1] else words).decode())
-        names = [c for c in batch.schema.names if c != "ranges"]
-        yield pa.record_batch([batch.column(c) for c in names] + [
-            pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
-            names=[*names, "n_words", "n_removed", "kept_text"])
+    for part in chunks(batches):
+        yield _result(part, part.column("ranges"), k)
+
+
+def _apply_none(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The documents that the sieve holds back, which have no ranges."""
+    for part in chunks(batches):
+        rest = part.filter(pa.array(~sieve.passes(bitmap, part.column("at"))))
+        if rest.num_rows:
+            yield _result(rest, None, k)
+
+
+def _ranges_of(docs: DataFrame, k: int, m: int) -> tuple[DataFrame, Broadcast]:
+    """(rows that may have covered words with their ``ranges``, the sieve that holds back all others); ``row`` has
+    the columns of docs.
+
+    Only the former meet the ranges in a join; a fixed-size sieve of doc_ids tells them from the rest.
+    """
+    ranges = cut_lineage(covered_ranges(docs, k, m).groupBy("doc_id", "text_key")
+                         .agg(F.collect_list(F.struct("start", "n")).alias("ranges")))
+    bitmap = sieve.make(ranges, "doc_id")
+    keyed = sieve.sift(docs, bitmap, "doc_id", True).select("row", F.col("row.doc_id").alias("doc_id"), F.hash("row.text").alias("text_key"))
+    return keyed.join(ranges, ["doc_id", "text_key"], "left").select("row", "ranges"), bitmap
 
 
 def drop_repeated_passages(docs: DataFrame, k: int = K_WORDS, m: int = MINIMISER_WORDS) -> DataFrame:
@@ -222,10 +277,26 @@ def drop_repeated_passages(docs: DataFrame, k: int = K_WORDS, m: int = MINIMISER
 
     ``docs`` may hold other columns; they are not read.
     """
-    base = docs.select("doc_id", "text")
-    ranges = (covered_ranges(base, k, m).groupBy("doc_id", "text_key")
-              .agg(F.collect_list(F.struct("start", "n")).alias("ranges")))
-    joined = (base.withColumn("text_key", F.xxhash64("text"))
-              .join(ranges, ["doc_id", "text_key"], "left").select("doc_id", "text", "ranges"))
-    return joined.mapInArrow(lambda batches: _apply(batches, k),
-                             "doc_id long, text string, n_words long, n_removed long, kept_text string")
+    docs = docs.select("doc_id", "text")
+    touched, bitmap = _ranges_of(docs, k, m)
+    others = docs.withColumn("at", sieve.place("doc_id")).mapInArrow(lambda b: _apply_none(b, bitmap.value, k), _OUT)
+    return touched.select("row.doc_id", "row.text", "ranges").mapInArrow(lambda b: _apply(b, k), _OUT).unionAll(others)
+
+
+def clean_texts(docs: DataFrame, k: int = K_WORDS, m: int = MINIMISER_WORDS) -> DataFrame:
+    """``docs`` without the words of repeated passages: all columns, ``text`` made new where it loses words (the rest
+    joined by one space); documents that lose all their words go."""
+    touched, bitmap = _ranges_of(docs, k, m)
+    others = sieve.sift(docs, bitmap, "doc_id", False)
+    kind = StructType([touched.schema["row"], StructField("left", IntegerType()), StructField("new", StringType())])
+    hit = touched.where("ranges is not null").mapInArrow(lambda b: _shorten(b, k), kind).where("left > 0")
+    same = touched.where("ranges is null").select("row").unionAll(others).select("row.*")
+    return same.unionAll(hit.select(*[
+        F.col("new").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]))
+
+
+def _shorten(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        done = _finished(batch.column("row").field("text"), batch.column("ranges"), k)
+        yield pa.record_batch([batch.column("row"), pa.array([a - b for a, b, _ in done], pa.int32()),
+                               pa.array([x for _, _, x in done], pa.string())], names=["row", "left", "new"])
