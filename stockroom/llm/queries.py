@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_collapse, edit_counts, language_id, one_bit_codes, packing, piece_match, scaled_sketch, secret_scan,
-               set_join, substring_dedup)
+from . import (chat_collapse, edit_counts, language_id, one_bit_codes, oracles, packing, piece_match, scaled_sketch,
+               secret_scan, set_join, substring_dedup)
 from .common import table
 
 
@@ -104,4 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_chat_collapse, op2_one_bit_neighbours, op3_scaled_sketch, op4_secret_scan, op5_language_id,
         op6_substring_dedup, op7_edit_counts, op8_packing, op9_ngram_jaccard_join, op10_piece_match)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_chat_collapse": oracles.CHATS, "op2_one_bit_neighbours": oracles.NEIGHBOURS,
+    "op3_scaled_sketch": oracles.FINGERPRINTS, "op6_substring_dedup": oracles.PASSAGES,
+    "op9_ngram_jaccard_join": oracles.COMPONENTS}
