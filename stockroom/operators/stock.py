@@ -81,19 +81,19 @@ def shop_catalog(products: DataFrame, stock: DataFrame) -> DataFrame:
             .orderBy("Name", "ProductID"))
 
 
-def low_stock_products(products: DataFrame, stock: DataFrame, k: int = P.TOP_PRODUCTS,
+def low_stock_products(products: DataFrame, stock: DataFrame, k: int | None = P.TOP_PRODUCTS,
                        threshold: int = P.LOW_STOCK_THRESHOLD) -> DataFrame:
-    """Up to ``k`` products whose gross stock is under ``threshold``.
+    """Up to ``k`` products (None: all) whose gross stock is under ``threshold``.
 
     The application takes any five; here the order (TotalStock, ProductID)
     makes the pick deterministic.
     """
     keys = products.select("ProductID", "Name")
-    return (_with_levels(keys, stock, None)
-            .withColumnRenamed("TotalAdded", "TotalStock")
-            .where(F.col("TotalStock") < threshold)
-            .orderBy("TotalStock", "ProductID")
-            .limit(k))
+    low = (_with_levels(keys, stock, None)
+           .withColumnRenamed("TotalAdded", "TotalStock")
+           .where(F.col("TotalStock") < threshold)
+           .orderBy("TotalStock", "ProductID"))
+    return low if k is None else low.limit(k)
 
 
 def low_lot_count(stock: DataFrame, threshold: int = P.LOW_LOT_THRESHOLD) -> DataFrame:

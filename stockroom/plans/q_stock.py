@@ -71,6 +71,14 @@ def q_low_stock_products(t):
     return S.low_stock_products(t.products, t.stock)
 
 
+@query("low_stock_products_all", """
+SELECT ProductID, Name, units AS TotalStock FROM gross WHERE units < 10
+""", extra_ctes=_GROSS)
+def q_low_stock_products_all(t):
+    """Every product with less than 10 units of gross stock."""
+    return S.low_stock_products(t.products, t.stock, k=None)
+
+
 @query("low_lot_count", """
 SELECT COUNT(*) AS LowLotCount FROM stock WHERE QuantityAdded < 10
 """)
