@@ -19,7 +19,6 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -27,18 +26,18 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import chunks
+from .common import chunks, release_memory, slices
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 _GAP = 0x10FFFF
 # Units whose ids a worker remembers, and the characters of one suffix array.
-CACHE = 400_000
-INDEX_CHARS = 2 << 20
+CACHE = 300_000
+INDEX_CHARS = 1 << 18
 # Units of up to so many characters are relaxed side by side, longer ones each with a heap.
 SHORT = 48
 # Bytes of text whose new units are indexed together.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 3 << 20
 
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 _MODELS: dict[str, "Pieces"] = {}
@@ -72,52 +71,77 @@ class Pieces:
             row[:len(self.text[i])] = [ord(c) for c in self.text[i]]
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.text):
             raise ValueError("a piece reaches over the start of a word or line")
-        self.known: dict[str, list[int]] = {}
-
-    def suffixes(self, codes: np.ndarray) -> np.ndarray:
-        """Places of a text in the order of their next ``longest`` characters."""
-        rank = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1
-        step = 1
+        self.known: dict[str, bytes] = {}
+
+    def suffixes(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+        """Places of a text in the order of their next ``longest`` characters.
+
+        Also what the order begins with: its alphabet, and the number made of each suffix's first ``step``
+        characters (as places in the alphabet from 1, of ``bits`` bits each), in that order.
+        """
+        alphabet, rank = np.unique(codes, return_inverse=True)
+        rank = rank.astype(np.int64) + 1
+        bits = int(len(alphabet) + 1).bit_length()
+        # As many characters as fit one number are compared at once, then twice as many with each round.
+        step = max(min(62 // bits, self.longest), 1)
+        padded = np.concatenate([rank, np.zeros(step, dtype=np.int64)])
+        key = np.zeros(len(rank), dtype=np.int64)
+        for j in range(step):
+            key = (key << bits) | padded[j:j + len(rank)]
+        head, wide = key, step
         while True:
+            order = np.argsort(key)
+            if step >= self.longest:
+                return order, alphabet, head[order], wide, bits
+            fresh = np.diff(key[order], prepend=-1) != 0
+            rank = np.empty(len(key), dtype=np.int64)
+            rank[order] = np.cumsum(fresh)
             ahead = np.zeros(len(rank), dtype=np.int64)
             ahead[:-step or None] = rank[step:]
-            both = rank * (rank.max() + 1) + ahead
-            order = np.argsort(both)
+            key = rank * (int(rank.max()) + 1) + ahead
             step *= 2
-            if step >= self.longest:
-                return order
-            fresh = np.diff(both[order], prepend=-1) != 0
-            rank = np.empty(len(rank), dtype=np.int64)
-            rank[order] = np.cumsum(fresh)
 
     def occurrences(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, piece index) of every piece's every occurrence, by place."""
-        order = self.suffixes(codes)
-        text = np.concatenate([codes, np.full(self.longest, -2, dtype=np.int64)])
+        """(place * (longest + 1) + length, piece index) of every piece's every occurrence, by place and length."""
+        order, alphabet, head, step, bits = self.suffixes(codes)
+        # The beginnings of all pieces are searched as numbers; pieces with other characters don't occur.
+        letter = np.searchsorted(alphabet, self.codes)
+        letter[letter == len(alphabet)] = 0
         place = np.arange(self.longest)
         inside = place < self.length[:, None]
-
-        def search(after: bool) -> np.ndarray:
-            """First suffix that is not below (``after``: that is above) each piece, all pieces at once."""
-            low, high = np.zeros(len(self.ids), dtype=np.int64), np.full(len(self.ids), len(order))
-            while (low < high).any():
-                mid = (low + high) // 2
-                there = text[order[np.minimum(mid, len(order) - 1)][:, None] + place]
-                differs = (there != self.codes) & inside
-                at = differs.argmax(axis=1)
-                row = np.arange(len(at))
-                below = differs[row, at] & (there[row, at] < self.codes[row, at])
-                goes_on = below | (~differs[row, at] if after else False)
-                goes_on &= low < high
-                low, high = np.where(goes_on, mid + 1, low), np.where(goes_on | (low >= high), high, mid)
-            return low
-
-        first, last = search(False), search(True)
+        there = ((alphabet[letter] == self.codes) | ~inside).all(axis=1)
+        number = np.zeros(len(self.ids), dtype=np.int64)
+        for j in range(step):
+            number = (number << bits) | np.where(inside[:, j], letter[:, j] + 1, 0)
+        span = np.int64(1) << (bits * (step - np.minimum(self.length, step)))
+        first = np.where(there, np.searchsorted(head, number, "left"), 0)
+        last = np.where(there, np.searchsorted(head, number + span, "left"), 0)
+        # Longer pieces are searched within the range of their beginnings, all at once.
+        more = np.flatnonzero((self.length > step) & (last > first))
+        if len(more):
+            text = np.concatenate([codes, np.full(self.longest, -2, dtype=np.int64)])
+
+            def search(after: bool) -> np.ndarray:
+                """First suffix in range that is not below (``after``: that is above) each piece."""
+                low, high = first[more], last[more]
+                while (low < high).any():
+                    mid = (low + high) // 2
+                    suffix = text[order[np.minimum(mid, len(order) - 1)][:, None] + place]
+                    differs = (suffix != self.codes[more]) & inside[more]
+                    at, row = differs.argmax(axis=1), np.arange(len(more))
+                    differ = differs[row, at]
+                    goes_on = (differ & (suffix[row, at] < self.codes[more, at])) | (~differ if after else False)
+                    goes_on &= low < high
+                    low, high = np.where(goes_on, mid + 1, low), np.where(goes_on | (low >= high), high, mid)
+                return low
+
+            first[more], last[more] = search(False), search(True)
         n = last - first
         piece = np.repeat(np.arange(len(n)), n)
         at = order[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        by_place = np.argsort(at, kind="stable")
-        return at[by_place], piece[by_place]
+        key = at * (self.longest + 1) + self.length[piece]
+        by_place = np.argsort(key)
+        return key[by_place], piece[by_place]
 
     def learn(self, units: list[str]) -> None:
         """Remember the ids of units."""
@@ -129,15 +153,12 @@ class Pieces:
                 hi += 1
             joined = chr(_GAP).join(units[lo:hi])
             codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-            at, piece = self.occurrences(codes)
+            edges = self.occurrences(codes)
             sizes = np.array([len(u) for u in units[lo:hi]])
             starts = np.cumsum(sizes + 1) - sizes - 1
-            key = at * (self.longest + 1) + self.length[piece]
-            order = np.argsort(key)
-            edges = (key[order], piece[order])
             whole = self.relax_all(codes, starts, sizes, edges)
             for u, s, n, ids in zip(units[lo:hi], starts.tolist(), sizes.tolist(), whole):
-                self.known[u] = self.relax(u, self.edges_of(s, n, edges)) if ids is None else ids
+                self.known[u] = packed(self.relax(u, self.edges_of(s, n, edges))) if ids is None else ids
             lo = hi
 
     def _edge(self, edges: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -158,7 +179,7 @@ class Pieces:
             at.tolist(), size.tolist(), self.scores[p].tolist(), self.ids[p].tolist())}
 
     def relax_all(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray,
-                  edges: tuple) -> list[list[int] | None]:
+                  edges: tuple) -> list[bytes | None]:
         """The ids of units, one join in every unit at each step; None for long units."""
         none = np.iinfo(np.int64).max
         short = np.flatnonzero((sizes <= SHORT) & (sizes > 0))
@@ -193,22 +214,22 @@ class Pieces:
             a -= np.arange(len(a))
             for change in (a, a[a > 0] - 1):
                 price[change] = cost(change)
-        out: list[list[int] | None] = [None] * len(sizes)
+        out: list[bytes | None] = [None] * len(sizes)
         if done:
             unit, start, end = (np.concatenate(x) for x in zip(*done))
             order = np.argsort(start)
             unit, start, end = unit[order], start[order], end[order]
             p = self._edge(edges, start, end)
             head = np.flatnonzero(np.diff(unit, prepend=-1))
-            ids, cuts = self.ids[p].tolist(), np.append(head, len(unit)).tolist()
+            ids, cuts = packed(self.ids[p]), (4 * np.append(head, len(unit))).tolist()
             for u, x, y in zip(unit[head].tolist(), cuts[:-1], cuts[1:]):
                 out[u] = ids[x:y]
             bare = np.flatnonzero(p < 0)  # single characters without a piece
             for u in np.unique(unit[bare]).tolist():
                 x = int(np.searchsorted(unit, u))
                 y = int(np.searchsorted(unit, u, "right"))
-                out[u] = [i for j in range(x, y) for i in (
-                    [ids[j]] if p[j] >= 0 else self.bytes_of(chr(codes[start[j]])))]
+                out[u] = packed([i for j in range(x, y) for i in (
+                    [self.ids[p[j]]] if p[j] >= 0 else self.bytes_of(chr(codes[start[j]])))])
         return out
 
     def bytes_of(self, char: str) -> list[int]:
@@ -241,16 +262,18 @@ class Pieces:
             i = end[i]
         return out
 
-    def encode(self, texts: list[str | None]) -> list[list[int] | None]:
+    def encode(self, texts: list[str | None]) -> list[bytes | None]:
+        """The ids of texts, each packed as 32-bit numbers."""
         split = [None if t is None else _UNITS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
-        fresh = set().union(*(units for units in split if units)).difference(self.known)
-        self.learn(sorted(fresh))
+        fresh = list(set().union(*(units for units in split if units)).difference(self.known))
+        self.learn(fresh)
         get = self.known.__getitem__
-        out = [None if units is None else list(chain.from_iterable(map(get, units))) for units in split]
-        for u in [u for u in fresh if len(u) > SHORT]:  # long ones hardly come again
-            del self.known[u]
+        out = [None if units is None else b"".join(map(get, units)) for units in split]
+        for u in fresh:
+            if len(u) > SHORT:  # long ones hardly come again
+                del self.known[u]
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -270,6 +293,10 @@ class Pieces:
         return "".join(out).removeprefix(SPACE).replace(SPACE, " ")
 
 
+def packed(ids) -> bytes:
+    return np.asarray(ids, dtype="<i4").tobytes()
+
+
 def pieces(path: str) -> Pieces:
     if path not in _MODELS:
         _MODELS[path] = Pieces(path)
@@ -286,7 +313,11 @@ def encode_texts(docs: DataFrame, model: str | None = None) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, limit=BATCH_BYTES):
             ids = pieces(model).encode(part.column("text").to_pylist())
-            yield pa.record_batch([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            ends = np.cumsum([0] + [len(x or b"") // 4 for x in ids]).astype(np.int32)
+            flat = pa.array(np.frombuffer(b"".join([x or b"" for x in ids]), "<i4"))
+            lists = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([x is None for x in ids]))
+            yield pa.record_batch([part.column("doc_id"), lists], names=["doc_id", "ids"])
+        release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, ids array<int>")
 
@@ -297,8 +328,11 @@ def decode_ids(encoded: DataFrame, model: str | None = None) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if x is None else pieces(model).decode([i for i in x if i is not None])
-                     for x in batch.column("ids").to_pylist()]
+            lists = batch.column("ids")
+            if lists.values.null_count:
+                lists = pa.array([x and [i for i in x if i is not None] for x in lists.to_pylist()], lists.type)
+            flat = lists.values.to_numpy()
+            texts = [at and pieces(model).decode(flat[at[0]:at[1]].tolist()) for at in slices(lists)]
             yield pa.record_batch([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())],
                                   names=["doc_id", "ids", "text"])
 
