@@ -12,19 +12,24 @@ H + 1 units over segments: one unit finds partners whose subset there is
 equal, two units also find those that differ by one element.  As there are more
 units than differences, one of the paid segments must find the partner.
 
-* Index rows: the hash of every non-empty segment subset, and in every eighth segment
+* Index rows: the hash of every non-empty segment subset, and in every sixteenth segment
   its one-deletion neighbours, in the set's own band and in the next
   one if a larger partner may lie there.
-* Allocation: a set pays for the H + 1 cheapest units.  A unit's cost is the
-  number of sets in the task's chunk that hold the same rows, smaller subsets
-  counting as dearer; empty segments are never paid for.
-* Sets that lack H + 1 units (a rare accident of hashing) take an exact side
+* Allocation: a unit's cost is the number of sets that could be its partners, counted over the whole
+  corpus: no larger, not too small, and with the same row.  A set pays for its H + 1 cheapest
+  units.  Units without any partner are free; a set with H + 1 of those has no link
+  to a set no larger and is done.  Empty segments are never paid for.  Sets with fewer than H + 1
+  non-empty segments also pay second units, which search one-deletion neighbours.
+* Sets that lack units even so (a rare accident of hashing) take an exact side
   path: any partner's first floor(l/4) + 1 elements hold one of theirs.
 
-Groups under one row hash are never expanded into all pairs at first: each
-member is compared with one hub.  Links are verified on the full sets and
-their components found; then only members of one group that are in different
-components are compared.  What is in one component already needs no more pairs.
+Groups under one row are never expanded into all pairs at first: each payer is compared with the
+group's hub, the member that shares most rows with others, such as the original of a family of edited copies.
+Links are verified on the full sets and their components found.  Some more rounds take
+hubs from other components of the group.  What is in one component already needs no more pairs; the
+rest, payers and members of groups that are still in more than one component, are gathered by the component of the
+first hub of their group, dealt into blocks of sets, and every block of payers meets every block of
+members as one row with their sets, whose overlaps are counted by one matrix product.
 
 Rows with equal sets are one class and never compared.  Rows that repeat a
 doc_id share its component; a null doc_id takes no part and gets a null one.
@@ -39,21 +44,27 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import chunks, mix64, odd_constants, run_hashes, shuffle_partitions, utf8, word_hashes, words_of
+from . import sieve
+from .common import chunks, mix64, odd_constants, release_memory, run_hashes, shuffle_partitions, utf8, word_hashes, words_of
 from .components import components
 
 SHINGLE = 5
 NUM, DEN = 75, 100
 # A chunk that a task works on at once, in bytes of text.
-TASK_BYTES = 12 << 20
-# Rows of segment hashes that a bucket holds on average; more text makes more buckets.
-BUCKET_ROWS = 1_000_000
-# Every so many segments have one-deletion neighbours too.
-DELETION_EVERY = 8
+TASK_BYTES = 5 << 20
+# Bytes of text that make one more bucket, which holds one to two million rows.
+BUCKET_TEXT = 12 << 20
+# Rounds of hubs before the rest is compared member by member.
+HUB_ROUNDS = 3
+# Sets of one block, when the rest is compared.
+BLOCK_SETS = 512
+# One segment of so many has one-deletion neighbours too.
+DELETION_EVERY = 16
 
 _U = np.uint64
 _SEG = odd_constants(3, 41)
@@ -125,7 +136,9 @@ def shingles(texts: list[bytes | None], k: int = SHINGLE) -> tuple[np.ndarray, n
         owners.append(w.owner[at[ok]])
         hashes.append(h[ok])
     o, h = np.concatenate(owners), np.concatenate(hashes)
-    order = np.lexsort((h, o))
+    order = np.argsort(h)
+    narrow = np.uint16 if len(texts) <= 1 << 16 else np.int64
+    order = order[np.argsort(o[order].astype(narrow), kind="stable")]
     o, h = o[order], h[order]
     fresh = np.ones(len(o), dtype=bool)
     fresh[1:] = (o[1:] != o[:-1]) | (h[1:] != h[:-1])
@@ -150,24 +163,18 @@ def set_keys(texts: list[bytes | None], k: int = SHINGLE):
     return o, h, size, one.view(np.int64), two.view(np.int64)
 
 
-def _keys(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for part in chunks(batches):
-        _, _, size, one, two = set_keys(utf8(part.column("text")), k)
-        yield pa.record_batch([part.column("doc_id"), pa.array(size), pa.array(one), pa.array(two)],
-                              names=["doc_id", "n_shingles", "key1", "key2"])
-
-
 def _rank_within(group: np.ndarray) -> np.ndarray:
     """Place of each row within its group of equal neighbours."""
     at = np.flatnonzero(np.diff(group, prepend=-1))
     return np.arange(len(group)) - np.repeat(at, np.diff(np.append(at, len(group))))
 
 
-def segment_rows(o: np.ndarray, h: np.ndarray, size: np.ndarray, plan: Plan):
-    """Rows (set, row hash, deletion, units) and a flag for each set that lacks units.
+# What a row of a set says: it stands in the set's own band; its segment also pays a second unit; it is a deletion.
+OWN, SECOND, DELETION = 1, 2, 4
 
-    ``units`` is what the set, as a probe, pays on the row's segment in its own band: 0, 1 or 2.
-    """
+
+def segment_rows(o: np.ndarray, h: np.ndarray, size: np.ndarray, plan: Plan):
+    """(set, row hash, flags) of every row, and each set's number of first units and whether it lacks units."""
     n = len(size)
     held = size > 0
     own = plan.band(np.maximum(size, 1))
@@ -175,138 +182,127 @@ def segment_rows(o: np.ndarray, h: np.ndarray, size: np.ndarray, plan: Plan):
     need = plan.differences(size) + 1
     segments = np.asarray(plan.segments)
     mixed = mix64(h ^ _SEG[2])
-    parts = []
-    for step in range(int((far - own)[held].max(initial=0)) + 1):
+    owners, rows, flags = [], [], []
+    firsts, poor = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+    for step in range(int((far - own)[held].max(initial=0)) + 1 if held.any() else 0):
         level = own + step
         use = (level <= far)[o]
         oo, x = o[use], mixed[use]
+        if not len(oo):
+            continue
         count = segments[np.minimum(level, len(segments) - 1)][oo].astype(_U)
         seg = ((h[use] >> _U(17)) % count).astype(np.int64)
-        order = np.lexsort((seg, oo))
+        order = np.argsort(oo * (int(seg.max()) + 1) + seg)
         oo, x, seg = oo[order], x[order], seg[order]
-        if not len(oo):
-            continue
         first = np.ones(len(oo), dtype=bool)
         first[1:] = (oo[1:] != oo[:-1]) | (seg[1:] != seg[:-1])
         at = np.flatnonzero(first)
-        total = np.add.reduceat(x, at)
-        cnt = np.diff(np.append(at, len(oo)))
-        place = mix64(level[oo[at]].astype(_U) * _SEG[0] + seg[at].astype(_U) * _SEG[1])
-        whole = mix64(total + place)
+        owner, total, cnt = oo[at], np.add.reduceat(x, at), np.diff(np.append(at, len(oo)))
+        place = mix64(level[owner].astype(_U) * _SEG[0] + seg[at].astype(_U) * _SEG[1])
         gives = (seg[at] % DELETION_EVERY == 0) & (cnt >= 2)
         which = np.repeat(np.arange(len(at)), cnt)
         cut = gives[which]
-        less = mix64(total[which[cut]] - x[cut] + place[which[cut]])
-        parts.append((step, oo[at], whole, gives, cnt, which[cut], less))
-    rows = [[], [], [], []]
-    poor = np.zeros(n, dtype=bool)
-    everything = np.concatenate([p[2] for p in parts] + [p[6] for p in parts]) if parts else np.zeros(0, dtype=_U)
-    _, inverse, times = np.unique(everything, return_inverse=True, return_counts=True)
-    often = times[inverse]
-    wholes = sum(len(p[2]) for p in parts)
-    a, b = 0, wholes
-    for step, owner, whole, gives, cnt, which, less in parts:
-        cost_whole = often[a:a + len(whole)] + 1.0 / (1 + cnt)
-        cost_less = often[b:b + len(less)]
-        a, b = a + len(whole), b + len(less)
-        units = np.zeros(len(whole), dtype=np.int8)
+        which = which[cut]
+        flag = np.zeros(len(at), dtype=np.int8)
         if step == 0:
-            both = np.flatnonzero(gives)
-            heavy = np.bincount(which, cost_less, minlength=len(whole)) if len(which) else np.zeros(len(whole))
-            # the second unit of a segment is never cheaper than its first
-            second = np.maximum(cost_whole[both] + heavy[both], cost_whole[both])
-            item_owner = np.concatenate([owner, owner[both]])
-            item_cost = np.concatenate([cost_whole, second])
-            item_second = np.concatenate([np.zeros(len(owner), dtype=bool), np.ones(len(both), dtype=bool)])
-            item_at = np.concatenate([np.arange(len(owner)), both])
-            order = np.lexsort((item_second, item_cost, item_owner))
-            rank = _rank_within(item_owner[order])
-            paid = order[rank < need[item_owner[order]]]
-            units += np.bincount(item_at[paid], minlength=len(whole)).astype(np.int8)
-            have = np.bincount(item_owner, minlength=n)
-            poor = held & (have < need)
-        rows[0] += [owner, owner[which]]
-        rows[1] += [whole, less]
-        rows[2] += [np.zeros(len(whole), dtype=bool), np.ones(len(less), dtype=bool)]
-        rows[3] += [units, np.where(units[which] == 2, 2, 0).astype(np.int8)]
-    if not parts:
-        return np.zeros(0, dtype=np.int64), everything, np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int8), poor
-    return *(np.concatenate(x) for x in rows), poor
-
-
-_PACKED = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
-_KINDS = (("<u8", 8), ("<u4", 4), ("<i1", 1))
+            firsts = np.bincount(owner, minlength=n)
+            short = held & (firsts < need)
+            poor = short & (firsts + np.bincount(owner[gives], minlength=n) < need)
+            flag = OWN + np.where(gives & short[owner], SECOND, 0).astype(np.int8)
+        owners += [owner, owner[which]]
+        rows += [mix64(total + place), mix64(total[which] - x[cut] + place[which])]
+        flags += [flag, (flag[which] & (OWN + SECOND)) | DELETION]
+    if not rows:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=_U), np.zeros(0, dtype=np.int8), firsts, poor
+    return np.concatenate(owners), np.concatenate(rows), np.concatenate(flags).astype(np.int8), firsts, poor
+
+
+_ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("blob", pa.binary())])
+# The columns of each kind of row that a bucket passes on.
+_COLUMNS = {
+    "base": (("doc_id", "<i8"), ("known", "<i1"), ("n_shingles", "<i8"), ("key1", "<i8"), ("key2", "<i8"),
+             ("firsts", "<i8")),
+    "poor": (("doc_id", "<i8"), ("key", "<i8"), ("size", "<i8")),
+    "pair": (("a", "<i8"), ("a_key", "<i8"), ("b", "<i8"), ("b_key", "<i8")),
+    "unit": (("grp", "<i8"), ("doc", "<i8"), ("key", "<i8"), ("size", "<i8"), ("cost", "<i8")),
+    "member": (("grp", "<i8"), ("doc", "<i8"), ("key", "<i8"), ("size", "<i8")),
+}
+_SQL = {"<i8": "long", "<i1": "byte"}
+# Bits of a row hash that are kept beside its bucket; false meetings are verified away.
+_KEPT_BITS = 40
+
+
+def _pack(kind: str, *columns) -> bytes:
+    body = b"".join(np.asarray(c).astype(t).tobytes() for c, (_, t) in zip(columns, _COLUMNS[kind]))
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<Q", len(columns[0])) + body)
+
+
+def unpacked(found: DataFrame, kind: str) -> DataFrame:
+    """The rows of one kind."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                raw = zstandard.ZstdDecompressor().decompress(blob)
+                n, at, out = struct.unpack_from("<Q", raw)[0], 8, []
+                for _, t in _COLUMNS[kind]:
+                    out.append(pa.array(np.frombuffer(raw, t, n, at)))
+                    at += n * np.dtype(t).itemsize
+                yield pa.record_batch(out, names=[c for c, _ in _COLUMNS[kind]])
+
+    return found.where(F.col("kind") == kind).mapInArrow(
+        rows, ", ".join(f"{c} {_SQL[t]}" for c, t in _COLUMNS[kind]))
 
 
 def signatures(batches: Iterator[pa.RecordBatch], buckets: int, plan: Plan, k: int) -> Iterator[pa.RecordBatch]:
-    """One compressed row of segment rows for each chunk and bucket; equal sets of a chunk are sent once."""
+    """Compressed rows of a chunk: its segment rows for each bucket (equal sets are sent once), its sets' sizes
+    and hashes, and its sets without units."""
     pack = zstandard.ZstdCompressor(level=1)
     for part in chunks(batches, limit=TASK_BYTES):
-        ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+        known = ~np.asarray(part.column("doc_id").is_null())
+        ids = part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
         o, h, size, one, two = set_keys(utf8(part.column("text")), k)
-        order = np.lexsort((ids, two, one))
+        to = int(ids[0] % buckets)
+        order = np.lexsort((ids, ~known, two, one))
         again = np.zeros(len(ids), dtype=bool)
         again[order[1:]] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+        again |= ~known
         keep = ~again[o]
-        owner, row, deletion, units, poor = segment_rows(o[keep], h[keep], np.where(again, 0, size), plan)
-        bucket = (row % _U(buckets)).astype(np.int32)
-        rest = row // _U(buckets)
-        order = np.lexsort((rest, bucket))
-        owner, bucket, rest = owner[order], bucket[order], rest[order]
-        flags = (deletion[order].astype(np.int8) << 2) | units[order]
+        owner, row, flags, firsts, poor = segment_rows(o[keep], h[keep], np.where(again, 0, size), plan)
+        out = [(to, "base", _pack("base", ids, known, size, one, two, firsts))]
+        bucket = (row % _U(buckets)).astype(np.int64)
+        rest = (row // _U(buckets)) & _U((1 << _KEPT_BITS) - 1)
+        order = np.argsort(bucket * (1 << _KEPT_BITS) + rest.astype(np.int64)) if buckets < 1 << 22 else np.lexsort(
+            (rest, bucket))
+        owner, bucket, rest, flags = owner[order], bucket[order], rest[order], flags[order]
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(bucket)]
-        out = []
         for x, y in zip(cuts[:-1], cuts[1:]):
             there, local = np.unique(owner[x:y], return_inverse=True)
             steps = np.diff(rest[x:y], prepend=_U(0))
             body = struct.pack("<II", len(there), y - x) + b"".join(
-                v.astype(kind).tobytes() for v, kind in ((ids[there], "<i8"), (one[there], "<i8"),
-                                                         (size[there], "<i8")))
+                v[there].astype("<i8").tobytes() for v in (ids, one, size))
             # byte planes of the steps: the upper ones are zero and vanish in compression
             body += steps.view(np.uint8).reshape(-1, 8).T.tobytes()
             body += local.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + flags[x:y].tobytes()
-            out.append((int(bucket[x]), pack.compress(body)))
+            out.append((int(bucket[x]), "rows", pack.compress(body)))
         bad = np.flatnonzero(poor)
         if len(bad):
-            body = struct.pack("<II", len(bad), 0) + b"".join(
-                v[bad].astype("<i8").tobytes() for v in (ids, one, size))
-            out.append((int(ids[bad[0]] % buckets), pack.compress(body)))
-        if out:
-            yield pa.record_batch([pa.array([x for x, _ in out], pa.int32()),
-                                   pa.array([x for _, x in out], pa.binary())], schema=_PACKED)
-
-
-_FOUND = pa.schema([("kind", pa.string()), ("grp", pa.int64()), ("a", pa.int64()), ("a_key", pa.int64()),
-                    ("b", pa.int64()), ("b_key", pa.int64()), ("size", pa.int64()), ("flags", pa.int32())])
-
-
-def _found(kind: str, grp, a, a_key, b=None, b_key=None, size=None, flags=None) -> pa.Table:
-    n = len(a)
-    zero = np.zeros(n, dtype=np.int64)
-    cols = [pa.array([kind] * n, pa.string())]
-    cols += [pa.array(np.asarray(zero if x is None else x, dtype=np.int64)) for x in (grp, a, a_key, b, b_key, size)]
-    cols.append(pa.array(np.asarray(zero if flags is None else flags, dtype=np.int32)))
-    return pa.table(cols, schema=_FOUND)
-
-
-def allowed(flag_small, flag_large):
-    """Whether the larger set's row, as a probe, may meet the smaller one's row of the same hash."""
-    del_s, del_l, units = flag_small >> 2, flag_large >> 2, flag_large & 3
-    return ((del_s + del_l == 0) & (units >= 1)) | ((del_s + del_l == 1) & (units == 2))
+            out.append((to, "poor", _pack("poor", ids[bad], one[bad], size[bad])))
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), _ROWS)], schema=_ROWS)
+    release_memory()
 
 
 def meet(rows: pa.Table, num: int, den: int) -> pa.Table:
-    """From one bucket: 'pair' rows of each member and its group's hub, 'member' rows of groups of three
-    or more, and 'poor' rows of sets that lack units."""
+    """From one bucket: 'unit' rows of first units with partners and their cost, the 'member' rows of their groups,
+    and 'pair' rows of second units; other kinds of rows pass through."""
     doc, key, size, rest, flags = [], [], [], [], []
     out, unpack = [], zstandard.ZstdDecompressor()
-    for blob in rows.column("blob").to_pylist():
+    for kind, blob in zip(rows.column("kind").to_pylist(), rows.column("blob").to_pylist()):
+        if kind != "rows":
+            out.append((kind, blob))
+            continue
         raw = unpack.decompress(blob)
         n, m = struct.unpack_from("<II", raw)
         i, one, s = (np.frombuffer(raw, "<i8", n, 8 + 8 * n * j) for j in range(3))
-        if not m:
-            out.append(_found("poor", None, i, one, size=s))
-            continue
         at = 8 + 24 * n
         steps = np.frombuffer(raw, np.uint8, 8 * m, at).reshape(8, m).T.copy().view("<u8").ravel()
         local = np.frombuffer(raw, np.uint8, 4 * m, at + 8 * m).reshape(4, m).T.copy().view("<u4").ravel()
@@ -324,44 +320,56 @@ def meet(rows: pa.Table, num: int, den: int) -> pa.Table:
         shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         order = order[shared]
         doc, key, size, rest, flags = (x[order] for x in (doc, key, size, rest, flags))
-        # one row for each set and kind of row, with the most units and the least doc_id
-        kind = flags >> 2
-        order = np.lexsort((doc, -flags, kind, key, rest))
+        # one row for each set and kind of row, by size within a row hash
+        kind = flags & DELETION
+        order = np.lexsort((doc, kind, key, size, rest))
         doc, key, size, rest, flags, kind = (x[order] for x in (doc, key, size, rest, flags, kind))
         fresh = np.ones(len(rest), dtype=bool)
         fresh[1:] = (rest[1:] != rest[:-1]) | (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])
-        doc, key, size, rest, flags = (x[fresh] for x in (doc, key, size, rest, flags))
+        doc, key, size, rest, flags, kind = (x[fresh] for x in (doc, key, size, rest, flags, kind))
         if len(rest):
-            # the hub is the first by key, so a family has one hub in most of its groups
-            head = np.concatenate([[True], rest[1:] != rest[:-1]])
-            at = np.flatnonzero(head)
-            n = np.diff(np.append(at, len(rest)))
-            hub = np.repeat(at, n)
-            sets = np.repeat(np.add.reduceat(np.concatenate([[True], key[1:] != key[:-1]]) | head, at), n)
-            me = np.arange(len(rest))
-            for j in range(2):  # the hub may hold a row of each kind
-                h = np.minimum(hub + j, len(rest) - 1)
-                ok = (rest[h] == rest) & (key[h] == key[hub]) & (key != key[h])
-                hub_less = (size[h] < size) | ((size[h] == size) & (key[h] < key))
-                small, large = np.where(hub_less, h, me), np.where(hub_less, me, h)
-                ok &= allowed(flags[small], flags[large]) & (size[small] * den >= size[large] * num)
-                s, lg = small[ok], large[ok]
-                pair = np.unique(np.stack([key[s], key[lg], doc[s], doc[lg]]), axis=1)
-                if pair.shape[1]:
-                    out.append(_found("pair", None, pair[2], pair[0], pair[3], pair[1]))
-            more = sets >= 3
-            if more.any():
-                grp = mix64(rest[more] * _U(2) + _U(bucket) * _SEG[0]).view(np.int64)
-                out.append(_found("member", grp, doc[more], key[more], size=size[more], flags=flags[more]))
-    return pa.concat_tables(out) if out else _FOUND.empty_table()
-
-
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for part in chunks(batches):
-        o, h, size, one, _ = set_keys(utf8(part.column("text")), k)
-        ends = np.cumsum(size)
-        held = [h[e - s:e].tobytes() for s, e in zip(size.tolist(), ends.tolist())]
-        yield pa.record_batch([pa.array(one), pa.array(held, pa.binary())], names=["key", "held"])
+            grp = np.cumsum(np.concatenate([[True], rest[1:] != rest[:-1]])) - 1
+            out += _second_units(doc, key, size, grp, flags, num, den)
+            whole = np.flatnonzero(kind == 0)
+            # Partners of each row stand before it, from the least size that can link on.
+            wide = int(size.max()) + 1
+            at = grp[whole] * wide + size[whole]
+            least = grp[whole] * wide + -(-size[whole] * num // den)
+            cost = np.arange(len(whole)) - np.searchsorted(at, least, "left")
+            payer = (cost >= 1) & (flags[whole] & OWN > 0)
+            if payer.any():
+                name = mix64(rest * _U(2) + np.full(1, bucket, dtype=_U) * _SEG[0]).view(np.int64)
+                u = whole[payer]
+                out.append(("unit", _pack("unit", name[u], doc[u], key[u], size[u], cost[payer])))
+                m = whole[np.isin(grp[whole], grp[u])]
+                out.append(("member", _pack("member", name[m], doc[m], key[m], size[m])))
+    release_memory()
+    return pa.table([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())],
+                    names=["kind", "blob"])
+
+
+def _second_units(doc, key, size, grp, flags, num: int, den: int) -> list[tuple[str, bytes]]:
+    """Pairs that second units find: a payer's deletion and another's whole subset, or the other way about."""
+    pairs = []
+    heads = np.searchsorted(grp, grp)
+    for i in np.flatnonzero(flags & SECOND > 0).tolist():
+        j = int(heads[i])
+        while j < len(grp) and grp[j] == grp[i]:
+            no_larger = size[j] < size[i] or (size[j] == size[i] and key[j] < key[i])
+            if (flags[i] & DELETION) + (flags[j] & DELETION) == DELETION and no_larger and size[j] * den >= size[i] * num:
+                pairs.append((doc[j], key[j], doc[i], key[i]))
+            j += 1
+    return [("pair", _pack("pair", *zip(*set(pairs))))] if pairs else []
+
+
+def _sets(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        batch = batch.filter(pa.array(sieve.passes(bitmap, batch.column("at"))))
+        for part in chunks([batch]):
+            o, h, size, one, _ = set_keys(utf8(part.column("text")), k)
+            ends = np.cumsum(size)
+            held = [h[e - s:e].tobytes() for s, e in zip(size.tolist(), ends.tolist())]
+            yield pa.record_batch([pa.array(one), pa.array(held, pa.binary())], names=["key", "held"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -376,15 +384,70 @@ def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
         yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
 
-def _links(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, a_key, b, b_key) whose sets link, as (a, b) doc_ids; checkpointed."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut_lineage(docs.join(ids, "doc_id", "left_semi").select("text")
-                       .mapInArrow(lambda b: _sets(b, k), "key long, held binary").dropDuplicates(["key"]))
-    both = (pairs.join(sets.select(F.col("key").alias("a_key"), F.col("held").alias("x")), "a_key")
-            .join(sets.select(F.col("key").alias("b_key"), F.col("held").alias("y")), "b_key")
-            .select("a", "b", "x", "y"))
-    return cut_lineage(both.mapInArrow(lambda b: _verify(b, num, den), "a long, b long"))
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(key, held): the shingle sets of the documents of ``ids`` (doc) and a few others, each once; checkpointed,
+    and dealt by key once for all the joins (what an executor loses of that is dealt again)."""
+    bitmap = sieve.make(ids.withColumnRenamed("doc", "doc_id"), "doc_id")
+    sets = cut_lineage(docs.withColumn("at", sieve.place("doc_id")).mapInArrow(
+        lambda b: _sets(b, bitmap.value, k), "key long, held binary"))
+    dealt = sets.repartition(shuffle_partitions(docs.sparkSession), "key")
+    return dealt.dropDuplicates(["key"]).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _links(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, a_key, b, b_key) whose sets link, as (u, v) doc_ids; checkpointed.
+
+    Sets of ``a`` travel to those of ``b``; rows of one ``a`` stand together, so its copies compress well.
+    """
+    both = (pairs.join(sets.toDF("a_key", "x"), "a_key").join(sets.toDF("b_key", "y"), "b_key").select("a", "b", "x", "y"))
+    return cut_lineage(both.mapInArrow(lambda b: _verify(b, num, den), "a long, b long").toDF("u", "v"))
+
+
+def _blocks(rows: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """(family, <name>_block, <name>): rows (family, doc, key, size, component) and their sets in blocks."""
+    n = rows.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias(f"n_{name}"))
+    return (rows.join(n, "family").join(sets, "key")
+            .withColumn(f"{name}_block", F.pmod(F.hash("key"), F.col(f"n_{name}")))
+            .groupBy("family", f"{name}_block").agg(
+                F.collect_list(F.struct("doc", "size", "component", "held")).alias(name)))
+
+
+def _cross(payers: DataFrame, members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (u, v) of payers and members of one family that are in different components."""
+    n = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("n"))
+    p = _blocks(payers, sets, "p").join(n, "family").withColumn("m_block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    pairs = _blocks(members, sets, "m").join(p, ["family", "m_block"]).select("p", "m")
+    return cut_lineage(pairs.mapInArrow(lambda b: _cross_batches(b, num, den), "u long, v long").distinct())
+
+
+def _cross_batches(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            a, b = (batch.column(c).slice(i, 1).flatten() for c in ("p", "m"))
+            (doc_a, size_a, in_a), (doc_b, size_b, in_b) = (
+                [x.field(c).to_numpy() for c in ("doc", "size", "component")] for x in (a, b))
+            held_a, held_b = ([np.frombuffer(v, _U) for v in x.field("held").to_pylist()] for x in (a, b))
+            common = np.zeros((len(doc_a), len(doc_b)), dtype=np.float64)
+            # The elements of the first block in strips, so that the matrices stay small.
+            elements = np.unique(np.concatenate(held_a))
+            for lo in range(0, len(elements), 4096):
+                strip = elements[lo:lo + 4096]
+                x, y = (_incidence(held, strip) for held in (held_a, held_b))
+                common += x @ y.T
+            total = size_a[:, None] + size_b[None, :]
+            hit = (in_a[:, None] != in_b[None, :]) & (den * common >= num * (total - common)) & (common > 0)
+            u, v = np.nonzero(hit)
+            if len(u):
+                yield pa.record_batch([pa.array(doc_a[u]), pa.array(doc_b[v])], names=["u", "v"])
+
+
+def _incidence(held: list[np.ndarray], strip: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(held), len(strip)), dtype=np.float32)
+    for row, x in zip(out, held):
+        x = x[np.searchsorted(x, strip[0]):np.searchsorted(x, strip[-1], "right")]
+        at = np.searchsorted(strip, x)
+        row[at[strip[at] == x]] = 1
+    return out
 
 
 def _distinct_pairs(pairs: DataFrame) -> DataFrame:
@@ -397,55 +460,97 @@ def link_components(docs: DataFrame, plan: Plan = PLAN, k: int = SHINGLE) -> Dat
     num, den = plan.num, plan.den
     docs = docs.select("doc_id", "text")
     known = docs.where("doc_id is not null and text is not null")
-    base = cut_lineage(docs.mapInArrow(lambda b: _keys(b, k), "doc_id long, n_shingles long, key1 long, key2 long"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(shuffle_partitions(spark), int(total / BUCKET_TEXT) + 1)
+    found = cut_lineage(
+        docs.mapInArrow(lambda b: signatures(b, buckets, plan, k), "bucket int, kind string, blob binary")
+        .groupBy("bucket").applyInArrow(lambda t: meet(t, num, den), "kind string, blob binary"))
+    base = unpacked(found, "base").select(
+        F.when(F.col("known") == 1, F.col("doc_id")).alias("doc_id"), "n_shingles", "key1", "key2", "firsts")
     classes = (base.where("n_shingles > 0 and doc_id is not null").groupBy("key1", "key2", "n_shingles")
                .agg(F.min("doc_id").alias("class_id")))
-    total = base.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(shuffle_partitions(spark), int(total / BUCKET_ROWS) + 1)
-    found = cut_lineage(
-        known.mapInArrow(lambda b: signatures(b, buckets, plan, k), "bucket int, blob binary")
-        .groupBy("bucket").applyInArrow(
-            lambda t: meet(t, num, den),
-            "kind string, grp long, a long, a_key long, b long, b_key long, size long, flags int"))
-    pairs = _distinct_pairs(found.where("kind = 'pair'").select("a", "a_key", "b", "b_key"))
-    poor = found.where("kind = 'poor'").select(F.col("a").alias("doc_id"), F.col("a_key").alias("key"), "size")
+    # What every payer needs: H + 1 units less its free ones; the cheapest of the others.
+    units = unpacked(found, "unit")
+    firsts = base.where("firsts > 0").groupBy(F.col("key1").alias("key")).agg(F.max("firsts").alias("firsts"))
+    needed = F.floor(F.col("size") * (2 * (den - num)) / (den + num)).cast("long") + 1 - (F.col("firsts") - F.col("shared"))
+    payers = (units.groupBy("key").agg(F.count("*").alias("shared"), F.max("size").alias("size")).join(firsts, "key")
+              .withColumn("needed", needed).where("needed > 0").select("key", "needed"))
+    cheapest = Window.partitionBy("key").orderBy("cost", "grp")
+    paid = cut_lineage(units.join(payers, "key").withColumn("nth", F.row_number().over(cheapest))
+                       .where("nth <= needed").select("grp", "doc", "key", "size"))
+    member = unpacked(found, "member").join(paid.select("grp").distinct(), "grp", "left_semi")
+    degree = member.groupBy("key").agg(F.count("*").alias("degree"))
+    member = cut_lineage(member.join(degree, "key"))
+    pairs = unpacked(found, "pair")
+    poor = unpacked(found, "poor")
     if not poor.isEmpty():
-        pairs = _distinct_pairs(pairs.select("a", "a_key", "b", "b_key").union(
-            _poor_pairs(known, cut_lineage(poor.distinct()), k, num, den)))
-    pairs = cut_lineage(pairs)
-    links = _links(known, pairs, k, num, den)
+        pairs = pairs.union(_poor_pairs(known, cut_lineage(poor.distinct()), k, num, den))
+    pairs = cut_lineage(_distinct_pairs(pairs).select("a", "a_key", "b", "b_key"))
+    sets = _sets_of(known, member.select("doc").union(pairs.select(F.explode(F.array("a", "b")).alias("doc"))), k)
     ids = classes.join(base.select("doc_id", "key1", "key2", "n_shingles"), ["key1", "key2", "n_shingles"])
     same = ids.where("doc_id <> class_id").select(F.col("doc_id").alias("u"), F.col("class_id").alias("v"))
-    found_links = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    linked = cut_lineage(components(found_links.union(same)))
-    # Members of one group that are still in different components, except what was compared before.
-    member = (found.where("kind = 'member'").select("grp", F.col("a").alias("doc"), F.col("a_key").alias("key"),
-                                                    "size", "flags")
-              .join(linked.withColumnRenamed("node", "doc"), "doc", "left")
-              .withColumn("component", F.coalesce("component", "doc")))
-    split = (member.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo <> hi").select("grp"))
-    member = cut_lineage(member.join(split, "grp"))
-    if not member.isEmpty():
-        s, t = member.alias("s"), member.alias("t")
-        del_s, del_t, units = (F.shiftright("s.flags", 2), F.shiftright("t.flags", 2),
-                               F.col("t.flags").bitwiseAND(3))
-        rest = s.join(t, (F.col("s.grp") == F.col("t.grp")) & (F.col("s.component") != F.col("t.component"))
-                      & ((F.col("s.size") < F.col("t.size")) | ((F.col("s.size") == F.col("t.size"))
-                                                                & (F.col("s.key") < F.col("t.key"))))
-                      & (F.col("s.size") * den >= F.col("t.size") * num)
-                      & (((del_s + del_t == 0) & (units >= 1)) | ((del_s + del_t == 1) & (units == 2))))
-        rest = _distinct_pairs(rest.select(F.col("s.doc").alias("a"), F.col("s.key").alias("a_key"),
-                                           F.col("t.doc").alias("b"), F.col("t.key").alias("b_key")))
-        rest = cut_lineage(rest.join(pairs.select("a_key", "b_key"), ["a_key", "b_key"], "left_anti")
-                           .select("a", "a_key", "b", "b_key"))
-        more = _links(known, rest, k, num, den)
-        linked = cut_lineage(components(linked.select(F.col("node").alias("u"), F.col("component").alias("v")).union(
-            more.select(F.col("a").alias("u"), F.col("b").alias("v")))))
+    linked = same if pairs.isEmpty() else same.union(_links(sets, pairs, num, den))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return (rows.join(linked.withColumnRenamed("node", "doc"), "doc", "left")
+                .withColumn("component", F.coalesce("component", "doc")))
+
+    def met(payers: DataFrame, hubs: DataFrame) -> DataFrame:
+        """Payers and the hubs of their groups, as pairs of sets that could link."""
+        near = (F.col("size") * den >= F.col("hub.size") * num) & (F.col("hub.size") * den >= F.col("size") * num)
+        return cut_lineage(_distinct_pairs(payers.join(hubs, "grp").where(near & (F.col("key") != F.col("hub.key"))).select(
+            F.col("hub.doc").alias("a"), F.col("hub.key").alias("a_key"), F.col("doc").alias("b"),
+            F.col("key").alias("b_key"))).select("a", "a_key", "b", "b_key"))
+
+    best = F.max(F.struct("degree", "key", "doc", "size")).alias("hub")
+    hubs = cut_lineage(member.groupBy("grp").agg(best))
+    linked = cut_lineage(components(linked.union(_links(sets, met(paid, hubs), num, den))))
+    first_hubs = placed(hubs.select("grp", F.col("hub.doc").alias("doc"))).select("grp", F.col("component").alias("family"))
+    for _ in range(1, HUB_ROUNDS):
+        # Only groups in more than one component go on, with hubs that are not where the last ones are now.
+        here = placed(member)
+        split = here.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        here = cut_lineage(here.join(split.select("grp"), "grp"))
+        member = here.drop("component")
+        paid = cut_lineage(paid.join(here.select("grp").distinct(), "grp", "left_semi"))
+        if member.isEmpty():
+            break
+        last = placed(hubs.join(here.select("grp").distinct(), "grp", "left_semi").select(
+            "grp", F.col("hub.doc").alias("doc"))).select("grp", F.col("component").alias("hub_component"))
+        hubs = cut_lineage(here.join(last, "grp").where("component <> hub_component").groupBy("grp").agg(
+            F.max(F.struct("degree", "key", "doc", "size", "component")).alias("hub")))
+        apart = placed(paid).join(hubs, "grp").where(F.col("component") != F.col("hub.component")).drop("hub")
+        linked = cut_lineage(components(linked.toDF("u", "v").union(_links(sets, met(apart, hubs), num, den))))
+    # Then what is left: groups in more than one component, under their first hubs.
+    here = placed(member)
+    split = here.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    split = cut_lineage(split.join(first_hubs, "grp").select("grp", "family"))
+    if not split.isEmpty():
+        columns = ["family", "doc", "key", "size", "component"]
+        rest = _cross(*[rows.join(split, "grp").select(columns).distinct() for rows in (placed(paid), here)], sets, num, den)
+        linked = cut_lineage(components(linked.toDF("u", "v").union(rest)))
+    sets.unpersist()
     out = base.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, plan: Plan = PLAN, k: int = SHINGLE) -> DataFrame:
+    """``docs`` (all columns) with one row of each component: that of its smallest doc_id, of rows that repeat it the one
+    with the least text.  Rows without a doc_id stay.  Documents without words are in components of their own."""
+    found = cut_lineage(link_components(docs, plan, k).where("doc_id is not null").select("doc_id", "component_id"))
+    # What may go: all of a component but its least doc_id, and rows that repeat a doc_id.
+    doubtful = (found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
+                .where("doc_id <> component_id or n > 1").select("doc_id", "component_id"))
+    bitmap = sieve.make(doubtful, "doc_id")
+    touched, others = (sieve.sift(docs, bitmap, "doc_id", x) for x in (True, False))
+    met = (touched.withColumn("doc_id", F.col("row.doc_id"))
+           .join(doubtful.withColumnRenamed("component_id", "first"), "doc_id", "left"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("row.text"))
+    kept = (met.where("first is null or first = doc_id").withColumn("nth", nth)
+            .where("first is null or nth = 1").select("row"))
+    return kept.unionAll(others).select("row.*")
+
+
 def _exploded(batches: Iterator[pa.RecordBatch], k: int, prefix: bool, num: int, den: int):
     for part in chunks(batches):
         ids = part.column("doc_id").to_numpy(zero_copy_only=False)
