@@ -22,7 +22,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex

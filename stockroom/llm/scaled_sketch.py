@@ -45,8 +45,10 @@ def sketch(text: Column, fraction: float = FRACTION, k: int = SHINGLE) -> Column
 
     def hashes(w: Column) -> Column:
         n = F.size(w)
-        starts = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))))
-        return F.transform(starts, lambda i: F.substring(F.md5(F.array_join(F.slice(w, i, k), " ").cast("binary")), 1, DIGITS))
+        starts = F.when(n == 0, F.array().cast("array<int>")).otherwise(
+            F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))))
+        return F.transform(starts, lambda i: F.substring(
+            F.md5(F.array_join(F.slice(w, i, k), " ").cast("binary")), 1, DIGITS))
 
     def kept(h: Column) -> Column:
         return _let(F.filter(h, lambda x: x < threshold(fraction)), lambda low: F.when(

@@ -268,7 +268,8 @@ def _ranges_of(docs: DataFrame, k: int, m: int) -> tuple[DataFrame, Broadcast]:
     ranges = cut_lineage(covered_ranges(docs, k, m).groupBy("doc_id", "text_key")
                          .agg(F.collect_list(F.struct("start", "n")).alias("ranges")))
     bitmap = sieve.make(ranges, "doc_id")
-    keyed = sieve.sift(docs, bitmap, "doc_id", True).select("row", F.col("row.doc_id").alias("doc_id"), F.hash("row.text").alias("text_key"))
+    keyed = sieve.sift(docs, bitmap, "doc_id", True).select(
+        "row", F.col("row.doc_id").alias("doc_id"), F.hash("row.text").alias("text_key"))
     return keyed.join(ranges, ["doc_id", "text_key"], "left").select("row", "ranges"), bitmap
 
 
