@@ -19,7 +19,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from stockroom.plans import REGISTRY  # noqa: E402
-from stockroom.session import ensure_checkpoint_dir, get_spark  # noqa: E402
+from stockroom.session import ensure_checkpoint_dir, get_spark, ship_package  # noqa: E402
 from stockroom.sources import RetailTables  # noqa: E402
 
 HEADLINE = [
@@ -40,6 +40,7 @@ def main() -> None:
     spark = get_spark(f"local[{cpus}]", int(cpus) * 2,
                       extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     # Warm-up, not timed: every headline query once on the smallest tables so
     # the timed runs measure a warm JVM (JIT, codegen cache), not start-up.
     warm = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")

@@ -13,10 +13,11 @@ MEDIUM = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from stockroom.session import ensure_checkpoint_dir, get_spark
+    from stockroom.session import ensure_checkpoint_dir, get_spark, ship_package
 
     s = get_spark(os.environ.get("TEST_MASTER", "local[*]"), 8)
     ensure_checkpoint_dir(s)
+    ship_package(s)
     yield s
 
 
