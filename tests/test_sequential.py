@@ -1,6 +1,7 @@
 """Order-dependent jobs against plain Python loops; skew-safe scans against plain windows."""
 
 import datetime as dt
+from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -12,17 +13,25 @@ from stockroom.operators import stock as S
 from stockroom.sources import RetailTables
 
 
-def brute_record(reqs, prods, avail):
+def number(text):
+    try:
+        return Decimal(str(text).strip())
+    except InvalidOperation:
+        return None
+
+
+def brute_record(reqs, prices, avail):
+    """Requests in order; whole quantities in any numeric form; an amount must fit its column."""
     ok = set()
     for row in reqs.sort_values(["ts", "request_id"]).itertuples():
-        try:
-            q = int(str(row.Quantity).strip())
-        except ValueError:
+        q, pct = number(row.Quantity), number(row.Discount) or Decimal(0)
+        if q is None or q != int(q) or q <= 0 or q >= 2**63 or row.ProductID not in prices:
             continue
-        if q <= 0 or row.ProductID not in prods:
+        subtotal = prices[row.ProductID] * q
+        if pct >= 10**8 or subtotal >= 10**16 or abs(subtotal * (100 - pct) / 100) >= 10**12:
             continue
         if avail.get(row.ProductID, 0) >= q:
-            avail[row.ProductID] -= q
+            avail[row.ProductID] -= int(q)
             ok.add(row.request_id)
     return ok
 
@@ -32,9 +41,9 @@ def test_record_sales_matches_loop(spark):
     rec = Q.record_sales(t.products, t.stock, t.sales, t.sale_requests)
     assert rec.rounds > 1
     got = {r.request_id for r in rec.sales.select("request_id").collect()}
-    prods = {r.ProductID for r in t.products.select("ProductID").collect()}
+    prices = {r.ProductID: r.Price for r in t.products.collect()}
     avail = {r.ProductID: r.Available for r in S.stock_availability(t.sale_requests, t.stock, t.sales).collect()}
-    assert got == brute_record(t.sale_requests.toPandas(), prods, avail)
+    assert got == brute_record(t.sale_requests.toPandas(), prices, avail)
     ids = [r.SaleID for r in rec.sales.collect()]
     assert len(ids) == len(set(ids))
     assert rec.rejects.count() + len(got) == t.sale_requests.count()
