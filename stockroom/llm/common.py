@@ -18,7 +18,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
 # Texts are worked on in chunks of about this many bytes, which bounds a Python worker's memory.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
+# Rows and bytes of an Arrow batch of texts.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 # Hashing goes through a buffer in slabs of this many bytes.
 SLAB_BYTES = 1 << 20
 
@@ -34,6 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand texts to Python in Arrow batches of at most ``BATCH_BYTES`` and ``BATCH_ROWS``: a batch stands
+    in memory several times, in the JVM and in each worker.  Smaller settings of the session stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name, None)
+        if now is None or not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
 

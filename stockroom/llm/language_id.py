@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import chunks
+from .common import chunks, small_batches
 
 ORDERS = 3
 PER_LANG = 300
@@ -168,6 +168,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
 
     The model is broadcast; it is bounded by the sample it was learned from.
     """
+    small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     held = docs.sparkSession.sparkContext.broadcast(model)
 

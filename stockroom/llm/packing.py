@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import chunks
+from .common import chunks, small_batches
 
 WINDOW = 2048
 PART = 512
@@ -175,5 +175,6 @@ def pack(docs: DataFrame, window: int = WINDOW, part: int = PART, windows: int =
     ranks = ranks or public_tokenizers.path(RANKS)
     kind = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
             + ", ids array<int>" * keep_ids)
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(
         lambda b: _pack(b, window, part, windows, vocabulary, ranks, keep_ids), kind)

@@ -26,7 +26,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import chunks, release_memory, slices
+from .common import chunks, release_memory, slices, small_batches
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -319,6 +319,7 @@ def encode_texts(docs: DataFrame, model: str | None = None) -> DataFrame:
             yield pa.record_batch([part.column("doc_id"), lists], names=["doc_id", "ids"])
         release_memory()
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, ids array<int>")
 
 

@@ -24,7 +24,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, utf8
+from .common import chunks, small_batches, utf8
 
 # Kinds in their order, their keywords and patterns.
 KINDS = ("assign", "access", "hex", "github", "npm")
@@ -131,6 +131,7 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) of every row of ``docs`` (doc_id, text; other columns are not read)."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(
         _scan_batches, "doc_id long, spans array<struct<kind: string, start: long, `end`: long>>")
 
@@ -144,4 +145,5 @@ def _redact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with its secrets masked in ``text``; a null text stays null, other columns stay as they are."""
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(_redact_batches, docs.schema)

@@ -37,7 +37,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..session import cut_lineage
 from . import sieve
-from .common import (Words, chunks, mix64, release_memory, run_hashes, shuffle_partitions, sliding_min, slices, utf8,
+from .common import (Words, chunks, mix64, release_memory, run_hashes, shuffle_partitions, sliding_min, small_batches, slices, utf8,
                      word_hashes, words_of)
 
 K_WORDS = 13
@@ -167,7 +167,7 @@ def super_kmers(batches: Iterator[pa.RecordBatch], buckets: int, k: int, m: int)
                     ids[o[x:y]], keys[o[x:y]], s[x:y] - w.first[o[x:y]], b[x:y] - a[x:y], body)))
         if rows:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-    release_memory()
+        release_memory()
 
 
 def judge_bucket(rows: pa.Table, k: int) -> pa.Table:
@@ -206,6 +206,7 @@ def covered_ranges(docs: DataFrame, k: int = K_WORDS, m: int = MINIMISER_WORDS)
     ``text_key`` is a hash of the text and tells rows apart that repeat a doc_id.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     known = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     per_window = (k + (k - m + 2) / 2) / ((k - m + 2) / 2)  # packed words for each word of input, about
