@@ -25,7 +25,7 @@ units than differences, one of the paid segments must find the partner.
 
 Groups under one row are never expanded into all pairs at first: each payer is compared with the
 group's hub, the member that shares most rows with others, such as the original of a family of edited copies.
-Links are verified on the full sets and their components found.  Some more rounds take
+Links are verified on the full sets and their components found.  Another round takes
 hubs from other components of the group.  What is in one component already needs no more pairs; the
 rest, payers and members of groups that are still in more than one component, are gathered by the component of the
 first hub of their group, dealt into blocks of sets, and every block of payers meets every block of
@@ -50,17 +50,18 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import sieve
-from .common import chunks, mix64, odd_constants, release_memory, run_hashes, shuffle_partitions, utf8, word_hashes, words_of
+from .common import (chunks, mix64, odd_constants, release_memory, run_hashes, shuffle_partitions, small_batches, utf8,
+                     word_hashes, words_of)
 from .components import components
 
 SHINGLE = 5
 NUM, DEN = 75, 100
 # A chunk that a task works on at once, in bytes of text.
-TASK_BYTES = 5 << 20
+TASK_BYTES = 4 << 20
 # Bytes of text that make one more bucket, which holds one to two million rows.
 BUCKET_TEXT = 12 << 20
 # Rounds of hubs before the rest is compared member by member.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 # Sets of one block, when the rest is compared.
 BLOCK_SETS = 512
 # One segment of so many has one-deletion neighbours too.
@@ -288,7 +289,7 @@ def signatures(batches: Iterator[pa.RecordBatch], buckets: int, plan: Plan, k: i
         if len(bad):
             out.append((to, "poor", _pack("poor", ids[bad], one[bad], size[bad])))
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), _ROWS)], schema=_ROWS)
-    release_memory()
+        release_memory()
 
 
 def meet(rows: pa.Table, num: int, den: int) -> pa.Table:
@@ -458,6 +459,7 @@ def link_components(docs: DataFrame, plan: Plan = PLAN, k: int = SHINGLE) -> Dat
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text; other columns are not read)."""
     spark = docs.sparkSession
     num, den = plan.num, plan.den
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     known = docs.where("doc_id is not null and text is not null")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
