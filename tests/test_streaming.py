@@ -48,6 +48,31 @@ def test_out_of_order_files_equal_the_batch_fold(spark):
     assert len(os.listdir(root + "/run/position/commits")) >= 5  # really several micro-batches
 
 
+def test_default_arguments_lose_nothing_on_more_files_than_a_micro_batch(spark):
+    t = RetailTables.from_testdata(spark, SMALL)
+    root = tempfile.mkdtemp(prefix="stockroom-stream-")
+    raw = spark.read.parquet(f"{SMALL}/events.parquet")
+    # 70 files, each of the whole time span
+    part = tempfile.mkdtemp(prefix="stockroom-slice-")
+    (raw.withColumn("slice", F.col("event_id") * 37 % 70).repartition(1).write.mode("overwrite")
+     .partitionBy("slice").parquet(part))
+    os.makedirs(root + "/events")
+    for i in range(70):
+        name, = (f for f in os.listdir(f"{part}/slice={i}") if f.endswith(".parquet"))
+        os.link(f"{part}/slice={i}/{name}", f"{root}/events/{i:03d}.parquet")
+    out = run_cart_stream(spark, root + "/events", t.products, root + "/run", event_transform=cart_events_of,
+                          finish=True).results()
+    assert len([f for f in os.listdir(root + "/run/position/commits") if f.isdigit()]) == 2
+    carts = C.cart_episodes(t.cart_events, t.products)
+    keys = ["user_id", "product_id", "quantity", "ts", "event_id"]
+    want = sorted(tuple(r) for r in C.cart_purchases(carts).select(keys).collect())
+    assert outcome(out, "purchase", *keys) == want and want
+    keys = ["event_id", "ts", "user_id", "product_id", "action", "reason"]
+    want = sorted(tuple(r) for r in C.cart_errors(carts).select(keys).collect())
+    assert outcome(out, "error", *keys) == want and want
+    assert outcome(out, "late", "event_id") == []
+
+
 def event(i, minute, user, product, action, quantity=None):
     return (i, dt.datetime(2000, 1, 1) + dt.timedelta(minutes=minute), user, product, action, quantity)
 
@@ -76,3 +101,19 @@ def test_state_falls_when_carts_close_and_late_events_are_reported(spark):
     out = go(finish=True).results()
     assert outcome(out, "error", "event_id") == [(4,), (9,), (10,), (11,)]
     assert t is not None
+
+
+def test_a_longer_delay_later_does_not_reopen_what_was_applied(spark):
+    products = spark.createDataFrame([(1,)], "ProductID long")
+    make = lambda rows: spark.createDataFrame(rows, SCHEMAS["cart_events"])
+    root = tempfile.mkdtemp(prefix="stockroom-stream-")
+    files(root + "/events", [make([event(1, 0, 1, 1, "add", 2), event(2, 10, 1, 1, "buy"), event(3, 200, 2, 1, "add")])])
+    run_cart_stream(spark, root + "/events", products, root + "/run")
+    files(root + "/events", [make([event(4, 5, 1, 1, "add", 9), event(5, 210, 2, 1, "add")])])
+    files(root + "/events", [make([event(6, 142, 1, 1, "remove"), event(7, 143, 2, 1, "buy")])])
+    files(root + "/events", [make([event(8, 205, 2, 1, "add", 5), event(9, 220, 2, 1, "buy")])])
+    out = run_cart_stream(spark, root + "/events", products, root + "/run", files_per_trigger=1, finish=True).results()
+    assert outcome(out, "late", "event_id") == [(4,)]
+    assert outcome(out, "purchase", "event_id", "quantity") == [(2, 2), (9, 7)]
+    assert outcome(out, "error", "event_id") == [(6,), (7,)]
+    assert len(os.listdir(root + "/run/state")) <= 5
