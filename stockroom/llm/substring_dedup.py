@@ -12,6 +12,9 @@ removed.  Windows are judged on the input, not on what is left.
    ``m``-word runs inside a window) travel as one packed string to the
    minimiser's bucket.  Equal windows have equal minimisers, so they meet.
    The strings of a chunk for one bucket are one compressed row.
+   What every bucket would get is counted first.  A bucket over twice the aim (a
+   frequent ``m``-word run) is split: its windows are dealt, each by the hash of
+   its ``k`` words, to further buckets.  Equal windows still meet.
 3. A bucket sorts its windows by hash, compares the words of equal hashes, and
    reports every window for which a smaller doc_id exists.
 4. Covered ranges go back to their documents by doc_id.
@@ -44,7 +47,8 @@ K_WORDS = 13
 MINIMISER_WORDS = 4
 # Of the compression of packed strings.
 LEVEL = 6
-# Bytes of packed strings that a bucket holds on average; more text makes more buckets.
+# Bytes of packed strings that a bucket holds on average; more text makes more buckets, and one with over twice as
+# much is split.
 BUCKET_BYTES = 6 << 20
 
 _RANGES = "doc_id long, text_key int, start int, n int"
@@ -133,7 +137,54 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return doc[of], key[of], start, size, raw[at + 12 * n:]
 
 
-def super_kmers(batches: Iterator[pa.RecordBatch], buckets: int, k: int, m: int) -> Iterator[pa.RecordBatch]:
+def _deal(w: Words, hashes: np.ndarray, buckets: int, split: np.ndarray, extra: int, k: int, m: int) -> np.ndarray:
+    """The bucket of the window at each word: by its minimiser, or by its ``k`` words where that bucket is ``split``."""
+    out = np.zeros(len(w.start), dtype=np.int64)
+    inner = sliding_min(run_hashes(hashes, m, 23), k - m + 1)
+    dest = (mix64(inner) % np.uint64(buckets)).astype(np.int64)
+    if len(split):
+        own = np.isin(dest, split)
+        dest[own] = buckets + (run_hashes(hashes, k, 37)[own] % np.uint64(extra)).astype(np.int64)
+    out[: len(dest)] = dest
+    return out
+
+
+def _strings(w: Words, windows: np.ndarray, dest: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(first word, bucket, first byte, last byte + 1) of the strings that ``windows`` travel in."""
+    joined = near.copy()
+    joined[1:] &= dest[1:] == dest[:-1]
+    s, n = _runs(windows, joined)
+    last = s + n + k - 2
+    return s, dest[s], w.start[s], w.start[last] + w.size[last]
+
+
+def _near(w: Words) -> np.ndarray:
+    """Whether the word before each word is of the same text."""
+    return np.concatenate([[False], w.owner[1:] == w.owner[:-1]]) if len(w.owner) else np.zeros(0, dtype=bool)
+
+
+def bucket_loads(batches: Iterator[pa.RecordBatch], buckets: int, k: int, m: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, size, alone): bytes that a chunk's strings bring to a bucket, and bytes of their windows one by one."""
+    none = np.zeros(0, dtype=np.int64)
+    for part in chunks(batches):
+        w = words_of(utf8(part.column("text")))
+        hashes = word_hashes(w)
+        valid, later = repeated_windows(w, hashes, part.column("doc_id").to_numpy(zero_copy_only=False), k)
+        windows = valid & ~later
+        dest = _deal(w, hashes, buckets, none, 1, k, m)
+        _, bucket, a, b = _strings(w, windows, dest, _near(w), k)
+        at = np.flatnonzero(windows)
+        size = np.bincount(bucket, b - a + 1, buckets)
+        alone = np.bincount(dest[at], w.start[at + k - 1] + w.size[at + k - 1] - w.start[at] + 1, buckets)
+        on = np.flatnonzero(size)
+        if len(on):
+            yield pa.record_batch([pa.array(on.astype(np.int32)), pa.array(size[on].astype(np.int64)),
+                                   pa.array(alone[on].astype(np.int64))], names=["bucket", "size", "alone"])
+        release_memory()
+
+
+def super_kmers(batches: Iterator[pa.RecordBatch], buckets: int, k: int, m: int,
+                split: np.ndarray = np.zeros(0, dtype=np.int64), extra: int = 1) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, decided, blob) of documents (doc_id, text_key, text)."""
     schema = pa.schema([("bucket", pa.int32()), ("decided", pa.bool_()), ("blob", pa.binary())])
     for part in chunks(batches):
@@ -143,21 +194,15 @@ def super_kmers(batches: Iterator[pa.RecordBatch], buckets: int, k: int, m: int)
         hashes = word_hashes(w)
         valid, later = repeated_windows(w, hashes, ids, k)
         rows: list[tuple[int, bool, bytes]] = []
-        near = np.concatenate([[False], w.owner[1:] == w.owner[:-1]]) if len(w.owner) else np.zeros(0, dtype=bool)
+        near = _near(w)
         s, n = _runs(later, near)
         if len(s):
             o = w.owner[s]
             rows.append((int(ids[o[0]] % buckets), True, _pack(ids[o], keys[o], s - w.first[o], n, b"")))
-        least = np.zeros(len(valid), dtype=np.uint64)
-        inner = sliding_min(run_hashes(hashes, m, 23), k - m + 1)
-        least[: len(inner)] = inner
-        near[1:] &= least[1:] == least[:-1]
-        s, n = _runs(valid & ~later, near)
+        s, bucket, a, b = _strings(w, valid & ~later, _deal(w, hashes, buckets, split, extra, k, m), near, k)
         if len(s):
-            bucket = (mix64(least[s]) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            s, n, bucket = s[order], n[order], bucket[order]
-            a, b = w.start[s], w.start[s + n + k - 2] + w.size[s + n + k - 2]
+            s, bucket, a, b = s[order], bucket[order], a[order], b[order]
             o = w.owner[s]
             buf = w.buf.tobytes()
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(s)]
@@ -211,8 +256,14 @@ def covered_ranges(docs: DataFrame, k: int = K_WORDS, m: int = MINIMISER_WORDS)
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     per_window = (k + (k - m + 2) / 2) / ((k - m + 2) / 2)  # packed words for each word of input, about
     buckets = max(shuffle_partitions(spark), int(total * per_window / BUCKET_BYTES) + 1)
+    over = (known.mapInArrow(lambda batches: bucket_loads(batches, buckets, k, m), "bucket int, size long, alone long")
+            .groupBy("bucket").agg(F.sum("size").alias("size"), F.sum("alone").alias("alone"))
+            .where(F.col("size") > 2 * BUCKET_BYTES).collect())
+    split = spark.sparkContext.broadcast(np.array(sorted(r.bucket for r in over), dtype=np.int64))
+    extra = sum(r.alone for r in over) // BUCKET_BYTES + 1
     packed = known.withColumn("text_key", F.hash("text")).mapInArrow(
-        lambda batches: super_kmers(batches, buckets, k, m), "bucket int, decided boolean, blob binary")
+        lambda batches: super_kmers(batches, buckets, k, m, split.value, extra),
+        "bucket int, decided boolean, blob binary")
     return packed.groupBy("bucket").applyInArrow(lambda rows: judge_bucket(rows, k), _RANGES)
 
 

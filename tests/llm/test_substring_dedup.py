@@ -62,3 +62,27 @@ def test_hash_is_only_a_sieve(monkeypatch):
     _, later = s.repeated_windows(w, word_hashes(w), np.array([3, 2, 1]), 2)
     # a b | b c | c d of id 3, b c | c x of 2, a b | b c of 1
     assert later.tolist() == [True, True, False, False, True, False, False, False, False, False]
+
+
+def test_a_frequent_run_of_words_fills_no_bucket(spark, monkeypatch):
+    from stockroom.llm import substring_dedup as s
+    from stockroom.llm.common import run_hashes, word_hashes, words_of
+
+    # a phrase that is the minimiser of nearly every window that holds it, each time among other words
+    phrase = next(p for p in (f"hot{i} run of words" for i in range(10000))
+                  if run_hashes(word_hashes(words_of([p.encode()])), 4, 23)[0] < 2**64 // 200)
+    r = random.Random(3)
+    some = lambda n: [f"w{r.randrange(10**4)}" for _ in range(n)]
+    rows = [(i, " ".join(some(12) + phrase.split() + some(12))) for i in range(600)]
+    rows += [(1000 + i, "x " + rows[i * 7][1] + " y") for i in range(50)]
+    judge, most = s.judge_bucket, 16384
+
+    def bounded(table, k):
+        held = sum(len(s._unpack(b)[4]) for b, d in zip(table["blob"].to_pylist(), table["decided"].to_pylist()) if not d)
+        if held > 2 * most:
+            raise ValueError(f"bucket of {held} bytes")
+        return judge(table, k)
+
+    monkeypatch.setattr(s, "BUCKET_BYTES", most)
+    monkeypatch.setattr(s, "judge_bucket", bounded)
+    assert ours(docs_frame(spark, rows)) == brute(rows)
