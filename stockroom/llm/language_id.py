@@ -3,8 +3,8 @@
 Texts are lower-cased and everything that is no letter counts as a space.  The kernel of two
 texts is the number of distinct 1- to 3-grams that both hold, divided by the root of the product of their own
 numbers.  ``fit`` takes a bounded sample of labelled rows (``per_lang`` of each
-of the ``max_langs`` most frequent labels, by a hash of doc_id); the first of
-them in each language are landmarks.  Nystroem features of the sample are fitted to +1/-1
+label, by a hash of doc_id; with more than ``max_langs`` labels they share the rows and landmarks of so many); the
+first of them in each language are landmarks.  Nystroem features of the sample are fitted to +1/-1
 targets of each language by ridge regression.  ``predict`` reads every whole
 text, forms the presence matrix of a batch over the landmarks' n-grams, and
 multiplies it by the landmark matrix and the weights.
@@ -126,8 +126,9 @@ def solve(sets: list[np.ndarray], labels: list[str], per_lang: int = LANDMARKS_P
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
     z = model.kernel(sets).astype(np.float64) @ root
-    y = np.where(np.array(labels)[:, None] == np.array(langs)[None, :], 1.0, -1.0)
-    w = np.linalg.solve(z.T @ z + RIDGE * len(sets) * np.eye(z.shape[1]), z.T @ y)
+    zy = np.hstack([z.T @ np.where(np.array(labels)[:, None] == np.array(langs[i:i + MAX_LANGS])[None, :], 1.0, -1.0)
+                    for i in range(0, len(langs), MAX_LANGS)])
+    w = np.linalg.solve(z.T @ z + RIDGE * len(sets) * np.eye(z.shape[1]), zy)
     model.weights = (root @ w).astype(np.float32)
     return model
 
@@ -140,12 +141,21 @@ def _ngram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def fit(labelled: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> Model:
-    """Learn from a bounded sample of ``labelled`` (doc_id, text, lang): at most ``per_lang * max_langs`` rows."""
+    """Learn from a bounded sample of ``labelled`` (doc_id, text, lang): at most ``per_lang * max_langs`` rows.
+
+    No label is left out; more labels than the model has landmarks for are an error.
+    """
     rows = labelled.select("doc_id", "text", "lang").where(
         "lang is not null and doc_id is not null and text is not null")
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    most = min(LANDMARKS_PER_LANG, per_lang) * max_langs
+    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most + 1).collect()
     if not top:
         return solve([], [])
+    if len(top) > most:
+        raise ValueError(f"more than {most} languages to learn")
+    marks = LANDMARKS_PER_LANG
+    if len(top) > max_langs:
+        per_lang, marks = per_lang * max_langs // len(top), max(marks * max_langs // len(top), 1)
     # A rate for each language keeps the rows that are ranked in proportion to per_lang.
     whole = 1 << 30
     rate = F.create_map(*[F.lit(x) for r in top for x in (
@@ -158,7 +168,7 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANG
               .select("lang", "place", "text"))
     got = sample.mapInArrow(_ngram_batches, "lang string, place long, grams binary").collect()
     got = sorted((r for r in got if r["grams"] is not None), key=lambda r: (r["place"], r["lang"], r["grams"]))
-    return solve([np.frombuffer(r["grams"], np.int64) for r in got], [r["lang"] for r in got])
+    return solve([np.frombuffer(r["grams"], np.int64) for r in got], [r["lang"] for r in got], marks)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

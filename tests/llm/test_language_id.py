@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from stockroom.llm import language_id as L
 from stockroom.llm.queries import op5_language_id
@@ -55,3 +56,14 @@ def test_edge_rows(spark):
     assert {r.lang_pred for r in L.predict(docs, nothing).collect()} == {"und"}
     assert L.predict(docs_frame(spark, []), model).count() == 0
     assert L.predict(docs, model).columns == docs.columns + ["lang_pred", "score"]
+
+
+def test_no_label_is_left_out(spark):
+    words = {"aa": "bada gada", "bb": "weli meli", "cc": "koro toro", "dd": "ziku riku"}
+    rows = [(100 * i + j, f"{words[lang]} {j}", lang) for i, lang in enumerate(words) for j in range(12 - i)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(df, per_lang=10, max_langs=2)
+    assert model.langs == sorted(words)
+    assert model.predict(list(words.values()))[0] == list(words)
+    with pytest.raises(ValueError):
+        L.fit(df, per_lang=1, max_langs=3)
