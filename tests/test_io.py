@@ -8,7 +8,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from data_paths import SMALL
 from stockroom.operators import stock as S
 from stockroom.schema import from_rows
 from stockroom.sources import RetailTables, write_tables

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SMALL
+from data_paths import SMALL
 from oracle_compare import compare, duck
 from stockroom.plans import REGISTRY
 

@@ -5,7 +5,7 @@ import io
 
 import pytest
 
-from conftest import SMALL
+from data_paths import SMALL
 from stockroom.plans import REGISTRY
 from stockroom.sources import RetailTables
 

@@ -6,7 +6,7 @@ from decimal import Decimal, InvalidOperation
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from data_paths import SMALL
 from stockroom.operators import scan
 from stockroom.operators import sequential as Q
 from stockroom.operators import stock as S

@@ -5,7 +5,7 @@ import subprocess
 import sys
 import tempfile
 
-from conftest import ROOT, SMALL
+from data_paths import ROOT, SMALL
 
 SCRIPT = """
 import sys

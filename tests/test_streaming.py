@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SMALL
+from data_paths import SMALL
 from stockroom.operators import cart as C
 from stockroom.schema import SCHEMAS, from_rows
 from stockroom.sources import RetailTables
