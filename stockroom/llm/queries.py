@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_collapse, edit_counts, language_id, one_bit_codes, oracles, packing, piece_match, scaled_sketch,
-               secret_scan, set_join, substring_dedup)
+from . import (chat_collapse, edit_counts, language_id, norm_search, one_bit_codes, oracles, packing, piece_match,
+               scaled_sketch, secret_scan, set_join, substring_dedup)
 from .common import table
 
 
@@ -99,12 +99,19 @@ def op10_piece_match(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_norm_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest integer inner products of every vector whose id is divisible by 100."""
+    return norm_search.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_chat_collapse, op2_one_bit_neighbours, op3_scaled_sketch, op4_secret_scan, op5_language_id,
-        op6_substring_dedup, op7_edit_counts, op8_packing, op9_ngram_jaccard_join, op10_piece_match)}
+        op6_substring_dedup, op7_edit_counts, op8_packing, op9_ngram_jaccard_join, op10_piece_match,
+        op11_norm_search)}
 
 ORACLES: dict[str, str] = {
     "op1_chat_collapse": oracles.CHATS, "op2_one_bit_neighbours": oracles.NEIGHBOURS,
     "op3_scaled_sketch": oracles.FINGERPRINTS, "op6_substring_dedup": oracles.PASSAGES,
-    "op9_ngram_jaccard_join": oracles.COMPONENTS}
+    "op9_ngram_jaccard_join": oracles.COMPONENTS,
+    "op11_norm_search": oracles.PRODUCTS}
