@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (chat_collapse, edit_counts, language_id, norm_search, one_bit_codes, oracles, packing, piece_match,
-               scaled_sketch, secret_scan, set_join, substring_dedup)
+               scaled_sketch, secret_scan, set_join, substring_dedup, whitening)
 from .common import table
 
 
@@ -104,11 +104,23 @@ def op11_norm_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_search.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's first eight whitened components, its exact deviation, and how far their covariance is from the identity."""
+    rows, fits, errors = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    facts = [(dim, f.n, errors.get(dim), [float(e / f.trace) for e in f.eigenvalues]) for dim, f in fits.items()]
+    known = spark.createDataFrame(facts, "dim int, n long, identity_error double, shares array<double>")  # a row for each length
+    out = rows.join(F.broadcast(known), "dim")
+    return out.select("vec_id", "n", F.expr("try_cast(deviation AS long)").alias("deviation"), "identity_error",
+                      F.posexplode(F.arrays_zip("whitened", "shares")).alias("at", "x")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("x.whitened").alias("whitened"),
+        F.col("x.shares").alias("explained"), "identity_error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_chat_collapse, op2_one_bit_neighbours, op3_scaled_sketch, op4_secret_scan, op5_language_id,
         op6_substring_dedup, op7_edit_counts, op8_packing, op9_ngram_jaccard_join, op10_piece_match,
-        op11_norm_search)}
+        op11_norm_search, op12_whitening)}
 
 ORACLES: dict[str, str] = {
     "op1_chat_collapse": oracles.CHATS, "op2_one_bit_neighbours": oracles.NEIGHBOURS,
