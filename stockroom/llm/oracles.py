@@ -50,6 +50,66 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+def _edit(cost: str, state: str, letter: str) -> str:
+    """A state, 9 digits of cost and then the audit, after one more edit; NULL stays NULL."""
+    return f"(lpad(CAST(CAST(substr({state}, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({state}, 10) || '{letter}')"
+
+
+def _turn(target: str, sources: list[str]) -> str:
+    """The best way for a row to become ``target`` after one of the states ``sources``: kept or given the role."""
+    best = sources[0] if len(sources) == 1 else f"least({', '.join(sources)})"
+    return f"CASE WHEN NOT must_go THEN CASE WHEN initial = '{target}' THEN {_edit('extra', best, 'K')} ELSE {_edit('2 + extra', best, 'R')} END END"
+
+
+# The checksum is taken bit by bit; the repair goes row by row from the left with the best way into each of four
+# states: none (no turn yet), s, u, a (the last turn's role).
+REPAIRS = rf"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+hashed AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * length(name)),
+    lambda j: CAST((ascii(substr(name, CAST(j // 8 + 1 AS INTEGER), 1)) >> CAST(j % 8 AS INTEGER)) & 1 AS BIGINT))),
+    lambda c, b: xor(c >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))) % 20 AS fault FROM named),
+damaged AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN fault = 3 THEN [0, 1] ELSE [0] END) AS copy FROM hashed WHERE fault <> 0),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substr(text, 1, 64), md5(text)) AS i,
+    substr(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), -1) AS final FROM damaged),
+classed AS (SELECT *, substr(role, 1, 1) AS initial, CASE WHEN final = '' THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN final NOT IN ('.', '!', '?') THEN 'truncated' END AS kind FROM ordered),
+facts AS (SELECT *, kind IS NOT DISTINCT FROM 'blank' OR kind IS NOT DISTINCT FROM 'duplicate' AS must_go,
+    CASE WHEN kind = 'truncated' THEN 1 ELSE 0 END AS extra,
+    CAST(lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS INTEGER) AS bad FROM classed),
+counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (kind = 'blank') AS blank, count(*) FILTER (kind = 'duplicate') AS duplicate,
+    count(*) FILTER (kind = 'truncated') AS truncated, CAST(coalesce(sum(bad), 0) AS BIGINT) AS illegal FROM facts GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, n, CAST(1 AS BIGINT) AS i, '000000000' AS z, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS u,
+         CAST(NULL AS VARCHAR) AS a FROM counts
+  UNION ALL
+  SELECT conv_id, n, i + 1, {_edit('3', 'z', 'D')}, least({_edit('3', 's', 'D')}, CASE WHEN NOT must_go AND initial = 's' THEN {_edit('extra', 'z', 'K')} END),
+         least({_edit('3', 'u', 'D')}, {_turn('u', ['z', 's', 'a'])}), least({_edit('3', 'a', 'D')}, {_turn('a', ['u'])})
+  FROM (SELECT w.conv_id, w.n, w.i, z, s, u, least(a, {_edit('2', 'u', 'I')}) AS a, f.must_go, f.extra, f.initial
+        FROM (SELECT conv_id, n, i, z, s, least(u, {_edit('2', 'least(z, s, a)', 'I')}) AS u, a FROM walk WHERE i <= n) w
+        JOIN facts f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i)),
+ends AS (SELECT conv_id, least(z, a, {_edit('2', 'u', 'I')}, {_edit('4', 'least(z, s)', 'II')}) AS best FROM walk WHERE i = n + 1),
+kept AS (SELECT conv_id, CAST(substr(best, 1, 9) AS BIGINT) AS cost, substr(best, 10) AS audit FROM ends),
+letters AS (SELECT conv_id, length(replace(audit, 'D', '')) % 2 AS system, unnest(range(1, length(audit) + 1)) AS j, audit FROM kept),
+placed AS (SELECT conv_id, j, substr(audit, j, 1) AS edit, system,
+    length(replace(substr(audit, 1, j - 1), 'D', '')) AS place, length(replace(substr(audit, 1, j), 'I', '')) AS i FROM letters),
+texts AS (SELECT p.conv_id, string_agg(CASE WHEN edit = 'K' THEN f.role WHEN (place - system) % 2 = 0 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN edit = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY j) AS repaired
+  FROM placed p LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i AND edit <> 'I'
+  WHERE edit <> 'D' GROUP BY p.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN kept k ON k.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def _sketch(text: str) -> str:
     """Hashes of a text's 5-word runs below an eighth of their range, or else the least."""
     hashes = (f"[substr(md5(array_to_string(w[i:i + 4], ' ')), 1, 12) FOR i IN "

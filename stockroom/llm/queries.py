@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (chat_collapse, edit_counts, language_id, norm_search, one_bit_codes, oracles, packing, piece_match,
-               scaled_sketch, secret_scan, set_join, substring_dedup, whitening)
+               scaled_sketch, secret_scan, set_join, substring_dedup, turn_repair, whitening)
 from .common import table
 
 
@@ -116,14 +116,20 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("x.shares").alias("explained"), "identity_error")
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after stated damage, its cheapest repair, and a digest of the repaired turns."""
+    conversations = table(spark, sf_dir, "conversations")
+    return turn_repair.repaired(conversations, turn_repair.damage(conversations))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_chat_collapse, op2_one_bit_neighbours, op3_scaled_sketch, op4_secret_scan, op5_language_id,
         op6_substring_dedup, op7_edit_counts, op8_packing, op9_ngram_jaccard_join, op10_piece_match,
-        op11_norm_search, op12_whitening)}
+        op11_norm_search, op12_whitening, op13_turn_repair)}
 
 ORACLES: dict[str, str] = {
     "op1_chat_collapse": oracles.CHATS, "op2_one_bit_neighbours": oracles.NEIGHBOURS,
     "op3_scaled_sketch": oracles.FINGERPRINTS, "op6_substring_dedup": oracles.PASSAGES,
     "op9_ngram_jaccard_join": oracles.COMPONENTS,
-    "op11_norm_search": oracles.PRODUCTS}
+    "op11_norm_search": oracles.PRODUCTS, "op13_turn_repair": oracles.REPAIRS}
