@@ -4,20 +4,26 @@ Both jobs apply a batch of requests in request order, where a rejected
 request must not use up stock.  A cumulative sum alone is therefore wrong
 after the first rejection.
 
-``record_sales`` runs an exact *round* algorithm in which every round is a
-set of parallel Spark jobs over all products at once:
+``record_sales`` runs exact *phases*, each a set of parallel Spark jobs over all
+products at once.  With availability S in [2^j, 2^(j+1)) a request is
 
-1. every pending request whose quantity exceeds the product's remaining
-   availability is rejected (availability only goes down);
-2. for the rest, a running sum of quantity per product (skew-safe
-   ``running_sums``) accepts the longest prefix that fits;
-3. the first request past that prefix is rejected and the availability left
-   before it becomes the product's state for the next round.
+* large (2^(j+1) or more): it can't fit any more, as S only goes down;
+* small (under 2^j): it fits as long as S stays at 2^j or more;
+* middle: it fits if it and the small ones before it are no more than S, and
+  takes S below 2^j.
 
-Each round leaves an availability below the rejected request's quantity, so a
-product's next round has fewer distinct quantities that still fit: the number
-of rounds is at most the number of distinct quantities of one product's requests
-+ 1, independent of the number of requests.  ``Recorded.rounds`` reports it.
+So one running sum of small requests decides everything up to the first
+event: a middle request that fits, or the small one that takes S below 2^j.
+Where 2^j is above all of a product's quantities, every request is small.
+After each phase S is below 2^j, so there are at most log2(largest quantity) + 2
+of them whatever the number of requests.
+
+Requests are dealt by ranges of (product, time) once and kept in *cells* of at
+most ``CELL_ROWS`` requests of one product, each with what a phase asks of it: for every number of binary digits
+the sum of quantities, and the least that a middle request needs.  A round finds from these the first cell of each
+product that holds an event, decides all cells before it at once, and plays that
+cell's phases out in a vectorised step.  A round so holds one phase or more;
+``Recorded.rounds`` reports them.  A hot product spans many cells; only cells with events are read again.
 
 ``reserve_stock`` picks, per request, the single largest lot that covers it.
 That choice depends on every earlier pick, so a product's requests are
@@ -31,9 +37,14 @@ requests are never moved; only lots that changed are joined to the stock table.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from decimal import Decimal
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,11 +68,107 @@ class Recorded(NamedTuple):
     rounds: int
 
 
-def _after(pos_ts: str, pos_id: str):
-    """Rows strictly after the product's last decided position (NULL = from the start)."""
-    return (F.col(pos_ts).isNull()
-            | (F.col("ts") > F.col(pos_ts))
-            | ((F.col("ts") == F.col(pos_ts)) & (F.col("request_id") > F.col(pos_id))))
+CELL = ["ProductID", "cell"]
+# Requests of a cell at most.
+CELL_ROWS = 1 << 16
+_POWERS = 2 ** np.arange(63, dtype=np.int64)
+_CELLS = ("ProductID long, cell long, ids array<long>, q array<long>, "
+          "stats array<struct<bits:int,total:decimal(28,0),least:decimal(28,0)>>")
+
+
+def _bits(q: np.ndarray) -> np.ndarray:
+    """The number of binary digits of each quantity."""
+    return np.searchsorted(_POWERS, q, "right")
+
+
+def _wide(q: np.ndarray) -> np.ndarray:
+    """``q`` in numbers whose sums don't overflow."""
+    return q if not len(q) or int(q.max()) * len(q) < 2**62 else q.astype(object)
+
+
+def cell_stats(q: np.ndarray) -> list[dict]:
+    """For each number of digits: the sum of its quantities, and the least that one needs: itself and all smaller ones before it."""
+    bits, wide, out = _bits(q), _wide(q), []
+    for b in np.unique(bits).tolist():
+        before = np.cumsum(np.where(bits < b, wide, 0))
+        here = bits == b
+        out.append({"bits": b, "total": Decimal(int(wide[here].sum())), "least": Decimal(int((before + wide)[here].min()))})
+    return out
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of cells from sorted requests (ProductID, request_id, q); cells of a product are numbered in their order."""
+    schema = pa.schema([("ProductID", pa.int64()), ("cell", pa.int64()), ("ids", pa.list_(pa.int64())), ("q", pa.list_(pa.int64())),
+                        ("stats", pa.list_(pa.struct([("bits", pa.int32()), ("total", pa.decimal128(28, 0)),
+                                                      ("least", pa.decimal128(28, 0))])))])
+    number = TaskContext.get().partitionId() << 32
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    product = None
+
+    def cell() -> pa.RecordBatch:
+        ids, q = (np.concatenate(c) for c in zip(*held))
+        return pa.RecordBatch.from_pylist([{"ProductID": product, "cell": number, "ids": ids, "q": q, "stats": cell_stats(q)}],
+                                          schema)
+
+    for batch in batches:
+        products, ids, q = (batch.column(c).to_numpy() for c in ("ProductID", "request_id", "q"))
+        cuts = [0, *(np.flatnonzero(np.diff(products)) + 1).tolist(), len(products)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            while a < b:
+                room = CELL_ROWS - sum(len(i) for i, _ in held)
+                if held and (products[a] != product or room <= 0):
+                    yield cell()
+                    held, number, room = [], number + 1, CELL_ROWS
+                product = int(products[a])
+                held.append((ids[a:min(b, a + room)], q[a:min(b, a + room)]))
+                a += room
+    if held:
+        yield cell()
+
+
+def play(q: np.ndarray, s: int) -> tuple[np.ndarray, int]:
+    """(which requests are accepted in their order, what is left) of an availability ``s``; one vectorised step for each phase."""
+    bits, wide = _bits(q), _wide(q)
+    most, at, ok = int(bits.max(initial=0)), 0, np.zeros(len(q), dtype=bool)
+    while s > 0 and at < len(q):
+        level = min(int(s).bit_length(), most + 1)
+        rest, small = wide[at:], bits[at:] < level
+        used = np.cumsum(np.where(small, rest, 0))
+        event = ((bits[at:] == level) & (used + rest <= s)) | (small & (used > s - (1 << (level - 1))))
+        end = int(event.argmax()) + 1 if event.any() else len(rest)
+        ok[at:at + end] = small[:end]
+        s -= int(used[end - 1])
+        if event[end - 1] and not small[end - 1]:
+            ok[at + end - 1] = True
+            s -= int(rest[end - 1])
+        at += end
+    return ok, s
+
+
+def _played(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        left, ids = [], []
+        for i, q, s in zip(batch.column("ids"), batch.column("q"), batch.column("s").to_pylist()):
+            ok, rest = play(q.values.to_numpy(), s)
+            left.append(rest)
+            ids.append(i.values.to_numpy()[ok])
+        yield pa.record_batch([batch.column("ProductID"), batch.column("cell"), pa.array(left, pa.int64()),
+                               pa.array(ids, pa.list_(pa.int64()))], names=["ProductID", "cell", "left", "ids"])
+
+
+# The first cell of each product that holds an event, and the availability it begins with.  ``state``: (ProductID, s, after,
+# level): cells after ``after`` are pending, small requests have under ``level`` binary digits.
+_EVENTS = """
+WITH met AS (SELECT c.ProductID, c.cell, n.s, n.s - shiftleft(1L, n.level - 1) AS spare,
+                    aggregate(c.stats, CAST(0 AS decimal(28,0)), (t, x) -> IF(x.bits < n.level, CAST(t + x.total AS decimal(28,0)), t)) AS inside,
+                    get(filter(c.stats, x -> x.bits = n.level), 0).least AS least
+             FROM {state} n JOIN {cells} c ON n.ProductID = c.ProductID AND c.cell > n.after),
+placed AS (SELECT *, coalesce(sum(inside) OVER (PARTITION BY ProductID ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                    AS offset FROM met)
+SELECT ProductID, first.cell AS cell, CAST(first.s AS long) AS s FROM (
+  SELECT ProductID, min(struct(cell, s - offset AS s)) AS first FROM placed
+  WHERE offset + inside > spare OR offset + least <= s GROUP BY ProductID)
+"""
 
 
 def accept_in_order(pending: DataFrame, available: DataFrame) -> tuple[DataFrame, int]:
@@ -70,33 +177,35 @@ def accept_in_order(pending: DataFrame, available: DataFrame) -> tuple[DataFrame
     ``pending``: (ProductID, ts, request_id, q) with q >= 1.
     ``available``: (ProductID, s) starting availability (may be <= 0).
     """
-    # A round's rows are checkpointed once, inside running_sums: round r doesn't
-    # recompute the rounds before it, and a lost executor restarts from there.
-    pending = pending.select("ProductID", "ts", "request_id", "q")
-    state = available.select("ProductID", F.col("s").cast("long").alias("s"),
-                             F.lit(None).cast(pending.schema["ts"].dataType).alias("pos_ts"),
-                             F.lit(None).cast("long").alias("pos_id"))
-    accepted = []
-    while True:
-        fit = (pending.join(state, "ProductID").where(_after("pos_ts", "pos_id") & (F.col("q") <= F.col("s")))
-               .select("ProductID", "ts", "request_id", "q", "s"))
-        # quantities are whole numbers of up to 64 bits; their sum needs more
-        run = running_sums(fit, ["ProductID"], ORDER, {"c": F.col("q").cast("decimal(28,0)")})
-        if run.isEmpty():
-            break
-        accepted.append(run.where(F.col("c") <= F.col("s")).select("request_id"))
-        over = run.where(F.col("c") > F.col("s"))
-        first = over.groupBy("ProductID").agg(F.min(F.struct("ts", "request_id", "c", "q", "s")).alias("k"))
-        state = first.select(
-            "ProductID", (F.col("k.s") - (F.col("k.c") - F.col("k.q"))).cast("long").alias("s"),
-            F.col("k.ts").alias("pos_ts"), F.col("k.request_id").alias("pos_id"))
-        pending = over.select("ProductID", "ts", "request_id", "q")
-    if not accepted:
-        return pending.sparkSession.createDataFrame([], "request_id long"), 1
-    out = accepted[0]
-    for a in accepted[1:]:
-        out = out.unionByName(a)
-    return cut_lineage(out), len(accepted) + 1
+    spark = pending.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
+    cells = cut_lineage(pending.repartitionByRange(n, "ProductID", *ORDER).sortWithinPartitions("ProductID", *ORDER)
+                        .select("ProductID", "request_id", "q").mapInArrow(_cells, _CELLS))
+    stats = cells.select(*CELL, "stats")
+    most = stats.groupBy("ProductID").agg(F.max(F.expr("array_max(transform(stats, x -> x.bits))")).alias("most"))
+    # Where S is above all quantities, every request is small.
+    level = F.least(F.length(F.bin("s")), F.col("most") + 1).alias("level")
+    state = cut_lineage(available.select("ProductID", F.col("s").cast("long").alias("s")).where("s > 0").join(most, "ProductID")
+                        .select("ProductID", "s", F.lit(-1).cast("long").alias("after"), level, "most"))
+    accepted, rounds = None, 0
+    while not state.isEmpty():
+        rounds += 1
+        events = spark.sql(_EVENTS, state=state, cells=stats)
+        played = cells.select(*CELL, "ids", "q").join(events, CELL).mapInArrow(
+            _played, "ProductID long, cell long, left long, ids array<long>")
+        done = cut_lineage(state.join(played, "ProductID", "left"))
+        # Cells before the event's (all, without one) are decided by the size of their requests.
+        spans = done.select("ProductID", "after", F.col("cell").alias("until"), F.expr("shiftleft(1L, level - 1)").alias("under"))
+        plain = cells.join(spans, "ProductID").where((F.col("cell") > F.col("after")) & (
+            F.col("until").isNull() | (F.col("cell") < F.col("until"))))
+        small = F.expr("transform(filter(arrays_zip(ids, q), x -> x.q < under), x -> x.ids)")
+        now = plain.select(small.alias("ids")).unionAll(done.where("cell is not null").select("ids"))
+        accepted = now if accepted is None else accepted.unionAll(now)
+        state = done.where("left > 0").select("ProductID", F.col("left").alias("s"), F.col("cell").alias("after"), "most").select(
+            "ProductID", "s", "after", level, "most")
+    if accepted is None:
+        accepted = cells.select("ids").where("false")
+    return accepted.select(F.explode("ids").alias("request_id")), rounds
 
 
 def record_sales(products: DataFrame, stock: DataFrame, sales: DataFrame, requests: DataFrame) -> Recorded:
@@ -122,6 +231,7 @@ def record_sales(products: DataFrame, stock: DataFrame, sales: DataFrame, reques
     avail = stock_availability(valid.select("ProductID"), stock, sales).select(
         "ProductID", F.col("Available").alias("s"))
     ok_ids, rounds = accept_in_order(valid.select("ProductID", "ts", "request_id", "q"), avail)
+    ok_ids = cut_lineage(ok_ids)
     ok = valid.join(ok_ids, "request_id", "left_semi")
     rejects = (r.where(F.col("reason").isNotNull()).select("request_id", "reason")
                .unionByName(valid.join(ok_ids, "request_id", "left_anti")

@@ -3,6 +3,8 @@
 import datetime as dt
 from decimal import Decimal, InvalidOperation
 
+import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -121,3 +123,47 @@ def test_reserve_small_waves_only_top_lots(spark):
             exp.add((rid, sid))
     assert {(r.request_id, r.StockID) for r in res.taken.collect()} == exp
     assert {r.StockID: r.QuantityAdded for r in res.stock.collect()} == {k: v[0] for k, v in state.items()}
+
+
+def plain_fold(rows, left):
+    """Accepted request ids of one product's requests in order."""
+    ok = set()
+    for i, q in rows:
+        if q <= left:
+            left -= q
+            ok.add(i)
+    return ok, left
+
+
+def test_phases_equal_the_loop_and_are_bounded():
+    import random
+
+    rng = random.Random(11)
+    for _ in range(3000):
+        most = rng.choice([1, 3, 9, 60, 2**40, 2**62])
+        q = [rng.randint(1, most) for _ in range(rng.randint(1, 40))]
+        s = rng.choice([rng.randint(-3, 2 * most), rng.randint(1, 5 * most), most]) % 2**63
+        ok, left = Q.play(np.array(q, dtype=np.int64), s)
+        want, rest = plain_fold(enumerate(q), s)
+        assert (set(np.flatnonzero(ok).tolist()), left) == (want, rest)
+
+
+@pytest.mark.parametrize("cell", [1, 2, 7])
+def test_rounds_are_bounded_by_digits_of_quantities(spark, cell, monkeypatch):
+    """Requests over many cells, quantities of all sizes: exact, and no more rounds than log2(largest) + 2."""
+    import random
+
+    rng = random.Random(cell)
+    monkeypatch.setattr(Q, "CELL_ROWS", cell)
+    rows, avail, want = [], [], set()
+    for p in range(12):
+        most = rng.choice([1, 6, 50, 3000, 2**61])
+        mine = [(p, dt.datetime(2000, 1, 1) + dt.timedelta(minutes=i), p * 1000 + i, rng.randint(1, most)) for i in range(60)]
+        s = rng.choice([0, -5, 3, most * 2, most * 20 if most < 2**50 else 2**62])
+        rows, avail = rows + mine, avail + [(p, s)]
+        want |= plain_fold([(r[2], r[3]) for r in mine], s)[0]
+    rng.shuffle(rows)
+    pending = spark.createDataFrame(rows, "ProductID long, ts timestamp_ntz, request_id long, q long")
+    ok, rounds = Q.accept_in_order(pending, spark.createDataFrame(avail, "ProductID long, s long"))
+    assert {r.request_id for r in ok.collect()} == want
+    assert 1 <= rounds <= max(r[3] for r in rows).bit_length() + 1
