@@ -6,6 +6,7 @@ given.  ``get_spark`` is for tests, the bench and local runs.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -128,3 +129,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def free_unused(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints of frames that are gone.
+
+    Spark does so when the driver's JVM collects garbage, which a small heap may not do for half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
