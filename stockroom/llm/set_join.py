@@ -16,10 +16,10 @@ units than differences, one of the paid segments must find the partner.
   its one-deletion neighbours, in the set's own band and in the next
   one if a larger partner may lie there.
 * Allocation: a unit's cost is the number of sets that could be its partners, counted over the whole
-  corpus: no larger, not too small, and with the same row.  A set pays for its H + 1 cheapest
-  units.  Units without any partner are free; a set with H + 1 of those has no link
-  to a set no larger and is done.  Empty segments are never paid for.  Sets with fewer than H + 1
-  non-empty segments also pay second units, which search one-deletion neighbours.
+  corpus: no larger, not too small, and with the same row; for the second unit of a segment, a subset here that is a
+  one-deletion neighbour there, or the other way about.  As the second unit of a segment needs its first, it costs at least as much.
+  A set pays for its H + 1 cheapest units of both kinds.  Units without any partner are free; a set with H + 1 of
+  those has no link to a set no larger and is done.  Empty segments are never paid for.
 * Sets that lack units even so (a rare accident of hashing) take an exact side
   path: any partner's first floor(l/4) + 1 elements hold one of theirs.
 
@@ -31,8 +31,9 @@ rest, payers and members of groups that are still in more than one component, ar
 first hub of their group, dealt into blocks of sets, and every block of payers meets every block of
 members as one row with their sets, whose overlaps are counted by one matrix product.
 
-Rows with equal sets are one class and never compared.  Rows that repeat a
-doc_id share its component; a null doc_id takes no part and gets a null one.
+Rows with equal sets are one class, named by its least doc_id, and never compared; links and components
+are those of classes.  Sets are told apart by 128 bits.  Rows that repeat a
+doc_id share its component; a null doc_id takes no part and gets a null one.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, free_unused
 from . import sieve
 from .common import (chunks, mix64, odd_constants, release_memory, run_hashes, shuffle_partitions, small_batches, utf8,
                      word_hashes, words_of)
@@ -62,8 +63,8 @@ TASK_BYTES = 4 << 20
 BUCKET_TEXT = 12 << 20
 # Rounds of hubs before the rest is compared member by member.
 HUB_ROUNDS = 2
-# Sets of one block, when the rest is compared.
-BLOCK_SETS = 512
+# Sets of one block, when the rest is compared, and bytes of its sets on average.
+BLOCK_SETS, BLOCK_BYTES = 512, 8 << 20
 # One segment of so many has one-deletion neighbours too.
 DELETION_EVERY = 16
 
@@ -170,12 +171,12 @@ def _rank_within(group: np.ndarray) -> np.ndarray:
     return np.arange(len(group)) - np.repeat(at, np.diff(np.append(at, len(group))))
 
 
-# What a row of a set says: it stands in the set's own band; its segment also pays a second unit; it is a deletion.
-OWN, SECOND, DELETION = 1, 2, 4
+# What a row of a set says: it stands in the set's own band; its segment has deletions too; it is a deletion.
+OWN, GIVES, DELETION = 1, 2, 4
 
 
 def segment_rows(o: np.ndarray, h: np.ndarray, size: np.ndarray, plan: Plan):
-    """(set, row hash, flags) of every row, and each set's number of first units and whether it lacks units."""
+    """(set, row hash, flags, segment) of every row, each set's numbers of first and second units, and whether it lacks units."""
     n = len(size)
     held = size > 0
     own = plan.band(np.maximum(size, 1))
@@ -183,8 +184,9 @@ def segment_rows(o: np.ndarray, h: np.ndarray, size: np.ndarray, plan: Plan):
     need = plan.differences(size) + 1
     segments = np.asarray(plan.segments)
     mixed = mix64(h ^ _SEG[2])
-    owners, rows, flags = [], [], []
-    firsts, poor = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+    none = np.zeros(0, dtype=np.int64)
+    owners, rows, flags, places = [none], [none.astype(_U)], [none.astype(np.int8)], [none]
+    firsts, seconds = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     for step in range(int((far - own)[held].max(initial=0)) + 1 if held.any() else 0):
         level = own + step
         use = (level <= far)[o]
@@ -206,52 +208,69 @@ def segment_rows(o: np.ndarray, h: np.ndarray, size: np.ndarray, plan: Plan):
         which = which[cut]
         flag = np.zeros(len(at), dtype=np.int8)
         if step == 0:
-            firsts = np.bincount(owner, minlength=n)
-            short = held & (firsts < need)
-            poor = short & (firsts + np.bincount(owner[gives], minlength=n) < need)
-            flag = OWN + np.where(gives & short[owner], SECOND, 0).astype(np.int8)
+            firsts, seconds = np.bincount(owner, minlength=n), np.bincount(owner[gives], minlength=n)
+            flag = OWN + np.where(gives, GIVES, 0).astype(np.int8)
         owners += [owner, owner[which]]
         rows += [mix64(total + place), mix64(total[which] - x[cut] + place[which])]
-        flags += [flag, (flag[which] & (OWN + SECOND)) | DELETION]
-    if not rows:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=_U), np.zeros(0, dtype=np.int8), firsts, poor
-    return np.concatenate(owners), np.concatenate(rows), np.concatenate(flags).astype(np.int8), firsts, poor
+        flags += [flag, flag[which] | DELETION]
+        places += [seg[at], seg[at][which]]
+    poor = held & (firsts + seconds < need)
+    return (np.concatenate(owners), np.concatenate(rows), np.concatenate(flags).astype(np.int8), np.concatenate(places),
+            firsts, seconds, poor)
 
 
-_ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("blob", pa.binary())])
-# The columns of each kind of row that a bucket passes on.
+_ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("n", pa.int64()), ("blob", pa.binary())])
+# The columns of each kind of row that a bucket passes on; key1 and key2 become one ``key`` of 16 bytes.
 _COLUMNS = {
-    "base": (("doc_id", "<i8"), ("known", "<i1"), ("n_shingles", "<i8"), ("key1", "<i8"), ("key2", "<i8"),
-             ("firsts", "<i8")),
-    "poor": (("doc_id", "<i8"), ("key", "<i8"), ("size", "<i8")),
-    "pair": (("a", "<i8"), ("a_key", "<i8"), ("b", "<i8"), ("b_key", "<i8")),
-    "unit": (("grp", "<i8"), ("doc", "<i8"), ("key", "<i8"), ("size", "<i8"), ("cost", "<i8")),
-    "member": (("grp", "<i8"), ("doc", "<i8"), ("key", "<i8"), ("size", "<i8")),
+    "base": (("doc_id", "<i8"), ("known", "<i1"), ("key1", "<i8"), ("key2", "<i8"), ("n_shingles", "<i8"),
+             ("firsts", "<i8"), ("seconds", "<i8")),
+    "poor": (("doc_id", "<i8"), ("key1", "<i8"), ("key2", "<i8"), ("size", "<i8")),
+    "unit": (("grp", "<i8"), ("key1", "<i8"), ("key2", "<i8"), ("size", "<i8"), ("cost", "<i8"), ("segment", "<i8"),
+             ("second", "<i1")),
+    "member": (("grp", "<i8"), ("key1", "<i8"), ("key2", "<i8"), ("size", "<i8")),
 }
 _SQL = {"<i8": "long", "<i1": "byte"}
 # Bits of a row hash that are kept beside its bucket; false meetings are verified away.
 _KEPT_BITS = 40
 
 
-def _pack(kind: str, *columns) -> bytes:
+# Rows that one partition of a table of names and groups holds.
+ROWS_PER_PART = 1 << 16
+
+
+def _pack(kind: str, *columns) -> tuple[str, int, bytes]:
     body = b"".join(np.asarray(c).astype(t).tobytes() for c, (_, t) in zip(columns, _COLUMNS[kind]))
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<Q", len(columns[0])) + body)
+    return kind, len(columns[0]), zstandard.ZstdCompressor(level=1).compress(struct.pack("<Q", len(columns[0])) + body)
+
+
+def _keys(one: np.ndarray, two: np.ndarray) -> pa.Array:
+    """Both halves of keys as 16 bytes each."""
+    flat = np.column_stack([one, two]).astype("<i8").tobytes()
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(one), [None, pa.py_buffer(flat)]).cast(pa.binary())
+
+
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about so many rows, in no more partitions than they need: fewer and larger files of every shuffle behind it."""
+    return df.coalesce(max(1, min(shuffle_partitions(df.sparkSession), -(-rows // ROWS_PER_PART))))
 
 
 def unpacked(found: DataFrame, kind: str) -> DataFrame:
     """The rows of one kind."""
+    columns = [(c, t) for c, t in _COLUMNS[kind] if c not in ("key1", "key2")]
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column("blob").to_pylist():
                 raw = zstandard.ZstdDecompressor().decompress(blob)
-                n, at, out = struct.unpack_from("<Q", raw)[0], 8, []
-                for _, t in _COLUMNS[kind]:
-                    out.append(pa.array(np.frombuffer(raw, t, n, at)))
+                n, at, out = struct.unpack_from("<Q", raw)[0], 8, {}
+                for c, t in _COLUMNS[kind]:
+                    out[c] = np.frombuffer(raw, t, n, at)
                     at += n * np.dtype(t).itemsize
-                yield pa.record_batch(out, names=[c for c, _ in _COLUMNS[kind]])
+                yield pa.record_batch([_keys(out["key1"], out["key2"]), *(pa.array(out[c]) for c, _ in columns)],
+                                      names=["key", *(c for c, _ in columns)])
 
     return found.where(F.col("kind") == kind).mapInArrow(
-        rows, ", ".join(f"{c} {_SQL[t]}" for c, t in _COLUMNS[kind]))
+        rows, "key binary, " + ", ".join(f"{c} {_SQL[t]}" for c, t in columns))
 
 
 def signatures(batches: Iterator[pa.RecordBatch], buckets: int, plan: Plan, k: int) -> Iterator[pa.RecordBatch]:
@@ -268,109 +287,143 @@ def signatures(batches: Iterator[pa.RecordBatch], buckets: int, plan: Plan, k: i
         again[order[1:]] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
         again |= ~known
         keep = ~again[o]
-        owner, row, flags, firsts, poor = segment_rows(o[keep], h[keep], np.where(again, 0, size), plan)
-        out = [(to, "base", _pack("base", ids, known, size, one, two, firsts))]
+        owner, row, flags, segment, firsts, seconds, poor = segment_rows(o[keep], h[keep], np.where(again, 0, size), plan)
+        out = [(to, *_pack("base", ids, known, one, two, size, firsts, seconds))]
         bucket = (row % _U(buckets)).astype(np.int64)
         rest = (row // _U(buckets)) & _U((1 << _KEPT_BITS) - 1)
         order = np.argsort(bucket * (1 << _KEPT_BITS) + rest.astype(np.int64)) if buckets < 1 << 22 else np.lexsort(
             (rest, bucket))
-        owner, bucket, rest, flags = owner[order], bucket[order], rest[order], flags[order]
+        owner, bucket, rest, flags, segment = (x[order] for x in (owner, bucket, rest, flags, segment))
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(bucket)]
         for x, y in zip(cuts[:-1], cuts[1:]):
             there, local = np.unique(owner[x:y], return_inverse=True)
             steps = np.diff(rest[x:y], prepend=_U(0))
             body = struct.pack("<II", len(there), y - x) + b"".join(
-                v[there].astype("<i8").tobytes() for v in (ids, one, size))
+                v[there].astype("<i8").tobytes() for v in (one, two, size))
             # byte planes of the steps: the upper ones are zero and vanish in compression
             body += steps.view(np.uint8).reshape(-1, 8).T.tobytes()
             body += local.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + flags[x:y].tobytes()
-            out.append((int(bucket[x]), "rows", pack.compress(body)))
+            body += segment[x:y][flags[x:y] & GIVES > 0].astype("<u4").tobytes()
+            out.append((int(bucket[x]), "rows", y - x, pack.compress(body)))
         bad = np.flatnonzero(poor)
         if len(bad):
-            out.append((to, "poor", _pack("poor", ids[bad], one[bad], size[bad])))
+            out.append((to, *_pack("poor", ids[bad], one[bad], two[bad], size[bad])))
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), _ROWS)], schema=_ROWS)
         release_memory()
 
 
 def meet(rows: pa.Table, num: int, den: int) -> pa.Table:
-    """From one bucket: 'unit' rows of first units with partners and their cost, the 'member' rows of their groups,
-    and 'pair' rows of second units; other kinds of rows pass through."""
-    doc, key, size, rest, flags = [], [], [], [], []
+    """From one bucket: 'unit' rows of first and second units with partners and their cost, and the 'member' rows of their
+    groups; other kinds of rows pass through."""
+    one, two, size, rest, flags, segment = [], [], [], [], [], []
     out, unpack = [], zstandard.ZstdDecompressor()
-    for kind, blob in zip(rows.column("kind").to_pylist(), rows.column("blob").to_pylist()):
+    for kind, n, blob in zip(*(rows.column(c).to_pylist() for c in ("kind", "n", "blob"))):
         if kind != "rows":
-            out.append((kind, blob))
+            out.append((kind, n, blob))
             continue
         raw = unpack.decompress(blob)
         n, m = struct.unpack_from("<II", raw)
-        i, one, s = (np.frombuffer(raw, "<i8", n, 8 + 8 * n * j) for j in range(3))
+        a, b, s = (np.frombuffer(raw, "<i8", n, 8 + 8 * n * j) for j in range(3))
         at = 8 + 24 * n
         steps = np.frombuffer(raw, np.uint8, 8 * m, at).reshape(8, m).T.copy().view("<u8").ravel()
         local = np.frombuffer(raw, np.uint8, 4 * m, at + 8 * m).reshape(4, m).T.copy().view("<u4").ravel()
-        doc.append(i[local])
-        key.append(one[local])
+        one.append(a[local])
+        two.append(b[local])
         size.append(s[local])
         rest.append(np.cumsum(steps, dtype=_U))
         flags.append(np.frombuffer(raw, np.int8, m, at + 12 * m))
+        place = np.full(m, -1, dtype=np.int64)
+        gives = flags[-1] & GIVES > 0
+        place[gives] = np.frombuffer(raw, "<u4", int(gives.sum()), at + 13 * m)
+        segment.append(place)
     if rest:
         bucket = rows.column("bucket")[0].as_py()
-        doc, key, size, rest, flags = (np.concatenate(x) for x in (doc, key, size, rest, flags))
+        one, two, size, rest, flags, segment = (np.concatenate(x) for x in (one, two, size, rest, flags, segment))
         order = np.argsort(rest, kind="stable")
         near = rest[order]
         same = near[1:] == near[:-1]
-        shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        order = order[shared]
-        doc, key, size, rest, flags = (x[order] for x in (doc, key, size, rest, flags))
+        order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        one, two, size, rest, flags, segment = (x[order] for x in (one, two, size, rest, flags, segment))
         # one row for each set and kind of row, by size within a row hash
         kind = flags & DELETION
-        order = np.lexsort((doc, kind, key, size, rest))
-        doc, key, size, rest, flags, kind = (x[order] for x in (doc, key, size, rest, flags, kind))
+        order = np.lexsort((kind, two, one, size, rest))
+        one, two, size, rest, flags, segment, kind = (x[order] for x in (one, two, size, rest, flags, segment, kind))
         fresh = np.ones(len(rest), dtype=bool)
-        fresh[1:] = (rest[1:] != rest[:-1]) | (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])
-        doc, key, size, rest, flags, kind = (x[fresh] for x in (doc, key, size, rest, flags, kind))
+        fresh[1:] = (rest[1:] != rest[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (kind[1:] != kind[:-1])
+        one, two, size, rest, flags, segment, kind = (x[fresh] for x in (one, two, size, rest, flags, segment, kind))
         if len(rest):
             grp = np.cumsum(np.concatenate([[True], rest[1:] != rest[:-1]])) - 1
-            out += _second_units(doc, key, size, grp, flags, num, den)
-            whole = np.flatnonzero(kind == 0)
-            # Partners of each row stand before it, from the least size that can link on.
+            name = mix64(rest * _U(2) + np.full(1, bucket, dtype=_U) * _SEG[0]).view(np.int64)
             wide = int(size.max()) + 1
-            at = grp[whole] * wide + size[whole]
-            least = grp[whole] * wide + -(-size[whole] * num // den)
-            cost = np.arange(len(whole)) - np.searchsorted(at, least, "left")
-            payer = (cost >= 1) & (flags[whole] & OWN > 0)
-            if payer.any():
-                name = mix64(rest * _U(2) + np.full(1, bucket, dtype=_U) * _SEG[0]).view(np.int64)
-                u = whole[payer]
-                out.append(("unit", _pack("unit", name[u], doc[u], key[u], size[u], cost[payer])))
-                m = whole[np.isin(grp[whole], grp[u])]
-                out.append(("member", _pack("member", name[m], doc[m], key[m], size[m])))
+            whole, gone = np.flatnonzero(kind == 0), np.flatnonzero(kind)
+            places = {0: grp[whole] * wide + size[whole], DELETION: grp[gone] * wide + size[gone]}
+            least = grp * wide + -(-size * num // den)
+            # Partners of a first unit stand before it, from the least size that can link on.
+            first = np.arange(len(whole)) - np.searchsorted(places[0], least[whole], "left")
+            paying = (first >= 1) & (flags[whole] & OWN > 0)
+            chosen = [(whole[paying], first[paying], 0)]
+            # Partners of a second unit are rows of the other kind.
+            for mine, other in ((whole, DELETION), (gone, 0)):
+                own = mine[flags[mine] & GIVES > 0]
+                met = np.searchsorted(places[other], grp[own] * wide + size[own], "right") - np.searchsorted(
+                    places[other], least[own], "left")
+                chosen.append((own[met > 0], met[met > 0], 1))
+            for u, cost, second in chosen:
+                if len(u):
+                    out.append(_pack("unit", name[u], one[u], two[u], size[u], cost, segment[u], np.full(len(u), second)))
+            used = np.zeros(int(grp[-1]) + 1, dtype=np.int8)
+            used[grp[chosen[0][0]]] = 1
+            for u, _, _ in chosen[1:]:
+                used[grp[u]] = 2  # of such a group deletions are members too
+            m = np.flatnonzero((used[grp] == 2) | ((used[grp] == 1) & (kind == 0)))
+            if len(m):
+                out.append(_pack("member", name[m], one[m], two[m], size[m]))
     release_memory()
-    return pa.table([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())],
-                    names=["kind", "blob"])
+    return pa.table([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()),
+                     pa.array([x[2] for x in out], pa.binary())], names=["kind", "n", "blob"])
 
 
-def _second_units(doc, key, size, grp, flags, num: int, den: int) -> list[tuple[str, bytes]]:
-    """Pairs that second units find: a payer's deletion and another's whole subset, or the other way about."""
-    pairs = []
-    heads = np.searchsorted(grp, grp)
-    for i in np.flatnonzero(flags & SECOND > 0).tolist():
-        j = int(heads[i])
-        while j < len(grp) and grp[j] == grp[i]:
-            no_larger = size[j] < size[i] or (size[j] == size[i] and key[j] < key[i])
-            if (flags[i] & DELETION) + (flags[j] & DELETION) == DELETION and no_larger and size[j] * den >= size[i] * num:
-                pairs.append((doc[j], key[j], doc[i], key[i]))
-            j += 1
-    return [("pair", _pack("pair", *zip(*set(pairs))))] if pairs else []
+def allocate(units: list[dict], units_of_set: int, need: int) -> list[int]:
+    """The groups that a set must search, of its ``units`` with partners (cost, second, segment, grp).
+
+    ``units_of_set`` counts all units that it has, with partners or without.
+    """
+    firsts = {u["segment"] if u["segment"] >= 0 else -2 - i: (u["cost"], [u["grp"]])
+              for i, u in enumerate(units) if not u["second"]}
+    seconds: dict[int, tuple[int, list[int]]] = {}
+    for u in units:
+        if u["second"]:
+            cost, groups = seconds.get(u["segment"], (0, []))
+            seconds[u["segment"]] = cost + u["cost"], [*groups, u["grp"]]
+    # The second unit of a segment comes after its first; one without partners of its own is had with the first.
+    priced = [(cost, 0, groups) for cost, groups in firsts.values()]
+    for place in {*seconds, *(p for p in firsts if p >= 0)}:
+        cost, groups = seconds.get(place, (0, []))
+        priced.append((max(cost, firsts[place][0] if place in firsts else 0), 1, groups))
+    short = need - (units_of_set - len(priced))
+    return [g for _, _, groups in sorted(priced, key=lambda p: p[:2])[:max(short, 0)] for g in groups]
+
+
+def _paid(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """Rows (grp, key, size, doc) of the units that sets pay for."""
+    for batch in batches:
+        sizes = batch.column("size").to_numpy()
+        need = (plan.differences(sizes) + 1).tolist()
+        have = (batch.column("firsts").to_numpy() + batch.column("seconds").to_numpy()).tolist()
+        groups = [allocate(u, h, k) for u, h, k in zip(batch.column("units").to_pylist(), have, need)]
+        at = pa.array(np.repeat(np.arange(batch.num_rows), [len(g) for g in groups]))
+        yield pa.record_batch([pa.array([g for x in groups for g in x], pa.int64()), *(
+            batch.column(c).take(at) for c in ("key", "size", "doc"))], names=["grp", "key", "size", "doc"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         batch = batch.filter(pa.array(sieve.passes(bitmap, batch.column("at"))))
         for part in chunks([batch]):
-            o, h, size, one, _ = set_keys(utf8(part.column("text")), k)
+            o, h, size, one, two = set_keys(utf8(part.column("text")), k)
             ends = np.cumsum(size)
             held = [h[e - s:e].tobytes() for s, e in zip(size.tolist(), ends.tolist())]
-            yield pa.record_batch([pa.array(one), pa.array(held, pa.binary())], names=["key", "held"])
+            yield pa.record_batch([_keys(one, two), pa.array(held, pa.binary())], names=["key", "held"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -390,23 +443,41 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     and dealt by key once for all the joins (what an executor loses of that is dealt again)."""
     bitmap = sieve.make(ids.withColumnRenamed("doc", "doc_id"), "doc_id")
     sets = cut_lineage(docs.withColumn("at", sieve.place("doc_id")).mapInArrow(
-        lambda b: _sets(b, bitmap.value, k), "key long, held binary"))
+        lambda b: _sets(b, bitmap.value, k), "key binary, held binary"))
     dealt = sets.repartition(shuffle_partitions(docs.sparkSession), "key")
     return dealt.dropDuplicates(["key"]).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _links(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, a_key, b, b_key) whose sets link, as (u, v) doc_ids; checkpointed.
+    """The pairs (a, a_key, b, b_key) whose sets link, as (u, v); checkpointed.
 
-    Sets of ``a`` travel to those of ``b``; rows of one ``a`` stand together, so its copies compress well.
+    Sets of ``a`` travel to those of ``b``; rows of one ``a`` stand together, so its copies compress well.  An ``a`` with more
+    than a task's share of the pairs is salted; there are fewer of those than tasks.
     """
-    both = (pairs.join(sets.toDF("a_key", "x"), "a_key").join(sets.toDF("b_key", "y"), "b_key").select("a", "b", "x", "y"))
+    spark = pairs.sparkSession
+    tasks = shuffle_partitions(spark)
+    per = pairs.groupBy("a_key").agg(F.count("*").alias("n"))
+    share = -(-(per.agg(F.sum("n")).first()[0] or 0) // tasks)
+    hot = spark.createDataFrame(per.where(F.col("n") > max(share, 1)).select(
+        "a_key", F.ceil(F.col("n") / max(share, 1)).cast("int").alias("salts")).collect(), "a_key binary, salts int")
+    firsts = sets.toDF("a_key", "x")
+    plain = pairs.join(F.broadcast(hot), "a_key", "left_anti").join(firsts, "a_key")
+    spread = firsts.join(F.broadcast(hot), "a_key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    salted = pairs.join(F.broadcast(hot), "a_key").withColumn("salt", F.pmod(F.xxhash64("b_key"), F.col("salts")).cast("int"))
+    columns = ["a", "b", "b_key", "x"]
+    met = plain.select(columns).unionAll(salted.drop("salts").join(spread.drop("salts"), ["a_key", "salt"]).select(columns))
+    both = met.join(sets.toDF("b_key", "y"), "b_key").select("a", "b", "x", "y")
     return cut_lineage(both.mapInArrow(lambda b: _verify(b, num, den), "a long, b long").toDF("u", "v"))
 
 
+def _n_blocks():
+    """The number of blocks of a family's sets, of 8 bytes for each element."""
+    return F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("size") * 8 / BLOCK_BYTES)).cast("int")
+
+
 def _blocks(rows: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     """(family, <name>_block, <name>): rows (family, doc, key, size, component) and their sets in blocks."""
-    n = rows.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias(f"n_{name}"))
+    n = rows.groupBy("family").agg(_n_blocks().alias(f"n_{name}"))
     return (rows.join(n, "family").join(sets, "key")
             .withColumn(f"{name}_block", F.pmod(F.hash("key"), F.col(f"n_{name}")))
             .groupBy("family", f"{name}_block").agg(
@@ -415,7 +486,7 @@ def _blocks(rows: DataFrame, sets: DataFrame, name: str) -> DataFrame:
 
 def _cross(payers: DataFrame, members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links (u, v) of payers and members of one family that are in different components."""
-    n = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("n"))
+    n = members.groupBy("family").agg(_n_blocks().alias("n"))
     p = _blocks(payers, sets, "p").join(n, "family").withColumn("m_block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     pairs = _blocks(members, sets, "m").join(p, ["family", "m_block"]).select("p", "m")
     return cut_lineage(pairs.mapInArrow(lambda b: _cross_batches(b, num, den), "u long, v long").distinct())
@@ -451,8 +522,15 @@ def _incidence(held: list[np.ndarray], strip: np.ndarray) -> np.ndarray:
     return out
 
 
-def _distinct_pairs(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("a_key", "b_key").agg(F.min("a").alias("a"), F.min("b").alias("b"))
+def _repeats(base: DataFrame, names: DataFrame, rows: int) -> DataFrame | None:
+    """Links (u, v) between the classes of rows that share a doc_id; None if no rows do."""
+    many = cut_lineage(narrow(base.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), rows))
+    if many.isEmpty():
+        return None
+    ids = base.where("n_shingles > 0").join(many, "doc_id", "left_semi").select("doc_id", "key").distinct()
+    of = ids.join(names.select("key", "doc"), "key").select("doc_id", "doc")
+    return of.join(of.groupBy("doc_id").agg(F.min("doc").alias("least")), "doc_id").select(
+        F.col("doc").alias("u"), F.col("least").alias("v"))
 
 
 def link_components(docs: DataFrame, plan: Plan = PLAN, k: int = SHINGLE) -> DataFrame:
@@ -465,75 +543,103 @@ def link_components(docs: DataFrame, plan: Plan = PLAN, k: int = SHINGLE) -> Dat
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_partitions(spark), int(total / BUCKET_TEXT) + 1)
     found = cut_lineage(
-        docs.mapInArrow(lambda b: signatures(b, buckets, plan, k), "bucket int, kind string, blob binary")
-        .groupBy("bucket").applyInArrow(lambda t: meet(t, num, den), "kind string, blob binary"))
-    base = unpacked(found, "base").select(
-        F.when(F.col("known") == 1, F.col("doc_id")).alias("doc_id"), "n_shingles", "key1", "key2", "firsts")
-    classes = (base.where("n_shingles > 0 and doc_id is not null").groupBy("key1", "key2", "n_shingles")
-               .agg(F.min("doc_id").alias("class_id")))
-    # What every payer needs: H + 1 units less its free ones; the cheapest of the others.
-    units = unpacked(found, "unit")
-    firsts = base.where("firsts > 0").groupBy(F.col("key1").alias("key")).agg(F.max("firsts").alias("firsts"))
-    needed = F.floor(F.col("size") * (2 * (den - num)) / (den + num)).cast("long") + 1 - (F.col("firsts") - F.col("shared"))
-    payers = (units.groupBy("key").agg(F.count("*").alias("shared"), F.max("size").alias("size")).join(firsts, "key")
-              .withColumn("needed", needed).where("needed > 0").select("key", "needed"))
-    cheapest = Window.partitionBy("key").orderBy("cost", "grp")
-    paid = cut_lineage(units.join(payers, "key").withColumn("nth", F.row_number().over(cheapest))
-                       .where("nth <= needed").select("grp", "doc", "key", "size"))
-    member = unpacked(found, "member").join(paid.select("grp").distinct(), "grp", "left_semi")
-    degree = member.groupBy("key").agg(F.count("*").alias("degree"))
-    member = cut_lineage(member.join(degree, "key"))
-    pairs = unpacked(found, "pair")
-    poor = unpacked(found, "poor")
-    if not poor.isEmpty():
-        pairs = pairs.union(_poor_pairs(known, cut_lineage(poor.distinct()), k, num, den))
-    pairs = cut_lineage(_distinct_pairs(pairs).select("a", "a_key", "b", "b_key"))
-    sets = _sets_of(known, member.select("doc").union(pairs.select(F.explode(F.array("a", "b")).alias("doc"))), k)
-    ids = classes.join(base.select("doc_id", "key1", "key2", "n_shingles"), ["key1", "key2", "n_shingles"])
-    same = ids.where("doc_id <> class_id").select(F.col("doc_id").alias("u"), F.col("class_id").alias("v"))
-    linked = same if pairs.isEmpty() else same.union(_links(sets, pairs, num, den))
-
-    def placed(rows: DataFrame) -> DataFrame:
+        docs.mapInArrow(lambda b: signatures(b, buckets, plan, k), "bucket int, kind string, n long, blob binary")
+        .groupBy("bucket").applyInArrow(lambda t: meet(t, num, den), "kind string, n long, blob binary"))
+    rows = {r["kind"]: r["n"] for r in found.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+
+    def part(kind: str) -> DataFrame:
+        return narrow(unpacked(found, kind), rows.get(kind, 0))
+
+    base = cut_lineage(part("base").withColumn("doc_id", F.expr("if(known = 1, doc_id, null)")).drop("known"))
+    # Each class of equal sets by its least doc_id, with its numbers of units.
+    n_base = rows.get("base", 0)
+    names = cut_lineage(narrow(base.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(
+        F.min("doc_id").alias("doc"), F.max("firsts").alias("firsts"), F.max("seconds").alias("seconds")), n_base))
+    units = part("unit").groupBy("key").agg(F.max("size").alias("size"), F.collect_list(
+        F.struct("cost", "second", "segment", "grp")).alias("units"))
+    paid = cut_lineage(narrow(units.join(names, "key").mapInArrow(
+        lambda b: _paid(b, plan), "grp long, key binary, size long, doc long").distinct(), rows.get("unit", 0)))
+    member = part("member").join(paid.select("grp").distinct(), "grp", "left_semi")
+    degree = narrow(member.groupBy("key").agg(F.count("*").alias("degree")).join(names.select("key", "doc"), "key"), n_base)
+    member = cut_lineage(narrow(member.join(degree, "key"), rows.get("member", 0)))
+    pairs = _poor_pairs(known, part("poor").distinct(), names, k, num, den) if rows.get("poor") else None
+    sets = _sets_of(known, member.select("doc") if pairs is None else member.select("doc").union(
+        pairs.select(F.explode(F.array("a", "b")).alias("doc"))), k)
+    free_unused(spark)
+
+    def placed(rows: DataFrame, linked: DataFrame) -> DataFrame:
         return (rows.join(linked.withColumnRenamed("node", "doc"), "doc", "left")
                 .withColumn("component", F.coalesce("component", "doc")))
 
     def met(payers: DataFrame, hubs: DataFrame) -> DataFrame:
         """Payers and the hubs of their groups, as pairs of sets that could link."""
         near = (F.col("size") * den >= F.col("hub.size") * num) & (F.col("hub.size") * den >= F.col("size") * num)
-        return cut_lineage(_distinct_pairs(payers.join(hubs, "grp").where(near & (F.col("key") != F.col("hub.key"))).select(
-            F.col("hub.doc").alias("a"), F.col("hub.key").alias("a_key"), F.col("doc").alias("b"),
-            F.col("key").alias("b_key"))).select("a", "a_key", "b", "b_key"))
+        pairs = payers.join(hubs, "grp").where(near & (F.col("key") != F.col("hub.key"))).select(
+            F.col("hub.doc").alias("a"), F.col("hub.key").alias("a_key"), F.col("doc").alias("b"), F.col("key").alias("b_key"))
+        return cut_lineage(narrow(pairs.distinct(), n_base))
+
+    def joined(linked: DataFrame, links: DataFrame) -> DataFrame:
+        """The components that ``linked`` has after more links: found between its components, which are fewer than the links."""
+        between = placed(links.withColumnRenamed("u", "doc"), linked).select(
+            F.col("component").alias("u"), F.col("v").alias("doc"))
+        between = placed(between, linked).select("u", F.col("component").alias("v"))
+        more = components(between, n_base).toDF("component", "to")
+        moved = linked.join(more, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        new = more.select(F.col("component").alias("node"), F.col("to").alias("component")).join(
+            linked.select("node"), "node", "left_anti")
+        return cut_lineage(narrow(moved.unionAll(new), n_base))
 
     best = F.max(F.struct("degree", "key", "doc", "size")).alias("hub")
-    hubs = cut_lineage(member.groupBy("grp").agg(best))
-    linked = cut_lineage(components(linked.union(_links(sets, met(paid, hubs), num, den))))
-    first_hubs = placed(hubs.select("grp", F.col("hub.doc").alias("doc"))).select("grp", F.col("component").alias("family"))
+    hubs = cut_lineage(narrow(member.groupBy("grp").agg(best), rows.get("member", 0)))
+    links = _links(sets, met(paid, hubs), num, den)
+    if pairs is not None:
+        links = links.unionAll(_links(sets, pairs, num, den))
+    repeats = _repeats(base, names, n_base)
+    linked = cut_lineage(narrow(components(links if repeats is None else links.unionAll(repeats), n_base), n_base))
+    first_hubs = placed(hubs.select("grp", F.col("hub.doc").alias("doc")), linked).select("grp", F.col("component").alias("family"))
+    free_unused(spark)
+
+    def apart(member: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members with their components, and the groups that are in more than one."""
+        here = placed(member, linked)
+        split = here.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        return here, split.select("grp")
+
     for _ in range(1, HUB_ROUNDS):
         # Only groups in more than one component go on, with hubs that are not where the last ones are now.
-        here = placed(member)
-        split = here.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        here = cut_lineage(here.join(split.select("grp"), "grp"))
-        member = here.drop("component")
-        paid = cut_lineage(paid.join(here.select("grp").distinct(), "grp", "left_semi"))
-        if member.isEmpty():
+        here, split = apart(member, linked)
+        here = cut_lineage(narrow(here.join(split, "grp"), rows.get("member", 0)))
+        if here.isEmpty():
+            member = here.drop("component")
             break
-        last = placed(hubs.join(here.select("grp").distinct(), "grp", "left_semi").select(
-            "grp", F.col("hub.doc").alias("doc"))).select("grp", F.col("component").alias("hub_component"))
-        hubs = cut_lineage(here.join(last, "grp").where("component <> hub_component").groupBy("grp").agg(
-            F.max(F.struct("degree", "key", "doc", "size", "component")).alias("hub")))
-        apart = placed(paid).join(hubs, "grp").where(F.col("component") != F.col("hub.component")).drop("hub")
-        linked = cut_lineage(components(linked.toDF("u", "v").union(_links(sets, met(apart, hubs), num, den))))
+        member = here.drop("component")
+        still = here.select("grp").distinct()
+        last = placed(hubs.join(still, "grp", "left_semi").select("grp", F.col("hub.doc").alias("doc")), linked).select(
+            "grp", F.col("component").alias("hub_component"))
+        hubs = cut_lineage(narrow(here.join(last, "grp").where("component <> hub_component").groupBy("grp").agg(
+            F.max(F.struct("degree", "key", "doc", "size", "component")).alias("hub")), rows.get("member", 0)))
+        paid = cut_lineage(narrow(placed(paid.join(still, "grp", "left_semi"), linked), rows.get("unit", 0)))
+        others = paid.join(hubs, "grp").where(F.col("component") != F.col("hub.component")).select("grp", "key", "size", "doc")
+        paid = paid.drop("component")
+        linked = joined(linked, _links(sets, met(others, hubs), num, den))
+        free_unused(spark)
     # Then what is left: groups in more than one component, under their first hubs.
-    here = placed(member)
-    split = here.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    split = cut_lineage(split.join(first_hubs, "grp").select("grp", "family"))
+    here, split = apart(member, linked)
+    split = cut_lineage(narrow(split.join(first_hubs, "grp").select("grp", "family"), rows.get("member", 0)))
     if not split.isEmpty():
         columns = ["family", "doc", "key", "size", "component"]
-        rest = _cross(*[rows.join(split, "grp").select(columns).distinct() for rows in (placed(paid), here)], sets, num, den)
-        linked = cut_lineage(components(linked.toDF("u", "v").union(rest)))
+        rest = _cross(*[cut_lineage(narrow(r.join(split, "grp").select(columns).distinct(), rows.get("member", 0)))
+                        for r in (placed(paid, linked), here)], sets, num, den)
+        linked = joined(linked, rest)
     sets.unpersist()
-    out = base.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # Rows by their class; those without words by their own id, which other rows may repeat.
+    where = placed(names.select("key", "doc"), linked).select("key", "component")
+    out = base.join(narrow(where, n_base), "key", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component"))
+    if repeats is not None:
+        twins = out.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("component").alias("twin"))
+        out, component = out.join(narrow(twins, n_base), "doc_id", "left"), F.coalesce(component, "twin")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(component, "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, plan: Plan = PLAN, k: int = SHINGLE) -> DataFrame:
@@ -555,18 +661,16 @@ def one_of_each(docs: DataFrame, plan: Plan = PLAN, k: int = SHINGLE) -> DataFra
 
 def _exploded(batches: Iterator[pa.RecordBatch], k: int, prefix: bool, num: int, den: int):
     for part in chunks(batches):
-        ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-        o, h, size, one, _ = set_keys(utf8(part.column("text")), k)
+        o, h, size, one, two = set_keys(utf8(part.column("text")), k)
         if prefix:
             keep = _rank_within(o) < size[o] - (-(-size[o] * num // den)) + 1
             o, h = o[keep], h[keep]
-        yield pa.record_batch([pa.array(ids[o]), pa.array(one[o]), pa.array(size[o]), pa.array(h.view(np.int64))],
-                              names=["doc", "key", "size", "h"])
+        yield pa.record_batch([_keys(one[o], two[o]), pa.array(size[o]), pa.array(h.view(np.int64))], names=["key", "size", "h"])
 
 
-def _poor_pairs(docs: DataFrame, poor: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Candidate partners of sets that lack units: a partner no larger shares one of its first elements."""
-    kind = "doc long, key long, size long, h long"
+def _poor_pairs(docs: DataFrame, poor: DataFrame, names: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Candidate partners (a, a_key, b, b_key) of sets that lack units: a partner no larger shares one of its first elements."""
+    kind = "key binary, size long, h long"
     probe = (docs.join(poor.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
              .mapInArrow(lambda b: _exploded(b, k, False, num, den), kind))
     probe = probe.join(poor.select("key").distinct(), "key", "left_semi")
@@ -574,5 +678,7 @@ def _poor_pairs(docs: DataFrame, poor: DataFrame, k: int, num: int, den: int) ->
     s, t = index.alias("s"), probe.alias("t")
     hit = s.join(t, (F.col("s.h") == F.col("t.h")) & (F.col("s.key") != F.col("t.key"))
                  & (F.col("s.size") <= F.col("t.size")) & (F.col("s.size") * den >= F.col("t.size") * num))
-    return hit.select(F.col("s.doc").alias("a"), F.col("s.key").alias("a_key"),
-                      F.col("t.doc").alias("b"), F.col("t.key").alias("b_key"))
+    pairs = hit.select(F.col("s.key").alias("a_key"), F.col("t.key").alias("b_key")).distinct()
+    return cut_lineage(pairs.join(names.select(F.col("key").alias("a_key"), F.col("doc").alias("a")), "a_key")
+                       .join(names.select(F.col("key").alias("b_key"), F.col("doc").alias("b")), "b_key")
+                       .select("a", "a_key", "b", "b_key"))

@@ -1,7 +1,11 @@
 import random
+import struct
 
+import numpy as np
+import pyarrow as pa
 import pytest
-
+import zstandard
+from stockroom.llm import set_join
 from stockroom.llm.components import components
 from stockroom.llm.set_join import PLAN, Plan, link_components
 from texts import MEDIUM, docs_frame, table_rows
@@ -107,3 +111,57 @@ def test_components(spark):
         1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 7: 7, 8: 7, 10: 7, 12: 7}
     assert all(got[100 + i] == 100 for i in range(41))
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_rows_that_repeat_a_doc_id_join_their_classes(spark):
+    p, q, z = (" ".join(f"{c}{i}" for i in range(20)) for c in "pqz")
+    rows = [(7, p), (3, p), (7, q), (9, q), (9, ""), (5, z), (None, z), (8, z), (3, z + " more")]
+    assert ours(docs_frame(spark, rows)) == brute(rows)
+
+
+def test_allocation_weighs_second_units_by_cost():
+    def unit(cost, grp, segment=-1, second=0):
+        return {"cost": cost, "grp": grp, "segment": segment, "second": second}
+
+    units = [unit(9, 1), unit(2, 2), unit(5, 3, 16), unit(1, 4, 16, 1), unit(1, 5, 16, 1), unit(1, 6, 32, 1)]
+    # Of 10 units, 5 have partners, the seconds of segments 16 and 32 among them; the rest are free.
+    assert set_join.allocate(units, 10, 5) == []
+    assert set_join.allocate(units, 10, 6) == [6]  # the second of segment 32, whose first is free
+    assert set_join.allocate(units, 10, 8) == [6, 2, 3]
+    assert sorted(set_join.allocate(units, 10, 9)) == [2, 3, 4, 5, 6]  # the second of 16 before a first that costs 9
+    assert sorted(set_join.allocate(units, 10, 10)) == [1, 2, 3, 4, 5, 6]
+    # A second unit without partners comes with its first.
+    assert set_join.allocate([unit(4, 1, 16), unit(3, 2)], 6, 6) == [2, 1]
+
+
+def test_second_units_are_paid_under_the_production_plan():
+    """A family of edited copies: what its sets pay for holds second units, as its first units are dear."""
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    texts = []
+    for _ in range(120):
+        w = list(base)
+        for _ in range(4):
+            w[r.randrange(len(w))] = f"v{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    met = set_join.meet(pa.Table.from_batches(set_join.signatures(iter([batch]), 1, PLAN, 5)), 75, 100)
+    paid, free_seconds, units, sets = 0, 0, {}, {}
+    for kind, blob in zip(met.column("kind").to_pylist(), met.column("blob").to_pylist()):
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        n, at, cols = struct.unpack_from("<Q", raw)[0], 8, {}
+        for c, t in set_join._COLUMNS[kind]:
+            cols[c] = np.frombuffer(raw, t, n, at).tolist()
+            at += n * np.dtype(t).itemsize
+        for i in range(n):
+            row = {c: v[i] for c, v in cols.items()}
+            if kind == "unit":
+                units.setdefault((row["key1"], row["key2"]), []).append(row)
+            if kind == "base":
+                sets[row["key1"], row["key2"]] = row
+    for key, mine in units.items():
+        have, need = sets[key]["firsts"] + sets[key]["seconds"], int(PLAN.differences(np.int64(sets[key]["n_shingles"]))) + 1
+        chosen = set(set_join.allocate(mine, have, need))
+        paid += sum(u["grp"] in chosen for u in mine if u["second"])
+        free_seconds += sets[key]["seconds"] > 0
+    assert paid > 0 and free_seconds == len(units)
