@@ -3,8 +3,9 @@
 Texts are lower-cased and everything that is no letter counts as a space.  The kernel of two
 texts is the number of distinct 1- to 3-grams that both hold, divided by the root of the product of their own
 numbers.  ``fit`` takes a bounded sample of labelled rows (``per_lang`` of each
-label, by a hash of doc_id; with more than ``max_langs`` labels they share the rows and landmarks of so many); the
-first of them in each language are landmarks.  Nystroem features of the sample are fitted to +1/-1
+label, by a hash of doc_id; with more than ``max_langs`` labels they share the rows and landmarks of so many; more labels than
+rows of the sample are an error); the first of them in each language are landmarks, as many as keep the landmark
+matrix within ``LANDMARK_BYTES``, so that what is broadcast is bounded whatever the scripts and labels.  Nystroem features of the sample are fitted to +1/-1
 targets of each language by ridge regression.  ``predict`` reads every whole
 text, forms the presence matrix of a batch over the landmarks' n-grams, and
 multiplies it by the landmark matrix and the weights.
@@ -12,10 +13,12 @@ multiplies it by the landmark matrix and the weights.
 A text that is null or has no letter gets ``und`` and score 0; so does every
 text when there was nothing to learn from.  Equal best scores go to the first
 language in order.  Rows that repeat get the same answer; a null doc_id or null lang is not learned from.
+An empty table gives no rows and nothing to learn.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +37,8 @@ LANDMARKS_PER_LANG = 24
 MAX_LANGS = 200
 RIDGE = 1e-4
 UNKNOWN = "und"
+# Bytes of the landmark matrix (n-grams x landmarks).
+LANDMARK_BYTES = 128 << 20
 # Cells of a presence matrix that are held at once.
 MATRIX_CELLS = 4 << 20
 
@@ -106,16 +111,31 @@ class Model:
         return langs, scores
 
 
+def landmarks_of(sets: list[np.ndarray], labels: list[str], per_lang: int) -> list[np.ndarray]:
+    """The first ``per_lang`` sets of each language; if their matrix would be too large, the languages' first ones before second ones."""
+    seen: dict[str, int] = {}
+    turn = []
+    for i, y in enumerate(labels):
+        seen[y] = seen.get(y, 0) + 1
+        if seen[y] <= per_lang:
+            turn.append((seen[y], i))
+    turn.sort()
+
+    def size(n: int) -> int:
+        return 4 * n * len(np.unique(np.concatenate([sets[i] for _, i in turn[:n]])))
+
+    n = len(turn)
+    if size(n) > LANDMARK_BYTES:
+        n = max(bisect.bisect_right(range(1, n + 1), LANDMARK_BYTES, key=size), 1)
+    return [sets[i] for i in sorted(i for _, i in turn[:n])]
+
+
 def solve(sets: list[np.ndarray], labels: list[str], per_lang: int = LANDMARKS_PER_LANG) -> Model:
     """The model of labelled n-gram sets."""
     langs = sorted(set(labels))
     if not langs:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
-    marks, left = [], dict.fromkeys(langs, per_lang)
-    for s, y in zip(sets, labels):
-        if left[y]:
-            left[y] -= 1
-            marks.append(s)
+    marks = landmarks_of(sets, labels, per_lang)
     vocabulary = np.unique(np.concatenate(marks))
     matrix = np.zeros((len(vocabulary), len(marks)), dtype=np.float32)
     for j, s in enumerate(marks):
@@ -143,11 +163,11 @@ def _ngram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def fit(labelled: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> Model:
     """Learn from a bounded sample of ``labelled`` (doc_id, text, lang): at most ``per_lang * max_langs`` rows.
 
-    No label is left out; more labels than the model has landmarks for are an error.
+    No label is left out; more labels than rows of the sample are an error.
     """
     rows = labelled.select("doc_id", "text", "lang").where(
         "lang is not null and doc_id is not null and text is not null")
-    most = min(LANDMARKS_PER_LANG, per_lang) * max_langs
+    most = per_lang * max_langs
     top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most + 1).collect()
     if not top:
         return solve([], [])
@@ -176,7 +196,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
 
     ``keep`` must not hold columns of these two names.
 
-    The model is broadcast; it is bounded by the sample it was learned from.
+    The model is broadcast; its landmark matrix is at most ``LANDMARK_BYTES`` large.
     """
     small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import chunks, small_batches, utf8
 
@@ -139,11 +140,12 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 def _redact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in chunks(batches):
         texts = [None if raw is None else redact(raw) for raw in utf8(part.column("text"))]
-        at = part.schema.get_field_index("text")
-        yield part.set_column(at, "text", pa.array(texts, pa.binary()).cast(pa.string()))
+        yield pa.record_batch([part.column("row"), pa.array(texts, pa.binary()).cast(pa.string())], names=["row", "text"])
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with its secrets masked in ``text``; a null text stays null, other columns stay as they are."""
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(_redact_batches, docs.schema)
+    packed = docs.select(F.struct("*").alias("row"), "text")
+    done = packed.mapInArrow(_redact_batches, packed.schema)
+    return done.select([F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

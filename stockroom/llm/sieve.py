@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 BITS = 27
+PLACES = 1 << BITS
 _LOW = 16
 
 
@@ -36,15 +37,19 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def make(ids: DataFrame, column: str) -> Broadcast:
-    """The broadcast bitmap of ``ids[column]``: at most 2**11 rows of 8 KB are gathered for it."""
-    at = ids.select(place(column).alias("at"))
+    """The broadcast bitmap of ``ids[column]``."""
+    return bitmap(ids.select(place(column).alias("at")))
+
+
+def bitmap(at: DataFrame) -> Broadcast:
+    """The broadcast bitmap of the places ``at``: at most 2**11 rows of 8 KB are gathered for it."""
     blocks = at.groupBy(F.shiftright("at", _LOW).cast("int").alias("block")).agg(
         F.collect_set(F.col("at").bitwiseAND((1 << _LOW) - 1).cast("int")).alias("low"))
     out = np.zeros(1 << (BITS - 3), dtype=np.uint8)
     for r in blocks.mapInArrow(_bitmaps, "block int, bits binary").collect():
         size = 1 << (_LOW - 3)
         out[r["block"] * size:(r["block"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
-    return ids.sparkSession.sparkContext.broadcast(out)
+    return at.sparkSession.sparkContext.broadcast(out)
 
 
 def passes(bitmap: np.ndarray, at: pa.Array) -> np.ndarray:

@@ -22,7 +22,7 @@ removed.  Windows are judged on the input, not on what is left.
 Nulls: a null text has no words; a row with a null doc_id has no place in the
 order, so it neither removes words nor loses any.  Rows that repeat a doc_id
 don't remove each other's words; each is judged by its own text.  Texts with
-fewer than ``k`` words keep all of them.
+fewer than ``k`` words keep all of them.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -137,13 +137,14 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return doc[of], key[of], start, size, raw[at + 12 * n:]
 
 
-def _deal(w: Words, hashes: np.ndarray, buckets: int, split: np.ndarray, extra: int, k: int, m: int) -> np.ndarray:
-    """The bucket of the window at each word: by its minimiser, or by its ``k`` words where that bucket is ``split``."""
+def _deal(w: Words, hashes: np.ndarray, buckets: int, split: np.ndarray | None, extra: int, k: int, m: int) -> np.ndarray:
+    """The bucket of the window at each word: by its minimiser, or by its ``k`` words where that bucket's place is set in
+    the bitmap ``split``."""
     out = np.zeros(len(w.start), dtype=np.int64)
     inner = sliding_min(run_hashes(hashes, m, 23), k - m + 1)
     dest = (mix64(inner) % np.uint64(buckets)).astype(np.int64)
-    if len(split):
-        own = np.isin(dest, split)
+    if split is not None:
+        own = sieve.passes(split, pa.array(dest & (sieve.PLACES - 1)))
         dest[own] = buckets + (run_hashes(hashes, k, 37)[own] % np.uint64(extra)).astype(np.int64)
     out[: len(dest)] = dest
     return out
@@ -165,26 +166,26 @@ def _near(w: Words) -> np.ndarray:
 
 def bucket_loads(batches: Iterator[pa.RecordBatch], buckets: int, k: int, m: int) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, size, alone): bytes that a chunk's strings bring to a bucket, and bytes of their windows one by one."""
-    none = np.zeros(0, dtype=np.int64)
     for part in chunks(batches):
         w = words_of(utf8(part.column("text")))
         hashes = word_hashes(w)
         valid, later = repeated_windows(w, hashes, part.column("doc_id").to_numpy(zero_copy_only=False), k)
         windows = valid & ~later
-        dest = _deal(w, hashes, buckets, none, 1, k, m)
+        dest = _deal(w, hashes, buckets, None, 1, k, m)
         _, bucket, a, b = _strings(w, windows, dest, _near(w), k)
         at = np.flatnonzero(windows)
-        size = np.bincount(bucket, b - a + 1, buckets)
-        alone = np.bincount(dest[at], w.start[at + k - 1] + w.size[at + k - 1] - w.start[at] + 1, buckets)
-        on = np.flatnonzero(size)
+        # Only the buckets of this chunk are counted, however many there are.
+        on, string = np.unique(bucket, return_inverse=True)
+        size = np.bincount(string, b - a + 1, len(on))
+        alone = np.bincount(np.searchsorted(on, dest[at]), w.start[at + k - 1] + w.size[at + k - 1] - w.start[at] + 1, len(on))
         if len(on):
-            yield pa.record_batch([pa.array(on.astype(np.int32)), pa.array(size[on].astype(np.int64)),
-                                   pa.array(alone[on].astype(np.int64))], names=["bucket", "size", "alone"])
+            yield pa.record_batch([pa.array(on.astype(np.int32)), pa.array(size.astype(np.int64)),
+                                   pa.array(alone.astype(np.int64))], names=["bucket", "size", "alone"])
         release_memory()
 
 
 def super_kmers(batches: Iterator[pa.RecordBatch], buckets: int, k: int, m: int,
-                split: np.ndarray = np.zeros(0, dtype=np.int64), extra: int = 1) -> Iterator[pa.RecordBatch]:
+                split: np.ndarray | None = None, extra: int = 1) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, decided, blob) of documents (doc_id, text_key, text)."""
     schema = pa.schema([("bucket", pa.int32()), ("decided", pa.bool_()), ("blob", pa.binary())])
     for part in chunks(batches):
@@ -256,11 +257,12 @@ def covered_ranges(docs: DataFrame, k: int = K_WORDS, m: int = MINIMISER_WORDS)
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     per_window = (k + (k - m + 2) / 2) / ((k - m + 2) / 2)  # packed words for each word of input, about
     buckets = max(shuffle_partitions(spark), int(total * per_window / BUCKET_BYTES) + 1)
-    over = (known.mapInArrow(lambda batches: bucket_loads(batches, buckets, k, m), "bucket int, size long, alone long")
-            .groupBy("bucket").agg(F.sum("size").alias("size"), F.sum("alone").alias("alone"))
-            .where(F.col("size") > 2 * BUCKET_BYTES).collect())
-    split = spark.sparkContext.broadcast(np.array(sorted(r.bucket for r in over), dtype=np.int64))
-    extra = sum(r.alone for r in over) // BUCKET_BYTES + 1
+    over = cut_lineage(known.mapInArrow(lambda batches: bucket_loads(batches, buckets, k, m), "bucket int, size long, alone long")
+                       .groupBy("bucket").agg(F.sum("size").alias("size"), F.sum("alone").alias("alone"))
+                       .where(F.col("size") > 2 * BUCKET_BYTES).coalesce(shuffle_partitions(spark)))
+    # Full buckets are told by a bitmap of fixed size.  Beyond its places, another bucket may be split too, which loses nothing.
+    split = sieve.bitmap(over.select(F.pmod(F.col("bucket").cast("long"), F.lit(sieve.PLACES)).alias("at")))
+    extra = (over.agg(F.sum("alone")).first()[0] or 0) // BUCKET_BYTES + 1
     packed = known.withColumn("text_key", F.hash("text")).mapInArrow(
         lambda batches: super_kmers(batches, buckets, k, m, split.value, extra),
         "bucket int, decided boolean, blob binary")
@@ -342,14 +344,16 @@ def clean_texts(docs: DataFrame, k: int = K_WORDS, m: int = MINIMISER_WORDS) ->
     touched, bitmap = _ranges_of(docs, k, m)
     others = sieve.sift(docs, bitmap, "doc_id", False)
     kind = StructType([touched.schema["row"], StructField("left", IntegerType()), StructField("new", StringType())])
-    hit = touched.where("ranges is not null").mapInArrow(lambda b: _shorten(b, k), kind).where("left > 0")
+    hit = touched.where("ranges is not null").withColumn("text", F.col("row.text")).mapInArrow(
+        lambda b: _shorten(b, k), kind).where("left > 0")
     same = touched.where("ranges is null").select("row").unionAll(others).select("row.*")
     return same.unionAll(hit.select(*[
         F.col("new").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]))
 
 
 def _shorten(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        done = _finished(batch.column("row").field("text"), batch.column("ranges"), k)
-        yield pa.record_batch([batch.column("row"), pa.array([a - b for a, b, _ in done], pa.int32()),
-                               pa.array([x for _, _, x in done], pa.string())], names=["row", "left", "new"])
+    for part in chunks(batches):
+        total, gone, kept = zip(*_finished(part.column("text"), part.column("ranges"), k))
+        yield pa.record_batch([part.column("row"), pa.array(np.subtract(total, gone), pa.int32()), pa.array(kept, pa.string())],
+                              names=["row", "left", "new"])
+        release_memory()

@@ -67,3 +67,25 @@ def test_no_label_is_left_out(spark):
     assert model.predict(list(words.values()))[0] == list(words)
     with pytest.raises(ValueError):
         L.fit(df, per_lang=1, max_langs=3)
+
+
+def test_equal_scores_go_to_the_first_language_in_order():
+    sets = [L.ngrams(t) for t in ("same words here", "same words here", "other")]
+    model = L.solve(sets, ["zz", "mm", "nn"])
+    value = model.kernel(sets[:1]) @ model.weights
+    assert abs(value[0][model.langs.index("mm")] - value[0][model.langs.index("zz")]) < 1e-6
+    model.weights[:, model.langs.index("zz")] = model.weights[:, model.langs.index("mm")]
+    assert model.predict(["same words here"])[0] == ["mm"]
+
+
+def test_the_landmark_matrix_is_bounded_in_bytes(monkeypatch):
+    texts = [f"{a}{b} {b}{a}{c}" for a in "abcdef" for b in "ghijkl" for c in "xyz"]
+    sets, labels = [L.ngrams(t) for t in texts], [t[0] for t in texts]
+    assert len(L.landmarks_of(sets, labels, 5)) == 30
+    for most in (1, 400, 3000, 6000):
+        monkeypatch.setattr(L, "LANDMARK_BYTES", most)
+        model = L.solve(sets, labels, 5)
+        n = model.landmarks.shape[1]
+        assert model.langs == list("abcdef") and (model.landmarks.nbytes <= most or n == 1)
+        bigger = L.landmarks_of(sets, labels, 5)
+        assert len(bigger) == n

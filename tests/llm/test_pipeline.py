@@ -2,6 +2,7 @@ import corpus_pipeline as C
 from stockroom.llm import language_id, secret_scan
 from stockroom.llm.common import table
 from texts import MEDIUM, SMALL, docs_frame, table_rows
+from pyspark.sql import functions as F
 import test_packing
 import test_set_join
 import test_substring_dedup
@@ -56,8 +57,20 @@ def test_each_stage_on_edge_rows(spark):
     assert got.columns == docs.columns
     assert sorted([(r.doc_id, r.text) for r in got.collect()], key=repr) == brute(rows)
     assert staged(spark, docs_frame(spark, []), 5).count() == 0
-    alone = docs.where("lang is null")
-    assert staged(spark, alone, 5).count() == 0
+    unnamed = docs.withColumn("lang", F.when(F.col("doc_id") > 6, F.col("lang")))
+    assert {r.lang for r in staged(spark, unnamed, 1).collect()} == {"en"}  # predicted where there is no label
+    nothing = docs.withColumn("lang", F.lit(None).cast("string"))
+    without = staged(spark, nothing, 1)
+    assert without.schema == nothing.schema and {r.lang for r in without.collect()} == {None}
+    assert sorted([(r.doc_id, r.text) for r in staged(spark, nothing, 4).collect()], key=repr) == brute(rows)
+
+
+def test_names_with_dots_and_clashes_pass_all_stages(spark):
+    docs = docs_frame(spark, [(1, "some words here."), (2, "12"), (None, "more words")]).withColumn("a.b", F.lit(3)).withColumn(
+        "row", F.lit("x")).withColumn("lang_pred", F.lit("y"))
+    got = staged(spark, docs, 4)
+    assert got.columns == docs.columns and sorted(r["text"] for r in got.collect()) == ["more words", "some words here."]
+    assert staged(spark, docs, 5).count() == 2
 
 
 def test_names_of_the_stages():
