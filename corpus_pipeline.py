@@ -3,8 +3,9 @@
 Each stage takes the documents that the stage before it left and returns the columns of documents;
 the last returns packed pieces.
 
-1. language ID: a document without text or without a letter is rejected and goes.  The classifier learns from labels of the
-   stage's own documents, outside the held-out fold.
+1. language ID: a document whose language can't be told, without text or without a letter, is rejected and goes; one without
+   a label gets the predicted language.  The classifier learns from labels of the stage's own documents, outside the held-out fold;
+   without any label it tells no language, but what has no letter goes all the same.
 2. n-gram Jaccard join: of each group of near-duplicates the document of the smallest doc_id stays; documents without
    words are no duplicates of each other.
 3. substring dedup: words covered by 13-word windows that an earlier document holds are removed.  A text that
@@ -29,16 +30,16 @@ from stockroom.session import cut_lineage
 
 def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The documents' columns, with n_chars as their text is now."""
-    return docs.select([F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in columns])
+    return docs.select([F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns])
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; with nothing to learn from, nothing is rejected."""
+    """Documents with a letter, whose language is their label or else the one predicted."""
     model = language_id.fit(docs.where(~language_id.held_out()))
-    if not model.langs:
-        return docs
-    told = language_id.predict(docs.select(F.struct("*").alias("row"), "text"), model, keep=["row"])
-    return told.where(F.col("lang_pred") != language_id.UNKNOWN).select("row.*")
+    told = language_id.predict(docs.select(F.struct("*").alias("row"), "text"), model, keep=["row", "text"])
+    told = told.where(F.col("lang_pred") != language_id.UNKNOWN if model.langs else F.col("text").rlike("\\p{L}"))
+    lang = F.coalesce("row.lang", F.nullif("lang_pred", F.lit(language_id.UNKNOWN)))
+    return told.select([lang.alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
