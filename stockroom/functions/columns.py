@@ -8,6 +8,7 @@ money parsing, date ranges and labels.
 from __future__ import annotations
 
 import datetime as _dt
+import re
 from decimal import Decimal
 from functools import reduce
 
@@ -123,8 +124,22 @@ def option_name(c: Column | str) -> Column:
 
 # ---- dates ------------------------------------------------------------------
 def as_date(d: _dt.date | str | None) -> _dt.date | None:
-    """A date given as such or as form text ("2000-06-01"); empty text is none."""
-    return _dt.date.fromisoformat(d.strip()) if isinstance(d, str) and d.strip() else (d or None)
+    """A date given as such or as form text ("2000-06-01"); text that is empty or no date is none."""
+    if not isinstance(d, str):
+        return d or None
+    try:
+        return _dt.date.fromisoformat(d.strip())
+    except ValueError:
+        return None
+
+
+def as_key(text: int | str | None) -> int | None:
+    """An id given as such or as form text: its leading whole number, as a database compares text with a number; text
+    without one is 0, which is no row's id.  Nothing, empty text and "0" are none."""
+    if text in (None, "", "0", 0):
+        return None
+    lead = re.match(r"\s*[+-]?\d+", str(text))
+    return int(lead.group()) if lead else 0
 
 
 def ts_lit(d: _dt.date | _dt.datetime, time: str = "00:00:00") -> Column:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import datetime as _dt
 from decimal import Decimal
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..functions import (as_date, before_day_after, discount_pct, discounted, in_month_of, on_day, since_days_before,
+from ..functions import (as_date, as_key, before_day_after, discount_pct, discounted, in_month_of, on_day, since_days_before,
                          subtotal, ts_lit, whole_number, with_month_pruning)
+from ..session import cut_lineage
+from .scan import CHUNK, range_chunked
 from .stock import levels
 from .topk import top_k_named
 
@@ -85,8 +88,9 @@ def _history_filter(date_from=None, date_to=None, product=None):
         conds.append(F.col("SaleDate") >= ts_lit(date_from))
     if date_to is not None:
         conds.append(F.col("SaleDate") <= ts_lit(date_to, "23:59:59"))
-    if product not in (None, "", "0", 0):
-        conds.append(F.col("ProductID") == F.lit(int(product)))
+    key = as_key(product)
+    if key is not None:
+        conds.append(F.col("ProductID") == F.lit(key))
     return conds
 
 
@@ -95,7 +99,7 @@ def sales_history_rows(sales: DataFrame, products: DataFrame, users: DataFrame,
     """Sales with product name, user name and today's unit price, optional filters applied.
 
     Filters are the optional form fields, dates as such or as form text; an empty value or "0" means
-    absent (PHP truthiness).  They are applied to ``sales`` before the joins, so they
+    absent (PHP truthiness), and so does a date that is none.  They are applied to ``sales`` before the joins, so they
     reach the parquet scan.
     """
     return _attach_names(_history_sales(sales, date_from, date_to, product), products, users)
@@ -133,6 +137,41 @@ def sales_history(sales: DataFrame, products: DataFrame, users: DataFrame, page:
             .withColumn("SaleDateText", F.date_format("SaleDate", P.LABEL_DATETIME)))
 
 
+class PageIndex(NamedTuple):
+    """Order statistics of a history: its rows dealt by ranges of (date, id), newest first, and each range's count."""
+
+    ranges: DataFrame     # the history's sales with their range, checkpointed
+    counts: DataFrame     # range, rows, and rows in newer ranges
+
+
+RANGE = "_range"
+
+
+def page_index(sales: DataFrame, products: DataFrame, users: DataFrame, date_from=None, date_to=None, product=None,
+               ranges: int | None = None) -> PageIndex:
+    """Build the index of a (filtered) history once; ``page_of`` then opens only the ranges that hold a page."""
+    s = _history_sales(sales, date_from, date_to, product)
+    for key, names in _names(products, users).items():
+        s = s.join(names.select(key), key, "left_semi")
+    dealt = range_chunked(s, [], [F.desc("SaleDate"), F.desc("SaleID")], ranges).withColumnRenamed(CHUNK, RANGE)
+    counts = dealt.groupBy(RANGE).agg(F.count("*").alias("rows"))
+    before = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    return PageIndex(dealt, cut_lineage(counts.withColumn("newer", F.coalesce(F.sum("rows").over(before), F.lit(0)))))
+
+
+def page_of(index: PageIndex, products: DataFrame, users: DataFrame, page: int = 1, page_size: int = P.PAGE_SIZE) -> DataFrame:
+    """A page of the indexed history, as ``sales_history`` gives it: its ranges are found from their counts, and
+    no other rows are sorted, however deep the page lies."""
+    first = (max(int(page), 1) - 1) * page_size
+    hit = index.counts.where((F.col("newer") < first + page_size) & (F.col("newer") + F.col("rows") > first)).collect()
+    order = [F.desc("SaleDate"), F.desc("SaleID")]
+    rows = index.ranges.where(F.col(RANGE).isin([r[RANGE] for r in hit])).drop(RANGE)
+    skip = first - min((r["newer"] for r in hit), default=first)
+    rows = rows.orderBy(*order).offset(skip).limit(page_size)
+    return (_attach_names(rows, products, users).orderBy(*order)
+            .withColumn("SaleDateText", F.date_format("SaleDate", P.LABEL_DATETIME)))
+
+
 def sales_history_after(sales: DataFrame, products: DataFrame, users: DataFrame, last_seen_date,
                         last_seen_id: int, date_from=None, date_to=None, product=None,
                         page_size: int = P.PAGE_SIZE) -> DataFrame:

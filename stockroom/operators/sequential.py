@@ -208,7 +208,8 @@ def accept_in_order(pending: DataFrame, available: DataFrame) -> tuple[DataFrame
     return accepted.select(F.explode("ids").alias("request_id")), rounds
 
 
-def record_sales(products: DataFrame, stock: DataFrame, sales: DataFrame, requests: DataFrame) -> Recorded:
+def record_sales(products: DataFrame, stock: DataFrame, sales: DataFrame, requests: DataFrame,
+                 last_id: int | None = None) -> Recorded:
     """Validate and record a batch of sale requests in (ts, request_id) order.
 
     Checks, in this order: whole quantity > 0, product exists, the amount fits
@@ -216,7 +217,7 @@ def record_sales(products: DataFrame, stock: DataFrame, sales: DataFrame, reques
     net availability (received - sold - accepted earlier in this batch) covers
     the quantity.  Amount = price x quantity less the discount percent, rounded
     to cents.  Sale date = the request time; new SaleIDs follow the current
-    maximum in request order.
+    maximum (``last_id``, where it is known) in request order.
     """
     r = requests.select("request_id", "ts", "ProductID", "Quantity", "Discount", "UserID") \
         .withColumn("q", whole_number("Quantity"))
@@ -236,7 +237,7 @@ def record_sales(products: DataFrame, stock: DataFrame, sales: DataFrame, reques
     rejects = (r.where(F.col("reason").isNotNull()).select("request_id", "reason")
                .unionByName(valid.join(ok_ids, "request_id", "left_anti")
                             .select("request_id", F.lit(INSUFFICIENT_STOCK).alias("reason"))))
-    top = sales.agg(F.coalesce(F.max("SaleID"), F.lit(0)).cast("long")).scalar()
+    top = sales.agg(F.coalesce(F.max("SaleID"), F.lit(0)).cast("long")).scalar() if last_id is None else last_id
     rows = number_rows(ok, ORDER, "SaleID", base=top)
     new_sales = rows.select("SaleID", "ProductID", F.col("q").alias("QuantitySold"), F.col("ts").alias("SaleDate"),
                             F.col("amount").alias("TotalAmount"), "UserID", "request_id")

@@ -144,6 +144,13 @@ def _newest_lots(stock: DataFrame, products: DataFrame, suppliers: DataFrame, k:
         "SupplierID": suppliers.select("SupplierID", F.col("Name").alias("SupplierName"))}).orderBy(*order)
 
 
+def receipt_history(stock: DataFrame, products: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """Every receipt lot of a known product and supplier with both names: the whole table behind the export."""
+    return (stock.join(products.select("ProductID", F.col("Name").alias("ProductName")), "ProductID")
+            .join(suppliers.select("SupplierID", F.col("Name").alias("SupplierName")), "SupplierID")
+            .select("StockID", "ProductName", "SupplierName", "QuantityAdded", "DateAdded"))
+
+
 def largest_lot(stock: DataFrame, quantity: int) -> DataFrame:
     """Per product, the single largest lot that can cover ``quantity`` units.
 

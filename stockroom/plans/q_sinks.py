@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import reports as R
 from ..operators import stock as S
 from ..operators.scan import number_rows
-from ..sources.sinks import csv_lines, export_lines
+from ..session import ensure_checkpoint_dir
+from ..sources.sinks import export_file, export_lines, header_line
 from .q_parties import _CURRENT
 from .q_stock import RECEIPTS
 from .registry import query
@@ -24,6 +28,7 @@ SUPPLIER_HEADER = ["Supplier", "Product", "Total Supplied"]
 TOP_PRODUCTS_HEADER = ["Product", "Units Sold", "Revenue", "% of Total"]
 TOP_SUPPLIERS_HEADER = ["Supplier", "Products", "Units Supplied"]
 RECENT_HEADER = ["Date", "Product", "Supplier", "Quantity"]
+DAILY_HEADER = ["Date", "Revenue"]
 
 
 def _file(header, cols, rows):
@@ -151,14 +156,24 @@ def q_report_recent_stock_csv(t):
     return export_lines(recent.select("DateText", "ProductName", "SupplierName", "QuantityAdded"), RECENT_HEADER)
 
 
-@query("daily_sales_csv", f"""
-SELECT {_q(["SaleDay", "DailyTotal"])} AS line FROM (
+@query("daily_sales_csv", _file(DAILY_HEADER, ["SaleDay", "DailyTotal"], """
   SELECT CAST(SaleDate AS DATE) AS SaleDay, SUM(TotalAmount) AS DailyTotal FROM sales
-  WHERE SaleDate BETWEEN TIMESTAMP '2000-06-01 00:00:00' AND TIMESTAMP '2000-06-15 23:59:59' GROUP BY 1) d
-""")
+  WHERE SaleDate BETWEEN TIMESTAMP '2000-06-01 00:00:00' AND TIMESTAMP '2000-06-15 23:59:59' GROUP BY 1"""))
 def q_daily_sales_csv(t):
-    """The report range's daily revenue as quoted CSV lines (report export)."""
-    return csv_lines(R.daily_sales(t.sales, t.params.report_start, t.params.report_end))
+    """Report export: the range's daily revenue."""
+    return export_lines(R.daily_sales(t.sales, t.params.report_start, t.params.report_end), DAILY_HEADER)
+
+
+@query("receipts_file", _file(HISTORY_HEADER, _RR, """
+  SELECT s.StockID, p.Name AS ProductName, u.Name AS SupplierName, s.QuantityAdded, s.DateAdded
+  FROM stock s JOIN products p ON s.ProductID = p.ProductID JOIN suppliers u ON s.SupplierID = u.SupplierID"""))
+def q_receipts_file(t):
+    """The stock history exported as one ordered file, newest first, as its lines are read back."""
+    path = os.path.join(ensure_checkpoint_dir(t.spark), f"receipts-{uuid.uuid4().hex}.csv")
+    export_file(S.receipt_history(t.stock, t.products, t.suppliers), HISTORY_HEADER,
+                [F.desc("DateAdded"), F.desc("StockID")], path)
+    lines = t.spark.read.option("lineSep", "\n").text(path).withColumnRenamed("value", "line")
+    return lines.withColumn("is_header", F.col("line") == header_line(HISTORY_HEADER))
 
 
 @query("dense_7d_chart_json", """

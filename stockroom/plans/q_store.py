@@ -28,11 +28,14 @@ def q_product_upsert_applied(t):
     return store.read("products")
 
 
-@query("record_sales_applied", f"""
+_WITH_SALES = f"""
 SELECT SaleID, ProductID, QuantitySold, SaleDate, TotalAmount, UserID, strftime(SaleDate, '%Y-%m') AS SaleMonth
 FROM (SELECT SaleID, ProductID, QuantitySold, SaleDate, TotalAmount, UserID FROM sales
       UNION ALL SELECT SaleID, ProductID, QuantitySold, SaleDate, TotalAmount, UserID FROM ({RECORDED}) r) x
-""", extra_ctes=FOLD, recursive=True)
+"""
+
+
+@query("record_sales_applied", _WITH_SALES, extra_ctes=FOLD, recursive=True)
 def q_record_sales_applied(t):
     """The stored sales table, by month, with the newly recorded sales appended, as read back."""
     store = _store(t)
@@ -41,12 +44,46 @@ def q_record_sales_applied(t):
     return store.read("sales")
 
 
-@query("receive_stock_applied", """
+@query("record_sales_twice", _WITH_SALES, extra_ctes=FOLD, recursive=True)
+def q_record_sales_twice(t):
+    """The stored sales table after a batch of sale requests was applied, and run again, as read back."""
+    store = _store(t)
+    store.replace("sales", t.sales)
+
+    def job(requests, last):
+        done = Q.record_sales(t.products, t.stock, store.read("sales"), requests, last)
+        return done.sales, done.rejects
+
+    for _ in range(2):
+        store.run_once("sales", "SaleID", t.sale_requests, job)
+    return store.read("sales")
+
+
+_WITH_RECEIPTS = """
 SELECT * FROM stock UNION ALL
 SELECT (SELECT COALESCE(MAX(StockID), 0) FROM stock) + row_number() OVER (ORDER BY request_id) AS StockID,
        ProductID, SupplierID, QuantityAdded, DateAdded
 FROM rq2 WHERE reason IS NULL
-""", extra_ctes=RECEIVED)
+"""
+
+
+@query("receive_stock_twice", _WITH_RECEIPTS, extra_ctes=RECEIVED)
+def q_receive_stock_twice(t):
+    """The stored stock table after a batch of receipts was applied, and run again, as read back."""
+    store = _store(t)
+    store.replace("stock", t.stock)
+
+    def job(requests, last):
+        given = t.spark.createDataFrame([(last,)], "StockID long")  # ids go on from the mark, the table isn't read
+        done = X.receive_stock(given, t.supplier_products, t.products, t.suppliers, requests, t.params.as_of)
+        return done.stock, done.rejects
+
+    for _ in range(2):
+        store.run_once("stock", "StockID", t.receipt_requests, job)
+    return store.read("stock")
+
+
+@query("receive_stock_applied", _WITH_RECEIPTS, extra_ctes=RECEIVED)
 def q_receive_stock_applied(t):
     """The stored stock table with the valid receipts appended, as read back."""
     store = _store(t)

@@ -12,10 +12,16 @@ committed it (its ``_SUCCESS`` marker), and the highest such version is the tabl
 Rows are conformed to the table: columns by name, request columns dropped, the
 partition column of sales (``SaleMonth``) derived.  A missing column or another
 type is refused, never cast.  Old versions are kept until ``drop_old`` is asked for.
+
+``run_once`` applies a batch of requests so that it can be run again.  The part with the new rows holds their request ids
+and its folder's name the last id given out, so rows, ids and mark are committed as one; requests that were
+rejected are listed beside the table afterwards.  A request that the table or the list knows is not applied again: a batch run twice
+adds nothing, and one that failed between the two steps only decides its rejected requests anew.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +31,11 @@ from pyspark.sql.types import StructType
 from ..functions.columns import MONTH_PARTITION
 from ..params import DEFAULT, RunParams
 from ..schema import SCHEMAS
+from ..session import cut_lineage
 from .retail import RetailTables
 
 PARTITIONED = {"sales": MONTH_PARTITION}
+REQUEST = "_request_id"  # of the request that a stored row comes from; no column of the table
 
 
 class TableStore:
@@ -102,7 +110,12 @@ class TableStore:
         return out.withColumn(part, F.date_format("SaleDate", "yyyy-MM")) if part else out
 
     def _write(self, table: str, rows: DataFrame, path: str) -> None:
-        writer = self.conform(table, rows).write.mode("errorifexists")
+        out = self.conform(table, rows)
+        if REQUEST in rows.columns:
+            out = rows.select(REQUEST, *[F.col(c) for c in rows.columns if c in out.columns])
+            if table in PARTITIONED:
+                out = out.withColumn(PARTITIONED[table], F.date_format("SaleDate", "yyyy-MM"))
+        writer = out.write.mode("errorifexists")
         if table in PARTITIONED:
             writer = writer.partitionBy(PARTITIONED[table])
         writer.parquet(path)
@@ -121,3 +134,39 @@ class TableStore:
         if not now:
             return self.replace(table, rows)
         self._write(table, rows, self._next(table, f"v{now:08d}.a"))
+
+    # ---- batches that may be run again ---------------------------------------
+    def decided(self, table: str) -> DataFrame:
+        """(request_id): the requests that ``run_once`` has accepted or rejected for a table."""
+        fs, path = self._fs()
+        listed = f"{self.root}/{table}.decided"
+        out = self.spark.createDataFrame([], "request_id long")
+        if fs.exists(path(listed)):
+            out = out.unionAll(self.spark.read.schema("request_id long").parquet(listed))
+        for p in self._parts(table)[1:]:
+            out = out.unionAll(self.spark.read.schema(f"{REQUEST} long").parquet(p).where(f"{REQUEST} is not null").select(REQUEST))
+        return out
+
+    def last_id(self, table: str, id_column: str) -> int:
+        """The highest id given out: from the names of the appended parts; only a table without such parts is read for it."""
+        marks = [int(p.rsplit(".m", 1)[1]) for p in self._parts(table)[1:] if ".m" in p.rsplit("/", 1)[1]]
+        if marks:
+            return max(marks)
+        return self.read(table).agg(F.max(id_column)).first()[0] or 0
+
+    def run_once(self, table: str, id_column: str, requests: DataFrame,
+                 job: Callable[[DataFrame, int], tuple[DataFrame, DataFrame]]) -> int:
+        """Apply the requests not decided before; the number of new rows.
+
+        ``job`` turns them and the last id given out into (new rows with request_id, numbered on from there; rejected
+        requests with request_id).  Rows from elsewhere must not be appended to the table with ids of their own in between.
+        """
+        last = self.last_id(table, id_column)
+        fresh = cut_lineage(requests.join(self.decided(table), "request_id", "left_anti"))
+        rows, rejects = job(fresh, last)
+        rows = cut_lineage(rows.withColumn(REQUEST, F.col("request_id").cast("long")).drop("request_id"))
+        n = rows.count()
+        if n:
+            self._write(table, rows, self._next(table, f"v{self.version(table):08d}.a") + f".m{last + n}")
+        rejects.select(F.col("request_id").cast("long")).write.mode("append").parquet(f"{self.root}/{table}.decided")
+        return n
