@@ -6,8 +6,9 @@ import os
 import uuid
 
 from ..operators import changes as X
+from ..operators import maintained as M
 from ..operators import sequential as Q
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources.store import TableStore
 from .q_changes import EDITS, RECEIVED, UPSERTED
 from .q_sequential import FOLD, RECORDED
@@ -109,3 +110,21 @@ def q_delete_products_applied(t):
     for name in ("stock", "sales", "supplier_products", "products"):
         store.replace(name, getattr(left, name))
     return store.read("stock")
+
+
+@query("current_stock_maintained", f"""
+SELECT p.ProductID, p.Name AS ProductName, CAST(COALESCE(a.q, 0) AS BIGINT) AS TotalAdded, CAST(COALESCE(s.q, 0) AS BIGINT) AS TotalSold,
+       CAST(COALESCE(a.q, 0) - COALESCE(s.q, 0) AS BIGINT) AS CurrentStock
+FROM products p
+LEFT JOIN (SELECT ProductID, SUM(QuantityAdded) AS q FROM stock WHERE SupplierID % 7 <> 0 GROUP BY ProductID) a ON a.ProductID = p.ProductID
+LEFT JOIN (SELECT ProductID, SUM(QuantitySold) AS q FROM (
+             SELECT ProductID, QuantitySold FROM sales UNION ALL SELECT ProductID, QuantitySold FROM ({RECORDED}) r) x
+           GROUP BY ProductID) s ON s.ProductID = p.ProductID
+""", extra_ctes=FOLD, recursive=True)
+def q_current_stock_maintained(t):
+    """Current stock from stored levels into which a batch of sales, and then the removal of some suppliers' lots, were folded."""
+    levels = cut_lineage(M.fold_levels(M.level_changes(stock_added=t.stock.limit(0)), M.level_changes(t.stock, sales_added=t.sales)))
+    sold = cut_lineage(Q.record_sales(t.products, t.stock, t.sales, t.sale_requests).sales)
+    levels = cut_lineage(M.fold_levels(levels, M.level_changes(sales_added=sold)))
+    gone = t.stock.where("SupplierID % 7 = 0")
+    return M.stock_from_levels(t.products, M.fold_levels(levels, M.level_changes(stock_removed=gone)))
