@@ -3,5 +3,5 @@
 from __future__ import annotations
 
 # Importing a module registers its queries, in this order.
-from . import q_stock, q_sales, q_parties, q_cart, q_changes, q_sequential, q_sinks, q_stream, q_store  # noqa: F401, I001
+from . import q_stock, q_sales, q_parties, q_cart, q_changes, q_sequential, q_sinks, q_stream, q_store, q_ranges  # noqa: F401, I001
 from .registry import REGISTRY, Query, query  # noqa: F401
