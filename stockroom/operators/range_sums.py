@@ -70,9 +70,13 @@ def fold_sums(tree: DataFrame, added: DataFrame | None = None, removed: DataFram
     return _grown(reduce(DataFrame.unionAll, [p.select(*names) for p in [stored, *parts]]))
 
 
-def _next_month(d: _dt.date, months: int = 1) -> _dt.date:
-    at = d.year * 12 + d.month - 1 + months
-    return _dt.date(at // 12, at % 12 + 1, 1)
+def _next_month(d: _dt.date) -> _dt.date:
+    return _dt.date(d.year + d.month // 12, d.month % 12 + 1, 1)
+
+
+def whole_months(start: _dt.date, end: _dt.date) -> tuple[_dt.date, _dt.date]:
+    """The first whole month of a range and the first that is not, the month of its last day; none are whole if they don't ascend."""
+    return (start if start.day == 1 else _next_month(start.replace(day=1))), end.replace(day=1)
 
 
 def cover(start: _dt.date, end: _dt.date) -> Column:
@@ -83,8 +87,7 @@ def cover(start: _dt.date, end: _dt.date) -> Column:
     if start > end:
         return F.lit(False)
     # whole months lie in [months, months_end), whole years in [years, years_end); both may be empty
-    months = start if start.day == 1 else _next_month(start.replace(day=1))
-    months_end = end.replace(day=1)
+    months, months_end = whole_months(start, end)
     picked = [(F.col("Level") == "cut") & (F.col("Start") == date_lit(end))]
     if months >= months_end:
         return picked[0] | span("day", start, end)

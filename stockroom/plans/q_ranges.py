@@ -1,9 +1,16 @@
-"""Registered report queries that are answered from stored sums of sales."""
+"""Registered report queries that are answered from stored sums and sets of sales."""
 
 from __future__ import annotations
 
+import datetime as _dt
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..operators import range_sums as RS
 from ..operators import sequential as Q
+from ..operators import sold_sets as SS
 from ..session import cut_lineage
 from .q_sequential import FOLD, RECORDED
 from .registry import query
@@ -58,3 +65,24 @@ FROM (SELECT CAST(FLOOR((rn - 1) / CEIL(n / 10.0)) AS INTEGER) AS Point, MIN(Sal
 def q_sales_trend_stored(t):
     """At most 10 chart points of 1995-2001 from stored sums: only years and months across a point's end are opened."""
     return RS.trend_of(cut_lineage(RS.sum_tree(t.sales)), t.params.long_start, t.params.long_end)
+
+
+_RANGES = [(_dt.date(2000, 6, 1), _dt.date(2000, 6, 15)), (_dt.date(1996, 3, 10), _dt.date(1999, 8, 20)),
+           (_dt.date(1995, 1, 1), _dt.date(2001, 12, 31))]
+
+
+@query("top_suppliers_stored", """
+SELECT Report, SupplierID, Name AS SupplierName, ProductCount, TotalSupplied
+FROM (SELECT Report, SupplierID, COUNT(DISTINCT ProductID) AS ProductCount, CAST(SUM(QuantityAdded) AS BIGINT) AS TotalSupplied
+      FROM stock NATURAL JOIN (SELECT DISTINCT Report, ProductID FROM sales, spans
+                               WHERE SaleDate >= a AND SaleDate <= b + INTERVAL 86399 SECOND) sold
+      GROUP BY Report, SupplierID) x NATURAL JOIN suppliers
+QUALIFY row_number() OVER (PARTITION BY Report ORDER BY TotalSupplied DESC, SupplierID) <= 5
+""", extra_ctes="spans AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, DATE '{a}', DATE '{b}')" for i, (a, b) in enumerate(_RANGES)) + ") v(Report, a, b))")
+def q_top_suppliers_stored(t):
+    """The supplier ranking (each receipt once) of three ranges, what was sold taken from stored bitmaps of months and years."""
+    sets = cut_lineage(SS.sold_sets(t.sales))
+    reports = [SS.top_suppliers_stored(t.suppliers, t.stock, t.sales, sets, a, b).select(F.lit(i).alias("Report"), "*")
+               for i, (a, b) in enumerate(_RANGES)]
+    return reduce(DataFrame.unionAll, reports)
