@@ -77,3 +77,58 @@ def test_edge_rows(spark):
     assert got == brute(rows, edits)
     assert E.follow_edits(docs_frame(spark, []), frame).count() == 0
     assert E.follow_edits(docs, frame.where("false")).count() == len(rows)
+
+
+def test_stored_trees_are_edited_without_documents(spark, tmp_path):
+    """Trees written once take one batch of edits after another; the counts are those of the whole texts counted anew."""
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice(PARTS) for _ in range(n))
+    texts = {i: word(n) for i, n in enumerate([0, 1, 40, 300, 9000, 30_000])}
+    docs_frame(spark, list(texts.items())).write.parquet(str(tmp_path / "docs"))
+    E.plant(spark.read.parquet(str(tmp_path / "docs"))).write.parquet(str(tmp_path / "trees0"))
+    assert spark.read.parquet(str(tmp_path / "trees0")).where("part > 0").count() > 0
+    for step in range(3):
+        trees = spark.read.parquet(str(tmp_path / f"trees{step}"))
+        edits = [(i, s, a, a + r.randrange(40), word(r.choice([0, 1, 5, 400])))
+                 for i, t in texts.items() for s, a in enumerate(r.randrange(len(t) + 1) for _ in range(4))]
+        frame = spark.createDataFrame(edits, "doc_id long, seq int, start long, stop long, replacement string")
+        after = E.edit_trees(trees, frame)
+        plan = after._jdf.queryExecution().executedPlan().toString()
+        assert str(tmp_path / "docs") not in plan and plan.count("FileScan") == 1
+        got = sorted(tuple(x)[:5] for x in E.edit_figures(trees, frame).collect())
+        assert got == brute(list(texts.items()), edits)
+        after.write.parquet(str(tmp_path / f"trees{step + 1}"))
+        for i, _, a, b, new in edits:
+            texts[i] = texts[i][:a] + new + texts[i][b:]
+        held = {}
+        for x in spark.read.parquet(str(tmp_path / f"trees{step + 1}")).orderBy("doc_id", "part").collect():
+            assert x.n_chars == len(x.text) == E.unpack(x.sizes).sum() and x.n_tokens == E.unpack(x.counts).sum()
+            held[x.doc_id] = held.get(x.doc_id, "") + x.text
+        assert held == texts
+
+
+def test_a_stored_tree_encodes_only_what_an_edit_touches():
+    whole = E.counter(public_tokenizers.path(E.RANKS))
+    text = "some words that stay, and 1234 others. " * 2000
+
+    class Asked(dict):
+        pattern = whole.pattern
+
+        def __missing__(self, piece):
+            asked.append(piece)
+            return whole[piece]
+
+    asked = []
+    parts = [row[3:] for row in E.Tree(text, whole).rows()]
+    tree = E.Tree.stored(parts, Asked())
+    assert not asked and tree.n_tokens == len(whole.encoding.encode_ordinary(text))
+    tree.edit(40_000, 40_010, "new")
+    assert 0 < len(asked) <= tree.recounted < 20
+    assert sum(callable(list.__getitem__(tree.leaves, i)) for i in range(len(tree.leaves))) >= len(tree.leaves) - 4
+    assert tree.text() == text[:40_000] + "new" + text[40_010:]
+
+
+def test_numbers_are_packed_in_the_least_width():
+    for numbers in ([], [0], [255], [256, 1], [1 << 16], [1 << 32, 7]):
+        assert E.unpack(E.pack(numbers)).tolist() == numbers
+    assert len(E.pack([255] * 10)) == 11 and len(E.pack([256])) == 3
