@@ -25,6 +25,7 @@ aren't there are dropped, an empty table of documents gives no rows, other colum
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -73,16 +74,24 @@ def counter(ranks: str) -> Counter:
     return _ENCODERS[ranks]
 
 
+# Marks the width of numbers whose bytes are deflated.
+DEFLATED = 0x80
+
+
 def pack(numbers: list[int]) -> bytes:
-    """Whole numbers as bytes: their width, then each of them little-endian in the least width that holds them all."""
+    """Whole numbers as bytes: their width, then each of them little-endian in the least width that holds them all, deflated
+    if that is shorter."""
     a = np.array(numbers, dtype=np.uint64)
     most = int(a.max(initial=0))
     width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
-    return bytes([width]) + a.astype(f"<u{width}").tobytes()
+    plain = a.astype(f"<u{width}").tobytes()
+    short = zlib.compress(plain, 1)
+    return bytes([width | DEFLATED]) + short if len(short) < len(plain) else bytes([width]) + plain
 
 
 def unpack(held: bytes) -> np.ndarray:
-    return np.frombuffer(held, dtype=f"<u{held[0]}", offset=1).astype(np.int64)
+    plain = zlib.decompress(held[1:]) if held[0] & DEFLATED else held[1:]
+    return np.frombuffer(plain, dtype=f"<u{held[0] & ~DEFLATED}").astype(np.int64)
 
 
 class Leaves(list):
