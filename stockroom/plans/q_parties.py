@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import option_name
+from ..operators import search_index as SI
 from ..operators import stock as S
+from ..session import cut_lineage
 from .q_stock import RECEIPTS
 from .registry import query
 
@@ -214,3 +216,49 @@ def q_sale_option_names(t):
     """The product name read back from each sale-form option label ("name - $price")."""
     label = F.concat("Name", F.lit(" - $"), F.col("Price").cast("string"))
     return t.products.select("ProductID", option_name(label).alias("OptionName"))
+
+
+def _by_index(rows, key, cells, term):
+    return SI.indexed_search(rows, cut_lineage(SI.build_index(rows, key, cells)), term, key, cells)
+
+
+_PRODUCT_CELLS = ["Name", "Category"]
+
+
+@query("product_search_indexed", f"SELECT * FROM products WHERE {_sql_any_contains(_PRODUCT_CELLS, 'sma')}")
+def q_product_search_indexed(t):
+    """Products whose name or category contains "sMa", by the trigram index."""
+    return _by_index(t.products, ["ProductID"], _PRODUCT_CELLS, t.params.search_term)
+
+
+@query("stock_search_indexed", f"SELECT * FROM current WHERE {_sql_any_contains(_STOCK_CELLS, 'low')}", extra_ctes=_CURRENT)
+def q_stock_search_indexed(t):
+    """Current-stock rows whose displayed text contains "low", by the trigram index."""
+    rows = cut_lineage(S.current_stock(t.products, t.stock, t.sales))
+    return _by_index(rows, ["ProductID"], _STOCK_CELLS, t.params.stock_search_term)
+
+
+@query("lot_search_indexed", f"""
+SELECT * FROM (
+  SELECT st.StockID, st.DateAdded, p.Name AS ProductName, sup.Name AS SupplierName, st.QuantityAdded
+  FROM stock st JOIN products p ON st.ProductID = p.ProductID JOIN suppliers sup ON st.SupplierID = sup.SupplierID) r
+WHERE {_sql_any_contains(["StockID", "ProductName", "SupplierName", "QuantityAdded"], 'bolt')}
+""")
+def q_lot_search_indexed(t):
+    """All receipt lots, not only the newest ten, whose number, names or quantity contain "bolt", by the trigram index."""
+    names = t.products.select("ProductID", F.col("Name").alias("ProductName"))
+    rows = (t.stock.select("StockID", "ProductID", "SupplierID", "QuantityAdded", "DateAdded").join(names, "ProductID")
+            .join(t.suppliers.select("SupplierID", F.col("Name").alias("SupplierName")), "SupplierID").drop("ProductID", "SupplierID"))
+    return _by_index(rows, ["StockID"], ["StockID", "ProductName", "SupplierName", "QuantityAdded"], t.params.receipt_search_term)
+
+
+@query("supplier_stock_search_indexed", f"""
+SELECT * FROM (
+  SELECT SupplierID, ProductID, sup.Name AS SupplierName, p.Name AS ProductName, CAST(SUM(QuantityAdded) AS BIGINT) AS TotalSupplied
+  FROM stock JOIN products p USING (ProductID) JOIN suppliers sup USING (SupplierID) GROUP BY ALL) r
+WHERE {_sql_any_contains(_SUPPLIER_STOCK_CELLS, 'ring')}
+""")
+def q_supplier_stock_search_indexed(t):
+    """Per-supplier stock rows whose displayed text contains "ring", by the trigram index."""
+    rows = cut_lineage(S.stock_by_supplier(t.stock, t.products, t.suppliers))
+    return _by_index(rows, ["SupplierID", "ProductID"], _SUPPLIER_STOCK_CELLS, t.params.supplier_search_term)
