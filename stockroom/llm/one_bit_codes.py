@@ -35,6 +35,8 @@ from ..session import cut_lineage
 ERROR_BOUND = 3.0
 VECTORS_PER_BLOCK = 8192
 QUERIES_PER_BLOCK = 2048
+# Groups of vector blocks that meet the queries' block numbers apart from each other.
+VECTOR_SHARES = 256
 SEED = 97
 
 _ROTATIONS: dict[tuple[int, int], np.ndarray] = {}
@@ -152,9 +154,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, bound: float = ERROR_BOUND
     asked = cut_lineage(rows.where(is_query).coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, 1))
                         .mapInArrow(lambda b: _blocks(b, QUERIES_PER_BLOCK), _BLOCK)
                         .withColumn("block", F.monotonically_increasing_id()))
-    v = found.select("dim", F.col("block").alias("vb"))
-    q = asked.select(F.col("dim"), F.col("block").alias("qb"))
-    pairs = v.join(q, "dim")
+    # Pairs of block numbers are dealt by the vectors' share, so that no task makes all pairs of a length.
+    shares = VECTOR_SHARES
+    v = found.select("dim", F.col("block").alias("vb"), F.pmod(F.xxhash64("block"), F.lit(shares)).cast("int").alias("share"))
+    q = asked.select("dim", F.col("block").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    pairs = v.join(q, ["dim", "share"]).drop("share")
     # The last join deals by blocks of vectors, of which there are many more than blocks of queries.
     pairs = (pairs.join(asked.select(F.col("block").alias("qb"), F.col("ids").alias("q_ids"),
                                      F.col("vectors").alias("q_vectors")), "qb")
