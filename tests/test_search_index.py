@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 from stockroom.operators import search_index as SI
 from stockroom.operators.parties import search_rows
 from stockroom.session import cut_lineage
@@ -45,3 +47,27 @@ def test_a_lookup_reads_the_terms_grams_only(spark, tmp_path):
     assert [r.a for r in found.collect()] == [17]
     empty = rows.limit(0)
     assert SI.indexed_search(empty, SI.build_index(empty, KEY, CELLS), "name", KEY, CELLS).count() == 0
+
+
+def test_the_index_is_lists_not_a_row_for_each_trigram(spark):
+    rows = spark.createDataFrame([(i, 1, f"name {i}", "a note", None) for i in range(3000)], SCHEMA).coalesce(1)
+    index = cut_lineage(SI.build_index(rows, KEY, CELLS))
+    assert index.count() < 3000  # of some 24,000 postings
+    assert index.selectExpr("max(size(a))").first()[0] <= SI.LIST
+    same(rows, index)
+    gone = rows.where("a % 7 = 0").select(*KEY)
+    left = SI.reindexed(index, KEY, CELLS, gone)
+    assert left.where("Gram = 'not'").selectExpr("sum(size(a))").first()[0] == 3000 - gone.count()
+    assert left.selectExpr("max(size(a))").first()[0] <= SI.LIST
+
+
+def test_trigrams_of_odd_texts():
+    texts = ["", None, "ab", "aaaa", "漢字テスト", "😀😀😀x", "ab", "abc", b"\xffabc"]
+    held = pa.array([t.encode() if isinstance(t, str) else t for t in texts], pa.binary())
+    shown = [t.decode("utf-8", "replace") if isinstance(t, bytes) else t or "" for t in texts]
+    want = sorted({(t[i:i + 3], n) for n, t in enumerate(shown) for i in range(len(t) - 2)})
+    got = lambda x: [("".join(map(chr, c)), n) for c, n in zip(*(v.tolist() for v in SI._grams(x)))]
+    assert got(held) == want
+    assert got(pa.concat_arrays([held[:3], held])[3:]) == want
+    many = pa.array(["".join(map(chr, range(0x20000 + 30000 * i, 0x20000 + 30000 * (i + 1)))) for i in range(5)] * 2)
+    assert len(got(many)) == 10 * (30000 - 2)  # more characters than one number has room for
