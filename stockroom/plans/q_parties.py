@@ -247,8 +247,9 @@ WHERE {_sql_any_contains(["StockID", "ProductName", "SupplierName", "QuantityAdd
 def q_lot_search_indexed(t):
     """All receipt lots, not only the newest ten, whose number, names or quantity contain "bolt", by the trigram index."""
     names = t.products.select("ProductID", F.col("Name").alias("ProductName"))
-    rows = (t.stock.select("StockID", "ProductID", "SupplierID", "QuantityAdded", "DateAdded").join(names, "ProductID")
-            .join(t.suppliers.select("SupplierID", F.col("Name").alias("SupplierName")), "SupplierID").drop("ProductID", "SupplierID"))
+    rows = cut_lineage(t.stock.select("StockID", "ProductID", "SupplierID", "QuantityAdded", "DateAdded").join(names, "ProductID")
+                       .join(t.suppliers.select("SupplierID", F.col("Name").alias("SupplierName")), "SupplierID")
+                       .drop("ProductID", "SupplierID"))
     return _by_index(rows, ["StockID"], ["StockID", "ProductName", "SupplierName", "QuantityAdded"], t.params.receipt_search_term)
 
 
