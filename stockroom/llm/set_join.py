@@ -32,7 +32,7 @@ first hub of their group, dealt into blocks of sets, and every block of payers m
 members as one row with their sets, whose overlaps are counted by one matrix product.
 
 Rows with equal sets are one class, named by its least doc_id, and never compared; links and components
-are those of classes.  Sets are told apart by 128 bits.  Rows that repeat a
+are those of classes.  Sets are told apart by 96 bits.  Rows that repeat a
 doc_id share its component; a null doc_id takes no part and gets a null one.  An empty table gives no rows.
 """
 
@@ -59,8 +59,9 @@ SHINGLE = 5
 NUM, DEN = 75, 100
 # A chunk that a task works on at once, in bytes of text.
 TASK_BYTES = 4 << 20
-# Bytes of text that make one more bucket, which holds one to two million rows.
-BUCKET_TEXT = 12 << 20
+# Bytes of text that make one more bucket, which holds two to four million rows.  A set's key goes once to each
+# bucket that it has rows for, so fewer buckets shuffle less.
+BUCKET_TEXT = 18 << 20
 # Rounds of hubs before the rest is compared member by member.
 HUB_ROUNDS = 2
 # Sets of one block, when the rest is compared, and bytes of its sets on average.
@@ -156,13 +157,13 @@ def _sums(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def set_keys(texts: list[bytes | None], k: int = SHINGLE):
-    """(owner, hash, size, key1, key2): the sets, and a 128-bit hash of each."""
+    """(owner, hash, size, key1, key2): the sets, and a 96-bit hash of each, in 64 and 32 bits."""
     o, h = shingles(texts, k)
     n = len(texts)
     size = np.bincount(o, minlength=n).astype(np.int64) if len(o) else np.zeros(n, dtype=np.int64)
     one = mix64(_sums(mix64(h ^ _SEG[0]), o, n) + size.astype(_U))
     two = mix64(_sums(mix64(h ^ _SEG[1]), o, n) ^ size.astype(_U))
-    return o, h, size, one.view(np.int64), two.view(np.int64)
+    return o, h, size, one.view(np.int64), (two >> _U(32)).astype(np.uint32).view(np.int32)
 
 
 def _rank_within(group: np.ndarray) -> np.ndarray:
@@ -220,18 +221,18 @@ def segment_rows(o: np.ndarray, h: np.ndarray, size: np.ndarray, plan: Plan):
 
 
 _ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("n", pa.int64()), ("blob", pa.binary())])
-# The columns of each kind of row that a bucket passes on; key1 and key2 become one ``key`` of 16 bytes.
+# The columns of each kind of row that a bucket passes on; key1 and key2 become one ``key`` of 12 bytes.
 _COLUMNS = {
-    "base": (("doc_id", "<i8"), ("known", "<i1"), ("key1", "<i8"), ("key2", "<i8"), ("n_shingles", "<i8"),
+    "base": (("doc_id", "<i8"), ("known", "<i1"), ("key1", "<i8"), ("key2", "<i4"), ("n_shingles", "<i8"),
              ("firsts", "<i8"), ("seconds", "<i8")),
-    "poor": (("doc_id", "<i8"), ("key1", "<i8"), ("key2", "<i8"), ("size", "<i8")),
-    "unit": (("grp", "<i8"), ("key1", "<i8"), ("key2", "<i8"), ("size", "<i8"), ("cost", "<i8"), ("segment", "<i8"),
+    "poor": (("doc_id", "<i8"), ("key1", "<i8"), ("key2", "<i4"), ("size", "<i8")),
+    "unit": (("grp", "<i8"), ("key1", "<i8"), ("key2", "<i4"), ("size", "<i8"), ("cost", "<i8"), ("segment", "<i8"),
              ("second", "<i1")),
-    "member": (("grp", "<i8"), ("key1", "<i8"), ("key2", "<i8"), ("size", "<i8")),
+    "member": (("grp", "<i8"), ("key1", "<i8"), ("key2", "<i4"), ("size", "<i8")),
 }
-_SQL = {"<i8": "long", "<i1": "byte"}
-# Bits of a row hash that are kept beside its bucket; false meetings are verified away.
-_KEPT_BITS = 40
+_SQL = {"<i8": "long", "<i4": "int", "<i1": "byte"}
+# Bits of a row hash that are kept beside its bucket; false meetings, one for some thousand rows, are verified away.
+_KEPT_BITS = 32
 
 
 # Rows that one partition of a table of names and groups holds.
@@ -244,9 +245,10 @@ def _pack(kind: str, *columns) -> tuple[str, int, bytes]:
 
 
 def _keys(one: np.ndarray, two: np.ndarray) -> pa.Array:
-    """Both halves of keys as 16 bytes each."""
-    flat = np.column_stack([one, two]).astype("<i8").tobytes()
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(one), [None, pa.py_buffer(flat)]).cast(pa.binary())
+    """Both parts of keys as 12 bytes each."""
+    flat = np.empty(len(one), dtype=[("one", "<i8"), ("two", "<i4")])
+    flat["one"], flat["two"] = one, two
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(12), len(one), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())
 
 
 def narrow(df: DataFrame, rows: int) -> DataFrame:
@@ -297,11 +299,11 @@ def signatures(batches: Iterator[pa.RecordBatch], buckets: int, plan: Plan, k: i
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(bucket)]
         for x, y in zip(cuts[:-1], cuts[1:]):
             there, local = np.unique(owner[x:y], return_inverse=True)
-            steps = np.diff(rest[x:y], prepend=_U(0))
+            steps = np.diff(rest[x:y], prepend=_U(0)).astype("<u4")
             body = struct.pack("<II", len(there), y - x) + b"".join(
-                v[there].astype("<i8").tobytes() for v in (one, two, size))
+                v[there].astype(t).tobytes() for v, t in ((one, "<i8"), (two, "<i4"), (size, "<i4")))
             # byte planes of the steps: the upper ones are zero and vanish in compression
-            body += steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+            body += steps.view(np.uint8).reshape(-1, 4).T.tobytes()
             body += local.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + flags[x:y].tobytes()
             body += segment[x:y][flags[x:y] & GIVES > 0].astype("<u4").tobytes()
             out.append((int(bucket[x]), "rows", y - x, pack.compress(body)))
@@ -323,18 +325,17 @@ def meet(rows: pa.Table, num: int, den: int) -> pa.Table:
             continue
         raw = unpack.decompress(blob)
         n, m = struct.unpack_from("<II", raw)
-        a, b, s = (np.frombuffer(raw, "<i8", n, 8 + 8 * n * j) for j in range(3))
-        at = 8 + 24 * n
-        steps = np.frombuffer(raw, np.uint8, 8 * m, at).reshape(8, m).T.copy().view("<u8").ravel()
-        local = np.frombuffer(raw, np.uint8, 4 * m, at + 8 * m).reshape(4, m).T.copy().view("<u4").ravel()
+        a, b, s = np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<i4", n, 8 + 8 * n), np.frombuffer(raw, "<i4", n, 8 + 12 * n)
+        at = 8 + 16 * n
+        steps, local = np.frombuffer(raw, np.uint8, 8 * m, at).reshape(2, 4, m).transpose(0, 2, 1).copy().view("<u4").reshape(2, m)
         one.append(a[local])
         two.append(b[local])
         size.append(s[local])
-        rest.append(np.cumsum(steps, dtype=_U))
-        flags.append(np.frombuffer(raw, np.int8, m, at + 12 * m))
-        place = np.full(m, -1, dtype=np.int64)
+        rest.append(np.cumsum(steps, dtype=np.uint32))
+        flags.append(np.frombuffer(raw, np.int8, m, at + 8 * m))
+        place = np.full(m, -1, dtype=np.int32)
         gives = flags[-1] & GIVES > 0
-        place[gives] = np.frombuffer(raw, "<u4", int(gives.sum()), at + 13 * m)
+        place[gives] = np.frombuffer(raw, "<u4", int(gives.sum()), at + 9 * m)
         segment.append(place)
     if rest:
         bucket = rows.column("bucket")[0].as_py()
@@ -353,7 +354,8 @@ def meet(rows: pa.Table, num: int, den: int) -> pa.Table:
         one, two, size, rest, flags, segment, kind = (x[fresh] for x in (one, two, size, rest, flags, segment, kind))
         if len(rest):
             grp = np.cumsum(np.concatenate([[True], rest[1:] != rest[:-1]])) - 1
-            name = mix64(rest * _U(2) + np.full(1, bucket, dtype=_U) * _SEG[0]).view(np.int64)
+            name = mix64(rest.astype(_U) * _U(2) + np.full(1, bucket, dtype=_U) * _SEG[0]).view(np.int64)
+            size = size.astype(np.int64)
             wide = int(size.max()) + 1
             whole, gone = np.flatnonzero(kind == 0), np.flatnonzero(kind)
             places = {0: grp[whole] * wide + size[whole], DELETION: grp[gone] * wide + size[gone]}
@@ -559,9 +561,12 @@ def link_components(docs: DataFrame, plan: Plan = PLAN, k: int = SHINGLE) -> Dat
         F.struct("cost", "second", "segment", "grp")).alias("units"))
     paid = cut_lineage(narrow(units.join(names, "key").mapInArrow(
         lambda b: _paid(b, plan), "grp long, key binary, size long, doc long").distinct(), rows.get("unit", 0)))
-    member = part("member").join(paid.select("grp").distinct(), "grp", "left_semi")
-    degree = narrow(member.groupBy("key").agg(F.count("*").alias("degree")).join(names.select("key", "doc"), "key"), n_base)
-    member = cut_lineage(narrow(member.join(degree, "key"), rows.get("member", 0)))
+    # Members of groups that no set pays for, more than half of them, go before any shuffle; a member's degree is counted
+    # where it meets its name.
+    bitmap = sieve.make(paid, "grp")
+    member = sieve.sift(part("member"), bitmap, "grp", True).select("row.*").join(paid.select("grp").distinct(), "grp", "left_semi")
+    degree = F.count("*").over(Window.partitionBy("key")).alias("degree")
+    member = cut_lineage(narrow(member.select("*", degree).join(names.select("key", "doc"), "key"), rows.get("member", 0)))
     pairs = _poor_pairs(known, part("poor").distinct(), names, k, num, den) if rows.get("poor") else None
     sets = _sets_of(known, member.select("doc") if pairs is None else member.select("doc").union(
         pairs.select(F.explode(F.array("a", "b")).alias("doc"))), k)

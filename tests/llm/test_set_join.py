@@ -165,3 +165,13 @@ def test_second_units_are_paid_under_the_production_plan():
         paid += sum(u["grp"] in chosen for u in mine if u["second"])
         free_seconds += sets[key]["seconds"] > 0
     assert paid > 0 and free_seconds == len(units)
+
+
+def test_rows_of_a_chunk_stay_small_over_many_buckets():
+    """Of short texts over many buckets, where a set has few rows in each and its key of 12 bytes goes along."""
+    r = random.Random(9)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(250)) for _ in range(400)]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    sent = [(n, len(blob)) for b in set_join.signatures(iter([batch]), 64, PLAN, 5)
+            for kind, n, blob in zip(*(b.column(c).to_pylist() for c in ("kind", "n", "blob"))) if kind == "rows"]
+    assert sum(size for _, size in sent) < 11 * sum(n for n, _ in sent)
