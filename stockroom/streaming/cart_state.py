@@ -2,7 +2,9 @@
 
 Each (user, product) has a state of its own in the state store: the quantity in the cart, and the events that wait for
 their time.  An event waits until the watermark (the latest event time seen, less ``delay``) has passed it;
-a timer then applies what is due in (ts, event_id) order.  So outcomes leave as soon as their time is complete, whatever
+a timer then applies what is due in (ts, event_id) order.  An event travels as one JSON cell, as Spark hands
+rows to Python cell by cell, and a key's events of one micro-batch wait as one value and its timer is kept beside the cart, as each
+question to the state store goes through a socket and asking for timers is a scan.  So outcomes leave as soon as their time is complete, whatever
 order files came in, and a key whose cart is closed and that has nothing waiting keeps no state.
 
 Events from before the watermark come too late; Spark drops and counts them (``numRowsDroppedByWatermark``).
@@ -15,6 +17,7 @@ The rows are those of the batch fold (``operators.cart``): one for each remove a
 from __future__ import annotations
 
 import datetime as _dt
+import json
 import os
 from collections.abc import Iterator
 
@@ -29,7 +32,8 @@ from .cart_stream import DELAY, EVENT_SCHEMA, FILES_PER_TRIGGER, _events, _span
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT_SCHEMA = "user_id long, product_id long, event_id long, us long, action string, outcome string, quantity long, reason string"
-_WAITING = "event_id long, us long, action string, quantity long, known boolean"
+_WAITING = "events string"
+_EVENT = ["event_id", "us", "action", "quantity", "known"]
 MARK = "mark"
 
 
@@ -56,40 +60,45 @@ class CartProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.cart = handle.getValueState("cart", "quantity long")
+        self.cart = handle.getValueState("cart", "quantity long, timer long")
         self.waiting = handle.getListState("waiting", _WAITING)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = [(r.event_id, r.us, r.action, r.quantity, r.known) for r in rows if r.action != MARK]
+        came = json.loads(f"[{','.join(r.event for r in rows)}]")
+        new = [tuple(e.get(c) for c in _EVENT) for e in came if e.get("action") != MARK]
         if new:
-            self.waiting.appendList(new)
+            self.waiting.appendValue((json.dumps(new),))
             self._wake(min(e[1] for e in new))
         return iter(())
 
     def _wake(self, us: int) -> None:
+        """Have the key's one timer go off for an event of this time."""
         at = -(-us // 1000)
-        timers = list(self.handle.listTimers())
-        if not any(t <= at for t in timers):
-            for t in timers:
-                self.handle.deleteTimer(t)
+        quantity, timer = self.cart.get() or (None, None)
+        if timer is None or at < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
             self.handle.registerTimer(at)
+            self.cart.update((quantity, at))
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        held = [tuple(r) for r in self.waiting.get()]
+        held = [e for r in self.waiting.get() for e in json.loads(r[0])]
         due = [(us, i, action, q, known) for i, us, action, q, known in held if us <= now]
         rest = [e for e in held if e[1] > now]
-        before = self.cart.get()[0] if self.cart.exists() else None
+        before = (self.cart.get() or (None,))[0]
         after, outcomes = apply_due(before, due)
         if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(-(-min(e[1] for e in rest) // 1000))
+            self.waiting.put([(json.dumps(rest),)])
+            timer = -(-min(e[1] for e in rest) // 1000)
+            self.handle.registerTimer(timer)
         else:
             self.waiting.clear()
-        if after is None:
+            timer = None
+        if after is None and timer is None:
             self.cart.clear()
         else:
-            self.cart.update((after,))
+            self.cart.update((after, timer))
         for event_id, us, action, outcome, quantity, reason in outcomes:
             yield Row(user_id=key[0], product_id=key[1], event_id=event_id, us=us, action=action, outcome=outcome,
                       quantity=quantity, reason=reason)
@@ -104,7 +113,8 @@ def _run(spark: SparkSession, events: DataFrame, products: DataFrame, root: str,
     ready = (events.withColumn("at", F.col("ts").cast("timestamp")).withColumn("us", F.unix_micros("at"))
              .withColumn("quantity", F.coalesce("quantity", F.lit(P.DEFAULT_ADD_QUANTITY).cast("long")))
              .join(known, "product_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-             .withWatermark("at", f"{int(delay.total_seconds() * 1000)} milliseconds"))
+             .withWatermark("at", f"{int(delay.total_seconds() * 1000)} milliseconds")
+             .select("user_id", "product_id", "at", F.to_json(F.struct(*_EVENT)).alias("event")))
     out = ready.groupBy("user_id", "product_id").transformWithState(
         CartProcessor(), OUT_SCHEMA, outputMode="Append", timeMode="EventTime")
     q = (out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/position")

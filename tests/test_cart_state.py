@@ -1,8 +1,10 @@
 """The cart in keyed state against the batch fold, on files in shuffled time order."""
 
 import datetime as dt
+import json
 import tempfile
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from data_paths import SMALL
@@ -10,7 +12,7 @@ from stockroom.operators import cart as C
 from stockroom.schema import SCHEMAS
 from stockroom.sources import RetailTables
 from stockroom.sources.retail import cart_events_of
-from stockroom.streaming.cart_state import run_cart_state
+from stockroom.streaming.cart_state import _EVENT, CartProcessor, run_cart_state
 from test_streaming import event, files, outcome
 
 
@@ -51,3 +53,51 @@ def test_outcomes_leave_early_and_state_falls_when_carts_close(spark):
     assert outcome(out, "error", "event_id") == [(5,), (8,)]
     after = progress[-1]["stateOperators"][0]
     assert after["numRowsTotal"] < held["numRowsTotal"]  # the cart of a missing product is all that is left
+
+
+def test_a_keys_events_of_a_batch_wait_as_one_value():
+    class Held:
+        def __init__(self):
+            self.now = None
+
+        def get(self):
+            return self.now
+
+        def update(self, value):
+            self.now = value
+
+        def clear(self):
+            self.now = None
+
+    class Waiting(Held):
+        def get(self):
+            return iter(self.now or [])
+
+        def appendValue(self, value):  # noqa: N802
+            self.now = [*(self.now or []), value]
+
+        def put(self, values):
+            self.now = values
+
+    class Handle:  # has no listTimers: a key's timer is known from its state
+        timers: set = set()
+        getValueState, getListState = (lambda *a: Held()), (lambda *a: Waiting())  # noqa: N815, E731
+        registerTimer, deleteTimer = timers.add, timers.discard  # noqa: N815
+
+    class Times:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    cart = CartProcessor()
+    cart.init(handle := Handle())
+    rows = lambda *events: iter([Row(event=json.dumps(dict(zip(_EVENT, e)))) for e in events])
+    cart.handleInputRows((1, 2), rows((5, 9000, "buy", 1, True), *[(i, 2000 + i, "add", 2, True) for i in range(4)]), Times(0))
+    assert len(cart.waiting.now) == 1 and handle.timers == {2}
+    cart.handleInputRows((1, 2), rows((7, 1000, "add", 1, True), (8, 99000, "remove", None, True)), Times(0))
+    assert len(cart.waiting.now) == 2 and handle.timers == {1}
+    handle.timers.clear()  # a timer that goes off is gone
+    out = list(cart.handleExpiredTimer((1, 2), Times(50), None))
+    assert [(r.event_id, r.outcome, r.quantity) for r in out] == [(5, "purchase", 9)]
+    assert len(cart.waiting.now) == 1 and handle.timers == {99}
+    assert [r.reason for r in cart.handleExpiredTimer((1, 2), Times(99), None)] == [C.NOT_IN_CART]
+    assert cart.waiting.now is None and cart.cart.now is None
