@@ -45,7 +45,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import StorageLevel
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -256,8 +256,11 @@ def narrow(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, min(shuffle_partitions(df.sparkSession), -(-rows // ROWS_PER_PART))))
 
 
-def unpacked(found: DataFrame, kind: str) -> DataFrame:
-    """The rows of one kind."""
+def unpacked(found: DataFrame, kind: str, groups: Broadcast | None = None) -> DataFrame:
+    """The rows of one kind; with the bitmap ``groups`` of the last bits of group names, only rows of groups that it lets pass.
+
+    They are held back here and not by a sieve behind, which would be a second Python worker of each task.
+    """
     columns = [(c, t) for c, t in _COLUMNS[kind] if c not in ("key1", "key2")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,8 +271,12 @@ def unpacked(found: DataFrame, kind: str) -> DataFrame:
                 for c, t in _COLUMNS[kind]:
                     out[c] = np.frombuffer(raw, t, n, at)
                     at += n * np.dtype(t).itemsize
+                if groups is not None:
+                    ok = sieve.passes(groups.value, pa.array(out["grp"] & (sieve.PLACES - 1)))
+                    out = {c: x[ok] for c, x in out.items()}
                 yield pa.record_batch([_keys(out["key1"], out["key2"]), *(pa.array(out[c]) for c, _ in columns)],
                                       names=["key", *(c for c, _ in columns)])
+        release_memory()
 
     return found.where(F.col("kind") == kind).mapInArrow(
         rows, "key binary, " + ", ".join(f"{c} {_SQL[t]}" for c, t in columns))
@@ -416,6 +423,7 @@ def _paid(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBa
         at = pa.array(np.repeat(np.arange(batch.num_rows), [len(g) for g in groups]))
         yield pa.record_batch([pa.array([g for x in groups for g in x], pa.int64()), *(
             batch.column(c).take(at) for c in ("key", "size", "doc"))], names=["grp", "key", "size", "doc"])
+    release_memory()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
@@ -426,6 +434,7 @@ def _sets(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, k: int) -> Iter
             ends = np.cumsum(size)
             held = [h[e - s:e].tobytes() for s, e in zip(size.tolist(), ends.tolist())]
             yield pa.record_batch([_keys(one, two), pa.array(held, pa.binary())], names=["key", "held"])
+            release_memory()
 
 
 def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -438,6 +447,7 @@ def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
             common = int((b[at] == a).sum()) if len(b) else 0
             ok.append(den * common >= num * (len(a) + len(b) - common) and common > 0)
         yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
+    release_memory()
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -460,8 +470,9 @@ def _links(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     tasks = shuffle_partitions(spark)
     per = pairs.groupBy("a_key").agg(F.count("*").alias("n"))
     share = -(-(per.agg(F.sum("n")).first()[0] or 0) // tasks)
+    # As an Arrow table: a list of rows would go through Python workers of another kind, which stay beside the others.
     hot = spark.createDataFrame(per.where(F.col("n") > max(share, 1)).select(
-        "a_key", F.ceil(F.col("n") / max(share, 1)).cast("int").alias("salts")).collect(), "a_key binary, salts int")
+        "a_key", F.ceil(F.col("n") / max(share, 1)).cast("int").alias("salts")).toArrow(), "a_key binary, salts int")
     firsts = sets.toDF("a_key", "x")
     plain = pairs.join(F.broadcast(hot), "a_key", "left_anti").join(firsts, "a_key")
     spread = firsts.join(F.broadcast(hot), "a_key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
@@ -549,8 +560,8 @@ def link_components(docs: DataFrame, plan: Plan = PLAN, k: int = SHINGLE) -> Dat
         .groupBy("bucket").applyInArrow(lambda t: meet(t, num, den), "kind string, n long, blob binary"))
     rows = {r["kind"]: r["n"] for r in found.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
 
-    def part(kind: str) -> DataFrame:
-        return narrow(unpacked(found, kind), rows.get(kind, 0))
+    def part(kind: str, groups: Broadcast | None = None) -> DataFrame:
+        return narrow(unpacked(found, kind, groups), rows.get(kind, 0))
 
     base = cut_lineage(part("base").withColumn("doc_id", F.expr("if(known = 1, doc_id, null)")).drop("known"))
     # Each class of equal sets by its least doc_id, with its numbers of units.
@@ -563,8 +574,8 @@ def link_components(docs: DataFrame, plan: Plan = PLAN, k: int = SHINGLE) -> Dat
         lambda b: _paid(b, plan), "grp long, key binary, size long, doc long").distinct(), rows.get("unit", 0)))
     # Members of groups that no set pays for, more than half of them, go before any shuffle; a member's degree is counted
     # where it meets its name.
-    bitmap = sieve.make(paid, "grp")
-    member = sieve.sift(part("member"), bitmap, "grp", True).select("row.*").join(paid.select("grp").distinct(), "grp", "left_semi")
+    groups = sieve.bitmap(paid.select(F.col("grp").bitwiseAND(sieve.PLACES - 1).alias("at")))
+    member = part("member", groups).join(paid.select("grp").distinct(), "grp", "left_semi")
     degree = F.count("*").over(Window.partitionBy("key")).alias("degree")
     member = cut_lineage(narrow(member.select("*", degree).join(names.select("key", "doc"), "key"), rows.get("member", 0)))
     pairs = _poor_pairs(known, part("poor").distinct(), names, k, num, den) if rows.get("poor") else None

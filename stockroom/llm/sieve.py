@@ -14,7 +14,6 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 BITS = 27
 PLACES = 1 << BITS
@@ -58,14 +57,13 @@ def passes(bitmap: np.ndarray, at: pa.Array) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def _sifted(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, let_pass: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ok = passes(bitmap, batch.column("at")) == let_pass
-        yield pa.record_batch([batch.column("row")], names=["row"]).filter(pa.array(ok))
+def sift(rows: DataFrame, bitmap: Broadcast, column: str, let_pass: bool) -> DataFrame:
+    """The rows whose id may be marked (``let_pass``), or the others; as one column ``row`` of all columns.
 
+    Only the places go to Python: the rows, with their texts, stay in the JVM.
+    """
+    def marked(at: pa.Array) -> pa.Array:
+        return pa.array(passes(bitmap.value, at))
 
-def sift(rows: DataFrame, bitmap: Broadcast, column: str, let_pass: bool) -> DataFrame:
-    """The rows whose id may be marked (``let_pass``), or the others; as one column ``row`` of all columns."""
-    packed = rows.select(F.struct("*").alias("row"), place(column).alias("at"))
-    kind = StructType([StructField("row", packed.schema["row"].dataType)])
-    return packed.mapInArrow(lambda b: _sifted(b, bitmap.value, let_pass), kind)
+    ok = F.arrow_udf(marked, "boolean")(place(column))
+    return rows.where(ok if let_pass else ~ok).select(F.struct("*").alias("row"))
