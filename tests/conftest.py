@@ -14,7 +14,8 @@ sys.path.insert(0, ROOT)
 def spark():
     from stockroom.session import ensure_checkpoint_dir, get_spark, ship_package
 
-    s = get_spark(os.environ.get("TEST_MASTER", "local[*]"), 8)
+    # Plans that tests read show whole paths, however long the scratch folder's is.
+    s = get_spark(os.environ.get("TEST_MASTER", "local[*]"), 8, extra={"spark.sql.maxMetadataStringLength": "2000"})
     ensure_checkpoint_dir(s)
     ship_package(s)
     yield s
